@@ -29,12 +29,10 @@ def pairwise_correlation(x, y) -> Column:
     return correlation(F.when(both, x), F.when(both, y))
 
 
-def correlation_from_sums(n, sx, sy, sxx, syy, sxy) -> Column:
-    """Pearson correlation from raw moments (used on centred ranks)."""
-    n, sx, sy, sxx, syy, sxy = (col(c) for c in (n, sx, sy, sxx, syy, sxy))
-    vx = n * sxx - sx * sx
-    vy = n * syy - sy * sy
-    return F.when((vx > 0) & (vy > 0), (n * sxy - sx * sy) / F.sqrt(vx * vy))
+def centred_correlation(x, y) -> Column:
+    """Pearson correlation of values that already have mean zero."""
+    x, y = col(x), col(y)
+    return divide(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y)))
 
 
 def share(condition: Column) -> Column:

@@ -120,6 +120,16 @@ class CrossSection:
         value = average / F.col("_rk_n") if pct else average
         return placed.withColumn(out, value).drop("_rk_lo", "_rk_hi", "_rk_n")
 
+    def centred_rank(self, df: DataFrame, x: str, out: str) -> DataFrame:
+        """Average-tie rank minus the group's mean rank.
+
+        These are halves of whole numbers, so sums of their products are exact and
+        do not depend on the order in which tasks deliver rows.
+        """
+        placed = self.positions(df, x, "_rk_")
+        value = (F.col("_rk_lo") + F.col("_rk_hi") - F.col("_rk_n")) / F.lit(2.0)
+        return placed.withColumn(out, value).drop("_rk_lo", "_rk_hi", "_rk_n")
+
     def quantiles(self, df: DataFrame, x: str, marks: Sequence[tuple[str, Column, Column]], prefix: str = "_q_") -> DataFrame:
         """Attach linearly interpolated quantiles of ``x``.
 

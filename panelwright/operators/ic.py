@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions import timeseries as ts
 from panelwright.functions.scalar import divide, is_true
-from panelwright.functions.stats import correlation, correlation_p_value, ratio_or, share
+from panelwright.functions.stats import centred_correlation, correlation, correlation_p_value, ratio_or, share
 from panelwright.operators.crosssection import CrossSection
 
 # Smallest cross-sections that count, by kind of evaluation.
@@ -79,12 +79,15 @@ def clean_returns(
 def correlations_by(
     rows: DataFrame, cross: CrossSection, x: str = "value", y: str = "ret"
 ) -> DataFrame:
-    """Pearson and rank correlation per group of ``cross``, with the row count."""
-    ranked = cross.rank(cross.rank(rows, x, "_rx", pct=False), y, "_ry", pct=False)
+    """Pearson and rank correlation per group of ``cross``, with the row count.
+
+    Every row must have both values.
+    """
+    ranked = cross.centred_rank(cross.centred_rank(rows, x, "_rx"), y, "_ry")
     n = F.count("*")
     return (
         ranked.groupBy(*cross.keys)
-        .agg(n.alias("n_stocks"), correlation(x, y).alias("ic"), correlation("_rx", "_ry").alias("rank_ic"))
+        .agg(n.alias("n_stocks"), correlation(x, y).alias("ic"), centred_correlation("_rx", "_ry").alias("rank_ic"))
         .withColumn("ic", F.when(F.col("n_stocks") >= MIN_PAIRS, F.col("ic")))
         .withColumn("rank_ic", F.when(F.col("n_stocks") >= MIN_PAIRS, F.col("rank_ic")))
     )

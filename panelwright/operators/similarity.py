@@ -50,7 +50,10 @@ def support_classes(series: DataFrame, item: str, row_keys: Sequence[str]) -> Da
 
 
 def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add up outer products of centred rank vectors per class pair."""
+    """Add up outer products of centred rank vectors per class pair.
+
+    Centred ranks sum to zero, so the products are all a correlation needs.
+    """
     held: dict[tuple[str, str], list] = {}
     size = 0
 
@@ -78,7 +81,6 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for (left, right), part in batch.groupby(["left_class", "right_class"], sort=False):
             block = np.stack(part["ranks"].to_numpy())
-            block = block - part["middle"].to_numpy()[:, None]
             gram = block.T @ block
             width = int(part["width"].iloc[0])
             entry = held.get((left, right))
@@ -121,7 +123,7 @@ def rank_correlations(
         .join(met, list(row_keys))
     )
     cross = CrossSection(["item", "other"], group_bound=rows_per_item)
-    ranked = cross.rank(faced, "v", "rank", pct=False)
+    ranked = cross.centred_rank(faced, "v", "rank")
     first, second = F.least("own", "other"), F.greatest("own", "other")
     vectors = (
         ranked.groupBy(first.alias("left_class"), second.alias("right_class"), *row_keys)
@@ -136,10 +138,8 @@ def rank_correlations(
         )
         .withColumn("width", F.size(F.filter("_all", lambda e: e["side"] == 0)))
     )
-    # centred ranks sum to zero; the middle of n ranks is (n + 1) / 2
-    sizes = vectors.groupBy("left_class", "right_class").agg(((F.count("*") + 1) / F.lit(2.0)).alias("middle"))
-    packed = vectors.join(sizes, ["left_class", "right_class"]).select(
-        "left_class", "right_class", "width", "middle", F.transform("_all", lambda e: e["rank"]).alias("ranks")
+    packed = vectors.select(
+        "left_class", "right_class", "width", F.transform("_all", lambda e: e["rank"]).alias("ranks")
     )
     sums = packed.mapInPandas(
         _pair_sums,
