@@ -269,7 +269,9 @@ def diversity_flags(
     too close in structure also covers novelty below the minimum: likeness above
     0.75 needs the structure weight.
     """
-    spark = candidates.sparkSession
+    # read several times in the rounds below; one row per candidate or close pair
+    candidates, reference = cut_lineage(candidates), cut_lineage(reference)
+    value_pairs, ic_pairs = cut_lineage(value_pairs), cut_lineage(ic_pairs)
     ordered = candidates.withColumn("_order", _rank_struct()).withColumn("_pass", passes(gates)).withColumn(
         "_skip", has_error() | F.coalesce("diversity_rejected", F.lit(False))
     )

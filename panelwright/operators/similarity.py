@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.operators.crosssection import CrossSection
+from panelwright.session import cut_lineage
 
 # Most series in one class block; larger classes are cut, which changes no result.
 BLOCK = 256
@@ -107,12 +108,14 @@ def rank_correlations(
 ) -> DataFrame:
     """(left, right, n, corr) for every pair of series with enough common keys.
 
+    ``series`` is read several times and should be a stored table.
     ``rows_per_item`` bounds the length of one series and decides how it is
     ranked.  Each pair appears once, with ``left < right``.  Series with constant
     ranks give a NULL correlation.
     """
     known = series.filter(F.col(value).isNotNull()).select(F.col(item).alias("item"), *row_keys, F.col(value).alias("v"))
-    classes = support_classes(known, "item", row_keys)
+    # one row per series, used four times below
+    classes = cut_lineage(support_classes(known, "item", row_keys))
     # one series stands for the key set of its class
     stands = classes.filter(F.col("place") == 0).select("item", F.col("class").alias("other"))
     met = known.join(stands, "item").select(*row_keys, "other")

@@ -78,12 +78,25 @@ def normalise_keys(df: DataFrame, entity: str = "entity", date: str = "date") ->
 # Panels derived from the given tables
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Stated schemas save a footer read per table before planning.
+TABLE_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _supplier_bars(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
         "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
         F.trunc(F.to_date("l_shipdate"), period).alias("date"),
@@ -109,11 +122,11 @@ def _supplier_bars(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
 
 
 def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
-    supplier = _table(spark, sf_dir, "supplier")
+    supplier = table(spark, sf_dir, "supplier")
     home = (
         supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
-        .join(_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", "s_acctbal", F.col("r_name").alias("industry"))
     )
     df = (
@@ -126,7 +139,7 @@ def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
             "industry", *FLAGS,
         )
     )
-    days = _table(spark, sf_dir, "lineitem").select(F.trunc(F.to_date("l_shipdate"), period).alias("date"))
+    days = table(spark, sf_dir, "lineitem").select(F.trunc(F.to_date("l_shipdate"), period).alias("date"))
     # every entity is a supplier, so the supplier table bounds a cross-section
     return Panel(df, names_bound=supplier.count(), days=days)
 
@@ -143,7 +156,7 @@ def monthly_panel(spark: SparkSession, sf_dir: str) -> Panel:
 
 def user_day_panel(spark: SparkSession, sf_dir: str) -> Panel:
     """User x day bars from ``events``: last value as close, event count as volume."""
-    events = _table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     df = (
         events.groupBy(F.col("user_id").cast("string").alias("entity"), F.to_date("ts").alias("date"))
         .agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import is_true
 from panelwright.operators import ic, screen, similarity
+from panelwright.session import cut_lineage
 from panelwright.sources.panel import weekly_panel
 from panelwright.suite.base import (
     Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, r6, rank_corr_sql, rank_sql, rounded, sql,
@@ -82,8 +83,14 @@ _add("same_day_rank_ic", "A3 with T10", _same_day, sql(
 # -- summaries ---------------------------------------------------------------
 
 
-def _on_daily(name: str, covers: str, apply, text: str, *needs: str) -> None:
-    _add(name, covers, lambda spark, sf_dir: rounded(apply(daily(spark, sf_dir))), sql(text, *(needs or ("daily",))))
+def _on_daily(name: str, covers: str, apply, text: str, *needs: str, stored: bool = False) -> None:
+    """``stored`` writes the daily table first, for operators that read it several times."""
+
+    def run(spark, sf_dir):
+        table = daily(spark, sf_dir)
+        return rounded(apply(cut_lineage(table) if stored else table))
+
+    _add(name, covers, run, sql(text, *(needs or ("daily",))))
 
 
 def _share(condition: str) -> str:
@@ -305,13 +312,13 @@ cte("corr_matrix", ("shared_days",), f"""
   SELECT a.factor_name AS "left", b.factor_name AS "right", CASE WHEN a.factor_name = b.factor_name THEN 1.0 ELSE {rank_corr_sql('a.r', 'b.r')} END AS corr
   FROM shared_days a JOIN shared_days b USING (date) GROUP BY 1, 2""")
 _on_daily("ic_corr_matrix", "A27, J11", similarity.ic_corr_matrix,
-          f'SELECT "left", "right", CAST({R("corr")} AS DOUBLE) AS corr FROM corr_matrix', "corr_matrix")
+          f'SELECT "left", "right", CAST({R("corr")} AS DOUBLE) AS corr FROM corr_matrix', "corr_matrix", stored=True)
 _on_daily("max_abs_corr", "A28", lambda d: similarity.max_abs_corr(similarity.ic_corr_matrix(d)),
-          f'SELECT "left" AS factor_name, CAST({R("max(abs(corr))")} AS DOUBLE) AS max_abs_corr FROM corr_matrix WHERE "left" <> "right" GROUP BY 1', "corr_matrix")
+          f'SELECT "left" AS factor_name, CAST({R("max(abs(corr))")} AS DOUBLE) AS max_abs_corr FROM corr_matrix WHERE "left" <> "right" GROUP BY 1', "corr_matrix", stored=True)
 
 
 def _recommend(spark, sf_dir):
-    d = daily(spark, sf_dir)
+    d = cut_lineage(daily(spark, sf_dir))
     stats = (
         ic.factor_stats(d)
         .join(screen.segment_stability(screen.segment_table(d)), "factor_name")
@@ -356,12 +363,13 @@ def _pairs_sql(source: str, keys: str, value: str, least: int) -> str:
 
 def _value_similarity(spark, sf_dir):
     _, factors = library_factors(spark, sf_dir)
+    factors = cut_lineage(factors)
     # no bound is known for the rows of one factor, so the split form ranks them
     return rounded(similarity.value_similarity(factors, rows_per_factor=2**62))
 
 
 _add("value_similarity", "C5, J6", _value_similarity, sql(_pairs_sql("factors", "entity, date", "value", 10000), "factors"))
-_on_daily("ic_similarity", "C6, J6", similarity.ic_similarity, _pairs_sql("daily", "date", "rank_ic", 30))
+_on_daily("ic_similarity", "C6, J6", similarity.ic_similarity, _pairs_sql("daily", "date", "rank_ic", 30), stored=True)
 
 
 def _sampled(spark, sf_dir):
