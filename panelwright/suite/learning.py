@@ -1 +1,124 @@
-CHECKS = {}
+"""Composite queries: feature matrices, splits, scaling, PCA and boosted trees."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from panelwright.operators import composite, portfolio
+from panelwright.operators.crosssection import CrossSection
+from panelwright.session import cut_lineage
+from panelwright.suite.base import Check, LIBRARY, R, cte, library, library_factors, r6, rounded, sql
+from panelwright.suite.books import _bucket_table
+
+CHECKS: dict[str, Check] = {}
+NAMES = list(LIBRARY)
+
+
+def _add(name: str, covers: str, run, text: str | None) -> None:
+    CHECKS[name] = Check(run, text, covers)
+
+
+def _features(spark, sf_dir):
+    panel, factors = library_factors(spark, sf_dir)
+    return composite.feature_matrix(factors, composite.forward_returns(panel.df), NAMES)
+
+
+cte("features", ("wide", "panel"), "SELECT w.entity, w.date, " + ", ".join(NAMES) + """, return_next FROM wide w JOIN (
+    SELECT entity, date, lead(close) OVER (PARTITION BY entity ORDER BY date) / nullif(close, 0) - 1 AS return_next FROM panel) r
+    ON r.entity = w.entity AND r.date = w.date WHERE return_next IS NOT NULL AND """ + " AND ".join(f"{n} IS NOT NULL" for n in NAMES))
+_COLUMNS = ", ".join(f"{R(n)} AS {n}" for n in [*NAMES, "return_next"])
+_add("feature_matrix", "M1, J3, P8", lambda spark, sf_dir: rounded(_features(spark, sf_dir)), sql(f"SELECT entity, date, {_COLUMNS} FROM features", "features"))
+
+
+def _series(spark, sf_dir):
+    return rounded(composite.series_matrix(_bucket_table(spark, sf_dir), NAMES))
+
+
+_known = " + ".join(f"CAST({n} IS NOT NULL AS INTEGER)" for n in NAMES)
+_total = " + ".join(f"coalesce({n}, 0)" for n in NAMES)
+_add("series_matrix", "M1, J4, T17", _series, sql(
+    "SELECT date, " + ", ".join(f"{R(f'coalesce({n}, 0)')} AS {n}" for n in NAMES) + f", {R('nxt')} AS return_next FROM (SELECT *, lead(m) OVER (ORDER BY date) AS nxt FROM ("
+    f"SELECT *, ({_total}) / ({_known}) AS m FROM (SELECT date, " + ", ".join(f"max(LS) FILTER (factor_name = '{n}') AS {n}" for n in NAMES)
+    + f" FROM bucket_wide GROUP BY date) WHERE {_known} > 0)) WHERE nxt IS NOT NULL", "bucket_wide"))
+
+
+def _split(spark, sf_dir):
+    train, test = composite.time_split(_features(spark, sf_dir), 0.2)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.groupBy("split").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+_add("time_split", "M2", _split, sql(
+    "SELECT CASE WHEN date < s THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(date) AS first_date, max(date) AS last_date FROM features, "
+    "(SELECT min(date) + CAST(ceil(date_diff('day', min(date), max(date)) * (1.0 - 0.2)) AS INTEGER) AS s FROM features) GROUP BY 1", "features"))
+
+
+def _scaled(spark, sf_dir):
+    # the scaler reads the training part once for its moments, once to apply them
+    train = cut_lineage(_features(spark, sf_dir))
+    model = Pipeline(stages=composite.standardiser(NAMES)).fit(train)
+    out = model.transform(train).withColumn("_a", vector_to_array("_scaled"))
+    return out.select("entity", "date", *[r6(F.col("_a")[i]).alias(n) for i, n in enumerate(NAMES)])
+
+
+_add("standardise", "M3", _scaled, sql("SELECT entity, date, " + ", ".join(
+    f"{R(f'({n} - avg({n}) OVER ()) / nullif(stddev_samp({n}) OVER (), 0)')} AS {n}" for n in NAMES) + " FROM features", "features"))
+
+
+def _pca(spark, sf_dir):
+    """Explained variance of each component; the sum is at most 1 and it falls."""
+    train = cut_lineage(_features(spark, sf_dir))
+    stages = composite.standardiser(NAMES) + [PCA(k=3, inputCol="_scaled", outputCol="pcs")]
+    model = Pipeline(stages=stages).fit(train)
+    shares = composite.explained_variance(model)
+    projected = model.transform(train).withColumn("_a", vector_to_array("pcs"))
+    # each component's variance is its share of the total, one unit per feature
+    moments = projected.agg(*[F.var_samp(F.col("_a")[i]).alias(f"v{i}") for i in range(3)])
+    rows = ", ".join(f"{i + 1}, {float(share)!r}D, v{i} / {len(NAMES)}" for i, share in enumerate(shares))
+    return rounded(moments.select(F.expr(f"stack(3, {rows}) as (component, explained_variance, projected_share)")))
+
+
+_add("pca", "M4", _pca, None)
+
+
+def _fit(spark, sf_dir):
+    data = cut_lineage(_features(spark, sf_dir))
+    train, test = composite.time_split(data, 0.2)
+    model = composite.fit_composite(train, NAMES, components=3, trees=15, depth=3)
+    scored = composite.composite_scores(model, train).withColumn("split", F.lit("train")).unionByName(
+        composite.composite_scores(model, test).withColumn("split", F.lit("test")))
+    return cut_lineage(scored)
+
+
+def _metrics(spark, sf_dir):
+    scored = _fit(spark, sf_dir)
+    # the pooled rank runs over a whole split, of unknown size
+    return rounded(composite.composite_metrics(scored, CrossSection(["split"], group_bound=2**62)))
+
+
+_add("composite_metrics", "M5, M6, A36", _metrics, None)
+
+
+def _strategy(spark, sf_dir):
+    daily = composite.composite_daily(_fit(spark, sf_dir).filter("split = 'test'"))
+    return rounded(portfolio.portfolio_stats(composite.strategy_series(daily), ["series"]))
+
+
+_add("composite_strategy", "M7, A25", _strategy, None)
+
+
+def _topk(spark, sf_dir):
+    _, factors = library_factors(spark, sf_dir)
+    # mean ranks tie exactly in theory; compare at a precision above float noise
+    means = factors.withColumn("value", F.round("value", 9))
+    return rounded(composite.daily_topk(means.filter("factor_name <> 'reversal_2'").withColumn("value", F.col("value") * F.length("factor_name")), 2))
+
+
+_place = "max({c}) FILTER (k = {k})"
+_add("daily_topk", "O6", _topk, sql(
+    "SELECT date, " + ", ".join(f"max(factor_name) FILTER (k = {k}) AS rank{k}_factor, {R(f'max(m) FILTER (k = {k})')} AS rank{k}_value" for k in (1, 2))
+    + " FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY m DESC, factor_name) AS k FROM ("
+    "SELECT date, factor_name, avg(round(value, 9) * length(factor_name)) AS m FROM merged WHERE factor_name <> 'reversal_2' GROUP BY 1, 2)) WHERE k <= 2 GROUP BY 1", "merged"))

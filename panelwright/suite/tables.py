@@ -1 +1,286 @@
-CHECKS = {}
+"""Scan, sink, table-maintenance and profile queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelwright.functions.scalar import to_number
+from panelwright.operators import composite, ic, portfolio, profile
+from panelwright.plans import recipes
+from panelwright.sources import factor_files as files, sinks
+from panelwright.sources.panel import FLAGS, first_existing, scan_market, table, weekly_panel, SIZE_COLUMNS
+from panelwright.suite.base import (
+    CARRY, Check, FAMILIES, LIBRARY, R, cte, daily, library, library_factors, r6, rounded, scratch, sql,
+)
+from panelwright.suite.books import BINS, _buckets, _COLUMNS, _bucket_table
+from panelwright.suite.evaluation import _share
+
+CHECKS: dict[str, Check] = {}
+
+
+def _add(name: str, covers: str, run, text: str | None) -> None:
+    CHECKS[name] = Check(run, text, covers)
+
+
+# -- scans -------------------------------------------------------------------
+
+_PANEL = ["open", "high", "low", "close", "volume", "amount", "vwap", "market_cap"]
+_add("weekly_panel", "panel", lambda spark, sf_dir: rounded(weekly_panel(spark, sf_dir).df), sql(
+    "SELECT entity, date, " + ", ".join(f"{R(c)} AS {c}" for c in _PANEL) + ", industry, ST, limit_up_flag, limit_down_flag, suspended FROM panel", "panel"))
+
+
+def _scan_market(spark, sf_dir):
+    path = scratch(spark)
+    weekly_panel(spark, sf_dir).df.withColumn("date", F.col("date").cast("timestamp")).write.parquet(path)
+    return rounded(scan_market(spark, path).df)
+
+
+_add("scan_market", "S1, P1, P2", _scan_market, sql(
+    f"SELECT entity, date, {R('close')} AS close, ST, limit_up_flag, limit_down_flag, suspended FROM panel", "panel"))
+
+
+def _stored(spark, sf_dir) -> str:
+    path = scratch(spark)
+    _, factors = library_factors(spark, sf_dir)
+    sinks.write_factor(factors, path)
+    return path
+
+
+_add("scan_factor", "S2, S3, K3", lambda spark, sf_dir: rounded(files.scan_factor(spark, _stored(spark, sf_dir), "momentum_4")), sql(
+    f"SELECT factor_name, entity, date, {R('value')} AS value FROM merged WHERE factor_name = 'momentum_4'", "merged"))
+_add("scan_factor_set", "S5", lambda spark, sf_dir: rounded(files.scan_factor_set(
+    spark, _stored(spark, sf_dir), ["activity_8", "liquidity_8", "reversal_2"], max_factors=2)), sql(
+    f"SELECT factor_name, entity, date, {R('value')} AS value FROM merged WHERE factor_name IN ('activity_8', 'liquidity_8')", "merged"))
+
+
+def _csv(spark, sf_dir):
+    path = scratch(spark)
+    events = table(spark, sf_dir, "events")
+    # every tenth value is unreadable text, as in a broken export
+    value = F.when(F.col("event_id") % 10 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    events.select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").cast("string").alias("entity"),
+                  F.col("value").cast("string").alias("close"), value.alias("factor_value")).write.option("header", True).csv(path)
+    return rounded(files.scan_factor_csv(spark, path, ["factor_value"]))
+
+
+_add("scan_factor_csv", "S4, P3", _csv,
+     f"SELECT CAST(ts AS DATE) AS date, CAST(event_id AS VARCHAR) AS entity, {R('value')} AS close, "
+     f"CASE WHEN event_id % 10 <> 0 THEN {R('value')} END AS factor_value FROM events")
+
+
+def _packed(spark, sf_dir):
+    _, factors = library_factors(spark, sf_dir)
+    return rounded(files.explode_packed_factor(files.pack_factor(factors)))
+
+
+_add("explode_packed_factor", "S6", _packed, sql(f"SELECT factor_name, entity, date, {R('value')} AS value FROM merged", "merged"))
+
+
+def _decoded(spark, sf_dir):
+    """Integer-coded events: positions of user and day in sorted dictionaries."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("u"), F.date_format("ts", "yyyyMMdd").cast("int").alias("d"), "event_id", "value")
+    codes = events.select("u").distinct().agg(F.array_sort(F.collect_list("u")).alias("stock_code_list"))
+    days = events.select("d").distinct().agg(F.array_sort(F.collect_list("d")).alias("date_values"))
+    coded = (
+        events.join(codes.select(F.posexplode("stock_code_list").alias("stock_id", "u")), "u")
+        .join(days.select(F.posexplode("date_values").alias("date_id", "d")), "d")
+        .select("stock_id", "date_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("return_next"))
+    )
+    return rounded(files.decode_dictionary_market(coded, codes, days).groupBy("entity", "date").agg(
+        F.count("*").alias("n"), F.sum("return_next").alias("total")))
+
+
+_add("decode_dictionary_market", "S7", _decoded,
+     f"SELECT CAST(user_id AS VARCHAR) AS entity, CAST(ts AS DATE) AS date, count(*) AS n, {R('sum(value)')} AS total FROM events WHERE event_id % 7 <> 0 GROUP BY 1, 2")
+_add("market_from_prices", "S7 from prices", lambda spark, sf_dir: rounded(files.market_from_prices(weekly_panel(spark, sf_dir).df)), sql(
+    f"SELECT entity, date, {R('v')} AS return_next FROM (SELECT entity, date, lead(close) OVER (PARTITION BY entity ORDER BY date) / nullif(close, 0) - 1 AS v FROM panel) WHERE v IS NOT NULL", "panel"))
+
+
+def _bucket_files(spark, sf_dir):
+    """One folder of text files per factor, plus the composite's own output."""
+    path = scratch(spark)
+    out = _bucket_table(spark, sf_dir).select("factor_name", F.date_format("date", "yyyy-MM-dd").alias("date"), "LS")
+    own = out.filter("factor_name = 'momentum_4'").withColumn("factor_name", F.lit("composite_score"))
+    out.unionByName(own).withColumn("f", F.concat("factor_name", F.lit(files.DAILY_SUFFIX))).drop("factor_name").write.partitionBy("f").option("header", True).csv(path)
+    renamed = files.scan_bucket_series(spark, path)
+    return rounded(renamed.withColumn("factor_name", F.regexp_replace("factor_name", "^f=", "")))
+
+
+_add("scan_bucket_series", "S8", _bucket_files, sql(f"SELECT factor_name, date, {R('LS')} AS LS FROM bucket_wide", "bucket_wide"))
+
+
+def _ic_files(spark, sf_dir):
+    path = scratch(spark)
+    sinks.write_ic(daily(spark, sf_dir), path, fmt="csv")
+    return rounded(files.scan_ic_series(spark, path).select("factor_name", "date", "rank_ic"))
+
+
+_add("scan_ic_series", "S9, K1", _ic_files, sql(f"SELECT factor_name, date, {R('rank_ic')} AS rank_ic FROM daily", "daily"))
+
+
+def _write_summary(spark, df) -> str:
+    path = scratch(spark)
+    df.write.option("header", True).csv(path)
+    return path
+
+
+_SUMMARY = ["mean_rank_ic", "rank_ic_std", "rank_ic_ir", "rank_ic_win_rate", "valid_days"]
+
+
+def _summaries(spark, sf_dir):
+    """Two leaderboard files; the second one restates two factors with doubled IR."""
+    base = ic.factor_summary(daily(spark, sf_dir)).select("factor_name", *_SUMMARY)
+    later = base.filter(F.col("factor_name").isin("momentum_4", "activity_8")).withColumn("rank_ic_ir", F.col("rank_ic_ir") * 2)
+    return rounded(files.scan_all_summaries(spark, [_write_summary(spark, base), _write_summary(spark, later)]))
+
+
+_add("scan_all_summaries", "S10, S11, U2", _summaries, sql(
+    "SELECT factor_name, " + ", ".join(R(f"CAST({c} AS DOUBLE)" if c != "rank_ic_ir" else "CASE WHEN factor_name IN ('momentum_4', 'activity_8') THEN 2 * rank_ic_ir ELSE rank_ic_ir END") + f" AS {c}" for c in _SUMMARY) + " FROM summary", "summary"))
+
+
+def _index_parts(spark, sf_dir):
+    """Raw index bars as landed: one file per region with a numeric code and raw column names."""
+    panel = weekly_panel(spark, sf_dir).df
+    raw = panel.groupBy("industry", "date").agg(
+        (F.sum(F.col("close") * F.col("amount")) / F.sum("amount")).alias("close"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.sum("volume").alias("volume"), F.sum("amount").alias("turnover"), F.avg("open").alias("open"))
+    code = F.when(F.col("industry") == "ASIA", 399001).when(F.col("industry") == "EUROPE", 402).otherwise(F.length("industry") + 300)
+    shaped = raw.select(F.date_format("date", "yyyy-MM-dd").alias("date"), code.alias("code"), "industry",
+                        "open", "high", "low", "close", "volume", "turnover", F.lit("-").alias("pct_chg"))
+    asia = shaped.filter("industry = 'ASIA'").drop("industry")
+    rest = shaped.filter("industry <> 'ASIA'").withColumn("code", F.when(F.col("code") == 402, 400002).otherwise(F.col("code"))).drop("industry")
+    return files.normalise_index_bars([asia, rest])
+
+
+cte("index_bars", ("panel",), """
+  SELECT date, CASE industry WHEN 'ASIA' THEN '399001.XSHE' WHEN 'EUROPE' THEN '400002.XSHE' ELSE lpad(CAST(length(industry) + 300 AS VARCHAR), 6, '0') || '.XSHG' END AS entity,
+         avg(open) AS open, max(high) AS high, min(low) AS low, sum(close * amount) / sum(amount) AS close, sum(volume) AS volume, sum(amount) AS total_turnover,
+         CAST(NULL AS DOUBLE) AS pct_change FROM panel GROUP BY industry, date""")
+_BAR = ["open", "high", "low", "close", "volume", "total_turnover", "pct_change"]
+
+
+def _bar_select(source: str) -> str:
+    # turnover sums are rounded to cents before comparison
+    return "SELECT date, entity, " + ", ".join(f"{'round(total_turnover, 2)' if c == 'total_turnover' else R(c)} AS {c}" for c in _BAR) + f" FROM {source}"
+
+
+def _bars_rounded(df):
+    return df.select("date", "entity", *[(F.round(c, 2) if c == "total_turnover" else r6(c)).alias(c) for c in _BAR])
+
+
+_add("normalise_index_bars", "S12, U1", lambda spark, sf_dir: _bars_rounded(_index_parts(spark, sf_dir)), sql(_bar_select("index_bars"), "index_bars"))
+_add("latest_bar", "O10", lambda spark, sf_dir: _bars_rounded(profile.latest_bar(_index_parts(spark, sf_dir))), sql(
+    _bar_select("(SELECT * FROM index_bars QUALIFY date = max(date) OVER (PARTITION BY entity))"), "index_bars"))
+
+# -- sinks -------------------------------------------------------------------
+
+
+def _backtest_files(spark, sf_dir):
+    path = scratch(spark)
+    sinks.write_backtest(_buckets(spark, sf_dir), path, BINS, 10.0)
+    back = spark.read.parquet(f"{path}/daily")
+    return rounded(back.select("factor_name", "date", *_COLUMNS))
+
+
+_add("write_backtest", "K2", _backtest_files, sql("SELECT factor_name, date, " + ", ".join(f"{R(c)} AS {c}" for c in _COLUMNS) + " FROM bucket_wide", "bucket_wide"))
+
+
+def _flat(spark, sf_dir):
+    panel, factors = library_factors(spark, sf_dir)
+    return rounded(sinks.flat_export(panel.df, factors.filter("factor_name = 'momentum_4'")))
+
+
+_add("flat_export", "K5, J2", _flat, sql(
+    f"SELECT strftime(date, '%Y-%m-%d') AS date, entity, {R('close')} AS close, {R('value')} AS factor_value, CAST(coalesce(ST, false) AS INTEGER) AS is_st, "
+    "CAST(coalesce(limit_up_flag, false) AS INTEGER) AS is_limit_up, CAST(coalesce(limit_down_flag, false) AS INTEGER) AS is_limit_down, "
+    "CAST(coalesce(suspended, false) AS INTEGER) AS is_suspended FROM merged WHERE factor_name = 'momentum_4'", "merged"))
+
+
+def _metadata(spark, sf_dir):
+    summary = ic.factor_summary(daily(spark, sf_dir)).withColumn("error", F.when(F.col("factor_name") == "activity_8", "timeout"))
+    out = sinks.run_metadata(summary, {"panel": "weekly", "horizon": "1"})
+    return rounded(out.select(F.col("inputs")["panel"].alias("panel"), "factor_count", "success_count", "error_count", "best_rank_ic_ir", "status"))
+
+
+_add("run_metadata", "K4", _metadata, sql(
+    f"SELECT 'weekly' AS panel, count(*) AS factor_count, count(*) FILTER (factor_name <> 'activity_8') AS success_count, count(*) FILTER (factor_name = 'activity_8') AS error_count, "
+    f"{R('max(rank_ic_ir)')} AS best_rank_ic_ir, 'partial' AS status FROM summary", "summary"))
+
+
+def _todo(spark, sf_dir):
+    path = scratch(spark)
+    _, factors = library_factors(spark, sf_dir)
+    sinks.write_factor(factors.filter(F.col("factor_name").isin("momentum_4", "reversal_2")), path)
+    wanted = factors.select("factor_name").distinct()
+    return sinks.todo_factors(wanted, sinks.stored_factors(spark, path))
+
+
+_add("todo_factors", "K8, J7", _todo, sql("SELECT DISTINCT factor_name FROM merged WHERE factor_name NOT IN ('momentum_4', 'reversal_2')", "merged"))
+
+
+def _ledger(spark, sf_dir):
+    from panelwright.suite.definitions import candidates
+
+    path = scratch(spark)
+    c = candidates(spark, sf_dir).select("factor_name", "generation", "grade", "mean_rank_ic", F.col("expression").alias("code"))
+    for g in (0, 1):
+        sinks.ledger_append(c.filter(F.col("generation") == g), path)
+    return rounded(spark.read.parquet(path))
+
+
+_add("ledger_append", "K7", _ledger, sql(f"SELECT factor_name, generation, grade, {R('mean_rank_ic')} AS mean_rank_ic FROM cands WHERE generation IN (0, 1)", "cands"))
+
+
+def _with_family(spark, sf_dir):
+    _, factors = library_factors(spark, sf_dir)
+    family = F.create_map(*[F.lit(v) for kv in FAMILIES.items() for v in kv])
+    return profile.factor_inventory(factors.withColumn("family", family[F.col("factor_name")]))
+
+
+_FAMILY = "CASE factor_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FAMILIES.items()) + " END"
+_add("factor_inventory", "K9", _with_family, sql(f"SELECT {_FAMILY} AS family, factor_name, count(*) AS n_rows, count(value) > 0 AS has_data FROM merged GROUP BY 1, 2", "merged"))
+_add("inventory_by_kind", "K9", lambda spark, sf_dir: profile.inventory_by_kind(_with_family(spark, sf_dir)), sql(
+    f"SELECT {_FAMILY} AS family, count(DISTINCT factor_name) AS n_factors FROM merged GROUP BY 1", "merged"))
+
+# -- profile -----------------------------------------------------------------
+
+_add("overview", "A30", lambda spark, sf_dir: profile.overview(weekly_panel(spark, sf_dir).df), sql(
+    "SELECT count(*) AS n_rows, count(DISTINCT entity) AS n_entities, count(DISTINCT date) AS n_dates, min(date) AS first_date, max(date) AS last_date FROM panel", "panel"))
+_add("price_stats", "A31", lambda spark, sf_dir: rounded(profile.price_stats(weekly_panel(spark, sf_dir).df)), sql(
+    f"SELECT count(close) AS valid_count, {R('min(close)')} AS min_price, {R('max(close)')} AS max_price, {R('avg(close)')} AS mean_price, "
+    f"{R('median(close)')} AS median_price, {R('stddev_samp(close)')} AS std_price FROM panel", "panel"))
+
+
+def _hist_sql(x: str, source: str) -> str:
+    return (f"SELECT CAST(least(floor(({x} - lo) / nullif((hi - lo) / 100.0, 0)), 99) AS INTEGER) AS bin, count(*) AS n FROM {source}, "
+            f"(SELECT min({x}) AS lo, max({x}) AS hi FROM {source}) GROUP BY 1")
+
+
+_add("price_histogram", "A32", lambda spark, sf_dir: profile.price_histogram(weekly_panel(spark, sf_dir).df), sql(_hist_sql("close", "panel"), "panel"))
+_add("price_histogram_log", "A32", lambda spark, sf_dir: profile.price_histogram(weekly_panel(spark, sf_dir).df, log_scale=True), sql(
+    _hist_sql("x", "(SELECT log10(close) AS x FROM panel WHERE close > 0)"), "panel"))
+_add("yearly_profile", "A33", lambda spark, sf_dir: rounded(profile.yearly_profile(weekly_panel(spark, sf_dir).df)), sql(
+    f"SELECT CAST(year(date) AS INTEGER) AS year, {R('avg(close)')} AS mean_close, count(DISTINCT entity) AS n_entities FROM panel GROUP BY 1", "panel"))
+_NULLS = ["close", "ST", "limit_up_flag", "limit_down_flag"]
+_add("null_profile", "A34", lambda spark, sf_dir: rounded(profile.null_profile(weekly_panel(spark, sf_dir).df, _NULLS)), sql(
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS total, count({c}) AS valid, count(*) - count({c}) AS nulls, {R(f'(count(*) - count({c})) / count(*)')} AS null_share FROM panel" for c in _NULLS), "panel"))
+
+
+def _coerced(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 5 == 0, "bad").when(F.col("event_id") % 7 == 0, "NaN").otherwise(F.col("value").cast("string"))
+    return rounded(events.select("event_id", to_number(text).alias("value")))
+
+
+_add("coerce_numeric", "P3", _coerced, f"SELECT event_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN {R('value')} END AS value FROM events")
+
+
+def _drop_all_null(spark, sf_dir):
+    _, factors = library_factors(spark, sf_dir)
+    wide = factors.groupBy("entity", "date").pivot("factor_name", list(LIBRARY)).agg(F.first("value"))
+    return rounded(wide.dropna(how="all", subset=["momentum_4", "reversal_2"]))
+
+
+_add("drop_all_null", "P9, J3", _drop_all_null, sql(
+    "SELECT entity, date, " + ", ".join(f"{R(n)} AS {n}" for n in LIBRARY) + " FROM wide WHERE present AND (momentum_4 IS NOT NULL OR reversal_2 IS NOT NULL)", "wide"))
