@@ -118,7 +118,7 @@ class CrossSection:
         placed = self.positions(df, x, "_rk_")
         average = (F.col("_rk_lo") + F.col("_rk_hi") + 1) / F.lit(2.0)
         value = average / F.col("_rk_n") if pct else average
-        return placed.withColumn(out, value).drop("_rk_lo", "_rk_hi", "_rk_n")
+        return placed.select(*[c for c in df.columns if c != out], value.alias(out))
 
     def centred_rank(self, df: DataFrame, x: str, out: str) -> DataFrame:
         """Average-tie rank minus the group's mean rank.
@@ -128,7 +128,7 @@ class CrossSection:
         """
         placed = self.positions(df, x, "_rk_")
         value = (F.col("_rk_lo") + F.col("_rk_hi") - F.col("_rk_n")) / F.lit(2.0)
-        return placed.withColumn(out, value).drop("_rk_lo", "_rk_hi", "_rk_n")
+        return placed.select(*[c for c in df.columns if c != out], value.alias(out))
 
     def quantiles(self, df: DataFrame, x: str, marks: Sequence[tuple[str, Column, Column]], prefix: str = "_q_") -> DataFrame:
         """Attach linearly interpolated quantiles of ``x``.
@@ -144,10 +144,11 @@ class CrossSection:
             for suffix, at in (("a", position), ("b", position + 1)):
                 wanted[f"_{name}_{suffix}"] = F.max(F.when((lo <= at) & (at < hi), F.col(x) + F.lit(0.0)))
         found = self.attach(placed, **wanted)
+        blended = []
         for name, _, fraction in marks:
             a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
-            found = found.withColumn(name, F.when(fraction > 0, a + (b - a) * fraction).otherwise(a))
-        return found.drop(*wanted, f"{prefix}lo", f"{prefix}hi")
+            blended.append(F.when(fraction > 0, a + (b - a) * fraction).otherwise(a).alias(name))
+        return found.select(*df.columns, f"{prefix}n", *blended)
 
     def winsorize(self, df: DataFrame, x: str, out: str, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
         marks = []
@@ -178,9 +179,7 @@ class CrossSection:
             edge, before = F.col(f"_edge_{k}"), F.col(f"_edge_{k - 1}")
             passed = passed + F.when((edge > before) & (edge < value), F.lit(1)).otherwise(F.lit(0))
         usable = F.col(x).isNotNull() & (F.col("_q_n") >= bins)
-        return edged.withColumn(out, F.when(usable, F.greatest(passed, F.lit(1)) - 1)).drop(
-            *[f"_edge_{k}" for k in range(bins + 1)], "_q_n"
-        )
+        return edged.select(*df.columns, F.when(usable, F.greatest(passed, F.lit(1)) - 1).alias(out))
 
     def extreme_masks(self, df: DataFrame, x: str, top: float = 0.9, bottom: float = 0.1) -> DataFrame:
         """Add ``is_long`` and ``is_short`` by percentile rank."""

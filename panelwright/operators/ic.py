@@ -57,14 +57,16 @@ def clean_returns(
     taken before any row is dropped.
     """
     w = ts.entity_window(["factor_name", "entity"])
-    rows = merged.withColumn("ret", ts.forward_return("close", 1, w) if next_day else ts.same_day_return("close", w))
-    keep: Column = F.col("value").isNotNull() & F.col("ret").isNotNull()
+    ahead = {"ret": ts.forward_return("close", 1, w) if next_day else ts.same_day_return("close", w)}
     if next_day and exclude_limit_up:
-        rows = rows.withColumn("_next_up", F.coalesce(ts.next_flag("limit_up_flag", w), F.lit(False)))
-        keep = keep & ~F.col("_next_up")
+        ahead["_next_up"] = F.coalesce(ts.next_flag("limit_up_flag", w), F.lit(False))
     if next_day and exclude_limit_down:
-        rows = rows.withColumn("_next_down", F.coalesce(ts.next_flag("limit_down_flag", w), F.lit(False)))
-        keep = keep & ~F.col("_next_down")
+        ahead["_next_down"] = F.coalesce(ts.next_flag("limit_down_flag", w), F.lit(False))
+    rows = merged.withColumns(ahead)
+    keep: Column = F.col("value").isNotNull() & F.col("ret").isNotNull()
+    for peek in ("_next_up", "_next_down"):
+        if peek in ahead:
+            keep = keep & ~F.col(peek)
     for wanted, flag in (
         (exclude_st, "ST"),
         (exclude_limit_up, "limit_up_flag"),

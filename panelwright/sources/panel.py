@@ -121,14 +121,21 @@ def _supplier_bars(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
     return bars.withColumn("vwap", divide("amount", "volume"))
 
 
+# Most dimension rows sent to every executor; larger tables are shuffled.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
 def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
     supplier = table(spark, sf_dir, "supplier")
+    names = supplier.count()
     home = (
         supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
         .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", "s_acctbal", F.col("r_name").alias("industry"))
     )
+    # the count bounds the dimension side; without the hint the bars may be sent instead
+    home = F.broadcast(home) if names <= MAX_BROADCAST_ROWS else home
     df = (
         _supplier_bars(spark, sf_dir, period)
         .join(home, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -141,7 +148,7 @@ def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
     )
     days = table(spark, sf_dir, "lineitem").select(F.trunc(F.to_date("l_shipdate"), period).alias("date"))
     # every entity is a supplier, so the supplier table bounds a cross-section
-    return Panel(df, names_bound=supplier.count(), days=days)
+    return Panel(df, names_bound=names, days=days)
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str) -> Panel:
