@@ -61,8 +61,8 @@ class CrossSection:
         with a NULL value get NULL bounds.
         """
         lo, hi, n = f"{prefix}lo", f"{prefix}hi", f"{prefix}n"
-        # adding 0.0 folds -0.0 into 0.0
-        value = F.col(x) + F.lit(0.0)
+        # adding 0.0 folds -0.0 into 0.0; whole numbers and text are taken as they are
+        value = F.col(x) + F.lit(0.0) if dict(df.dtypes)[x] in ("double", "float") else F.col(x)
         if not self.split:
             ordered = Window.partitionBy(*self.keys).orderBy(value.asc_nulls_last())
             whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -290,19 +290,19 @@ def coverage(factors: DataFrame) -> DataFrame:
 def _previous_date_value(factors: DataFrame, column: str, out: str) -> DataFrame:
     """Value of the same entity on the factor's previous date, if it has one there.
 
-    Only the immediately preceding date of the factor counts, so the date table is
-    shifted and joined rather than the entity's rows lagged.
+    The entity's preceding row counts only when it lies on that date.  The date
+    table joined for the comparison has one row per factor and date.
     """
-    dates = factors.select(*FACTOR_DAY).distinct()
-    step = dates.select(
-        "factor_name", "date",
-        F.lead("date").over(Window.partitionBy("factor_name").orderBy("date")).alias("_next"),
-    ).filter(F.col("_next").isNotNull())
-    before = (
-        factors.join(step, FACTOR_DAY)
-        .select("factor_name", F.col("_next").alias("date"), "entity", F.col(column).alias(out))
+    by_factor = Window.partitionBy("factor_name").orderBy("date")
+    steps = factors.select(*FACTOR_DAY).distinct().withColumn("_prior", F.lag("date").over(by_factor))
+    w = ts.entity_window(["factor_name", "entity"])
+    lagged = factors.withColumns({"_last": F.lag(column).over(w), "_last_date": F.lag("date").over(w)})
+    on_time = F.col("_last_date") == F.col("_prior")
+    return (
+        lagged.join(steps, FACTOR_DAY)
+        .withColumn(out, F.when(on_time, F.col("_last")))
+        .drop("_last", "_last_date", "_prior")
     )
-    return factors.join(before, ["factor_name", "date", "entity"], "left")
 
 
 def factor_autocorr(factors: DataFrame) -> DataFrame:

@@ -197,12 +197,10 @@ def place(df: DataFrame, value: str, name: str, out: str, rows_bound: int | None
         return df.withColumn(out, F.row_number().over(order).cast("long"))
     everything = CrossSection(["_all"], group_bound=MAX_WINDOW_ROWS + 1)
     counted = everything.positions(df.withColumn("_all", F.lit(1)), value, "_pl_")
-    ties = Window.partitionBy(value).orderBy(name)
+    # many rows may share a value, or lack one, so ties are placed the same way
+    placed = everything.with_keys(value).positions(counted, name, "_tie_")
     above = F.when(F.col(value).isNull(), F.col("_pl_n")).otherwise(F.col("_pl_n") - F.col("_pl_hi"))
-    return (
-        counted.withColumn(out, (above + F.row_number().over(ties)).cast("long"))
-        .drop("_all", "_pl_lo", "_pl_hi", "_pl_n")
-    )
+    return placed.select(*[c for c in df.columns if c != out], (above + F.col("_tie_lo") + 1).cast("long").alias(out))
 
 
 def rank_table(summary: DataFrame, rows_bound: int | None = None) -> DataFrame:

@@ -61,15 +61,16 @@ def scan_factor_csv(spark: SparkSession, path: str, factors: Sequence[str]) -> D
     )
 
 
-def pack_factor(factors: DataFrame) -> DataFrame:
-    """Parallel arrays per (factor, date): the array layout, cut by date.
+def pack_factor(factors: DataFrame, names_bound: int, pack_rows: int = 100_000) -> DataFrame:
+    """Parallel arrays per (factor, date): the array layout, cut into bounded packs.
 
-    One row never holds more than one cross-section, so a factor of any length
-    can be packed.
+    ``names_bound`` bounds the names per date; a larger cross-section is dealt
+    into several packs of about ``pack_rows`` by hash.
     """
+    packs = -(-names_bound // pack_rows)
     ordered = F.array_sort(F.collect_list(F.struct("entity", "value")))
     return (
-        factors.groupBy("factor_name", "date")
+        factors.groupBy("factor_name", "date", F.pmod(F.xxhash64("entity"), F.lit(packs)).alias("_pack"))
         .agg(ordered.alias("_rows"))
         .select(
             "factor_name",
@@ -98,19 +99,26 @@ def explode_packed_factor(packed: DataFrame) -> DataFrame:
 def decode_dictionary_market(rows: DataFrame, codes: DataFrame, days: DataFrame) -> DataFrame:
     """Integer-coded market rows to (entity, date, return_next).
 
-    ``codes`` holds one array column ``stock_code_list`` and ``days`` one array
-    column ``date_values`` of yyyymmdd numbers; ids are positions in them.
+    ``codes`` holds ``stock_code_list`` arrays and ``days`` holds ``date_values``
+    arrays of yyyymmdd numbers; an id is a position in them.  A long dictionary
+    comes in several rows, each with the ``first_id`` of its slice.
     """
-    entity = codes.select(F.posexplode("stock_code_list").alias("stock_id", "entity"))
-    date = days.select(F.posexplode("date_values").alias("date_id", "_ymd")).select(
+
+    def entries(df: DataFrame, values: str, key: str, out: str) -> DataFrame:
+        first = F.col("first_id") if "first_id" in df.columns else F.lit(0)
+        return df.select(first.alias("_first"), F.posexplode(values).alias("_at", out)).select(
+            (F.col("_first") + F.col("_at")).alias(key), out
+        )
+
+    date = entries(days, "date_values", "date_id", "_ymd").select(
         "date_id", F.to_date(F.col("_ymd").cast("string"), "yyyyMMdd").alias("date")
     )
     return (
-        rows.filter(F.col("return_next").isNotNull())
-        .join(entity, "stock_id")
-        .join(date, "date_id")
-        .select("entity", "date", nan_to_null("return_next").alias("return_next"))
+        rows.select("stock_id", "date_id", nan_to_null("return_next").alias("return_next"))
         .filter(F.col("return_next").isNotNull())
+        .join(entries(codes, "stock_code_list", "stock_id", "entity"), "stock_id")
+        .join(date, "date_id")
+        .select("entity", "date", "return_next")
     )
 
 

@@ -25,11 +25,12 @@ def write_backtest(bucket_returns: DataFrame, path: str, bins: int, cost_bps: fl
 def write_factor(factors: DataFrame, path: str) -> None:
     """Store factors by name; only the written factors' folders are replaced.
 
-    A factor may hold a third of all rows, so rows are spread by entity as well
-    and a folder gets several files.
+    Rows are rebalanced by factor at run time: small factors end up in one file,
+    and a factor holding much of the table is cut into several.
     """
     (
         factors.select("factor_name", "entity", "date", "value")
+        .hint("rebalance", F.col("factor_name"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("factor_name")

@@ -69,30 +69,37 @@ _add("scan_factor_csv", "S4, P3", _csv,
 
 
 def _packed(spark, sf_dir):
-    _, factors = library_factors(spark, sf_dir)
-    return rounded(files.explode_packed_factor(files.pack_factor(factors)))
+    panel, factors = library_factors(spark, sf_dir)
+    packed = files.pack_factor(factors, panel.largest_cross_section(), pack_rows=40)
+    return rounded(files.explode_packed_factor(packed))
 
 
 _add("explode_packed_factor", "S6", _packed, sql(f"SELECT factor_name, entity, date, {R('value')} AS value FROM merged", "merged"))
 
 
 def _decoded(spark, sf_dir):
-    """Integer-coded events: positions of user and day in sorted dictionaries."""
-    events = table(spark, sf_dir, "events").select(
-        F.col("user_id").cast("string").alias("u"), F.date_format("ts", "yyyyMMdd").cast("int").alias("d"), "event_id", "value")
-    codes = events.select("u").distinct().agg(F.array_sort(F.collect_list("u")).alias("stock_code_list"))
-    days = events.select("d").distinct().agg(F.array_sort(F.collect_list("d")).alias("date_values"))
-    coded = (
-        events.join(codes.select(F.posexplode("stock_code_list").alias("stock_id", "u")), "u")
-        .join(days.select(F.posexplode("date_values").alias("date_id", "d")), "d")
-        .select("stock_id", "date_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("return_next"))
+    """Integer-coded order lines: the part key indexes a sliced name dictionary, the day a date dictionary."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("stock_id"), F.date_format("l_shipdate", "yyyyMMdd").cast("int").alias("d"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_discount")).alias("return_next"))
+    # part keys count from 0 without gaps, so a slice of 500 keys is a slice of the dictionary
+    entry = F.struct("p_partkey", F.concat_ws("/", "p_name", F.col("p_partkey").cast("string")).alias("code"))
+    codes = (
+        table(spark, sf_dir, "part")
+        .groupBy(F.floor(F.col("p_partkey") / 500).alias("slice"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+        .select((F.col("slice") * 500).alias("first_id"), F.col("_e.code").alias("stock_code_list"))
     )
+    # one entry per calendar day
+    days = lines.select("d").distinct().agg(F.array_sort(F.collect_list("d")).alias("date_values"))
+    coded = lines.join(days.select(F.posexplode("date_values").alias("date_id", "d")), "d").select("stock_id", "date_id", "return_next")
     return rounded(files.decode_dictionary_market(coded, codes, days).groupBy("entity", "date").agg(
         F.count("*").alias("n"), F.sum("return_next").alias("total")))
 
 
 _add("decode_dictionary_market", "S7", _decoded,
-     f"SELECT CAST(user_id AS VARCHAR) AS entity, CAST(ts AS DATE) AS date, count(*) AS n, {R('sum(value)')} AS total FROM events WHERE event_id % 7 <> 0 GROUP BY 1, 2")
+     f"SELECT p_name || '/' || p_partkey AS entity, CAST(l_shipdate AS DATE) AS date, count(*) AS n, {R('sum(l_discount)')} AS total "
+     "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 7 GROUP BY 1, 2")
 _add("market_from_prices", "S7 from prices", lambda spark, sf_dir: rounded(files.market_from_prices(weekly_panel(spark, sf_dir).df)), sql(
     f"SELECT entity, date, {R('v')} AS return_next FROM (SELECT entity, date, lead(close) OVER (PARTITION BY entity ORDER BY date) / nullif(close, 0) - 1 AS v FROM panel) WHERE v IS NOT NULL", "panel"))
 
