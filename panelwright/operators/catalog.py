@@ -108,6 +108,25 @@ def describe(candidates: DataFrame) -> DataFrame:
     )
 
 
+SPEC_SCHEMA = (
+    "name string, family string, expression string, required_fields array<string>, lookback_windows array<int>"
+)
+
+
+def to_spec_json(candidates: DataFrame) -> DataFrame:
+    """Add ``spec``: the definition as one JSON object."""
+    spec = F.struct(
+        F.col("factor_name").alias("name"), "family", "expression", "required_fields", "lookback_windows"
+    )
+    return candidates.withColumn("spec", F.to_json(spec))
+
+
+def from_spec_json(specs: DataFrame) -> DataFrame:
+    """Definition columns of JSON objects; objects without a name are left out."""
+    parsed = specs.select(F.from_json("spec", SPEC_SCHEMA).alias("_s")).filter(F.col("_s.name").isNotNull())
+    return parsed.select(F.col("_s.name").alias("factor_name"), *[f"_s.{c}" for c in ("family", "expression", "required_fields", "lookback_windows")])
+
+
 def distinct_definitions(described: DataFrame, order: str = "factor_name") -> DataFrame:
     """First definition of every structure, which also covers equal texts."""
     rest = [c for c in described.columns if c != "structure_signature"]

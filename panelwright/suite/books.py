@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.operators import ic, portfolio
+from panelwright.plans import pipelines
 from panelwright.sources.panel import monthly_panel
-from panelwright.suite.base import Check, LIBRARY, R, cte, library, r6, rounded, sql
+from panelwright.suite.base import Check, R, cte, library, library_factors, r6, rounded, sql
 from panelwright.suite.windows import edges_sql
 
 CHECKS: dict[str, Check] = {}
@@ -137,3 +138,17 @@ _add("portfolio_stats", "A25, T14, T15", _stats, sql(
     f"{R('coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252), 0)')} AS sharpe_ratio, {R('min(dd)')} AS max_drawdown FROM ("
     "SELECT industry, ret, equity / max(equity) OVER (PARTITION BY industry ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM ("
     "SELECT industry, date, ret, product(1 + ret) OVER (PARTITION BY industry ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM month_series WHERE ret IS NOT NULL)) GROUP BY 1", "month_series"))
+
+
+# -- a whole back-test run ----------------------------------------------------
+
+
+def _backtest(spark, sf_dir):
+    panel, factors = library_factors(spark, sf_dir)
+    table, _ = pipelines.backtest(panel, factors, bins=BINS, cost_bps=10.0, realistic_execution=False)
+    return rounded(table.groupBy("factor_name").agg(
+        F.count("*").alias("n_days"), F.avg("LS").alias("mean_ls"), F.avg("Q1").alias("mean_q1"), F.max("Q5").alias("max_q5")))
+
+
+_add("backtest", "whole run: J1, A23, K2", _backtest, sql(
+    f"SELECT factor_name, count(*) AS n_days, {R('avg(LS)')} AS mean_ls, {R('avg(Q1)')} AS mean_q1, {R('max(Q5)')} AS max_q5 FROM bucket_wide GROUP BY 1", "bucket_wide"))

@@ -148,6 +148,17 @@ def _describe(spark, sf_dir):
 _add("describe_definitions", "C1, C2, U6", _describe, sql(
     "SELECT factor_name, structure_signature, list_aggregate(ops, 'string_agg', '+') AS ops, list_aggregate(fields, 'string_agg', '+') AS fields, "
     "substring(md5(trim(expression)), 1, 12) AS code_hash FROM cands", "cands"))
+
+
+def _spec_json(spark, sf_dir):
+    specs = catalog.to_spec_json(candidates(spark, sf_dir)).select("spec")
+    back = catalog.from_spec_json(specs)
+    return back.select("factor_name", "family", "expression", F.size("required_fields").cast("long").alias("n_fields"),
+                       F.coalesce(F.array_max("lookback_windows"), F.lit(0)).alias("longest"))
+
+
+_add("definition_json", "json functions of 2.11", _spec_json, sql(
+    "SELECT factor_name, family, expression, len(required_fields) AS n_fields, coalesce(list_max(lookback_windows), 0) AS longest FROM graded", "graded"))
 _add("distinct_definitions", "U6, U2", lambda spark, sf_dir: catalog.distinct_definitions(described(spark, sf_dir)).select("factor_name", "structure_signature"), sql(
     "SELECT min(factor_name) AS factor_name, structure_signature FROM cands GROUP BY structure_signature", "cands"))
 _NICHE = (

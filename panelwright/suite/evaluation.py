@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.scalar import is_true
 from panelwright.operators import ic, screen, similarity
+from panelwright.functions import timeseries as ts
+from panelwright.plans import pipelines
 from panelwright.session import cut_lineage
-from panelwright.sources.panel import weekly_panel
+from panelwright.sources.panel import FLAGS, weekly_panel
 from panelwright.suite.base import (
-    Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, r6, rank_corr_sql, rank_sql, rounded, sql,
+    Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, r6, rank_corr_sql, rank_sql, rounded, scratch, sql,
 )
 
 CHECKS: dict[str, Check] = {}
@@ -449,3 +451,69 @@ def _compare(spark, sf_dir):
 _add("compare_factors", "O5", _compare, sql(
     f"SELECT factor_name, grade, {R('mean_rank_ic')} AS mean_rank_ic, {R('rank_ic_ir')} AS rank_ic_ir, {R('rank_ic_win_rate')} AS rank_ic_win_rate, valid_days FROM ("
     + grade_sql("stats", "factor_name, mean_rank_ic, rank_ic_ir, rank_ic_win_rate, valid_days") + ")", "stats"))
+
+# -- whole runs ---------------------------------------------------------------
+
+
+def _batch(spark, sf_dir):
+    """Two runs into one folder: the second evaluates only what the first left out."""
+    panel, factors = library_factors(spark, sf_dir)
+    out = scratch(spark)
+    pipelines.batch_analysis(panel, factors.filter(F.col("factor_name").isin("momentum_4", "reversal_2")), out)
+    done = pipelines.batch_analysis(panel, factors, out)
+    return rounded(done.select("factor_name", "mean_rank_ic", "rank_ic_ir", "valid_days", "quality_score", "grade"))
+
+
+_add("batch_analysis", "whole run: K8, J1, A3, A6, K1, A22", _batch, sql(
+    f"SELECT factor_name, {R('mean_rank_ic')} AS mean_rank_ic, {R('rank_ic_ir')} AS rank_ic_ir, valid_days, quality_score, grade FROM ("
+    + grade_sql("stats", "factor_name, mean_rank_ic, rank_ic_ir, valid_days") + ")", "stats"))
+
+
+def _user_factor(spark, sf_dir):
+    def compute(panel):
+        w = ts.entity_window()
+        moved = panel.select("entity", "date", ts.same_day_return("close", w).alias("chg"))
+        return moved.select("entity", "date", ts.ts_std("chg", 20, w, min_count=15).alias("volatility_20")).dropna()
+
+    panel = weekly_panel(spark, sf_dir)
+    factor = pipelines.user_factor(panel, compute, "volatility_20")
+    return rounded(ic.run_metrics(ic.daily_ic(
+        ic.merge_factors(factor, panel.df.select("entity", "date", "close", *FLAGS)), panel.cross_section("factor_name"))))
+
+
+cte("vol_merged", ("panel",), """
+  SELECT * FROM (SELECT *, CASE WHEN count(chg) OVER w >= 15 THEN stddev_samp(chg) OVER w END AS value FROM (
+    SELECT *, close / nullif(lag(close) OVER (PARTITION BY entity ORDER BY date), 0) - 1 AS chg FROM panel)
+    WINDOW w AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE value IS NOT NULL""")
+cte("vol_clean", ("vol_merged",), f"""
+  SELECT date, value, ret FROM (SELECT *, lead(close) OVER w / nullif(close, 0) - 1 AS ret, coalesce(lead(limit_up_flag) OVER w, false) AS u,
+    coalesce(lead(limit_down_flag) OVER w, false) AS d FROM vol_merged WINDOW w AS (PARTITION BY entity ORDER BY date))
+  WHERE ret IS NOT NULL AND NOT u AND NOT d AND {_flag_ok}""")
+cte("vol_daily", ("vol_clean",), f"""
+  SELECT date, {corr_sql('value', 'ret')} AS ic, {rank_corr_sql('rx', 'ry')} AS rank_ic FROM (
+    SELECT *, {centred_sql('value', 'date')} AS rx, {centred_sql('ret', 'date')} AS ry FROM vol_clean) GROUP BY date HAVING count(*) >= 50""")
+_add("user_factor", "F1, R15", _user_factor, sql(
+    f"SELECT 'volatility_20' AS factor_name, count(*) AS rows, {R('avg(rank_ic)')} AS mean_rank_ic, {R('stddev_samp(rank_ic)')} AS rank_ic_std, "
+    f"{R('avg(rank_ic) / nullif(stddev_samp(rank_ic), 0)')} AS rank_ic_ir, {R(_share('rank_ic > 0'))} AS rank_ic_win_rate, {R('avg(ic)')} AS mean_ic FROM vol_daily "
+    "WHERE ic IS NOT NULL AND rank_ic IS NOT NULL", "vol_daily"))
+
+
+def _newcomer_verdict(spark, sf_dir):
+    d = cut_lineage(daily(spark, sf_dir))
+    baseline, new = d.filter("factor_name <> 'momentum_4'"), d.filter("factor_name = 'momentum_4'")
+    out = pipelines.judge_newcomer(ic.factor_summary(baseline), baseline, new, top_k=2)
+    return out.select("factor_name", "decision", "score", r6("max_abs_corr").alias("max_abs_corr"))
+
+
+cte("top_two", ("stats",), "SELECT factor_name FROM stats WHERE factor_name <> 'momentum_4' ORDER BY rank_ic_ir DESC NULLS LAST, factor_name LIMIT 2")
+cte("three", ("daily", "top_two"), """
+  SELECT factor_name, date, rank_ic FROM daily WHERE factor_name = 'momentum_4' OR factor_name IN (SELECT factor_name FROM top_two)""")
+cte("three_shared", ("three",), f"""
+  SELECT *, {centred_sql('rank_ic', 'factor_name')} AS r FROM three WHERE date IN (SELECT date FROM three GROUP BY date HAVING count(*) = 3)""")
+_add("judge_newcomer", "A26-A29, J7", _newcomer_verdict, sql(
+    f"SELECT factor_name, CASE WHEN score >= 70 THEN 'in_pool' WHEN score >= 50 THEN 'watchlist' ELSE 'eliminate' END AS decision, score, CAST({R('c')} AS DOUBLE) AS max_abs_corr "
+    f"FROM (SELECT *, CAST(greatest(0, least(100, {_points})) AS DOUBLE) AS score FROM stats JOIN stability USING (factor_name), "
+    f"(SELECT max(abs(c)) AS c FROM (SELECT {rank_corr_sql('a.r', 'b.r')} AS c FROM three_shared a JOIN three_shared b USING (date) "
+    "WHERE a.factor_name = 'momentum_4' AND b.factor_name <> 'momentum_4' GROUP BY b.factor_name)) WHERE factor_name = 'momentum_4')",
+    "stats", "stability", "three_shared"))
+
