@@ -26,14 +26,14 @@ class Check:
 NUDGE = 1e-8
 
 
-def r6(x) -> Column:
+def r6(x, digits: int = 6) -> Column:
     """Round for comparison; adding 0.0 folds -0.0 into 0.0.
 
     Prices here are whole cents over whole quantities, so many values lie exactly
     half-way at the seventh digit, where engines round differently.  A nudge far
     above float noise and far below the sixth digit settles them.
     """
-    return F.round(col(x) + F.lit(NUDGE), 6) + F.lit(0.0)
+    return F.round(col(x) + F.lit(NUDGE), digits) + F.lit(0.0)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def R(expr: str) -> str:
-    return f"round(({expr}) + {NUDGE!r}, 6) + 0.0"
+def R(expr: str, digits: int = 6) -> str:
+    return f"round(({expr}) + {NUDGE!r}, {digits}) + 0.0"
 
 
 def scratch(spark: SparkSession) -> str:

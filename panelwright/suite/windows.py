@@ -11,6 +11,9 @@ from panelwright.sources.panel import densify, monthly_panel, user_day_panel, we
 from panelwright.suite.base import Check, R, r6, rank_sql, rounded, sql
 
 CHECKS: dict[str, Check] = {}
+# Means and regressions over a date add prices in whatever order rows arrive; the
+# noise of about 1e-11 would now and then cross a rounding border at six digits.
+PRICE_DIGITS = 4
 
 E = "WINDOW e AS (PARTITION BY entity ORDER BY date)"
 
@@ -189,13 +192,13 @@ CHECKS["drawdown"] = Check(
 # -- within one date ---------------------------------------------------------
 
 
-def _cross(name: str, covers: str, apply, expression: str, extra: str = "") -> None:
+def _cross(name: str, covers: str, apply, expression: str, extra: str = "", digits: int = 6) -> None:
     def run(spark, sf_dir):
         panel = weekly_panel(spark, sf_dir)
         out = apply(panel.cross_section(), panel.df)
-        return out.select("entity", "date", r6(F.col("value").cast("double")).alias("value"))
+        return out.select("entity", "date", r6(F.col("value").cast("double"), digits).alias("value"))
 
-    CHECKS[name] = Check(run, sql(f"SELECT entity, date, {R(expression)} AS value FROM panel {extra}", "panel"), covers)
+    CHECKS[name] = Check(run, sql(f"SELECT entity, date, {R(expression, digits)} AS value FROM panel {extra}", "panel"), covers)
 
 
 _cross("rank", "X1", lambda cs, df: cs.rank(df, "volume", "value"), rank_sql("volume", "date"))
@@ -208,10 +211,11 @@ _cross("winsorize", "X3", lambda cs, df: cs.winsorize(df, "close", "value", 0.05
        "greatest(least(close, hi), lo)",
        "JOIN (SELECT date, quantile_cont(close, 0.05) AS lo, quantile_cont(close, 0.95) AS hi FROM panel GROUP BY date) USING (date)")
 _cross("neutralize_industry", "X6", lambda cs, df: cs.neutralize_industry(df, "close", "value"),
-       "close - avg(close) OVER (PARTITION BY date, industry)")
-_cross("cross_demean", "X8", lambda cs, df: cs.demean(df, "close", "value"), "close - avg(close) OVER (PARTITION BY date)")
+       "close - avg(close) OVER (PARTITION BY date, industry)", digits=PRICE_DIGITS)
+_cross("cross_demean", "X8", lambda cs, df: cs.demean(df, "close", "value"), "close - avg(close) OVER (PARTITION BY date)",
+       digits=PRICE_DIGITS)
 _cross("industry_demean", "X10", lambda cs, df: cs.industry_demean(df, "volume", "value"),
-       "volume - coalesce(avg(volume) OVER (PARTITION BY date, industry), 0)")
+       "volume - coalesce(avg(volume) OVER (PARTITION BY date, industry), 0)", digits=PRICE_DIGITS)
 
 
 def _residual(size: str, guard: str) -> str:
@@ -225,21 +229,21 @@ def _size(method: str):
     def run(spark, sf_dir):
         panel = weekly_panel(spark, sf_dir)
         out = getattr(panel.cross_section(), method)(panel.df, "close", "value")
-        return out.select("entity", "date", r6("value").alias("value"))
+        return out.select("entity", "date", r6("value", PRICE_DIGITS).alias("value"))
 
     return run
 
 
 CHECKS["neutralize_size"] = Check(
     _size("neutralize_size"),
-    sql(f"SELECT entity, b.date, {R('CASE WHEN s IS NULL THEN NULL WHEN sv > 1e-12 THEN y - ym - cv / sv * (s - sm) ELSE y - ym END')} AS value "
+    sql(f"SELECT entity, b.date, {R('CASE WHEN s IS NULL THEN NULL WHEN sv > 1e-12 THEN y - ym - cv / sv * (s - sm) ELSE y - ym END', PRICE_DIGITS)} AS value "
         f"FROM ({_residual('ln(1 + market_cap)', 'market_cap > -1')}) b JOIN (SELECT date, avg(y) FILTER (s IS NOT NULL) AS ym, avg(s) AS sm, "
         f"var_samp(s) AS sv, covar_samp(y, s) AS cv FROM ({_residual('ln(1 + market_cap)', 'market_cap > -1')}) GROUP BY date) m ON b.date = m.date", "panel"),
     "X7",
 )
 CHECKS["mktcap_residual"] = Check(
     _size("size_residual"),
-    sql(f"SELECT entity, b.date, {R('CASE WHEN s IS NULL OR n < 5 THEN y ELSE y - ym - coalesce(cv / nullif(sv, 0), 0) * (s - sm) END')} AS value "
+    sql(f"SELECT entity, b.date, {R('CASE WHEN s IS NULL OR n < 5 THEN y ELSE y - ym - coalesce(cv / nullif(sv, 0), 0) * (s - sm) END', PRICE_DIGITS)} AS value "
         f"FROM ({_residual('ln(market_cap + 1e-10)', 'market_cap > 0')}) b JOIN (SELECT date, count(s) AS n, avg(y) FILTER (s IS NOT NULL) AS ym, avg(s) AS sm, "
         f"var_pop(s) AS sv, covar_pop(y, s) AS cv FROM ({_residual('ln(market_cap + 1e-10)', 'market_cap > 0')}) GROUP BY date) m ON b.date = m.date", "panel"),
     "X9",
@@ -249,12 +253,12 @@ CHECKS["mktcap_residual"] = Check(
 def _neutralize(spark, sf_dir):
     panel = weekly_panel(spark, sf_dir)
     out = panel.cross_section().neutralize(panel.df, "close", "value", ["industry", "cross_demean"], size="no_such_column")
-    return out.select("entity", "date", r6("value").alias("value"))
+    return out.select("entity", "date", r6("value", PRICE_DIGITS).alias("value"))
 
 
 CHECKS["neutralize"] = Check(
     _neutralize,
-    sql(f"SELECT entity, date, {R('close - avg(close) OVER (PARTITION BY date, industry) - avg(close) OVER (PARTITION BY date)')} AS value FROM panel", "panel"),
+    sql(f"SELECT entity, date, {R('close - avg(close) OVER (PARTITION BY date, industry) - avg(close) OVER (PARTITION BY date)', PRICE_DIGITS)} AS value FROM panel", "panel"),
     "X11",
 )
 
