@@ -7,12 +7,15 @@ per word.  Slices are cut by bytes, so memory does not depend on the batch size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from panelwright.session import ensure_checkpoint_dir
+
 SLICE_BYTES = 4 << 20
 
 #: White space as the contracts state it: blank and the controls 9 to 13.
@@ -35,6 +38,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and continue from its files.
+
+    Unlike a checkpointed plan, readers of the files still read only the columns they need.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; NULL ids hash as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(by))
@@ -73,15 +86,15 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
 
 
 class Words:
-    """Lower-cased words of a text column.
+    """Words of a text column, A-Z lower-cased unless told not to.
 
     ``start`` and ``end`` are byte bounds of all words, ``rows`` the bounds of each
     row in the list of words.
     """
 
-    def __init__(self, column: pa.Array, separators: np.ndarray = SPACES):
+    def __init__(self, column: pa.Array, separators: np.ndarray = SPACES, lower: bool = True):
         raw, self.bounds = flat(column)
-        self.data = LOWER[raw]
+        self.data = LOWER[raw] if lower else raw
         inside = ~separators[self.data]
         n = len(self.data)
         before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
