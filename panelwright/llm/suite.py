@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from panelwright.llm import fingerprints, mixing, topk, warc
+from panelwright.llm import fingerprints, licenses, mixing, neardup, packing, topk, toxicity, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1,
     "op2_warc_archive": warc.op2,
     "op3_source_mixing": mixing.op3,
+    "op4_hierarchical_packing": packing.op4,
     "op5_exact_top_k": topk.op5,
+    "op7_near_duplicates": neardup.op7,
+    "op9_toxicity": toxicity.op9,
     "op10_document_fingerprints": fingerprints.op10,
 }
 
