@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import fingerprints, licenses, mixing, neardup, packing, topk, toxicity, warc
+from panelwright.llm import bloomlm, fingerprints, language, licenses, mixing, neardup, packing, topk, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_source_mixing": mixing.op3,
     "op4_hierarchical_packing": packing.op4,
     "op5_exact_top_k": topk.op5,
+    "op6_language_model": bloomlm.op6,
     "op7_near_duplicates": neardup.op7,
+    "op8_language_id": language.op8,
     "op9_toxicity": toxicity.op9,
     "op10_document_fingerprints": fingerprints.op10,
 }

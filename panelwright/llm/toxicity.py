@@ -181,6 +181,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows scored below ``most``, all their columns unchanged; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                text = part.column(part.schema.get_field_index("_text"))
+                yield part.filter(pa.array(shared.value.score(Words(text)) < most))
+
+    held = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("text").alias("_text"))
+    return held.mapInArrow(run, held.schema).select("_row.*")
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = fit(*sample(docs, read(spark, sf_dir, "labels")))
