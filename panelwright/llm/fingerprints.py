@@ -101,12 +101,11 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     placed = docs.withColumn("_cell", cell).join(F.broadcast(edges), F.col("doc_id") == F.col("_top"), "left")
     here = F.struct(F.col("_cell").alias("cell"), F.lit(0).alias("wrap"), F.lit(0).alias("ghost"))
     there = F.struct(F.col("_to").alias("cell"), F.col("_wrap").alias("wrap"), F.lit(1).alias("ghost"))
-    spread = placed.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there)))).drop("_cell", "_top", "_to", "_wrap")
-    w = Window.partitionBy("_at.cell").orderBy("_at.wrap", F.col("doc_id").desc_nulls_last(), *[F.col(c) for c in carry])
-    out = spread
-    for c in carry:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
-    return out.filter("_at.ghost = 0").drop("_at")
+    spread = placed.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    spread = spread.select(*docs.columns, F.col("_at.cell").alias("_cell"), F.col("_at.wrap").alias("_wrap"), F.col("_at.ghost").alias("_ghost"))
+    w = Window.partitionBy("_cell").orderBy("_wrap", F.col("doc_id").desc_nulls_last(), *[F.col(c) for c in carry])
+    out = spread.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
+    return out.filter("_ghost = 0").drop("_cell", "_wrap", "_ghost")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
