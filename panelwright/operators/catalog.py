@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions import text
-from panelwright.operators.crosssection import MAX_WINDOW_ROWS, CrossSection
 from panelwright.operators.screen import GRADE_ORDER
 from panelwright.session import cut_lineage
 
@@ -277,7 +276,8 @@ def diversity_flags(
     """Turn away candidates too close to one accepted earlier or to the reference.
 
     Candidates are taken best first, and only passing ones that were not turned
-    away count against later ones.  That sequence is settled in rounds: a
+    away count against later ones.  Rows with an error and rows turned away before
+    pass through with the values they came with.  That sequence is settled in rounds: a
     candidate is decided once nothing undecided before it could still block it.
     Equal texts and structures block through their group's earliest member, and
     correlations through the pairs above their threshold, so no pairs are formed
@@ -387,11 +387,14 @@ def diversity_flags(
             .join(earlier_or_ref.select(F.col("factor_name").alias("right"), F.col("_order").alias("_ro")), "right")
             .filter(F.col("similarity").isNotNull() & (F.col("_ro").isNull() | (F.col("_ro") < F.col("_lo"))))
         )
-        best = F.max_by(F.struct("similarity", "right"), F.struct("similarity", "right"))
+        # of equal likeness the one accepted first counts, references before all
+        best = F.min_by(F.struct("similarity", "right"), F.struct(-F.col("similarity"), F.col("_ro"), F.col("right")))
         return met.groupBy(F.col("left").alias("factor_name")).agg(best.alias(out))
 
+    flags = {"diversity_rejected": "boolean", "max_similarity": "double", "ic_series_max_similarity": "double", "most_similar_to": "string"}
+    old = [F.col(c).cast(t) if c in candidates.columns else F.lit(None).cast(t) for c, t in flags.items()]
     result = (
-        candidates.drop("diversity_rejected", "max_similarity", "most_similar_to", "ic_series_max_similarity")
+        candidates.select(*[c for c in candidates.columns if c not in flags], *[v.alias(f"_old_{c}") for v, c in zip(old, flags, strict=True)])
         .join(state.select("factor_name", "_state"), "factor_name")
         .join(strongest(value_pairs, "_value"), "factor_name", "left")
         .join(strongest(ic_pairs, "_ic"), "factor_name", "left")
@@ -400,16 +403,17 @@ def diversity_flags(
     best_value = F.coalesce(F.col("_value.similarity"), F.lit(0.0))
     best_ic = F.coalesce(F.col("_ic.similarity"), F.lit(0.0))
     by_ic = (F.col("_state") == "similar") & (best_value < gates.value_corr)
-    return result.select(
-        *[c for c in candidates.columns if c not in ("diversity_rejected", "max_similarity", "most_similar_to", "ic_series_max_similarity")],
-        (same_text | (F.col("_state") == "similar")).alias("diversity_rejected"),
-        F.when(same_text, F.lit(1.0)).otherwise(best_value).alias("max_similarity"),
-        F.when(same_text, F.lit(0.0)).otherwise(best_ic).alias("ic_series_max_similarity"),
-        F.when(same_text, F.col("_state"))
+    new = {
+        "diversity_rejected": same_text | (F.col("_state") == "similar"),
+        "max_similarity": F.when(same_text, F.lit(1.0)).otherwise(best_value),
+        "ic_series_max_similarity": F.when(same_text, F.lit(0.0)).otherwise(best_ic),
+        "most_similar_to": F.when(same_text, F.col("_state"))
         .when(by_ic, F.coalesce(F.when(best_value > 0, F.col("_value.right")), F.lit("similar_ic_series")))
-        .otherwise(F.coalesce(F.when(best_value > 0, F.col("_value.right")), F.lit("")))
-        .alias("most_similar_to"),
-    )
+        .otherwise(F.coalesce(F.when(best_value > 0, F.col("_value.right")), F.lit(""))),
+    }
+    return result.select(
+        *[c for c in candidates.columns if c not in flags],
+        *[F.when(F.col("_state") == "skipped", F.col(f"_old_{c}")).otherwise(v).alias(c) for c, v in new.items()])
 
 
 def novelty_flags(described: DataFrame, reference: DataFrame, gates: Gates = Gates()) -> DataFrame:

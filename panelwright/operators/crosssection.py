@@ -1,10 +1,11 @@
-"""Cross-sectional operators: statistics and order within one date.
-
-A cross-section normally holds thousands of names, and a window per date is the
-cheapest plan: one shuffle serves every operator that follows.  When the bound on
-a group says it could outgrow a task, the same results come from partial
-aggregates joined back, and order statistics from value ranges inside the group,
-so that no task ever needs a whole group.
+"""Cross-sectional operators: statistics and order within groups.
+
+Groups of one date hold the names of that date, and a window per group is the
+cheapest plan: one shuffle serves every operator that follows, and sorted groups
+spill.  Groups that pool dates grow with the whole table; for these, named by
+``spread``, the same results come from partial aggregates joined back, and order
+statistics from value ranges inside the group, so that no task ever needs a whole
+group.  The caller's kind of key decides, never a row count.
 """
 
 from __future__ import annotations
@@ -14,40 +15,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions.scalar import clip, col, divide
+from panelwright.session import cut_lineage
+
 
-# Largest group one window task is asked to sort.
-MAX_WINDOW_ROWS = 2_000_000
+def one_group(column: str) -> Column:
+    """A key that is the same for all rows but no constant, so that joins on it stay equi-joins."""
+    return F.pmod(F.xxhash64(column), F.lit(1))
 
 
 class CrossSection:
     """Operators over the groups named by ``keys``.
 
-    ``group_bound`` is an upper bound on rows per group.  Above ``window_rows``
-    the split form is used; ``range_rows`` is the mean size of its value ranges.
+    ``spread`` says that a group may hold much of the table; its rows are then cut
+    in value ranges of ``range_rows`` distinct values on average.
     """
 
-    def __init__(
-        self,
-        keys: Sequence[str],
-        group_bound: int,
-        window_rows: int = MAX_WINDOW_ROWS,
-        range_rows: int = 500_000,
-    ):
+    def __init__(self, keys: Sequence[str], spread: bool = False, range_rows: int = 500_000):
         self.keys = list(keys)
-        self.split = group_bound > window_rows
-        self.group_bound = group_bound
-        self.window_rows = window_rows
+        self.spread = spread
         self.range_rows = range_rows
 
     def with_keys(self, *keys: str) -> "CrossSection":
-        return CrossSection(keys, self.group_bound, self.window_rows, self.range_rows)
+        return CrossSection(keys, self.spread, self.range_rows)
 
     # -- building blocks ---------------------------------------------------
 
     def attach(self, df: DataFrame, extra_keys: Sequence[str] = (), **aggregates: Column) -> DataFrame:
         """Add one column per group aggregate."""
         keys = [*self.keys, *extra_keys]
-        if not self.split:
+        if not self.spread:
             group = Window.partitionBy(*keys)
             return df.select("*", *[agg.over(group).alias(name) for name, agg in aggregates.items()])
         stats = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
@@ -63,7 +59,7 @@ class CrossSection:
         lo, hi, n = f"{prefix}lo", f"{prefix}hi", f"{prefix}n"
         # adding 0.0 folds -0.0 into 0.0; whole numbers and text are taken as they are
         value = F.col(x) + F.lit(0.0) if dict(df.dtypes)[x] in ("double", "float") else F.col(x)
-        if not self.split:
+        if not self.spread:
             ordered = Window.partitionBy(*self.keys).orderBy(value.asc_nulls_last())
             whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             upto = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -77,34 +73,35 @@ class CrossSection:
         return self._split_positions(df, x, value, lo, hi, n)
 
     def _split_positions(self, df: DataFrame, x: str, value: Column, lo: str, hi: str, n: str) -> DataFrame:
+        """Bounds from counts per value.
+
+        The input and the counts are each worked out once and kept in the
+        checkpoint folder, so nested calls do not multiply the plan.
+        """
         keys = self.keys
+        df = cut_lineage(df)
         # ties collapse before the shuffle, and the value is part of the key, so
         # neither a hot group nor a hot value reaches one task as rows
-        values = df.filter(F.col(x).isNotNull()).groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_c"))
+        values = cut_lineage(df.filter(F.col(x).isNotNull()).groupBy(*keys, value.alias("_v")).agg(F.count("*").alias("_c")))
         # split points: values picked by hash, one in range_rows; the same on every recomputation
         splits = (
             values.filter(F.pmod(F.xxhash64("_v"), F.lit(self.range_rows)) == 0)
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_list("_v")).alias("_splits"))
         )
-        ranged = _join_back(values, splits, keys).withColumn(
+        ranged = cut_lineage(_join_back(values, splits, keys).withColumn(
             "_range", F.coalesce(F.size(F.filter("_splits", lambda s: s < F.col("_v"))), F.lit(0))
-        ).drop("_splits")
+        ).drop("_splits"))
         totals = ranged.groupBy(*keys, "_range").agg(F.sum("_c").alias("_range_total"))
         over_ranges = Window.partitionBy(*keys).orderBy("_range")
         offsets = totals.select(
             *keys,
             "_range",
             (F.sum("_range_total").over(over_ranges) - F.col("_range_total")).alias("_offset"),
-            F.sum("_range_total").over(Window.partitionBy(*keys)).alias(n),
         )
         inside = Window.partitionBy(*keys, "_range").orderBy("_v")
         placed = _join_back(ranged, offsets, [*keys, "_range"], how="inner").select(
-            *keys,
-            "_v",
-            (F.col("_offset") + F.sum("_c").over(inside)).alias(hi),
-            F.col("_c"),
-            F.col(n),
+            *keys, "_v", (F.col("_offset") + F.sum("_c").over(inside)).alias(hi), "_c"
         )
         placed = placed.select(*keys, "_v", (F.col(hi) - F.col("_c")).alias(lo), hi)
         sizes = df.groupBy(*keys).agg(F.count(x).alias(n))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.operators.crosssection import CrossSection
+from panelwright.operators.crosssection import CrossSection, one_group
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -19,10 +19,10 @@ def overview(df: DataFrame) -> DataFrame:
     )
 
 
-def price_stats(df: DataFrame, price: str = "close", rows_bound: int = 2**62) -> DataFrame:
+def price_stats(df: DataFrame, price: str = "close") -> DataFrame:
     """Moments and the exact median, found by position and not by collecting values."""
-    whole = CrossSection(["_all"], group_bound=rows_bound)
-    placed = whole.positions(df.select(price).withColumn("_all", F.lit(1)), price, "_m_")
+    whole = CrossSection(["_all"], spread=True)
+    placed = whole.positions(df.select(price).withColumn("_all", one_group(price)), price, "_m_")
     last = F.col("_m_n") - 1
     low, high = F.floor(last / 2), F.ceil(last / 2)
 

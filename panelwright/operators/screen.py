@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions.stats import ratio_or, share
-from panelwright.operators.crosssection import CrossSection, MAX_WINDOW_ROWS
+from panelwright.operators.order import ordinal
 from panelwright.operators.ic import FACTOR
 
 # Pass marks of the five grading criteria, and letters by score.
@@ -186,25 +186,15 @@ def recommend(stats: DataFrame) -> DataFrame:
 # Rankings
 
 
-def place(df: DataFrame, value: str, name: str, out: str, rows_bound: int | None = None) -> DataFrame:
-    """1-based place by ``value`` descending, missing values last, names breaking ties.
-
-    A table known to be small is numbered in one window.  Otherwise places come
-    from value counts, so that no task has to see every row.
-    """
-    if rows_bound is not None and rows_bound <= MAX_WINDOW_ROWS:
-        order = Window.orderBy(F.col(value).desc_nulls_last(), F.col(name))
-        return df.withColumn(out, F.row_number().over(order).cast("long"))
-    everything = CrossSection(["_all"], group_bound=MAX_WINDOW_ROWS + 1)
-    counted = everything.positions(df.withColumn("_all", F.lit(1)), value, "_pl_")
-    # many rows may share a value, or lack one, so ties are placed the same way
-    placed = everything.with_keys(value).positions(counted, name, "_tie_")
-    above = F.when(F.col(value).isNull(), F.col("_pl_n")).otherwise(F.col("_pl_n") - F.col("_pl_hi"))
-    return placed.select(*[c for c in df.columns if c != out], (above + F.col("_tie_lo") + 1).cast("long").alias(out))
+def place(df: DataFrame, value: str, name: str, out: str) -> DataFrame:
+    """1-based place by ``value`` descending, missing values last, names breaking ties."""
+    rest = [c for c in df.columns if c != out]
+    placed = ordinal(df.select(*rest), "_at", F.col(value).desc_nulls_last(), F.col(name).asc())
+    return placed.select(*rest, (F.col("_at") + 1).cast("long").alias(out))
 
 
-def rank_table(summary: DataFrame, rows_bound: int | None = None) -> DataFrame:
-    return place(summary, "rank_ic_ir", "factor_name", "rank_ir", rows_bound)
+def rank_table(summary: DataFrame) -> DataFrame:
+    return place(summary, "rank_ic_ir", "factor_name", "rank_ir")
 
 
 def ranking_after(summary: DataFrame, newcomer: DataFrame) -> DataFrame:
@@ -213,10 +203,10 @@ def ranking_after(summary: DataFrame, newcomer: DataFrame) -> DataFrame:
     return kept.unionByName(newcomer, allowMissingColumns=True)
 
 
-def ranking_change(summary: DataFrame, newcomer: DataFrame, rows_bound: int | None = None) -> DataFrame:
+def ranking_change(summary: DataFrame, newcomer: DataFrame) -> DataFrame:
     """Old and new place of the newcomer itself."""
-    before = rank_table(summary, rows_bound).select("factor_name", F.col("rank_ir").alias("old_rank_ir"))
-    after = rank_table(ranking_after(summary, newcomer), rows_bound).join(
+    before = rank_table(summary).select("factor_name", F.col("rank_ir").alias("old_rank_ir"))
+    after = rank_table(ranking_after(summary, newcomer)).join(
         newcomer.select("factor_name"), "factor_name", "left_semi"
     )
     return after.join(before, "factor_name", "left").select(
@@ -228,12 +218,12 @@ def ranking_change(summary: DataFrame, newcomer: DataFrame, rows_bound: int | No
     )
 
 
-def ranking_shift(summary: DataFrame, newcomer: DataFrame, rows_bound: int | None = None) -> DataFrame:
+def ranking_shift(summary: DataFrame, newcomer: DataFrame) -> DataFrame:
     """Factors whose place moved when the newcomer came in."""
-    before = rank_table(summary, rows_bound).select(
+    before = rank_table(summary).select(
         "factor_name", F.col("rank_ir").alias("rank_before"), F.col("rank_ic_ir").alias("rank_ic_ir_before")
     )
-    after = rank_table(ranking_after(summary, newcomer), rows_bound).select(
+    after = rank_table(ranking_after(summary, newcomer)).select(
         "factor_name", F.col("rank_ir").alias("rank_after"), F.col("rank_ic_ir").alias("rank_ic_ir_after")
     )
     both = before.join(after, "factor_name", "full").withColumn("rank_shift", F.col("rank_before") - F.col("rank_after"))

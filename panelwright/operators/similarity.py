@@ -103,13 +103,13 @@ def rank_correlations(
     item: str,
     row_keys: Sequence[str],
     value: str,
-    rows_per_item: int,
+    spread: bool,
     min_overlap: int = 2,
 ) -> DataFrame:
     """(left, right, n, corr) for every pair of series with enough common keys.
 
     ``series`` is read several times and should be a stored table.
-    ``rows_per_item`` bounds the length of one series and decides how it is
+    ``spread`` says that a series may hold much of the table, and so how it is
     ranked.  Each pair appears once, with ``left < right``.  Series with constant
     ranks give a NULL correlation.
     """
@@ -125,7 +125,7 @@ def rank_correlations(
         .withColumnRenamed("class", "own")
         .join(met, list(row_keys))
     )
-    cross = CrossSection(["item", "other"], group_bound=rows_per_item)
+    cross = CrossSection(["item", "other"], spread=spread)
     ranked = cross.centred_rank(faced, "v", "rank")
     first, second = F.least("own", "other"), F.greatest("own", "other")
     vectors = (
@@ -161,15 +161,15 @@ def rank_correlations(
     )
 
 
-def value_similarity(factors: DataFrame, rows_per_factor: int, min_overlap: int = 10_000) -> DataFrame:
+def value_similarity(factors: DataFrame, min_overlap: int = 10_000) -> DataFrame:
     """|Spearman| of factor values on shared (entity, date) keys."""
-    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", rows_per_factor, min_overlap)
+    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", True, min_overlap)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 
 
-def ic_similarity(daily: DataFrame, days_bound: int = 100_000, min_days: int = 30) -> DataFrame:
+def ic_similarity(daily: DataFrame, min_days: int = 30) -> DataFrame:
     """|Spearman| of daily rank-correlation series on shared dates."""
-    pairs = rank_correlations(daily, "factor_name", ["date"], "rank_ic", days_bound, min_days)
+    pairs = rank_correlations(daily, "factor_name", ["date"], "rank_ic", False, min_days)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 
 
@@ -183,10 +183,10 @@ def common_dates(daily: DataFrame) -> DataFrame:
     return series.join(full.select("date"), "date", "left_semi")
 
 
-def ic_corr_matrix(daily: DataFrame, days_bound: int = 100_000) -> DataFrame:
+def ic_corr_matrix(daily: DataFrame) -> DataFrame:
     """Symmetric Spearman matrix in long form over the dates all factors share."""
     shared = common_dates(daily)
-    pairs = rank_correlations(shared, "factor_name", ["date"], "rank_ic", days_bound)
+    pairs = rank_correlations(shared, "factor_name", ["date"], "rank_ic", False)
     half = pairs.select("left", "right", "corr")
     mirrored = half.select(F.col("right").alias("left"), F.col("left").alias("right"), "corr")
     own = shared.select("factor_name").distinct().select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelwright.functions import timeseries as ts
 from panelwright.functions.scalar import nan_to_null, to_number
@@ -40,9 +40,10 @@ def scan_factor_set(
 ) -> DataFrame:
     """Several factors of a stored table, by list and at most ``max_factors`` by name.
 
-    Unreadable files are skipped.
+    An unreadable file stops the job, so that no factor comes out half complete;
+    :func:`unreadable_factors` names such factors beforehand, to be left out by ``names``.
     """
-    stored = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+    stored = spark.read.parquet(path)
     if names is not None:
         stored = stored.filter(F.col("factor_name").isin(list(names)))
     if max_factors is not None:
@@ -51,6 +52,25 @@ def scan_factor_set(
     return normalise_factor(stored.select("factor_name", "entity", "date", "value"))
 
 
+def unreadable_factors(spark: SparkSession, path: str) -> DataFrame:
+    """(factor_name, file, bytes) of stored files from which not one row can be read.
+
+    Files are listed without their content, and those that give rows, of which
+    only footers are read, are taken away.  A file damaged further inside stops the
+    scan itself.  The layout is one folder per factor.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    readable = (
+        spark.read.schema("value double").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+        .select(F.col("_metadata.file_path").alias("path")).distinct()
+    )
+    place = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    lost = files.withColumn("_p", place("path")).join(readable.select(place("path").alias("_p")), "_p", "left_anti")
+    return lost.select(
+        F.url_decode(F.regexp_extract("path", r"factor_name=([^/]+)/", 1)).alias("factor_name"),
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+
+
 def scan_factor_csv(spark: SparkSession, path: str, factors: Sequence[str]) -> DataFrame:
     """Text export with date, entity, close and factor columns; bad numbers become NULL."""
     schema = "date string, entity string, close string, " + ", ".join(f"`{f}` string" for f in factors)
@@ -81,11 +101,25 @@ def pack_factor(factors: DataFrame, names_bound: int, pack_rows: int = 100_000)
     )
 
 
+def _even(packed: DataFrame) -> Column:
+    return (F.size("values") == F.size("index_entity")) & (F.size("values") == F.size("index_date"))
+
+
+def refused_factors(packed: DataFrame) -> DataFrame:
+    """(factor_name, packs, uneven) of factors that have a pack whose arrays differ in length."""
+    counted = packed.groupBy("factor_name").agg(
+        F.count("*").alias("packs"), F.count_if(~F.coalesce(_even(packed), F.lit(False))).alias("uneven"))
+    return counted.filter("uneven > 0")
+
+
 def explode_packed_factor(packed: DataFrame) -> DataFrame:
-    """Rows from parallel arrays; packs whose arrays differ in length are left out."""
-    same = (F.size("values") == F.size("index_entity")) & (F.size("values") == F.size("index_date"))
+    """Rows from parallel arrays.
+
+    A factor with an uneven pack is refused as a whole, never left with holes;
+    :func:`refused_factors` lists those.
+    """
     return (
-        packed.filter(same)
+        packed.join(refused_factors(packed).select("factor_name"), "factor_name", "left_anti")
         .select("factor_name", F.explode(F.arrays_zip("values", "index_entity", "index_date")).alias("_r"))
         .select(
             "factor_name",
@@ -132,12 +166,12 @@ def market_from_prices(prices: DataFrame, periods: int = 1) -> DataFrame:
 
 def _file_stem(suffix: str):
     """Factor name of a row from the directory or file that holds it."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+?){suffix}(?:\.csv)?(?:/|$)", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"(?:^|/)(?:[^/=]+=)?([^/]+?){suffix}(?:\.csv)?(?:/|$)", 1)
     return F.url_decode(name)
 
 
-def scan_bucket_series(spark: SparkSession, path: str, suffix: str = DAILY_SUFFIX, exclude: str = "composite") -> DataFrame:
-    """LS series of every ``*<suffix>`` file below a folder, except the composite's own."""
+def scan_bucket_series(spark: SparkSession, path: str, suffix: str = DAILY_SUFFIX, exclude: str = "composite_factor") -> DataFrame:
+    """LS series of every ``*<suffix>`` file below a folder, except those of names that begin with ``exclude``."""
     raw = (
         spark.read.schema("date string, LS string")
         .option("header", True)
@@ -146,7 +180,7 @@ def scan_bucket_series(spark: SparkSession, path: str, suffix: str = DAILY_SUFFI
     )
     return (
         raw.select(_file_stem(suffix).alias("factor_name"), F.to_date("date").alias("date"), to_number("LS").alias("LS"))
-        .filter((F.col("factor_name") != "") & ~F.col("factor_name").contains(exclude))
+        .filter((F.col("factor_name") != "") & ~F.col("factor_name").startswith(exclude))
     )
 
 

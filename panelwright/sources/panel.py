@@ -37,9 +37,8 @@ def first_existing(df: DataFrame, candidates: Sequence[str]) -> str | None:
 class Panel:
     """A panel frame with what is known about its size.
 
-    ``names_bound`` is an upper bound on entities per date.  When it is not given
-    it is counted once, and the cross-sectional operators use it to choose between
-    a window per date and the split form for very large cross-sections.  ``days``
+    ``names_bound`` is an upper bound on entities per date, from which packed
+    layouts take their number of packs; it is counted where it is not given.  ``days``
     may name a cheaper frame holding exactly the panel's dates.
     """
 
@@ -57,7 +56,7 @@ class Panel:
         return self._checked
 
     def cross_section(self, *extra_keys: str) -> CrossSection:
-        return CrossSection([*extra_keys, "date"], group_bound=self.largest_cross_section())
+        return CrossSection([*extra_keys, "date"])
 
     def select(self, *columns: str) -> "Panel":
         return Panel(self.df.select(*columns), self.names_bound, self.days, self._checked)
@@ -121,10 +120,6 @@ def _supplier_bars(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
     return bars.withColumn("vwap", divide("amount", "volume"))
 
 
-# Most dimension rows sent to every executor; larger tables are shuffled.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
 def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
     supplier = table(spark, sf_dir, "supplier")
     names = supplier.count()
@@ -134,8 +129,6 @@ def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", "s_acctbal", F.col("r_name").alias("industry"))
     )
-    # the count bounds the dimension side; without the hint the bars may be sent instead
-    home = F.broadcast(home) if names <= MAX_BROADCAST_ROWS else home
     df = (
         _supplier_bars(spark, sf_dir, period)
         .join(home, F.col("l_suppkey") == F.col("s_suppkey"))

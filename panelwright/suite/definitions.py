@@ -273,7 +273,7 @@ def _diversity(spark, sf_dir):
         .withColumn("validation_rank_ic", F.lit(0.0)).withColumn("test_rank_ic", F.lit(0.0)).withColumn("recent_rank_ic", F.lit(0.0))
         .withColumn("novelty_score", F.lit(1.0)).withColumn("error", F.lit(None).cast("string"))
         .withColumn("diversity_rejected", F.lit(False)).withColumn("max_similarity", F.lit(0.0)))
-    values = similarity.value_similarity(merged.select("factor_name", "entity", "date", "value"), 2**62, min_overlap=1000)
+    values = similarity.value_similarity(merged.select("factor_name", "entity", "date", "value"), min_overlap=1000)
     series = similarity.ic_similarity(d)
     flagged = catalog.diversity_flags(cands, cands.limit(0), values, series, catalog.Gates(min_grade="D"))
     return flagged.select("factor_name", "diversity_rejected", r6("max_similarity").alias("max_similarity"),

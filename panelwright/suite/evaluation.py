@@ -367,7 +367,7 @@ def _value_similarity(spark, sf_dir):
     _, factors = library_factors(spark, sf_dir)
     factors = cut_lineage(factors)
     # no bound is known for the rows of one factor, so the split form ranks them
-    return rounded(similarity.value_similarity(factors, rows_per_factor=2**62))
+    return rounded(similarity.value_similarity(factors))
 
 
 _add("value_similarity", "C5, J6", _value_similarity, sql(_pairs_sql("factors", "entity, date", "value", 10000), "factors"))
@@ -378,7 +378,7 @@ def _sampled(spark, sf_dir):
     from panelwright.operators.crosssection import CrossSection
 
     _, factors = library_factors(spark, sf_dir)
-    cross = CrossSection(["factor_name"], group_bound=2**62)
+    cross = CrossSection(["factor_name"], spread=True)
     sampled = similarity.sample_rows(factors, cross, 5000, 7, ["entity", "date"])
     return sampled.groupBy("factor_name").agg(F.count("*").alias("n"), F.countDistinct("entity", "date").alias("n_keys"))
 
@@ -392,7 +392,7 @@ def _pooled(spark, sf_dir):
         "split", F.when(F.col("date") < F.lit("1999-01-01").cast("date"), "train").otherwise("test"))
     from panelwright.operators.crosssection import CrossSection
 
-    cross = CrossSection(["factor_name", "split"], group_bound=2**62)
+    cross = CrossSection(["factor_name", "split"], spread=True)
     return rounded(ic.pooled_ic(rows, cross, ["factor_name", "split"]))
 
 
@@ -412,7 +412,7 @@ def _summary(spark, sf_dir):
         "factor_name", "mean_rank_ic", "rank_ic_std", "rank_ic_ir", "rank_ic_win_rate", "valid_days")
 
 
-_add("rank_table", "O1", lambda spark, sf_dir: rounded(screen.rank_table(_summary(spark, sf_dir), FACTORS).select("factor_name", "rank_ic_ir", "rank_ir")),
+_add("rank_table", "O1", lambda spark, sf_dir: rounded(screen.rank_table(_summary(spark, sf_dir)).select("factor_name", "rank_ic_ir", "rank_ir")),
      sql(f"SELECT factor_name, {R('rank_ic_ir')} AS rank_ic_ir, row_number() OVER (ORDER BY rank_ic_ir DESC NULLS LAST, factor_name) AS rank_ir FROM summary", "summary"))
 _add("top_factors", "O3", lambda spark, sf_dir: rounded(screen.top_factors(_summary(spark, sf_dir), 2)),
      sql("SELECT factor_name, " + ", ".join(f"{R(c)} AS {c}" for c in ("mean_rank_ic", "rank_ic_std", "rank_ic_ir", "rank_ic_win_rate"))
@@ -434,10 +434,10 @@ cte("places", ("summary", "after"), """
   SELECT factor_name, b.rank_ic_ir AS rank_ic_ir_before, b.r AS rank_before, a.r AS rank_after, a.rank_ic_ir AS rank_ic_ir_after, a.mean_rank_ic, a.rank_ic_std, a.rank_ic_win_rate, a.valid_days
   FROM (SELECT *, row_number() OVER (ORDER BY rank_ic_ir DESC NULLS LAST, factor_name) AS r FROM summary) b
   FULL JOIN (SELECT *, row_number() OVER (ORDER BY rank_ic_ir DESC NULLS LAST, factor_name) AS r FROM after) a USING (factor_name)""")
-_add("ranking_change", "O2", lambda spark, sf_dir: rounded(screen.ranking_change(*_newcomer(spark, sf_dir), FACTORS)), sql(
+_add("ranking_change", "O2", lambda spark, sf_dir: rounded(screen.ranking_change(*_newcomer(spark, sf_dir))), sql(
     f"SELECT factor_name, rank_before AS old_rank_ir, rank_after AS new_rank_ir, rank_before - rank_after AS rank_change, {R('mean_rank_ic')} AS mean_rank_ic, "
     f"{R('rank_ic_std')} AS rank_ic_std, {R('rank_ic_ir_after')} AS rank_ic_ir, {R('rank_ic_win_rate')} AS rank_ic_win_rate, valid_days FROM places WHERE factor_name = 'momentum_4'", "places"))
-_add("ranking_shift", "O2, J5", lambda spark, sf_dir: rounded(screen.ranking_shift(*_newcomer(spark, sf_dir), FACTORS)), sql(
+_add("ranking_shift", "O2, J5", lambda spark, sf_dir: rounded(screen.ranking_shift(*_newcomer(spark, sf_dir))), sql(
     f"SELECT factor_name, rank_before, {R('rank_ic_ir_before')} AS rank_ic_ir_before, rank_after, {R('rank_ic_ir_after')} AS rank_ic_ir_after, rank_before - rank_after AS rank_shift "
     "FROM places WHERE coalesce(rank_before - rank_after, 0) <> 0", "places"))
 

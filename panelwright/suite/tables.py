@@ -68,13 +68,35 @@ _add("scan_factor_csv", "S4, P3", _csv,
      f"CASE WHEN event_id % 10 <> 0 THEN {R('value')} END AS factor_value FROM events")
 
 
-def _packed(spark, sf_dir):
+def _packs(spark, sf_dir):
+    """The library in packs, one factor of it with a pack that lost a name."""
     panel, factors = library_factors(spark, sf_dir)
     packed = files.pack_factor(factors, panel.largest_cross_section(), pack_rows=40)
-    return rounded(files.explode_packed_factor(packed))
+    last = (F.col("factor_name") == "reversal_2") & (F.col("index_date")[0] == F.lit("1998-06-29").cast("date"))
+    return packed.withColumn("index_entity", F.when(last, F.slice("index_entity", 1, F.size("index_entity") - 1)).otherwise(F.col("index_entity")))
 
 
-_add("explode_packed_factor", "S6", _packed, sql(f"SELECT factor_name, entity, date, {R('value')} AS value FROM merged", "merged"))
+_add("explode_packed_factor", "S6", lambda spark, sf_dir: rounded(files.explode_packed_factor(_packs(spark, sf_dir))), sql(
+    f"SELECT factor_name, entity, date, {R('value')} AS value FROM merged WHERE factor_name <> 'reversal_2'", "merged"))
+_add("refused_factors", "S6", lambda spark, sf_dir: files.refused_factors(_packs(spark, sf_dir)).select(
+    "factor_name", (F.col("packs") > 1).alias("several"), (F.col("uneven") > 0).alias("uneven")), sql(
+    "SELECT factor_name, count(*) > 1 AS several, true AS uneven FROM merged WHERE factor_name = 'reversal_2' GROUP BY 1", "merged"))
+
+
+def _with_broken_files(spark, sf_dir) -> str:
+    """The stored library and two factors whose files are not Parquet, one of them empty."""
+    path = _stored(spark, sf_dir)
+    junk = spark.createDataFrame([("broken_1", "not a table"), ("broken_2", "")], "factor_name string, value string")
+    junk.write.mode("append").partitionBy("factor_name").text(path)
+    return path
+
+
+def _whole_factors(spark, sf_dir):
+    path = _with_broken_files(spark, sf_dir)
+    return files.unreadable_factors(spark, path).select("factor_name").distinct()
+
+
+_add("unreadable_factors", "S5", _whole_factors, "SELECT unnest(['broken_1', 'broken_2']) AS factor_name WHERE (SELECT count(*) FROM lineitem) > 0")
 
 
 def _decoded(spark, sf_dir):
@@ -108,13 +130,17 @@ def _bucket_files(spark, sf_dir):
     """One folder of text files per factor, plus the composite's own output."""
     path = scratch(spark)
     out = _bucket_table(spark, sf_dir).select("factor_name", F.date_format("date", "yyyy-MM-dd").alias("date"), "LS")
-    own = out.filter("factor_name = 'momentum_4'").withColumn("factor_name", F.lit("composite_score"))
-    out.unionByName(own).withColumn("f", F.concat("factor_name", F.lit(files.DAILY_SUFFIX))).drop("factor_name").write.partitionBy("f").option("header", True).csv(path)
+    first = out.filter("factor_name = 'momentum_4'")
+    own = first.withColumn("factor_name", F.lit("composite_factor_score"))
+    users = first.withColumn("factor_name", F.lit("my_composite_x"))
+    out.unionByName(own).unionByName(users).withColumn("f", F.concat("factor_name", F.lit(files.DAILY_SUFFIX))).drop("factor_name").write.partitionBy("f").option("header", True).csv(path)
     renamed = files.scan_bucket_series(spark, path)
     return rounded(renamed.withColumn("factor_name", F.regexp_replace("factor_name", "^f=", "")))
 
 
-_add("scan_bucket_series", "S8", _bucket_files, sql(f"SELECT factor_name, date, {R('LS')} AS LS FROM bucket_wide", "bucket_wide"))
+_add("scan_bucket_series", "S8", _bucket_files, sql(
+    f"SELECT factor_name, date, {R('LS')} AS LS FROM bucket_wide UNION ALL "
+    f"SELECT 'my_composite_x', date, {R('LS')} FROM bucket_wide WHERE factor_name = 'momentum_4'", "bucket_wide"))
 
 
 def _ic_files(spark, sf_dir):

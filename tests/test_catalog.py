@@ -65,7 +65,7 @@ def sequential(rows, value, series, gates):
             continue
         met = {a["factor_name"]: value.get(frozenset((r["factor_name"], a["factor_name"])), 0.0) for a in accepted}
         ic = {a["factor_name"]: series.get(frozenset((r["factor_name"], a["factor_name"])), 0.0) for a in accepted}
-        best = max(met.items(), key=lambda kv: (kv[1], kv[0]), default=("", 0.0))
+        best = max(met.items(), key=lambda kv: kv[1], default=("", 0.0))  # of equal ones the first accepted
         name = best[0] if best[1] > 0 else ""
         if best[1] >= gates.value_corr:
             out[r["factor_name"]] = (True, name)
@@ -102,6 +102,17 @@ def test_diversity_rounds_equal_the_sequential_rule(spark):
     assert {True, False} == {v[0] for v in got.values()}
 
 
+def test_rows_turned_away_before_pass_unchanged(spark):
+    rows = table(spark, [cand("a", "rank(close)", ric=0.05), cand("b", "rank(close)", ric=0.04), cand("c", "zscore(volume)", ric=0.03)])
+    before = rows.withColumn("diversity_rejected", F.col("factor_name") == "c").withColumn("max_similarity", F.lit(0.97)).withColumn(
+        "ic_series_max_similarity", F.lit(0.5)).withColumn("most_similar_to", F.lit("older"))
+    pairs = spark.createDataFrame([("a", "c", 0.1)], "left string, right string, similarity double")
+    got = {r["factor_name"]: (r["diversity_rejected"], r["max_similarity"], r["ic_series_max_similarity"], r["most_similar_to"])
+           for r in catalog.diversity_flags(before, before.limit(0), pairs, pairs).collect()}
+    assert got["c"] == (True, 0.97, 0.5, "older")
+    assert got["b"] == (True, 1.0, 0.0, "same_expression") and got["a"][0] is False
+
+
 def test_survivors_when_nobody_passes(spark):
     pool = table(spark, [cand("a", grade="F", ric=0.001), cand("b", grade="D", ric=0.002), cand("c", grade="F", ric=0.003)])
     got = [r["factor_name"] for r in catalog.select_survivors(pool, 2).orderBy("pick").collect()]

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from panelwright.operators.crosssection import CrossSection
 from panelwright.operators.screen import place
 
-WINDOW = dict(group_bound=100)
-SPLIT = dict(group_bound=10**12, range_rows=2)
+WINDOW = dict()
+SPLIT = dict(spread=True, range_rows=2)
 
 OPERATORS = {
     "rank": lambda cs, df: cs.rank(df, "x", "out"),
@@ -123,6 +123,5 @@ def test_places_without_a_size_bound(spark):
     rows = [("a", 1.0), ("b", 3.0), ("c", None), ("d", 3.0), ("e", 2.0), ("f", None)]
     df = spark.createDataFrame(rows, "factor_name string, v double")
     want = {"b": 1, "d": 2, "e": 3, "a": 4, "c": 5, "f": 6}
-    for bound in (None, 10):
-        got = {r["factor_name"]: r["p"] for r in place(df, "v", "factor_name", "p", bound).collect()}
-        assert got == want
+    got = {r["factor_name"]: r["p"] for r in place(df, "v", "factor_name", "p").collect()}
+    assert got == want

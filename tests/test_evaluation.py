@@ -14,7 +14,7 @@ from panelwright.operators.crosssection import CrossSection
 DAY = dt.date(2020, 1, 1)
 MERGED = ("factor_name string, entity string, date date, value double, close double, ST boolean, "
           "limit_up_flag boolean, limit_down_flag boolean, suspended boolean")
-DAILY = CrossSection(["factor_name", "date"], group_bound=100)
+DAILY = CrossSection(["factor_name", "date"])
 
 
 def day(i):
@@ -176,8 +176,8 @@ def test_blocks_of_a_large_class_change_nothing(spark, monkeypatch):
 
 def test_sampling_is_repeatable_and_exact(spark):
     df = spark.range(1000).select(F.lit("f").alias("factor_name"), F.col("id").alias("entity"), F.lit(1).alias("date"))
-    for bound in (10, 10**12):
-        cs = CrossSection(["factor_name"], group_bound=bound)
+    for spread in (False, True):
+        cs = CrossSection(["factor_name"], spread=spread)
         a = {r["entity"] for r in similarity.sample_rows(df, cs, 100, 7, ["entity", "date"]).collect()}
         b = {r["entity"] for r in similarity.sample_rows(df.repartition(3), cs, 100, 7, ["entity", "date"]).collect()}
         assert len(a) == 100 and a == b
@@ -206,7 +206,7 @@ def test_half_life_is_the_first_weak_horizon(spark):
 def test_empty_horizon_keeps_a_row(spark):
     rng = random.Random(1)
     rows = [row(f"e{k}", i, rng.random(), 1 + rng.random()) for k in range(40) for i in range(3)]
-    cross = CrossSection(["factor_name", "horizon", "date"], group_bound=100)
+    cross = CrossSection(["factor_name", "horizon", "date"])
     got = {r["horizon"]: r["n_valid_days"] for r in ic.ic_decay(spark.createDataFrame(rows, MERGED), cross, [1, 2, 9]).collect()}
     assert got == {1: 2, 2: 1, 9: 0}
 
