@@ -97,10 +97,15 @@ cte("held_signals", ("held_bins", "open_buckets"), """
   SELECT h.factor_name, h.entity, h.date, o.bucket, h.ret,
          CASE WHEN h.bucket = o.bucket AND can_buy THEN 1 WHEN h.bucket <> o.bucket AND can_sell THEN 0 END AS s
   FROM held_bins h JOIN open_buckets o ON o.factor_name = h.factor_name AND o.date = h.date""")
-cte("held_state", ("held_signals",), """
-  SELECT *, coalesce(lag(held) OVER w, 0) AS was FROM (
-    SELECT *, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY factor_name, entity, bucket ORDER BY date ROWS UNBOUNDED PRECEDING), 0) AS held FROM held_signals)
-  WINDOW w AS (PARTITION BY factor_name, entity, bucket ORDER BY date)""")
+cte("held_numbered", ("held_signals",), """
+  SELECT *, row_number() OVER (PARTITION BY factor_name, entity, bucket ORDER BY date) AS step FROM held_signals""")
+cte("held_state", ("held_numbered",), """
+  WITH RECURSIVE fold AS (
+    SELECT factor_name, entity, bucket, date, ret, step, coalesce(s, 0) AS held, 0 AS was FROM held_numbered WHERE step = 1
+    UNION ALL
+    SELECT n.factor_name, n.entity, n.bucket, n.date, n.ret, n.step, coalesce(n.s, f.held), f.held
+    FROM fold f JOIN held_numbered n ON n.factor_name = f.factor_name AND n.entity = f.entity AND n.bucket = f.bucket AND n.step = f.step + 1)
+  SELECT * FROM fold""")
 cte("held_daily", ("held_state",), """
   SELECT *, sum(n_in - n_out) OVER (PARTITION BY factor_name, bucket ORDER BY date ROWS UNBOUNDED PRECEDING) AS n FROM (
     SELECT factor_name, bucket, date, count(*) FILTER (held = 1 AND was = 0) AS n_in, count(*) FILTER (held = 0 AND was = 1) AS n_out,

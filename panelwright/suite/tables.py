@@ -257,12 +257,12 @@ def _ledger(spark, sf_dir):
 
     path = scratch(spark)
     c = candidates(spark, sf_dir).select("factor_name", "generation", "grade", "mean_rank_ic", F.col("expression").alias("code"))
-    for g in (0, 1):
+    for g in range(4):
         sinks.ledger_append(c.filter(F.col("generation") == g), path)
     return rounded(spark.read.parquet(path))
 
 
-_add("ledger_append", "K7", _ledger, sql(f"SELECT factor_name, generation, grade, {R('mean_rank_ic')} AS mean_rank_ic FROM cands WHERE generation IN (0, 1)", "cands"))
+_add("ledger_append", "K7", _ledger, sql(f"SELECT factor_name, generation, grade, {R('mean_rank_ic')} AS mean_rank_ic FROM cands", "cands"))
 
 
 def _with_family(spark, sf_dir):
