@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from panelwright.operators.order import ordinal
 from panelwright.session import cut_lineage
 
 #: Three hexadecimal digits of a hash.  It sets how finely a source is cut; no row is dropped by it.
@@ -27,19 +28,6 @@ def bucket(doc_id: str, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 3), 16, 10).cast("int")
 
 
-def ordinal(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Number the rows from 0 by ``key``, NULL last, without gathering them in one task.
-
-    Rows are sorted by range; the range sizes, one row per partition, give the offsets.
-    """
-    ranged = df.repartitionByRange(F.col(key).asc_nulls_last()).sortWithinPartitions(F.col(key).asc_nulls_last())
-    placed = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
-    ranges = placed.groupBy("_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = ranges.withColumn("_before", F.coalesce(before, F.lit(0)))
-    return placed.join(offsets, "_part").withColumn(name, F.col("_id") - F.col("_first") + F.col("_before")).drop("_part", "_id", "_first", "_n", "_before")
-
-
 def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     """Add ``target`` to (source, source_size, weight).
 
@@ -73,7 +61,7 @@ def plan_mix(sized: DataFrame, weights: DataFrame | None = None, max_epochs: flo
     cells = cut_lineage(sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell")))
     sources = cells.groupBy("source").agg(F.sum("cell").alias("source_size"))
     if weights is None:
-        sources = ordinal(sources, "source", "_rank").withColumn("weight", F.col("_rank") % 3 + 1).drop("_rank")
+        sources = ordinal(sources, "_rank", F.col("source").asc_nulls_last()).withColumn("weight", F.col("_rank") % 3 + 1).drop("_rank")
     else:
         w = weights.select(F.col("source").alias("_s"), "weight")
         sources = sources.join(w, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
