@@ -6,11 +6,14 @@ Every tree is sorted by label; rows that agree on the first ``DEPTH`` values for
 region, and inside it the sort by the values that follow puts the longest common
 prefixes next to each other, so the depth in use grows with the crowding of a region.
 
-Candidates come in two rounds.  First each row meets its predecessor and the
-head of its region, which links a group of thousands with two candidates a row.
-After that, rows of one region that are still in different components meet all
-predecessors up to ``WINDOW``.  All candidates are confirmed on their full sets,
-and components are the closure of confirmed links.
+Candidates come in two rounds, over the classes that share a region with another.
+First each row meets its predecessor and the head of its region, rows being sorted by
+how crowded a class's regions are: the text that copies derive from heads nearly
+all regions it is in, so a group of thousands is linked with two candidates a row.
+After that, rows sorted by label look at predecessors up to ``WINDOW`` that are still
+in different components, and meet the ``NEAREST`` of them by a sketch of two bits per
+hash.  All candidates are confirmed on their full sets, and components are the
+closure of confirmed links.
 
 For two sets of similarity 0.8 the chance to share no region is
 (1 - 0.8**5)**32, three in a million.
@@ -28,8 +31,13 @@ from panelwright.llm.common import Words, mix, read, shingles, slices, store
 
 TREES, DEPTH = 32, 5
 HASHES = TREES * DEPTH
-#: Predecessors that a row of a crowded region meets in the second round, nearest labels first.
-WINDOW = 256
+#: Predecessors that a row of a crowded region looks at in the second round, those it meets at most, and the similarity
+#: by sketch from which it does.  A sketch's standard error at 0.8 is 0.038, so 0.7 lets 4 links in 1000 pass by in one
+#: comparison; such rows are in several trees and mostly linked by the first round.
+WINDOW, NEAREST, LEAST_SKETCH = 512, 4, 0.7
+#: The first round compares with heads, once per pair, and leaves out 1 link in 20,000.
+LEAST_HEAD = 0.65
+SKETCH = [f"s{k}" for k in range(HASHES // 32)]
 #: Bits of the filter that names wanted documents.  A full filter only lets more rows through; the join after it is exact.
 FILTER_BITS = 1 << 23
 
@@ -75,10 +83,11 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """A row (region, label, id, n, comp) for each class and tree.
+    """A row (region, label, id, n, comp) and the sketch for each class and tree.
 
     ``region`` names tree and first values, ``label`` sorts by the values that follow.
     """
+    schema = "region long, label long, id long, n long, comp long, " + ", ".join(f"{c} long" for c in SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,61 +101,107 @@ def forest(classes: DataFrame) -> DataFrame:
                         region = mix(region * np.uint64(0xD6E8FEB86659FD93) + sig[:, d::DEPTH])
                     for d in range(3):
                         label = (label << np.uint64(21)) | (np.roll(sig, -DEPTH * (d + 1), axis=1)[:, d::DEPTH] >> np.uint64(11))
-                each = lambda c: pa.array(np.repeat(part.column(c).to_numpy(zero_copy_only=False), TREES))  # noqa: E731,B023
+                each = lambda x: pa.array(np.repeat(x, TREES))
+                two = (sig & np.uint64(3)).reshape(part.num_rows, len(SKETCH), 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(region.ravel().view(np.int64)), pa.array(label.ravel().view(np.int64)), each(1), each(2), each(3)],
-                    ["region", "label", "id", "n", "comp"])
+                    [pa.array(region.ravel().view(np.int64)), pa.array(label.ravel().view(np.int64)),
+                     *[each(part.column(c).to_numpy(zero_copy_only=False)) for c in (1, 2, 3)],
+                     *[each(x) for x in np.bitwise_or.reduce(two, axis=2).view(np.int64).T]],
+                    ["region", "label", "id", "n", "comp", *SKETCH])
 
-    return classes.select("signature", "id", "n", "comp").mapInArrow(run, "region long, label long, id long, n long, comp long")
+    return classes.select("signature", "id", "n", "comp").mapInArrow(run, schema)
 
 
-def neighbours(trees: DataFrame, window: int) -> DataFrame:
-    """Distinct candidate pairs (a, b, near) with a < b; ``near`` says that the set sizes allow a link.
+def _by_region(rows: DataFrame, *order: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "region").sortWithinPartitions("region", *order)
 
-    With ``window`` 0 a row meets its predecessor and the head of its region, else
-    up to ``window`` predecessors of other components.  Sorted rows stream through
-    a task, which holds one batch and the last ``window`` rows.
+
+def crowded(trees: DataFrame) -> DataFrame:
+    """Ids of the classes that share a region, from sorted rows that stream through a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((2, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in range(2)])], axis=1)
+            same = np.zeros(rows.shape[1] + 1, dtype=bool)
+            same[1:-1] = rows[0, 1:] == rows[0, :-1]
+            found = np.unique(rows[1, same[1:] | same[:-1]])
+            last = rows[:, -1:]
+            yield pa.RecordBatch.from_arrays([pa.array(found)], ["id"])
+
+    return _by_region(trees.select("region", "id")).mapInArrow(run, "id long").distinct()
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity by sketch; the first axis runs over the sketch's words."""
+    differ = (a ^ b).view(np.uint64)
+    differ = (differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    return (1 - np.bitwise_count(differ).sum(axis=0, dtype=np.int64) / HASHES - 0.25) / 0.75
+
+
+def _nearest(rows: np.ndarray, head: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """(rows, predecessors) that meet in the second round."""
+    found = [np.zeros((2, 0), np.int64)]
+    _, _, n, comp = rows[:4]
+    for at in range(0, len(i), 1024):
+        own = i[at: at + 1024]
+        reach = int(min(WINDOW, (own - head[own]).max()))
+        j = own[:, None] - np.arange(1, reach + 1)[None, :]
+        valid = j >= head[own][:, None]
+        j = np.maximum(j, 0)
+        valid &= (comp[j] != comp[own][:, None]) & (np.minimum(n[j], n[own][:, None]) * 100 >= np.maximum(n[j], n[own][:, None]) * 80)
+        r, c = np.nonzero(valid)
+        alike = np.full(valid.shape, -1.0)
+        alike[r, c] = _likeness(rows[4:, own[r]], rows[4:, j[r, c]])
+        alike[alike < LEAST_SKETCH] = -1.0
+        if reach > NEAREST:
+            best = np.argpartition(-alike, NEAREST, axis=1)[:, :NEAREST]
+        else:
+            best = np.repeat(np.arange(reach)[None, :], len(own), axis=0)
+        r, c = np.nonzero(np.take_along_axis(alike, best, axis=1) >= 0)
+        found.append(np.stack([own[r], j[r, best[r, c]]]))
+    return np.concatenate(found, axis=1)
+
+
+def neighbours(trees: DataFrame, order: tuple[str, ...], nearest: bool) -> DataFrame:
+    """Distinct candidate pairs (head, id) of regions sorted in ``order``, of sets near enough in size to be linked.
+
+    A row meets its predecessor and the head of its region or, with ``nearest``, the
+    predecessors that its sketch chooses.  Sorted rows stream through a task, which
+    holds one batch and the last ``WINDOW`` rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, 0), np.int64)
+        held = None
         for batch in batches:
-            new = np.stack([batch.column(c).to_numpy() for c in range(4)])
-            if not new.shape[1]:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if not rows.shape[1]:
                 continue
-            if held.shape[1] and held[0, -1] != new[0, 0]:
-                held = held[:, :0]
-            rows, old = np.concatenate([held, new], axis=1), held.shape[1]
-            region, ids, n, comp = rows
+            old = 0
+            if held is not None and held[0, -1] == rows[0, 0]:
+                rows, old = np.concatenate([held, rows], axis=1), held.shape[1]
+            region, ids, n, comp = rows[:4]
             total = len(region)
             starts = np.ones(total, dtype=bool)
             starts[1:] = region[1:] != region[:-1]
             head = np.maximum.accumulate(np.where(starts, np.arange(total), 0))
             i = np.arange(old, total)
-            if window:
-                pairs = []
-                for d in range(1, window + 1):
-                    i = i[i - d >= head[i]]
-                    if not len(i):
-                        break
-                    j = i - d
-                    fits = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80)
-                    pairs.append(np.stack([i[fits], j[fits]]))
-                pairs = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+            i = i[i > head[i]]
+            if nearest:
+                i, j = _nearest(rows, head, i)
             else:
-                i = i[i > head[i]]
-                pairs = np.concatenate([np.stack([i, i - 1]), np.stack([i, head[i]])], axis=1)
-            a, b = ids[pairs[0]], ids[pairs[1]]
-            near = np.minimum(n[pairs[0]], n[pairs[1]]) * 100 >= np.maximum(n[pairs[0]], n[pairs[1]]) * 80
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(near)], ["a", "b", "near"])
+                i, j = np.concatenate([i, i]), np.concatenate([i - 1, head[i]])
+                fits = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80
+                i, j = i[fits], j[fits]
+                fits = _likeness(rows[4:, i], rows[4:, j]) >= LEAST_HEAD
+                i, j = i[fits], j[fits]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["head", "id"])
             last = head[-1]
-            keep = np.arange(max(last + 1, total - max(window, 1)), total)
-            held = rows[:, np.concatenate([[last], keep])]
+            held = rows[:, np.concatenate([[last], np.arange(max(last + 1, total - WINDOW), total)])]
 
-    parts = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = trees.repartition(parts, "region").sortWithinPartitions("region", "label", "id").select("region", "id", "n", "comp")
-    return ranged.mapInArrow(run, "a long, b long, near boolean").filter("a <> b").distinct()
+    sorted_ = _by_region(trees, *order).select("region", "id", "n", "comp", *SKETCH)
+    return sorted_.mapInArrow(run, "head long, id long").distinct()
 
 
 def _bitmap(ids: DataFrame):
@@ -182,17 +237,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     ["hi", "lo", "shingles"])
 
     made = docs.select("doc_id", "text").mapInArrow(run, "hi long, lo long, shingles array<long>")
-    return made.join(wanted.select("hi", "lo", "id"), ["hi", "lo"]).dropDuplicates(["id"]).select("id", "shingles")
+    # a class is one (hi, lo), so dropping repeats by it needs no further shuffle
+    return made.join(wanted.select("hi", "lo", "id"), ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select("id", "shingles")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= 80 * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "hi", "lo"), "id")
-    sets = store(_sets(docs, store(wanted), width))
-    one = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a")
-    both = one.join(sets.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
+    """The pairs as links (a, b) whose full sets have 100 * intersection >= 80 * union.
+
+    The head, which may be in very many pairs, is joined while rows are slim.
+    """
+    wanted = pairs.select(F.explode(F.array("head", "id")).alias("id")).distinct().join(classes.select("id", "doc_id", "hi", "lo"), "id")
+    sets = store(_sets(docs, wanted, width))
+    one = pairs.join(sets.withColumnsRenamed({"id": "head", "shingles": "sa"}), "head")
+    both = one.join(sets.withColumnRenamed("shingles", "sb"), "id")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("shared", shared).filter("100 * shared >= 80 * (size(sa) + size(sb) - shared)").select("a", "b")
+    linked = both.withColumn("shared", shared).filter("100 * shared >= 80 * (size(sa) + size(sb) - shared)")
+    return linked.select(F.col("head").alias("a"), F.col("id").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,17 +270,21 @@ def components(links: DataFrame) -> DataFrame:
         state = now
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = store(small.select("e.u", "e.v").filter("u <> v").distinct())
+        # as many files as the edges fill, however many partitions the session has
+        edges = store(small.select("e.u", "e.v").filter("u <> v").distinct().coalesce(max(8, now[0] // 100_000)))
 
 
-def _closure(links: DataFrame, classes: DataFrame) -> DataFrame:
-    comps = components(links)
+def _closure(comps: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def _either_way(pairs: DataFrame) -> DataFrame:
+    return pairs.union(pairs.select("id", "head").toDF("head", "id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -233,13 +297,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     signed = store(sign(docs, width))
     classes = signed.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    classes = store(classes.withColumn("id", F.monotonically_increasing_id()))
-    met = store(neighbours(forest(classes.withColumn("comp", F.col("id"))), 0))
-    links = store(confirmed(met.filter("near"), docs, classes, width))
-    placed = _closure(links, classes.join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
-    more = store(neighbours(forest(placed), WINDOW).join(met, ["a", "b"], "left_anti"))
-    links = links.union(confirmed(more.filter("near"), docs, classes, width))
-    named = _closure(links, classes.select("id", "doc_id", "hi", "lo"))
+    classes = store(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("comp", F.col("id")))
+    met = store(classes.join(crowded(forest(classes)), "id", "left_semi"))
+    trees = forest(met)
+    sizes = trees.groupBy("region").agg(F.count("*").alias("size"))
+    crowd = trees.select("region", "id").join(sizes, "region").groupBy("id").agg(F.sum("size").alias("crowd"))
+    ranked = trees.join(crowd, "id").withColumn("last", -F.col("crowd"))
+    first = store(neighbours(ranked, ("last", "id"), False))
+    comps = components(confirmed(first, docs, classes, width))
+    more = store(neighbours(forest(_closure(comps, met)), ("label", "id"), True).join(_either_way(first), ["head", "id"], "left_anti"))
+    comps = components(comps.toDF("a", "b").union(confirmed(more, docs, classes, width)))
+    named = _closure(comps, classes.select("id", "doc_id", "hi", "lo"))
     first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     groups = named.join(first, "comp").select("hi", "lo", "component_id", F.lit(True).alias("grouped"))
     out = signed.select("doc_id", "n", "hi", "lo").join(groups, ["hi", "lo"], "left")
