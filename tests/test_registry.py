@@ -45,7 +45,7 @@ def test_sample_matches_sql(spark, con, name):
     assert differences(got, con.execute(contract.oracle_sql()[name]).df()) == ""
 
 
-PLANS = ["densify", "daily_rank_ic", "ic_decay", "stateful_backtest", "quantile_bin", "novelty", "resolve_name", "value_similarity", "align_ffill"]
+PLANS = ["densify", "daily_rank_ic", "ic_decay", "stateful_backtest", "quantile_bin", "novelty", "resolve_name", "value_similarity", "align_ffill", "price_stats", "place_all"]
 
 
 @pytest.mark.parametrize("name", PLANS)
