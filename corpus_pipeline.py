@@ -24,8 +24,7 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half; the model learns from the labelled rows of ``docs``."""
-    model = toxicity.fit(*toxicity.sample(docs, read(spark, sf_dir, "labels")))
-    return toxicity.keep(docs, model)
+    return toxicity.keep(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

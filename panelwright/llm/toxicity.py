@@ -11,17 +11,19 @@ that gave no counts sets how both become a score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import Words, mix, read, remainder, slices
 
 #: Rows of each class, and bytes of their text, that the model is fitted on at most.
-PER_CLASS, CLASS_BYTES = 3000, 16 << 20
+PER_CLASS, CLASS_BYTES = 3000, 12 << 20
 #: What is taken from every count of a class and given to the shared counts, so that rarer expressions rest on those
 #: alone, and the difference from which a word counts as marked.  The calibration rows choose among these.
 DISCOUNTS, MARGINS = (1.5, 3.0), (1.0, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0)
@@ -57,20 +59,31 @@ class Model:
     margin: float
     weights: np.ndarray
 
-    def evidence(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Difference per word of each row, over all words and over those that pass the margin; 0 without words."""
+    def differences(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean difference per word of each row, 0 without words; difference of each word alone; the words' rows."""
         h, pairs, at, row = _pairs(words)
-        single, _ = _look(self.words, self.word_diff, h, self.unknown)
-        marked = np.where(single > self.margin, single, 0.0)
+        alone, _ = _look(self.words, self.word_diff, h, self.unknown)
         before, _ = _look(self.words, self.context_diff, h[at - 1], 0.0)
         joint, hit = _look(self.pairs, self.pair_diff, pairs, 0.0)
-        single[at] = np.where(hit, joint, single[at] + before)
-        n = np.maximum(words.counts(), 1)
-        per = lambda x: np.bincount(row, x, minlength=len(n)) / n
-        return per(single), per(marked)
+        given = alone.copy()
+        given[at] = np.where(hit, joint, alone[at] + before)
+        n = words.counts()
+        return np.bincount(row, given, minlength=len(n)) / np.maximum(n, 1), alone, row
 
     def score(self, words: Words) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_features(*self.evidence(words)) @ self.weights, -50, 50)))
+        mean, alone, row = self.differences(words)
+        features = _features(mean, _marked(alone, row, words.counts(), self.margin))
+        return 1 / (1 + np.exp(-np.clip(features @ self.weights, -50, 50)))
+
+
+def _marked(alone: np.ndarray, row: np.ndarray, n: np.ndarray, margin: float) -> np.ndarray:
+    return np.bincount(row, np.where(alone > margin, alone, 0.0), minlength=len(n)) / np.maximum(n, 1)
+
+
+def _words(texts: list[str], most: int = 1 << 20) -> Iterator[Words]:
+    """Words of many texts, in parts of bounded size."""
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), most=most):
+        yield Words(part.column(0))
 
 
 def _features(mean: np.ndarray, marked: np.ndarray) -> np.ndarray:
@@ -81,10 +94,10 @@ def _kneser_ney(texts: list[list[str]], discount: float) -> dict:
     """Word, context and pair differences from the texts of (ordinary, toxic)."""
     counted, shared = [], []
     for part in texts:
-        w = Words(pa.array(part, pa.string()))
-        h, pairs, at, _ = _pairs(w)
+        found = [(h, pairs, h[at - 1], h[at]) for h, pairs, at, _ in map(_pairs, _words(part))] or [(np.zeros(0, np.uint64),) * 4]
+        h, pairs, a, b = map(np.concatenate, zip(*found, strict=True))
         keys, first, n = np.unique(pairs, return_index=True, return_counts=True)
-        counted.append((h, keys, n, h[at - 1][first], h[at][first]))
+        counted.append((np.unique(h), keys, n, a[first], b[first]))
         shared.append(keys)
     every, first = np.unique(np.concatenate(shared), return_index=True)
     left = np.concatenate([c[3] for c in counted])[first]
@@ -107,7 +120,10 @@ def _kneser_ney(texts: list[list[str]], discount: float) -> dict:
         p_pair = np.maximum(seen - discount, 0) / np.maximum(total[of(left)], 1) + kept[of(left)] * p_word[of(right)]
         logs.append((np.log(p_word), np.log(kept), np.log(p_pair), np.log(free * unseen)))
     o, t = logs
-    return {"words": words, "word_diff": t[0] - o[0], "context_diff": t[1] - o[1], "pairs": every, "pair_diff": t[2] - o[2], "unknown": float(t[3] - o[3])}
+    told = np.zeros(len(every), dtype=bool)  # the others say what their parts say
+    for _, keys, n, _, _ in counted:
+        told[np.searchsorted(every, keys[n > discount])] = True
+    return {"words": words, "word_diff": t[0] - o[0], "context_diff": t[1] - o[1], "pairs": every[told], "pair_diff": (t[2] - o[2])[told], "unknown": float(t[3] - o[3])}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float = 1e-4, steps: int = 50) -> tuple[np.ndarray, float]:
@@ -136,20 +152,22 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         model.weights[2] = 5.0 if len(y) and y[0] == 1 else -5.0
         return model
     chosen = np.flatnonzero(held) if len(np.unique(y[held])) == 2 else np.arange(len(y))
-    words, target = Words(pa.array([texts[i] for i in chosen], pa.string())), y[chosen].astype(float)
+    parts_held, target = list(_words([texts[i] for i in chosen])), y[chosen].astype(float)
     best: tuple[float, Model] | None = None
     for discount in DISCOUNTS:
-        counts = _kneser_ney(parts, discount)
+        model = Model(**_kneser_ney(parts, discount), margin=MARGINS[0], weights=np.zeros(3))
+        seen = [(*model.differences(w), w.counts()) for w in parts_held]
+        mean = np.concatenate([m for m, *_ in seen])
         for margin in MARGINS:
-            model = Model(**counts, margin=margin, weights=np.zeros(3))
-            model.weights, loss = _logistic(_features(*model.evidence(words)), target)
+            marked = np.concatenate([_marked(alone, row, n, margin) for _, alone, row, n in seen])
+            weights, loss = _logistic(_features(mean, marked), target)
             if best is None or loss < best[0]:
-                best = loss, model
+                best = loss, replace(model, margin=margin, weights=weights)
     return best[1]
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = CLASS_BYTES) -> tuple[list[str], list[int]]:
-    """Texts and labels of the rows with the smallest hashes of each class, at most so many and so long together.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = CLASS_BYTES) -> DataFrame:
+    """(toxic, place, text) of the rows with the smallest hashes of each class, at most so many and so long together.
 
     Rows without id, label or text are passed over; of an id labelled twice the larger label counts.
     """
@@ -160,9 +178,18 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most:
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int, place int")
     found = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     spent = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = found.withColumn("_spent", spent).filter(F.col("_spent") <= most).collect()
-    rows.sort(key=lambda r: (r["toxic"], r["place"], r["text"]))
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    return found.withColumn("_spent", spent).filter(F.col("_spent") <= most).select("toxic", "place", "text")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the sample, fitted in one task, which keeps the texts and the counts off the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((int(c), int(p), t) for b in batches for c, p, t in zip(b["toxic"], b["place"], b["text"], strict=True))
+        yield pd.DataFrame({"model": [pickle.dumps(fit([t for *_, t in rows], [c for c, *_ in rows]))]})
+
+    fitted = sample(docs, labels).repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(fitted[0]["model"]) if fitted else fit([], [])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -197,6 +224,5 @@ def keep(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = fit(*sample(docs, read(spark, sf_dir, "labels")))
-    return score(docs, model).select(
+    return score(docs, learn(docs, read(spark, sf_dir, "labels"))).select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
