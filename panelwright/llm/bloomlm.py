@@ -28,7 +28,7 @@ from panelwright.llm.common import Words, mix, read, remainder, slices, store
 #: Bits of the filter, probes per level, and the least count of a stored pair.
 BITS, PROBES, LEAST_PAIR = 1 << 28, 3, 2
 LEVELS = 40
-#: The most frequent words have their exact counts at hand in every task; the others are joined.
+#: At most so many of the most frequent words have their exact counts at hand in every task; the others are joined.
 HEAD = 1 << 18
 #: Share of a pair's relative frequency in a token's probability; the rest is the word's own.
 PAIR_SHARE = 0.25
@@ -180,6 +180,19 @@ class Filter:
         return np.log10(PAIR_SHARE * pair / np.maximum(context, 1) + (1 - PAIR_SHARE) * word)
 
 
+def _least_frequent(counts: DataFrame, most: int = HEAD) -> int:
+    """The smallest count from which on there are at most ``most`` words, by a histogram of sixteenths of a power of two."""
+    step = F.floor(F.log2("c") * 16)
+    floor = 1 << 62
+    found = 0
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():
+        found += row["n"]
+        if found > most:
+            break
+        floor = row["c"]
+    return floor
+
+
 def train(texts: DataFrame, bits: int = BITS, least: int = LEAST_PAIR) -> tuple[Filter, DataFrame]:
     """The filter, and the exact counts (h, c) of all words."""
     spark = texts.sparkSession
@@ -190,7 +203,7 @@ def train(texts: DataFrame, bits: int = BITS, least: int = LEAST_PAIR) -> tuple[
     merged = store(merged)
     counts = merged.select(F.explode(F.arrays_zip(F.col("words").alias("h"), F.col("counts").alias("c"))).alias("x")).select("x.h", "x.c")
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
+    head = counts.filter(F.col("c") >= _least_frequent(counts)).toPandas()
     keys = head["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     filled = np.zeros(bits // 8, np.uint8)
@@ -220,8 +233,8 @@ def score(docs: DataFrame, model: Filter, counts: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(filter_.head, h), max(len(filter_.head) - 1, 0))
                 frequent = filter_.head[at] == h if len(filter_.head) else np.zeros(len(h), dtype=bool)
                 known = np.bincount(row[frequent], minlength=part.num_rows)
-                sums = np.bincount(row[frequent], np.log10(filter_.head_counts[at[frequent]] + 0.5), minlength=part.num_rows)
-                model_sums = np.bincount(row, filter_.log_probability(h, pairs, bounds), minlength=part.num_rows)
+                sums = np.bincount(row[frequent], np.log10(filter_.head_counts[at[frequent]] + 0.5), minlength=part.num_rows).astype(float)
+                model_sums = np.bincount(row, filter_.log_probability(h, pairs, bounds), minlength=part.num_rows).astype(float)
                 rest, of = h[~frequent], row[~frequent]
                 order = np.lexsort((rest, of))
                 rest, of = rest[order], of[order]
