@@ -10,10 +10,11 @@ Candidates come in two rounds, over the classes that share a region with another
 First each row meets its predecessor and the head of its region, rows being sorted by
 how crowded a class's regions are: the text that copies derive from heads nearly
 all regions it is in, so a group of thousands is linked with two candidates a row.
-After that, rows sorted by label look at predecessors up to ``WINDOW`` that are still
-in different components, and meet the ``NEAREST`` of them by a sketch of two bits per
-hash.  All candidates are confirmed on their full sets, and components are the
-closure of confirmed links.
+After that, rows of a region meet those of its other components, the ``NEAREST`` by a
+sketch of two bits per hash first; each further turn takes ``GROWTH`` times as many,
+until no two rows of a region that are in different components have not met.  All
+candidates are confirmed on their full sets, and components are the closure of
+confirmed links.
 
 For two sets of similarity 0.8 the chance to share no region is
 (1 - 0.8**5)**32, three in a million.
@@ -31,10 +32,11 @@ from panelwright.llm.common import Words, mix, read, shingles, slices, store
 
 TREES, DEPTH = 32, 5
 HASHES = TREES * DEPTH
-#: Predecessors that a row of a crowded region looks at in the second round, those it meets at most, and the similarity
-#: by sketch from which it does.  A sketch's standard error at 0.8 is 0.038, so 0.7 lets 4 links in 1000 pass by in one
-#: comparison; such rows are in several trees and mostly linked by the first round.
-WINDOW, NEAREST, LEAST_SKETCH = 512, 4, 0.7
+#: Rows of other components that a row meets in the first turn of the second round, the factor of every further turn,
+#: and the similarity by sketch from which it does.  A sketch's standard error at 0.8 is 0.038.
+NEAREST, GROWTH, LEAST_SKETCH = 4, 8, 0.7
+#: Places of a comparison by sketch that a task holds at a time; it changes no result.
+CELLS = 1 << 18
 #: The first round compares with heads, once per pair, and leaves out 1 link in 20,000.
 LEAST_HEAD = 0.65
 SKETCH = [f"s{k}" for k in range(HASHES // 32)]
@@ -140,36 +142,41 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - np.bitwise_count(differ).sum(axis=0, dtype=np.int64) / HASHES - 0.25) / 0.75
 
 
-def _nearest(rows: np.ndarray, head: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """(rows, predecessors) that meet in the second round."""
-    found = [np.zeros((2, 0), np.int64)]
-    _, _, n, comp = rows[:4]
-    for at in range(0, len(i), 1024):
-        own = i[at: at + 1024]
-        reach = int(min(WINDOW, (own - head[own]).max()))
-        j = own[:, None] - np.arange(1, reach + 1)[None, :]
-        valid = j >= head[own][:, None]
-        j = np.maximum(j, 0)
-        valid &= (comp[j] != comp[own][:, None]) & (np.minimum(n[j], n[own][:, None]) * 100 >= np.maximum(n[j], n[own][:, None]) * 80)
+def _nearest(rows: np.ndarray, head: np.ndarray, upto: np.ndarray, i: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """(rows, rows before ``upto``) that meet, the ``most`` nearest by sketch, and whether a row has more."""
+    found, more = [np.zeros((2, 0), np.int64)], False
+    n = rows[2]
+    span = upto[i] - head[i]
+    i = i[np.argsort(-span, kind="stable")][: np.count_nonzero(span)]
+    at = 0
+    while at < len(i):
+        reach = int(upto[i[at]] - head[i[at]])
+        own = i[at: at + max(1, CELLS // reach)]
+        at += len(own)
+        j = head[own][:, None] + np.arange(reach)[None, :]
+        valid = j < upto[own][:, None]
+        j = np.minimum(j, len(n) - 1)
+        valid &= np.minimum(n[j], n[own][:, None]) * 100 >= np.maximum(n[j], n[own][:, None]) * 80
         r, c = np.nonzero(valid)
-        alike = np.full(valid.shape, -1.0)
-        alike[r, c] = _likeness(rows[4:, own[r]], rows[4:, j[r, c]])
-        alike[alike < LEAST_SKETCH] = -1.0
-        if reach > NEAREST:
-            best = np.argpartition(-alike, NEAREST, axis=1)[:, :NEAREST]
-        else:
-            best = np.repeat(np.arange(reach)[None, :], len(own), axis=0)
-        r, c = np.nonzero(np.take_along_axis(alike, best, axis=1) >= 0)
-        found.append(np.stack([own[r], j[r, best[r, c]]]))
-    return np.concatenate(found, axis=1)
-
-
-def neighbours(trees: DataFrame, order: tuple[str, ...], nearest: bool) -> DataFrame:
+        c = j[r, c]
+        alike = _likeness(rows[4:, own[r]], rows[4:, c])
+        near = alike >= LEAST_SKETCH
+        r, c, alike = r[near], c[near], alike[near]
+        order = np.lexsort((-alike, r))
+        r, c = r[order], c[order]
+        chosen = np.arange(len(r)) - np.searchsorted(r, r) < most
+        more |= not chosen.all()
+        found.append(np.stack([own[r[chosen]], c[chosen]]))
+    return np.concatenate(found, axis=1), more
+
+
+def neighbours(trees: DataFrame, order: tuple[str, ...], most: int = 0) -> DataFrame:
     """Distinct candidate pairs (head, id) of regions sorted in ``order``, of sets near enough in size to be linked.
 
-    A row meets its predecessor and the head of its region or, with ``nearest``, the
-    predecessors that its sketch chooses.  Sorted rows stream through a task, which
-    holds one batch and the last ``WINDOW`` rows.
+    A row meets its predecessor and the head of its region or, with ``most`` and rows
+    sorted by component, so many rows of the components before its own; a pair
+    (-1, -1) says that some row has more.  Sorted rows stream through a task, which
+    holds one batch and, with ``most``, the region so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,17 +195,21 @@ def neighbours(trees: DataFrame, order: tuple[str, ...], nearest: bool) -> DataF
             head = np.maximum.accumulate(np.where(starts, np.arange(total), 0))
             i = np.arange(old, total)
             i = i[i > head[i]]
-            if nearest:
-                i, j = _nearest(rows, head, i)
+            last = head[-1]
+            if most:
+                starts[1:] |= comp[1:] != comp[:-1]
+                (i, j), more = _nearest(rows, head, np.maximum.accumulate(np.where(starts, np.arange(total), 0)), i, most)
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64())] * 2, ["head", "id"])
+                held = rows[:, last:]
             else:
                 i, j = np.concatenate([i, i]), np.concatenate([i - 1, head[i]])
                 fits = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80
                 i, j = i[fits], j[fits]
                 fits = _likeness(rows[4:, i], rows[4:, j]) >= LEAST_HEAD
                 i, j = i[fits], j[fits]
+                held = rows[:, np.unique([last, total - 1])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["head", "id"])
-            last = head[-1]
-            held = rows[:, np.concatenate([[last], np.arange(max(last + 1, total - WINDOW), total)])]
 
     sorted_ = _by_region(trees, *order).select("region", "id", "n", "comp", *SKETCH)
     return sorted_.mapInArrow(run, "head long, id long").distinct()
@@ -303,10 +314,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     sizes = trees.groupBy("region").agg(F.count("*").alias("size"))
     crowd = trees.select("region", "id").join(sizes, "region").groupBy("id").agg(F.sum("size").alias("crowd"))
     ranked = trees.join(crowd, "id").withColumn("last", -F.col("crowd"))
-    first = store(neighbours(ranked, ("last", "id"), False))
-    comps = components(confirmed(first, docs, classes, width))
-    more = store(neighbours(forest(_closure(comps, met)), ("label", "id"), True).join(_either_way(first), ["head", "id"], "left_anti"))
-    comps = components(comps.toDF("a", "b").union(confirmed(more, docs, classes, width)))
+    done = store(neighbours(ranked, ("last", "id")))
+    comps = components(confirmed(done, docs, classes, width))
+    most = NEAREST
+    while True:
+        found = store(neighbours(forest(_closure(comps, met)), ("comp", "id"), most).join(_either_way(done), ["head", "id"], "left_anti"))
+        new = found.filter("head >= 0")
+        if not new.isEmpty():
+            comps = components(comps.toDF("a", "b").union(confirmed(new, docs, classes, width)))
+        if found.filter("head < 0").isEmpty():
+            break
+        done, most = done.union(new), most * GROWTH
     named = _closure(comps, classes.select("id", "doc_id", "hi", "lo"))
     first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     groups = named.join(first, "comp").select("hi", "lo", "component_id", F.lit(True).alias("grouped"))

@@ -313,6 +313,20 @@ def test_chains_stars_and_odd_rows(spark, odd, empty):
     assert by_id[6]["component_id"] == 5 and by_id[4]["component_id"] == -3 and by_id[2]["kept"] and by_id[1]["n_shingles"] == 0
 
 
+def test_pairs_on_one_template_are_all_found(spark):
+    """Hundreds of texts close below the bound to each other hide pairs above it from any choice of a few by sketch."""
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(77)]
+    texts = []
+    for k in range(300):
+        tail = [f"k{k}x{i}" for i in range(12)]
+        texts += [(2 * k, " ".join(base + tail)), (2 * k + 1, " ".join(base + tail[:4] + [f"k{k}y{i}" for i in range(8)]))]
+    rng.shuffle(texts)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame, 2).collect()}
+    assert got == {i: (88, i - i % 2) for i, _ in texts}
+
+
 # -- language ---------------------------------------------------------------------------------
 
 
