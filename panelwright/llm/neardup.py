@@ -12,9 +12,9 @@ how crowded a class's regions are: the text that copies derive from heads nearly
 all regions it is in, so a group of thousands is linked with two candidates a row.
 After that, rows of a region meet those of its other components, the ``NEAREST`` by a
 sketch of two bits per hash first; each further turn takes ``GROWTH`` times as many,
-until no two rows of a region that are in different components have not met.  All
-candidates are confirmed on their full sets, and components are the closure of
-confirmed links.
+until no two rows of a region that are in different components have not met.  The
+sketch orders candidates and drops none.  All candidates are confirmed on their full
+sets, and components are the closure of confirmed links.
 
 For two sets of similarity 0.8 the chance to share no region is
 (1 - 0.8**5)**32, three in a million.
@@ -32,13 +32,10 @@ from panelwright.llm.common import Words, mix, read, shingles, slices, store
 
 TREES, DEPTH = 32, 5
 HASHES = TREES * DEPTH
-#: Rows of other components that a row meets in the first turn of the second round, the factor of every further turn,
-#: and the similarity by sketch from which it does.  A sketch's standard error at 0.8 is 0.038.
-NEAREST, GROWTH, LEAST_SKETCH = 4, 8, 0.7
+#: Rows of other components that a row meets in the first turn of the second round, and the factor of every further turn.
+NEAREST, GROWTH = 4, 8
 #: Places of a comparison by sketch that a task holds at a time; it changes no result.
 CELLS = 1 << 18
-#: The first round compares with heads, once per pair, and leaves out 1 link in 20,000.
-LEAST_HEAD = 0.65
 SKETCH = [f"s{k}" for k in range(HASHES // 32)]
 #: Bits of the filter that names wanted documents.  A full filter only lets more rows through; the join after it is exact.
 FILTER_BITS = 1 << 23
@@ -160,8 +157,6 @@ def _nearest(rows: np.ndarray, head: np.ndarray, upto: np.ndarray, i: np.ndarray
         r, c = np.nonzero(valid)
         c = j[r, c]
         alike = _likeness(rows[4:, own[r]], rows[4:, c])
-        near = alike >= LEAST_SKETCH
-        r, c, alike = r[near], c[near], alike[near]
         order = np.lexsort((-alike, r))
         r, c = r[order], c[order]
         chosen = np.arange(len(r)) - np.searchsorted(r, r) < most
@@ -206,12 +201,10 @@ def neighbours(trees: DataFrame, order: tuple[str, ...], most: int = 0) -> DataF
                 i, j = np.concatenate([i, i]), np.concatenate([i - 1, head[i]])
                 fits = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80
                 i, j = i[fits], j[fits]
-                fits = _likeness(rows[4:, i], rows[4:, j]) >= LEAST_HEAD
-                i, j = i[fits], j[fits]
                 held = rows[:, np.unique([last, total - 1])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["head", "id"])
 
-    sorted_ = _by_region(trees, *order).select("region", "id", "n", "comp", *SKETCH)
+    sorted_ = _by_region(trees, *order).select("region", "id", "n", "comp", *(SKETCH if most else []))
     return sorted_.mapInArrow(run, "head long, id long").distinct()
 
 

@@ -327,6 +327,23 @@ def test_pairs_on_one_template_are_all_found(spark):
     assert got == {i: (88, i - i % 2) for i, _ in texts}
 
 
+def test_links_that_look_far_by_sketch_are_found(spark):
+    """Of many pairs of similarity 0.8 those whose sketches look least alike."""
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 2**63, (30_000, 10), dtype=np.uint64)
+    a, b = (neardup.signatures(np.delete(hashes, 9 - k, axis=1).ravel(), np.arange(30_001) * 9) for k in (0, 1))
+    differ = ((a & 3) != (b & 3)).mean(axis=1)
+    region = (a == b).reshape(-1, neardup.TREES, neardup.DEPTH).all(axis=2).any(axis=1)
+    at = np.argsort(-(differ * region))[:3]
+    looks = (0.75 - differ[at]) / 0.75
+    assert looks[0] < 0.65 and (looks < 0.7).all()  # below the bounds that the rounds once had
+    classes = spark.createDataFrame(
+        [(bytes(s[r].tobytes()), int(2 * r + k), 9, int(2 * r + k)) for r in at for k, s in enumerate((a, b))], "signature binary, id long, n long, comp long")
+    want = {(int(2 * r), int(2 * r + 1)) for r in at}
+    for order, most in ((("id",), 0), (("comp", "id"), 4)):
+        assert {(r["head"], r["id"]) for r in neardup.neighbours(neardup.forest(classes), order, most).collect()} == want
+
+
 # -- language ---------------------------------------------------------------------------------
 
 
