@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelwright.session import ensure_checkpoint_dir
 
@@ -53,6 +53,22 @@ def remainder(doc_id: str, by: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(by))
 
 
+def even_starts(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows, their ``text`` cut so that a group by ``by`` holds ``most`` bytes about.
+
+    Shorter texts stay whole and longer ones keep starts of one length, the largest
+    that the bytes allow, so no row drops out because of another's length.
+    """
+    length = F.octet_length("text").cast("long")
+    group = Window.partitionBy(by)
+    order = group.orderBy(length, "place")
+    before = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.count("*").over(group) - F.row_number().over(order) + 1
+    found = rows.withColumn("_share", F.floor((F.lit(most) - before) / left)).withColumn("_level", F.max("_share").over(group).cast("int"))
+    start = F.make_valid_utf8(F.substring(F.encode("text", "UTF-8"), F.lit(1), F.col("_level")).cast("string"))
+    return found.withColumn("text", F.when(length <= F.col("_level"), F.col("text")).otherwise(start)).drop("_share", "_level")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwright.llm.common import LOWER, flat, read, remainder, slices
+from panelwright.llm.common import LOWER, even_starts, flat, read, remainder, slices
 
 #: Rows of each language and bytes of their text that the automata are built on at most.
 ROWS, SAMPLE_BYTES = 200, 48 << 10
@@ -122,18 +122,17 @@ def phrases(samples: tuple[bytes, ...], text: np.ndarray, bounds: np.ndarray) ->
 
 
 def sample(docs: DataFrame, rows: int = ROWS, most: int = SAMPLE_BYTES) -> dict[str, bytes]:
-    """Bytes of text per language, from the training rows with the smallest id hashes; NULL languages and texts are passed over."""
+    """Bytes of text per language, from the training rows with the smallest id hashes, longer texts cut; NULL languages and texts are passed over."""
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(remainder("doc_id", 3) != 1)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     first = labelled.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= rows).collect()
     chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"], r["place"]) for r in first], "_id long, _lang string, place int")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang"))
     texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), same).select("lang", "place", "text")
-    before = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("lang").orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1))
-    kept = texts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most)
-    kept = kept.select("lang", "place", "before", F.substring(F.encode("text", "UTF-8"), 1, most).alias("text")).collect()
+    # a blank goes before each text
+    kept = even_starts(texts, "lang", most - rows).select("lang", "place", F.encode("text", "UTF-8").alias("text")).collect()
     out: dict[str, bytes] = {}
-    for r in sorted(kept, key=lambda r: (r["lang"], r["before"], r["place"])):
+    for r in sorted(kept, key=lambda r: (r["lang"], r["place"], bytes(r["text"]))):
         out[r["lang"]] = (out.get(r["lang"], b"") + b" " + bytes(r["text"]))[:most]
     return out
 

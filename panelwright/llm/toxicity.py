@@ -18,9 +18,9 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import Words, mix, read, remainder, slices
+from panelwright.llm.common import Words, even_starts, mix, read, remainder, slices
 
 #: Rows of each class, and bytes of their text, that the model is fitted on at most.
 PER_CLASS, CLASS_BYTES = 3000, 12 << 20
@@ -167,7 +167,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = CLASS_BYTES) -> DataFrame:
-    """(toxic, place, text) of the rows with the smallest hashes of each class, at most so many and so long together.
+    """(toxic, place, text) of the rows with the smallest hashes of each class, at most so many and so long together; longer texts are cut.
 
     Rows without id, label or text are passed over; of an id labelled twice the larger label counts.
     """
@@ -177,8 +177,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most:
         for at, r in enumerate(usable.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect())]
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int, place int")
     found = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    spent = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("place", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("_spent", spent).filter(F.col("_spent") <= most).select("toxic", "place", "text")
+    return even_starts(found, "toxic", most).select("toxic", "place", "text")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:

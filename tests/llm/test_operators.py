@@ -401,6 +401,20 @@ def test_toxicity_separates_held_out_rows(spark, odd, empty):
     assert len(toxicity.learn(odd, labels).weights) == len(toxicity.learn(empty, labels.limit(0)).weights) == 3
 
 
+def test_long_texts_leave_room_for_the_others(spark):
+    rows = [(i, "x" * 50_000 if i % 10 == 0 else f"short é{i}", "en") for i in range(1, 200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i, *_ in rows], "doc_id long, toxic int")
+    usable = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    got = toxicity.sample(frame, labels, most=20_000).collect()
+    assert len(got) == len(usable) and {r["text"] for r in got} >= {t for _, t, _ in usable if len(t) < 100}
+    assert all(sum(len(r["text"].encode()) for r in got if r["toxic"] == c) <= 20_000 for c in (0, 1))
+    whole = toxicity.sample(frame, labels).collect()
+    assert sorted(r["text"] for r in whole) == sorted(t for _, t, _ in usable)
+    learned = language.sample(frame)["en"].decode()
+    assert all(t in learned for i, t, _ in rows if len(t) < 100 and zlib.crc32(str(i).encode()) % 3 != 1) and len(learned.encode()) <= language.SAMPLE_BYTES
+
+
 # -- fingerprints ----------------------------------------------------------------------------------
 
 
