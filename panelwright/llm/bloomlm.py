@@ -3,9 +3,10 @@
 N-gram counts of the training documents are quantised to powers of two, and an
 n-gram of count c is put into a Bloom filter once for each level up to
 1 + floor(log2 c).  A worker asks level after level until the first miss, which
-gives the count back within its power of two.  The filter has a fixed number of
-bits, a parameter, and is broadcast; it is built in segments by the tasks that
-merge the counts.  Pairs that occur once are not stored and rest on the smoothing.
+gives the count back within its power of two.  The filter is broadcast and built in
+segments by the tasks that merge the counts; each segment has the bits that its own
+n-grams and levels need for the error rate ``RATE``.  Pairs that occur once are not
+stored and rest on the smoothing.
 
 Counting: tasks sum what they read, then send sorted, delta-coded blocks per hash
 range, so a range is merged from a few arrays instead of one row per n-gram, and a
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.llm.common import Words, mix, read, remainder, slices, store
 
-#: Bits of the filter, probes per level, and the least count of a stored pair.
-BITS, PROBES, LEAST_PAIR = 1 << 28, 3, 2
+#: Probes per level, share of false hits at a level, the bits that an n-gram then needs at each, and the least count of a stored pair.
+PROBES, RATE, LEAST_PAIR = 3, 0.01, 2
+BITS_EACH = -PROBES / np.log1p(-(RATE ** (1 / PROBES)))
 LEVELS = 40
+#: Segments have a multiple of so many bits.
+LEAST_SEGMENT = 64
 #: At most so many of the most frequent words have their exact counts at hand in every task; the others are joined.
 HEAD = 1 << 18
 #: Share of a pair's relative frequency in a token's probability; the rest is the word's own.
@@ -107,20 +111,16 @@ def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
 
 
-def _bits(keys: np.ndarray, lev: np.ndarray | int, probe: int, kind: int, segment: int, ranges: int) -> np.ndarray:
-    """Place of a probe inside the filter; the segment is the hash's range."""
+def _bits(keys: np.ndarray, lev: np.ndarray | int, probe: int, kind: int, segment: np.ndarray) -> np.ndarray:
+    """Place of a probe inside its segment, whose bits are given; the segment is the hash's range."""
     with np.errstate(over="ignore"):
         salt = np.uint64(kind * 1000 + probe) * np.uint64(0x9E3779B97F4A7C15)
-        inside = mix(keys ^ mix(np.asarray(lev, np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + salt)) & np.uint64(segment - 1)
-    return (keys >> np.uint64(64 - (ranges.bit_length() - 1))) * np.uint64(segment) + inside
+        return (mix(keys ^ mix(np.asarray(lev, np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + salt)) % segment).astype(np.int64)
 
 
-def _segment_of(ranges: int, bits: int, least: int):
-    segment = bits // ranges
-
+def _segment_of(ranges: int, bits: int | None, least: int):
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(segment, dtype=bool)
-        base = np.uint64(key[0]) * np.uint64(segment)
+        stored = []
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for kind in (1, 2):
             part = pdf[pdf["kind"] == kind]
@@ -131,11 +131,14 @@ def _segment_of(ranges: int, bits: int, least: int):
                 words, counts = keys, n
             else:
                 keys, n = keys[n >= least], n[n >= least]
-            top = level(n)
+            stored.append((kind, keys, level(n)))
+        need = sum(int(top.sum()) for *_, top in stored) * BITS_EACH
+        own = np.zeros(bits // ranges if bits else LEAST_SEGMENT * (1 + int(need // LEAST_SEGMENT)), dtype=bool)
+        for kind, keys, top in stored:
             for lev in range(1, int(top.max()) + 1 if len(top) else 1):
                 keys, top = keys[top >= lev], top[top >= lev]
                 for probe in range(PROBES):
-                    own[(_bits(keys, lev, probe, kind, segment, ranges) - base).astype(np.int64)] = True
+                    own[_bits(keys, lev, probe, kind, np.uint64(len(own)))] = True
         return pd.DataFrame({"range": [key[0]], "bits": [np.packbits(own).tobytes()], "words": [words.view(np.int64)], "counts": [counts]})
 
     return merge
@@ -146,7 +149,7 @@ class Filter:
     """The filter with the totals that the smoothing needs, and exact counts of the most frequent words."""
 
     bits: np.ndarray
-    ranges: int
+    starts: np.ndarray
     total: int
     kinds: int
     head: np.ndarray
@@ -154,13 +157,14 @@ class Filter:
 
     def count(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Estimated counts: the middle of the last level found, 0 without a first."""
-        segment = len(self.bits) * 8 // self.ranges
         out = np.zeros(len(keys))
+        segment = (keys >> np.uint64(64 - ((len(self.starts) - 1).bit_length() - 1))).astype(np.int64)
+        start, size = self.starts[segment], np.diff(self.starts)[segment].astype(np.uint64)
         left = np.arange(len(keys))
         for lev in range(1, LEVELS):
             for probe in range(PROBES):
-                at = _bits(keys[left], lev, probe, kind, segment, self.ranges)
-                hit = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
+                at = start[left] + _bits(keys[left], lev, probe, kind, size[left])
+                hit = (self.bits[at >> 3] >> (np.uint8(7) - (at & 7).astype(np.uint8))) & 1
                 left = left[hit.astype(bool)]
             if not len(left):
                 break
@@ -193,8 +197,8 @@ def _least_frequent(counts: DataFrame, most: int = HEAD) -> int:
     return floor
 
 
-def train(texts: DataFrame, bits: int = BITS, least: int = LEAST_PAIR) -> tuple[Filter, DataFrame]:
-    """The filter, and the exact counts (h, c) of all words."""
+def train(texts: DataFrame, bits: int | None = None, least: int = LEAST_PAIR) -> tuple[Filter, DataFrame]:
+    """The filter, of as many bits as its n-grams need unless told, and the exact counts (h, c) of all words."""
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 1 << max(8, (4 * parts - 1).bit_length())
@@ -206,11 +210,14 @@ def train(texts: DataFrame, bits: int = BITS, least: int = LEAST_PAIR) -> tuple[
     head = counts.filter(F.col("c") >= _least_frequent(counts)).toPandas()
     keys = head["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    filled = np.zeros(bits // 8, np.uint8)
-    width = bits // 8 // ranges
+    size = np.full(ranges, LEAST_SEGMENT // 8)
+    for row in merged.select("range", F.octet_length("bits").alias("size")).collect():
+        size[row["range"]] = row["size"]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    filled = np.zeros(starts[-1], np.uint8)
     for row in merged.select("range", "bits").toLocalIterator():
-        filled[row["range"] * width: (row["range"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return Filter(filled, ranges, total[0] or 0, total[1], keys[order], head["c"].to_numpy(np.int64)[order]), counts
+        filled[starts[row["range"]]: starts[row["range"] + 1]] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(filled, starts * 8, total[0] or 0, total[1], keys[order], head["c"].to_numpy(np.int64)[order]), counts
 
 
 def score(docs: DataFrame, model: Filter, counts: DataFrame) -> DataFrame:
