@@ -5,8 +5,8 @@ n-gram of count c is put into a Bloom filter once for each level up to
 1 + floor(log2 c).  A worker asks level after level until the first miss, which
 gives the count back within its power of two.  The filter is broadcast and built in
 segments by the tasks that merge the counts; each segment has the bits that its own
-n-grams and levels need for the error rate ``RATE``.  Pairs that occur once are not
-stored and rest on the smoothing.
+n-grams and levels need for the error rate ``RATE``.  All pairs are
+stored, also those that occur once.
 
 Counting: tasks sum what they read, then send sorted, delta-coded blocks per hash
 range, so a range is merged from a few arrays instead of one row per n-gram, and a
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelwright.llm.common import Words, mix, read, remainder, slices, store
 
 #: Probes per level, share of false hits at a level, the bits that an n-gram then needs at each, and the least count of a stored pair.
-PROBES, RATE, LEAST_PAIR = 3, 0.01, 2
+PROBES, RATE, LEAST_PAIR = 3, 0.01, 1
 BITS_EACH = -PROBES / np.log1p(-(RATE ** (1 / PROBES)))
 LEVELS = 40
 #: Segments have a multiple of so many bits.

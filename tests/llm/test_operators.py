@@ -263,11 +263,14 @@ def test_base_scores_equal_brute_force_and_the_filter_never_undercounts(docs, od
     assert all(abs(r["base_score"]) < 1e-6 for r in bloomlm.score(odd, nothing, none).collect()) and bloomlm.score(empty, nothing, none).count() == 0
 
 
-def test_the_filter_grows_with_its_ngrams(spark, docs):
+def test_the_filter_grows_with_its_ngrams_and_holds_every_pair(spark, docs):
     sizes = []
     for part in (docs.filter("doc_id % 8 = 0"), docs):
         model, _ = bloomlm.train(part)
         sizes.append(len(model.bits))
+        _, pairs, _ = bloomlm.tokens(Words(pa.array([r["text"] for r in part.collect()])))
+        kinds, n = np.unique(pairs, return_counts=True)
+        assert (n == 1).any() and (model.count(kinds, 2) >= 2.0 ** np.floor(np.log2(n))).all()
         unseen = np.random.default_rng(1).integers(0, 2**63, 100_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         assert (model.count(unseen, 2) > 0).mean() < 1.2 * bloomlm.RATE
     assert sizes[1] > 2 * sizes[0]
