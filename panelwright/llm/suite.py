@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bloomlm, fingerprints, language, licenses, mixing, neardup, packing, topk, toxicity, warc
+from panelwright.llm import bloomlm, fingerprints, language, licenses, merkle, mixing, neardup, packing, spelling, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language.op8,
     "op9_toxicity": toxicity.op9,
     "op10_document_fingerprints": fingerprints.op10,
+    "op11_merkle_manifest": merkle.op11,
+    "op12_url_filter": urls.op12,
+    "op13_spelling_variants": spelling.op13,
 }
 
 SQL = {
@@ -22,4 +25,7 @@ SQL = {
     "op3_source_mixing": mixing.SQL,
     "op5_exact_top_k": topk.SQL,
     "op10_document_fingerprints": fingerprints.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_url_filter": urls.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
