@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions import text
+from panelwright.operators import acceptance
 from panelwright.operators.screen import GRADE_ORDER
 from panelwright.session import cut_lineage
 
@@ -277,18 +278,18 @@ def diversity_flags(
 
     Candidates are taken best first, and only passing ones that were not turned
     away count against later ones.  Rows with an error and rows turned away before
-    pass through with the values they came with.  That sequence is settled in rounds: a
-    candidate is decided once nothing undecided before it could still block it.
-    Equal texts and structures block through their group's earliest member, and
-    correlations through the pairs above their threshold, so no pairs are formed
-    inside a group.
+    pass through with the values they came with.  The sequence is settled by
+    :func:`acceptance.settle`; equal texts and structures are groups there and
+    correlations above their threshold pairs, so no pairs are formed inside a group.
+    ``novelty_score`` is the novelty against the reference and what was accepted
+    before, for every candidate that is not a repeated text or structure.
 
     ``candidates`` and ``reference`` are described tables (:func:`describe`);
     the pair tables hold ``left, right, similarity``.  A candidate flagged as
     too close in structure also covers novelty below the minimum: likeness above
     0.75 needs the structure weight.
     """
-    # read several times in the rounds below; one row per candidate or close pair
+    # read several times below; one row per candidate or close pair
     candidates, reference = cut_lineage(candidates), cut_lineage(reference)
     value_pairs, ic_pairs = cut_lineage(value_pairs), cut_lineage(ic_pairs)
     ordered = candidates.withColumn("_order", _rank_struct()).withColumn("_pass", passes(gates)).withColumn(
@@ -305,74 +306,69 @@ def diversity_flags(
     ).select("left", "right").distinct()
     ref_names = accepted_ref.select(F.col("factor_name").alias("right"))
     near_reference = near.join(ref_names, "right", "left_semi").select(F.col("left").alias("factor_name")).distinct()
-    orders = ordered.select("factor_name", "_order", "_pass", "_skip")
-    conflicts = cut_lineage(
-        near.join(orders.select(F.col("factor_name").alias("left"), F.col("_order").alias("_lo")), "left")
-        .join(
-            orders.filter(F.col("_pass") & ~F.col("_skip")).select(F.col("factor_name").alias("right"), F.col("_order").alias("_ro")),
-            "right",
-        )
-        .filter(F.col("_ro") < F.col("_lo"))
-        .select("left", "right")
-    )
 
     def marked(df: DataFrame, key: str, flag: str) -> DataFrame:
         seen = accepted_ref.filter(F.col(key) != "").select(key).distinct().withColumn(flag, F.lit(True))
         return df.join(seen, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
-    state = marked(marked(ordered, "compact_expression", "_ref_text"), "structure_signature", "_ref_struct")
-    state = state.join(near_reference.withColumn("_ref_near", F.lit(True)), "factor_name", "left")
-    state = cut_lineage(
-        state.select(
+    known = marked(marked(ordered, "compact_expression", "_ref_text"), "structure_signature", "_ref_struct")
+    known = known.join(near_reference.withColumn("_ref_near", F.lit(True)), "factor_name", "left")
+    known = cut_lineage(
+        known.select(
             "factor_name", "compact_expression", "structure_signature", "_order", "_pass",
             F.when(F.col("_skip"), F.lit("skipped"))
             .when(F.col("_ref_text"), F.lit("same_expression"))
             .when(F.col("_ref_struct"), F.lit("same_structure"))
             .when(F.col("_ref_near"), F.lit("similar"))
-            .alias("_state"),
+            .alias("_given"),
         )
     )
-
-    while state.filter(F.col("_state").isNull()).limit(1).count() > 0:
-        open_blocker = F.when(F.col("_state").isNull() & F.col("_pass"), F.col("_order"))
-        accepted = F.when((F.col("_state") == "accepted") & F.col("_pass"), F.col("_order"))
-
-        def group_state(key: str, tag: str) -> DataFrame:
-            return state.filter(F.col(key) != "").groupBy(key).agg(
-                F.min(open_blocker).alias(f"_open_{tag}"), F.min(accepted).alias(f"_acc_{tag}")
-            )
-
-        now = state.select("factor_name", F.col("_state").alias("_right_state"))
-        by_pair = (
-            conflicts.join(now, F.col("right") == now["factor_name"])
-            .groupBy(F.col("left").alias("factor_name"))
-            .agg(
-                F.max(F.col("_right_state").isNull()).alias("_open_pair"),
-                F.max(F.coalesce(F.col("_right_state") == "accepted", F.lit(False))).alias("_acc_pair"),
-            )
-        )
-        step = (
-            state.join(group_state("compact_expression", "text"), "compact_expression", "left")
-            .join(group_state("structure_signature", "struct"), "structure_signature", "left")
-            .join(by_pair, "factor_name", "left")
-        )
-        blocked_text = F.coalesce(F.col("_acc_text") < F.col("_order"), F.lit(False))
-        blocked_struct = F.coalesce(F.col("_acc_struct") < F.col("_order"), F.lit(False))
-        blocked_pair = F.coalesce("_acc_pair", F.lit(False))
-        waiting = (
-            F.coalesce(F.col("_open_text") < F.col("_order"), F.lit(False))
-            | F.coalesce(F.col("_open_struct") < F.col("_order"), F.lit(False))
-            | F.coalesce("_open_pair", F.lit(False))
-        )
-        decided = (
-            F.when(F.col("_state").isNotNull(), F.col("_state"))
-            .when(waiting, F.lit(None).cast("string"))
-            .when(blocked_text, F.lit("same_expression"))
-            .when(blocked_struct, F.lit("same_structure"))
-            .when(blocked_pair, F.lit("similar"))
-            .otherwise(F.lit("accepted"))
-        )
-        state = cut_lineage(step.select(*[c for c in state.columns if c != "_state"], decided.alias("_state")))
+    # only passing candidates that the reference leaves open can stand in another's way
+    contenders = known.filter(F.col("_given").isNull() & F.col("_pass")).select(
+        F.col("factor_name").alias("name"), F.col("_order").alias("order"), "compact_expression", "structure_signature")
+    orders = contenders.select("name", "order")
+    conflicts = cut_lineage(
+        near.join(orders.select(F.col("name").alias("left"), F.col("order").alias("_lo")), "left")
+        .join(orders.select(F.col("name").alias("right"), F.col("order").alias("_ro")), "right")
+        .filter(F.col("_ro") < F.col("_lo"))
+        .select(F.col("left").alias("name"), F.col("right").alias("rival"))
+    )
+    settled, _ = acceptance.settle(contenders, conflicts, ["compact_expression", "structure_signature"])
+    chosen = cut_lineage(settled.filter("accepted").join(known, F.col("name") == F.col("factor_name")).select(
+        "factor_name", "compact_expression", "structure_signature", "_order"))
+
+    # every candidate against what was accepted before it
+    def first_of(key: str, out: str) -> DataFrame:
+        return chosen.filter(F.col(key) != "").groupBy(key).agg(F.min("_order").alias(out))
+
+    blocking = (
+        near.join(known.select(F.col("factor_name").alias("left"), F.col("_order").alias("_lo")), "left")
+        .join(chosen.select(F.col("factor_name").alias("right"), F.col("_order").alias("_ro")), "right")
+        .filter(F.col("_ro") < F.col("_lo")).select(F.col("left").alias("factor_name")).distinct().withColumn("_near", F.lit(True))
+    )
+    judged = (
+        known.join(first_of("compact_expression", "_text"), "compact_expression", "left")
+        .join(first_of("structure_signature", "_struct"), "structure_signature", "left")
+        .join(blocking, "factor_name", "left")
+    )
+    state = cut_lineage(judged.select(
+        "factor_name", "_order", "_pass",
+        F.coalesce(
+            "_given",
+            F.when(F.col("_text") < F.col("_order"), F.lit("same_expression")),
+            F.when(F.col("_struct") < F.col("_order"), F.lit("same_structure")),
+            F.when(F.col("_near"), F.lit("similar")),
+            F.lit("accepted"),
+        ).alias("_state")))
+
+    # novelty against the reference, which comes before all, and what was accepted before
+    turn = lambda side, order: F.struct(F.lit(side).alias("side"), order.alias("order"))
+    shape = ["factor_name", "structure_signature", "ops", "fields", "family"]
+    asked = candidates.select(*shape).join(state.filter(F.col("_state").isin("similar", "accepted")).select("factor_name", turn(1, F.col("_order")).alias("_turn")), "factor_name")
+    no_order = F.lit(None).cast(state.schema["_order"].dataType)
+    held = accepted_ref.select(*shape, turn(0, no_order).alias("_turn")).unionByName(
+        candidates.select(*shape).join(chosen.select("factor_name", turn(1, F.col("_order")).alias("_turn")), "factor_name"))
+    novel = novelty(asked, held, before="_turn").select("factor_name", F.col("novelty_score").alias("_novelty"))
 
     # likeness to what was accepted before each candidate
     kept = state.filter((F.col("_state") == "accepted") & F.col("_pass")).select("factor_name", "_order")
@@ -391,13 +387,14 @@ def diversity_flags(
         best = F.min_by(F.struct("similarity", "right"), F.struct(-F.col("similarity"), F.col("_ro"), F.col("right")))
         return met.groupBy(F.col("left").alias("factor_name")).agg(best.alias(out))
 
-    flags = {"diversity_rejected": "boolean", "max_similarity": "double", "ic_series_max_similarity": "double", "most_similar_to": "string"}
+    flags = {"diversity_rejected": "boolean", "max_similarity": "double", "ic_series_max_similarity": "double", "most_similar_to": "string", "novelty_score": "double"}
     old = [F.col(c).cast(t) if c in candidates.columns else F.lit(None).cast(t) for c, t in flags.items()]
     result = (
         candidates.select(*[c for c in candidates.columns if c not in flags], *[v.alias(f"_old_{c}") for v, c in zip(old, flags, strict=True)])
         .join(state.select("factor_name", "_state"), "factor_name")
         .join(strongest(value_pairs, "_value"), "factor_name", "left")
         .join(strongest(ic_pairs, "_ic"), "factor_name", "left")
+        .join(novel, "factor_name", "left")
     )
     same_text = F.col("_state").isin("same_expression", "same_structure")
     best_value = F.coalesce(F.col("_value.similarity"), F.lit(0.0))
@@ -410,6 +407,7 @@ def diversity_flags(
         "most_similar_to": F.when(same_text, F.col("_state"))
         .when(by_ic, F.coalesce(F.when(best_value > 0, F.col("_value.right")), F.lit("similar_ic_series")))
         .otherwise(F.coalesce(F.when(best_value > 0, F.col("_value.right")), F.lit(""))),
+        "novelty_score": F.coalesce("_novelty", "_old_novelty_score"),
     }
     return result.select(
         *[c for c in candidates.columns if c not in flags],

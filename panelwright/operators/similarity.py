@@ -13,15 +13,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.operators.crosssection import CrossSection
+from panelwright.operators.order import ordinal
 from panelwright.session import cut_lineage
 
 # Most series in one class block; larger classes are cut, which changes no result.
 BLOCK = 256
 # Partial sums a task holds before handing them on.
 HELD_SUMS = 4_000_000
+# Keys put side by side as dense rows at a time.
+DENSE_KEYS = 2048
+# Room for rounding when a bound is held against a threshold.
+EDGE = 1e-9
 
 
 def sample_rows(df: DataFrame, cross: CrossSection, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
@@ -60,7 +65,7 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def drain() -> pd.DataFrame:
         parts = []
-        for (left, right), (n, width, gram) in held.items():
+        for (left, right), (n, width, gram, places) in held.items():
             diagonal = np.diag(gram)
             if left == right:
                 a, b = np.triu_indices(width, 1)
@@ -70,8 +75,7 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 pd.DataFrame(
                     {
                         "left_class": left, "right_class": right,
-                        "left_place": a.astype("int32"),
-                        "right_place": (b if left == right else b - width).astype("int32"),
+                        "left_place": places[a], "right_place": places[b],
                         "n": n, "sxy": gram[a, b], "sxx": diagonal[a], "syy": diagonal[b],
                     }
                 )
@@ -86,7 +90,8 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             width = int(part["width"].iloc[0])
             entry = held.get((left, right))
             if entry is None:
-                held[(left, right)] = [len(part), width, gram]
+                # the same members meet at every key of two classes
+                held[(left, right)] = [len(part), width, gram, np.asarray(part["places"].iloc[0], dtype="int32")]
                 size += gram.size
             else:
                 entry[0] += len(part)
@@ -98,6 +103,112 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield drain()
 
 
+SUMS = ("n", "sxx", "syy", "sxy")
+
+
+def _bound_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add up, per pair of blocks, what bounds a correlation: shared keys and products of own ranks."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def drain() -> pd.DataFrame:
+        parts = []
+        for (left, right), sums in held.items():
+            a, b = np.nonzero(sums[0])
+            parts.append(pd.DataFrame({
+                "left_block": left, "right_block": right, "left_place": a.astype("int32"), "right_place": b.astype("int32"),
+                **{name: sums[i, a, b] for i, name in enumerate(SUMS)}}))
+        held.clear()
+        return pd.concat(parts, ignore_index=True)
+
+    for batch in batches:
+        for (left, right), rows in batch.groupby(["left_block", "right_block"], sort=False):
+            for at in range(0, len(rows), DENSE_KEYS):
+                part = rows.iloc[at: at + DENSE_KEYS]
+                px, rx = _dense(part["left_places"], part["left_ranks"])
+                py, ry = _dense(part["right_places"], part["right_ranks"])
+                sums = np.stack([px.T @ py, (rx * rx).T @ py, px.T @ (ry * ry), rx.T @ ry])
+                key = (left, right)
+                held[key] = held[key] + sums if key in held else sums
+            if len(held) * sums.size > HELD_SUMS:
+                yield drain()
+    if held:
+        yield drain()
+
+
+def _dense(places: pd.Series, ranks: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Presence and rank of every item of a block at each key."""
+    present, value = (np.zeros((len(places), BLOCK)) for _ in range(2))
+    row, at = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places.to_list())
+    present[row, at], value[row, at] = 1.0, np.concatenate(ranks.to_list())
+    return present, value
+
+
+def _blocks(names: DataFrame, out: str) -> DataFrame:
+    """Number the items in blocks of ``BLOCK``."""
+    placed = ordinal(names, "_at", F.col("item"))
+    return placed.select("item", F.floor(F.col("_at") / BLOCK).cast("int").alias(out), (F.col("_at") % BLOCK).cast("int").alias("place"))
+
+
+def pair_bounds(known: DataFrame, row_keys: Sequence[str], against: DataFrame | None, spread: bool) -> DataFrame:
+    """(left, right, n, most): shared keys and an upper bound of |rank correlation| of items and those of ``against``.
+
+    ``known`` holds item, keys and v.  Every item is ranked once, among its own keys.
+    Inside an overlap of n of its N keys a rank is smaller by 0 to N - n, so the
+    difference of two overlap ranks is known up to half of both slacks, and with it,
+    by Minkowski's inequality, the sum of squared differences that makes the
+    correlation.  Ties are counted by the longest run of equal values of each item.
+    The bound holds for every pair; with equal key sets and no ties it is exact.
+    """
+    items = known.select("item").distinct()
+    facing = items if against is None else items.join(against.select(F.col(against.columns[0]).alias("item")).distinct(), "item", "left_semi")
+    cross = CrossSection(["item"], spread=spread)
+    sizes = known.groupBy("item").agg(F.count("*").alias("_size"))
+    longest = known.groupBy("item", "v").agg(F.count("*").alias("_same")).groupBy("item").agg(F.max("_same").alias("_ties"))
+    facts = cut_lineage(sizes.join(longest, "item"))
+    ranked = cut_lineage(cross.centred_rank(known, "v", "rank").select("item", *row_keys, "rank"))
+    own, other = _blocks(items, "left_block"), _blocks(facing, "right_block")
+    per_key = lambda blocks, block: ranked.join(blocks, "item").groupBy(block, *row_keys).agg(F.collect_list(F.struct("place", "rank")).alias("_cells"))
+    left = per_key(own, "left_block").withColumnRenamed("_cells", "_left")
+    right = per_key(other, "right_block").withColumnRenamed("_cells", "_right")
+    met = left.join(right, list(row_keys)).select(
+        "left_block", "right_block", F.col("_left.place").alias("left_places"), F.col("_left.rank").alias("left_ranks"),
+        F.col("_right.place").alias("right_places"), F.col("_right.rank").alias("right_ranks"))
+    sums = met.mapInPandas(_bound_sums, "left_block int, right_block int, left_place int, right_place int, n double, sxx double, syy double, sxy double")
+    total = sums.groupBy("left_block", "right_block", "left_place", "right_place").agg(*[F.sum(c).alias(c) for c in SUMS])
+    named = total.join(own.withColumnsRenamed({"item": "_l", "place": "left_place"}), ["left_block", "left_place"]).join(
+        other.withColumnsRenamed({"item": "_r", "place": "right_place"}), ["right_block", "right_place"]).filter("_l <> _r")
+    for side in ("l", "r"):
+        named = named.join(facts.withColumnsRenamed({"item": f"_{side}", "_size": f"_{side}n", "_ties": f"_{side}t"}), f"_{side}")
+    n = F.col("n")
+    slack = ((F.col("_ln") - n) + (F.col("_rn") - n)) / 2
+    # Both ranks are centred, each among its own keys, so they differ by half of the missing keys at most.
+    same = F.col("sxx") + F.col("syy") - 2 * F.col("sxy")
+    turned = F.col("sxx") + F.col("syy") + 2 * F.col("sxy")
+    full = n * (n * n - 1) / 12
+    floor_of = lambda ties: F.greatest(F.lit(0.0), n * (n * n - ties * ties) / 12)
+    corners = [(a, b) for a in (floor_of(F.col("_lt")), full) for b in (floor_of(F.col("_rt")), full)]
+
+    def most(squares: Column) -> Column:
+        """Greatest (a + b - d) / (2 sqrt(a b)): spreads a, b at an end of their range each, d as small as it may be."""
+        near = F.greatest(F.lit(0.0), F.sqrt(F.greatest(squares, F.lit(0.0))) - slack * F.sqrt(n))
+        return F.greatest(*[F.coalesce(F.try_divide(a + b - near * near, 2 * F.sqrt(a * b)), F.lit(1.0)) for a, b in corners])
+
+    return named.select(
+        F.col("_l").alias("left"), F.col("_r").alias("right"), n.cast("long").alias("n"), F.least(F.lit(1.0), F.greatest(most(same), most(turned))).alias("most"))
+
+
+def _meetings(known: DataFrame, classes: DataFrame, row_keys: Sequence[str], needed: DataFrame | None) -> DataFrame:
+    """Rows to be ranked: every item at the keys it shares with a class it meets (``other``)."""
+    # one series stands for the key set of its class
+    stands = classes.filter(F.col("place") == 0).select("item", F.col("class").alias("other"))
+    met = known.join(stands, "item").select(*row_keys, "other")
+    rows = known.join(classes, "item").withColumnRenamed("class", "own")
+    if needed is None:
+        # the classes present at a key, bounded by the number of classes
+        return rows.join(met, list(row_keys))
+    return rows.join(needed, "item").join(met, [*row_keys, "other"])
+
+
 def rank_correlations(
     series: DataFrame,
     item: str,
@@ -105,28 +216,30 @@ def rank_correlations(
     value: str,
     spread: bool,
     min_overlap: int = 2,
+    at_least: float = 0.0,
+    against: DataFrame | None = None,
 ) -> DataFrame:
-    """(left, right, n, corr) for every pair of series with enough common keys.
+    """(left, right, n, corr) for pairs of series with enough common keys.
 
     ``series`` is read several times and should be a stored table.
     ``spread`` says that a series may hold much of the table, and so how it is
     ranked.  Each pair appears once, with ``left < right``.  Series with constant
     ranks give a NULL correlation.
+
+    ``against``, a column of names, keeps pairs with one of them.  ``at_least`` keeps
+    pairs with |corr| of that much; pairs whose bound (:func:`pair_bounds`) lies
+    below are never ranked, so the rows ranked grow with the pairs that may be close.
     """
     known = series.filter(F.col(value).isNotNull()).select(F.col(item).alias("item"), *row_keys, F.col(value).alias("v"))
-    # one row per series, used four times below
+    # one row per series, used several times below
     classes = cut_lineage(support_classes(known, "item", row_keys))
-    # one series stands for the key set of its class
-    stands = classes.filter(F.col("place") == 0).select("item", F.col("class").alias("other"))
-    met = known.join(stands, "item").select(*row_keys, "other")
-    # the classes present at a key, bounded by the number of classes
-    faced = (
-        known.join(classes, "item")
-        .withColumnRenamed("class", "own")
-        .join(met, list(row_keys))
-    )
+    wanted = needed = None
+    if at_least > 0 or against is not None:
+        near = pair_bounds(known, row_keys, against, spread).filter((F.col("n") >= min_overlap) & (F.col("most") >= at_least - EDGE))
+        wanted = cut_lineage(near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct())
+        needed = needed_rankings(wanted, classes)
     cross = CrossSection(["item", "other"], spread=spread)
-    ranked = cross.centred_rank(faced, "v", "rank")
+    ranked = cross.centred_rank(_meetings(known, classes, row_keys, needed), "v", "rank")
     first, second = F.least("own", "other"), F.greatest("own", "other")
     vectors = (
         ranked.groupBy(first.alias("left_class"), second.alias("right_class"), *row_keys)
@@ -142,7 +255,7 @@ def rank_correlations(
         .withColumn("width", F.size(F.filter("_all", lambda e: e["side"] == 0)))
     )
     packed = vectors.select(
-        "left_class", "right_class", "width", F.transform("_all", lambda e: e["rank"]).alias("ranks")
+        "left_class", "right_class", "width", F.transform("_all", lambda e: e["rank"]).alias("ranks"), F.transform("_all", lambda e: e["place"]).alias("places")
     )
     sums = packed.mapInPandas(
         _pair_sums,
@@ -156,20 +269,29 @@ def rank_correlations(
     right = classes.select(F.col("class").alias("right_class"), F.col("place").alias("right_place"), F.col("item").alias("_r"))
     named = total.join(left, ["left_class", "left_place"]).join(right, ["right_class", "right_place"])
     corr = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    return named.filter(F.col("n") >= min_overlap).select(
+    found = named.filter(F.col("n") >= min_overlap).select(
         F.least("_l", "_r").alias("left"), F.greatest("_l", "_r").alias("right"), "n", corr.alias("corr")
     )
+    if wanted is not None:
+        found = found.join(wanted, ["left", "right"], "left_semi")
+    return found.filter(F.abs("corr") >= at_least) if at_least > 0 else found
+
+
+def needed_rankings(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(item, other): the classes each item has to be ranked against for the pairs."""
+    ends = pairs.unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right")))
+    return ends.join(classes.select(F.col("item").alias("right"), F.col("class").alias("other")), "right").select(F.col("left").alias("item"), "other").distinct()
 
 
-def value_similarity(factors: DataFrame, min_overlap: int = 10_000) -> DataFrame:
-    """|Spearman| of factor values on shared (entity, date) keys."""
-    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", True, min_overlap)
+def value_similarity(factors: DataFrame, min_overlap: int = 10_000, at_least: float = 0.0, against: DataFrame | None = None) -> DataFrame:
+    """|Spearman| of factor values on shared (entity, date) keys; ``at_least`` and ``against`` as above."""
+    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", True, min_overlap, at_least, against)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 
 
-def ic_similarity(daily: DataFrame, min_days: int = 30) -> DataFrame:
-    """|Spearman| of daily rank-correlation series on shared dates."""
-    pairs = rank_correlations(daily, "factor_name", ["date"], "rank_ic", False, min_days)
+def ic_similarity(daily: DataFrame, min_days: int = 30, at_least: float = 0.0, against: DataFrame | None = None) -> DataFrame:
+    """|Spearman| of daily rank-correlation series on shared dates; ``at_least`` and ``against`` as above."""
+    pairs = rank_correlations(daily, "factor_name", ["date"], "rank_ic", False, min_days, at_least, against)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 
 
