@@ -79,7 +79,8 @@ def _descend(leaves: DataFrame, levels: list[DataFrame], tops: DataFrame, fanout
             step = F.struct(beside(lambda i: F.lit(i) < own).alias("left"), beside(lambda i: F.lit(i) > own).alias("right"))
             inner = inner.withColumn("_path", F.concat(F.array(step), F.col("_rest"))).drop("_g", "_up", "_rest", *[f"_p{i}" for i in range(fanout)])
             reached = reached.select(inner.columns).unionAll(inner)
-        above = reached
+        # written level by level, so that no job holds the joins of all of them
+        above = store(reached) if depth else reached
     return above
 
 
