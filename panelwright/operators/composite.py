@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.functions import timeseries as ts
 from panelwright.operators.crosssection import CrossSection
 from panelwright.operators.ic import pooled_ic
+from panelwright.session import cut_lineage
 
 # Learning settings of the composite.
 LEARNING_RATE = 0.05
 MAX_TREES = 200
 TREE_DEPTH = 5
+PATIENCE = 50
 
 
 def feature_matrix(factors: DataFrame, returns: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -70,6 +76,11 @@ def time_split(df: DataFrame, test_share: float = 0.2, test_start: str | None =
     return df.filter(F.col("date") < at), df.filter(F.col("date") >= at)
 
 
+def projection(names: Sequence[str], components: int) -> list:
+    """Scaling and projection on at most as many components as there are factors."""
+    return standardiser(names) + [PCA(k=min(components, len(names)), inputCol="_scaled", outputCol="pcs")]
+
+
 def standardiser(names: Sequence[str]) -> list:
     return [
         VectorAssembler(inputCols=list(names), outputCol="_raw"),
@@ -77,29 +88,70 @@ def standardiser(names: Sequence[str]) -> list:
     ]
 
 
-def fit_composite(
+class Boosted(NamedTuple):
+    """A fitted composite, the loss on the tail after each tree, and the places (from 0) of the best and of the last tried."""
+
+    model: PipelineModel
+    losses: list[float]
+    best: int
+    stopped: int
+
+
+def stopping_point(losses: Sequence[float], patience: int) -> tuple[int, int]:
+    """Best iteration, and the one at which ``patience`` further ones had brought nothing better."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best, i
+    return best, len(losses) - 1
+
+
+def fit_boosted(
     train: DataFrame,
     names: Sequence[str],
     components: int = 5,
     trees: int = MAX_TREES,
     depth: int = TREE_DEPTH,
     stop_share: float = 0.2,
+    patience: int = PATIENCE,
     seed: int = 42,
-) -> PipelineModel:
-    """Scale, project and boost, fitted on the training part only.
+) -> Boosted:
+    """Scale and project on the training part, boost on its start, stop by the loss on its tail.
 
-    The last ``stop_share`` of the training time serves for early stopping, so
-    the test part takes no part in the fit.
+    The tail is the last ``stop_share`` of the training time, so the test part takes
+    no part in the fit.  The mean squared error on the tail is taken after every tree;
+    the best iteration before ``patience`` ones without gain is kept.  Trees depend on
+    the seed and their place only, so fitting anew up to that place gives the same ones.
     """
-    marked = train.withColumn("_stop", F.col("date") >= split_date(train, stop_share))
-    stages = standardiser(names) + [
-        PCA(k=min(components, len(names)), inputCol="_scaled", outputCol="pcs"),
-        GBTRegressor(
-            featuresCol="pcs", labelCol="return_next", predictionCol="composite_score",
-            stepSize=LEARNING_RATE, maxIter=trees, maxDepth=depth, seed=seed, validationIndicatorCol="_stop",
-        ),
-    ]
-    return Pipeline(stages=stages).fit(marked)
+    ready = Pipeline(stages=projection(names, components)).fit(train)
+    at = split_date(train, stop_share)
+    # read once per level of every tree
+    rows = cut_lineage(ready.transform(train).select((F.col("date") >= at).alias("_tail"), "pcs", "return_next"))
+    start, tail = rows.filter(~F.col("_tail")), rows.filter("_tail")
+    boost = GBTRegressor(
+        featuresCol="pcs", labelCol="return_next", predictionCol="composite_score", stepSize=LEARNING_RATE, maxIter=trees, maxDepth=depth, seed=seed)
+    full = boost.fit(start)
+    if tail.isEmpty():
+        return Boosted(PipelineModel([*ready.stages, full]), [], trees - 1, trees - 1)
+    losses = list(full.evaluateEachIteration(tail, "squared"))
+    best, stopped = stopping_point(losses, patience)
+    kept = full if best == len(losses) - 1 else boost.copy({boost.maxIter: best + 1}).fit(start)
+    return Boosted(PipelineModel([*ready.stages, kept]), losses[: stopped + 1], best, stopped)
+
+
+def fit_composite(train: DataFrame, names: Sequence[str], **settings) -> PipelineModel:
+    """The model of :func:`fit_boosted`."""
+    return fit_boosted(train, names, **settings).model
+
+
+def reconstructed(model: PipelineModel, df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Scaled features put together again from their components; exact if all components are kept."""
+    loadings = next(s for s in model.stages if hasattr(s, "explainedVariance")).pc.toArray()
+    out = model.transform(df).withColumn("_p", vector_to_array("pcs"))
+    back = lambda row: reduce(add, [F.col("_p")[j] * F.lit(float(w)) for j, w in enumerate(row)])
+    return out.select(*[c for c in df.columns if c not in names], *[back(loadings[i]).alias(n) for i, n in enumerate(names)])
 
 
 def explained_variance(model: PipelineModel) -> list[float]:

@@ -64,24 +64,23 @@ def _pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     size = 0
 
     def drain() -> pd.DataFrame:
-        parts = []
+        columns: dict[str, list] = {c: [] for c in ("left_place", "right_place", "sxy", "sxx", "syy")}
+        counts, pairs, rows = [], [], []
         for (left, right), (n, width, gram, places) in held.items():
             diagonal = np.diag(gram)
             if left == right:
                 a, b = np.triu_indices(width, 1)
             else:
                 a, b = (g.ravel() for g in np.meshgrid(np.arange(width), np.arange(width, len(gram)), indexing="ij"))
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "left_class": left, "right_class": right,
-                        "left_place": places[a], "right_place": places[b],
-                        "n": n, "sxy": gram[a, b], "sxx": diagonal[a], "syy": diagonal[b],
-                    }
-                )
-            )
+            for c, v in zip(columns, (places[a], places[b], gram[a, b], diagonal[a], diagonal[b]), strict=True):
+                columns[c].append(v)
+            counts.append(n)
+            pairs.append((left, right))
+            rows.append(len(a))
         held.clear()
-        return pd.concat(parts, ignore_index=True)
+        names = np.array(pairs, dtype=object).repeat(rows, axis=0)
+        return pd.DataFrame({"left_class": names[:, 0], "right_class": names[:, 1], "n": np.repeat(counts, rows), **{c: np.concatenate(v) for c, v in columns.items()}})[
+            ["left_class", "right_class", "left_place", "right_place", "n", "sxy", "sxx", "syy"]]
 
     for batch in batches:
         for (left, right), part in batch.groupby(["left_class", "right_class"], sort=False):
@@ -283,14 +282,16 @@ def needed_rankings(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return ends.join(classes.select(F.col("item").alias("right"), F.col("class").alias("other")), "right").select(F.col("left").alias("item"), "other").distinct()
 
 
-def value_similarity(factors: DataFrame, min_overlap: int = 10_000, at_least: float = 0.0, against: DataFrame | None = None) -> DataFrame:
-    """|Spearman| of factor values on shared (entity, date) keys; ``at_least`` and ``against`` as above."""
-    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", True, min_overlap, at_least, against)
+def value_similarity(
+    factors: DataFrame, min_overlap: int = 10_000, at_least: float = 0.0, against: DataFrame | None = None, spread: bool = True
+) -> DataFrame:
+    """|Spearman| of factor values on shared (entity, date) keys; the rest as above."""
+    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", spread, min_overlap, at_least, against)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 
 
 def ic_similarity(daily: DataFrame, min_days: int = 30, at_least: float = 0.0, against: DataFrame | None = None) -> DataFrame:
-    """|Spearman| of daily rank-correlation series on shared dates; ``at_least`` and ``against`` as above."""
+    """|Spearman| of daily rank-correlation series on shared dates; the rest as above."""
     pairs = rank_correlations(daily, "factor_name", ["date"], "rank_ic", False, min_days, at_least, against)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 

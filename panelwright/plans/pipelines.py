@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelwright.operators import ic, portfolio, screen, similarity
+from panelwright.plans import batch
 from panelwright.session import cut_lineage
 from panelwright.sources import sinks
 from panelwright.sources.factor_files import normalise_factor
@@ -27,24 +28,19 @@ def batch_analysis(
 ) -> DataFrame:
     """Evaluate every factor that has no stored result and return the graded summary of all.
 
-    Daily tables accumulate under ``out/daily``.  All new factors are one job.
+    Daily tables accumulate under ``out/daily``, a folder per factor that a repeated
+    run replaces.  All new factors are one job; :func:`batch.run_batch` is the form
+    that keeps failures apart and times them.
     """
     spark = factors.sparkSession
     daily_path = f"{out}/daily"
     new = factors
-    if _exists(spark, daily_path):
+    if batch.stored(spark, daily_path) is not None:
         new = factors.join(sinks.stored_factors(spark, daily_path), "factor_name", "left_anti")
     merged = ic.merge_factors(new, panel.df.select(*KEY, "close", *FLAGS))
     daily = ic.daily_ic(merged, panel.cross_section("factor_name"), min_names=min_names, next_day=next_day)
-    # appending keeps earlier factors; the anti join above keeps names unique
-    sinks.write_ic(daily, daily_path, mode="append")
-    stored = spark.read.parquet(daily_path)
-    return screen.grade(ic.factor_summary(stored)).drop("failed")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    sinks.write_daily(daily, daily_path)
+    return screen.grade(ic.factor_summary(spark.read.parquet(daily_path))).drop("failed")
 
 
 def backtest(

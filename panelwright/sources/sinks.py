@@ -15,6 +15,11 @@ def write_ic(daily: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     writer.option("header", True).format(fmt).save(path)
 
 
+def write_daily(daily: DataFrame, path: str) -> None:
+    """Daily tables by factor; only the folders of the written factors are replaced."""
+    daily.repartition("factor_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("factor_name").parquet(path)
+
+
 def write_backtest(bucket_returns: DataFrame, path: str, bins: int, cost_bps: float = 0.0, fmt: str = "parquet") -> None:
     """Periodic and compounded bucket tables under ``daily`` and ``cum``."""
     table = bucket_table(bucket_returns, bins, cost_bps)

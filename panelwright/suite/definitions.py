@@ -14,7 +14,7 @@ from panelwright.plans import factors as f, recipes
 from panelwright.plans.factors import factor_long, fld
 from panelwright.session import cut_lineage
 from panelwright.sources.panel import Panel, table, weekly_panel
-from panelwright.suite.base import Check, LIBRARY, R, cte, daily, library_factors, r6, rounded, sql
+from panelwright.suite.base import Check, LIBRARY, R, centred_sql, cte, daily, library_factors, r6, rank_corr_sql, rounded, sql
 from panelwright.suite.evaluation import grade_sql
 
 CHECKS: dict[str, Check] = {}
@@ -255,32 +255,99 @@ _add("select_survivors", "C10", _survivors, sql(
     "SELECT factor_name, min(stage) AS stage, arg_min(pos, stage) AS pos FROM picks GROUP BY factor_name)) WHERE pick <= 60", "picks"))
 
 
-def _diversity(spark, sf_dir):
-    """Variants of the library definitions judged on their real values and series."""
-    from panelwright.operators import ic, similarity
+# Thresholds no rank correlation of six or seven points can equal.
+CLOSE = catalog.Gates(min_grade="C", min_rank_ic=0.02, value_corr=0.95, ic_corr=0.95)
+# Texts name a style so that structures repeat a few times each.
+STYLES = 300
 
-    panel = weekly_panel(spark, sf_dir)
-    base = {"m": (lambda n: f.rank(f.ts_return(fld("close"), n)), (4,))}
-    terms = {**LIBRARY, **recipes.sweep(base, windows=(4, 8), rank_window=8)}
-    merged = cut_lineage(factor_long(panel, terms, carry=["close", "ST", "limit_up_flag", "limit_down_flag", "suspended"]))
-    d = ic.daily_ic(merged, panel.cross_section("factor_name"))
-    d = cut_lineage(d)
-    graded = screen.grade(ic.screen_metrics(d))
-    texts = recipes.catalog_frame(spark, terms).select(
-        F.col("recipe_id").alias("factor_name"), "family", "expression", "required_fields", "lookback_windows", "complexity_score")
-    cands = catalog.describe(
-        graded.join(texts, "factor_name")
-        .withColumn("validation_rank_ic", F.lit(0.0)).withColumn("test_rank_ic", F.lit(0.0)).withColumn("recent_rank_ic", F.lit(0.0))
-        .withColumn("novelty_score", F.lit(1.0)).withColumn("error", F.lit(None).cast("string"))
-        .withColumn("diversity_rejected", F.lit(False)).withColumn("max_similarity", F.lit(0.0)))
-    values = similarity.value_similarity(merged.select("factor_name", "entity", "date", "value"), min_overlap=1000)
-    series = similarity.ic_similarity(d)
-    flagged = catalog.diversity_flags(cands, cands.limit(0), values, series, catalog.Gates(min_grade="D"))
+
+def _rivals(spark, sf_dir):
+    """Candidates whose texts name a style, with their value and day series."""
+    named = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("factor_name"),
+        F.concat(F.lit(" + style_"), F.translate((F.col("p_partkey") % STYLES).cast("string"), "0123456789", "abcdefghij")).alias("_more"))
+    plain = candidates(spark, sf_dir).join(named, "factor_name").withColumn("expression", F.concat("expression", "_more")).drop("_more")
+    lines = table(spark, sf_dir, "lineitem").withColumn("factor_name", F.concat(F.lit("part_"), F.col("l_partkey").cast("string")))
+    values = lines.groupBy("factor_name", F.floor(F.col("l_quantity") / 8).cast("string").alias("entity"), F.make_date(F.floor(F.year("l_shipdate") / 10).cast("int") * 10, F.lit(1), F.lit(1)).alias("date")).agg(
+        (F.sum(F.col("l_tax").cast("decimal(6,2)")).cast("double") / F.count("*")).alias("value"))
+    days = lines.groupBy("factor_name", F.trunc("l_shipdate", "year").alias("date")).agg(
+        (F.sum(F.col("l_discount").cast("decimal(6,2)")).cast("double") / F.count("*")).alias("rank_ic"))
+    return cut_lineage(catalog.describe(plain)), cut_lineage(values), cut_lineage(days)
+
+
+def _diversity(spark, sf_dir):
+    """Three generations judged against the first and against each other, on series of their own."""
+    from panelwright.operators import similarity
+
+    d, values, days = _rivals(spark, sf_dir)
+    accepted = d.filter(catalog.passes(CLOSE)).select("factor_name")
+    value_pairs = similarity.value_similarity(values, min_overlap=6, against=accepted, spread=False)
+    day_pairs = similarity.ic_similarity(days, min_days=6, against=accepted)
+    flagged = catalog.diversity_flags(d.filter("generation <> 0"), d.filter("generation = 0"), value_pairs, day_pairs, CLOSE)
     return flagged.select("factor_name", "diversity_rejected", r6("max_similarity").alias("max_similarity"),
-                          r6("ic_series_max_similarity").alias("ic_series_max_similarity"), "most_similar_to")
+                          r6("ic_series_max_similarity").alias("ic_series_max_similarity"), "most_similar_to", r6("novelty_score").alias("novelty_score"))
 
 
-_add("diversity_flags", "C7, C12", _diversity, None)
+cte("rivals", ("cands",), f"""
+  SELECT c.* REPLACE (c.structure_signature || '+style_' || translate(CAST(p_partkey % {STYLES} AS VARCHAR), '0123456789', 'abcdefghij') AS structure_signature),
+         regexp_replace(c.expression || '+style_' || translate(CAST(p_partkey % {STYLES} AS VARCHAR), '0123456789', 'abcdefghij'), '\\s+', '', 'g') AS compact
+  FROM cands c""")
+cte("rival_values", (), """
+  SELECT 'part_' || l_partkey AS factor_name, CAST(CAST(floor(l_quantity / 8) AS BIGINT) AS VARCHAR) AS entity, CAST(sum(CAST(l_tax AS DECIMAL(6,2))) AS DOUBLE) / count(*) AS value FROM lineitem GROUP BY 1, 2""")
+cte("rival_days", (), """
+  SELECT 'part_' || l_partkey AS factor_name, date_trunc('year', l_shipdate) AS date, CAST(sum(CAST(l_discount AS DECIMAL(6,2))) AS DOUBLE) / count(*) AS rank_ic
+  FROM lineitem GROUP BY 1, 2""")
+
+
+def _one_sided(source: str, key: str, value: str) -> str:
+    """|Spearman| of every candidate with every passing one, in both directions."""
+    pair = "name, other"
+    return (
+        f"SELECT name, other, abs({rank_corr_sql('rx', 'ry')}) AS sim FROM (SELECT name, other, {centred_sql('x', pair)} AS rx, {centred_sql('y', pair)} AS ry FROM ("
+        f"SELECT a.factor_name AS name, b.factor_name AS other, a.{value} AS x, b.{value} AS y FROM {source} a JOIN {source} b ON a.{key} = b.{key} AND a.factor_name <> b.factor_name "
+        "WHERE b.factor_name IN (SELECT factor_name FROM rivals WHERE passes))) GROUP BY 1, 2 HAVING count(*) >= 6"
+    )
+
+
+cte("value_near", ("rivals", "rival_values"), _one_sided("rival_values", "entity", "value"))
+cte("day_near", ("rivals", "rival_days"), _one_sided("rival_days", "date", "rank_ic"))
+# The references have places below 1; the fold walks the candidates in order and remembers the places accepted.
+cte("turns", ("rivals",), """
+  SELECT *, CASE WHEN generation = 0 THEN -ord ELSE row_number() OVER (PARTITION BY generation = 0, error IS NULL AND NOT diversity_rejected ORDER BY ord) END AS turn,
+         generation <> 0 AND error IS NULL AND NOT diversity_rejected AS judged FROM rivals""")
+cte("stoppers", ("turns", "value_near", "day_near"), """
+  SELECT c.turn, coalesce(list(DISTINCT r.turn) FILTER (r.compact = c.compact), []) AS texts,
+         coalesce(list(DISTINCT r.turn) FILTER (r.structure_signature = c.structure_signature), []) AS structures,
+         coalesce(list(DISTINCT r.turn) FILTER (v.sim >= 0.95 OR d.sim >= 0.95), []) AS near, any_value(c.passes) AS passes
+  FROM turns c LEFT JOIN turns r ON r.passes AND r.factor_name <> c.factor_name
+  LEFT JOIN value_near v ON v.name = c.factor_name AND v.other = r.factor_name LEFT JOIN day_near d ON d.name = c.factor_name AND d.other = r.factor_name
+  WHERE c.judged GROUP BY c.turn""")
+cte("verdicts", ("turns", "stoppers"), """
+  WITH RECURSIVE fold AS (
+    SELECT CAST(0 AS BIGINT) AS turn, list(turn) FILTER (generation = 0 AND passes) AS held, '' AS state FROM turns
+    UNION ALL
+    SELECT turn, CASE WHEN state = 'accepted' AND passes THEN list_append(held, turn) ELSE held END, state FROM (
+      SELECT s.turn, f.held, s.passes, CASE WHEN list_has_any(s.texts, f.held) THEN 'same_expression' WHEN list_has_any(s.structures, f.held) THEN 'same_structure'
+             WHEN list_has_any(s.near, f.held) THEN 'similar' ELSE 'accepted' END AS state
+      FROM fold f JOIN stoppers s ON s.turn = f.turn + 1))
+  SELECT turn, state FROM fold WHERE turn > 0""")
+cte("judged", ("turns", "verdicts"), "SELECT t.*, v.state FROM turns t LEFT JOIN verdicts v ON t.judged AND t.turn = v.turn")
+cte("held", ("judged",), "SELECT * FROM judged WHERE passes AND (generation = 0 OR state = 'accepted')")
+cte("nearest", ("judged", "held", "value_near", "day_near"), f"""
+  SELECT c.factor_name, coalesce(max(v.sim), 0) AS value_sim, coalesce(max(d.sim), 0) AS day_sim, greatest(0, least(1, 1 - max({_SIM}))) AS novelty,
+         arg_max(r.factor_name, (v.sim, -r.turn)) FILTER (v.sim > 0 AND r.generation <> 0) AS other,
+         arg_min(r.factor_name, (-v.sim, r.factor_name)) FILTER (v.sim > 0 AND r.generation = 0) AS first_ref, max(v.sim) FILTER (r.generation = 0) AS ref_sim
+  FROM (SELECT * FROM judged WHERE judged) c LEFT JOIN held r ON r.turn < c.turn
+  LEFT JOIN value_near v ON v.name = c.factor_name AND v.other = r.factor_name LEFT JOIN day_near d ON d.name = c.factor_name AND d.other = r.factor_name
+  GROUP BY 1""")
+cte("flags", ("judged", "nearest"), """
+  SELECT *, CASE WHEN ref_sim >= value_sim THEN first_ref ELSE other END AS who, state IN ('same_expression', 'same_structure') AS repeated FROM judged LEFT JOIN nearest USING (factor_name) WHERE generation <> 0""")
+_add("diversity_flags", "C7 with references, C5 and C6 one-sided", _diversity, sql(
+    f"SELECT factor_name, CASE WHEN judged THEN state <> 'accepted' ELSE diversity_rejected END AS diversity_rejected, "
+    f"CASE WHEN NOT judged THEN {R('max_similarity')} WHEN repeated THEN 1.0 ELSE {R('value_sim')} END AS max_similarity, "
+    f"CASE WHEN judged THEN CASE WHEN repeated THEN {R('0')} ELSE {R('day_sim')} END END AS ic_series_max_similarity, "
+    "CASE WHEN judged THEN CASE WHEN repeated THEN state WHEN state = 'similar' AND value_sim < 0.95 THEN coalesce(who, 'similar_ic_series') ELSE coalesce(who, '') END END AS most_similar_to, "
+    f"CASE WHEN judged AND NOT repeated THEN {R('coalesce(novelty, 1)')} ELSE {R('novelty_score')} END AS novelty_score FROM flags", "flags"))
 
 
 def _sweep(spark, sf_dir):
@@ -402,10 +469,6 @@ _add("generation_evolution", "A38", lambda spark, sf_dir: rounded(screen.generat
     "SELECT generation, count(*) AS evaluated, count(*) FILTER (passes) AS passed, arg_max(factor_name, row(abs(mean_rank_ic), factor_name)) AS best_factor, "
     f"{R('arg_max(mean_rank_ic, row(abs(mean_rank_ic), factor_name))')} AS best_mean_rank_ic, arg_max(grade, row(abs(mean_rank_ic), factor_name)) AS best_grade "
     "FROM cands WHERE error IS NULL GROUP BY 1", "cands"))
-_add("run_counts", "A39", lambda spark, sf_dir: rounded(screen.run_counts(candidates(spark, sf_dir).withColumn("elapsed_sec", F.col("complexity_score").cast("double")))), sql(
-    f"SELECT count(*) FILTER (error IS NULL) AS success_count, count(*) FILTER (error IS NOT NULL) AS error_count, {R('avg(complexity_score)')} AS mean_elapsed_sec, "
-    f"arg_max(factor_name, row(rank_ic_ir, factor_name)) AS top_factor, {R('max(rank_ic_ir)')} AS top_rank_ic_ir FROM cands", "cands"))
-
 
 def _select(spark, sf_dir):
     """Recipe picks for every family, with the definitions of one nation's suppliers already used."""

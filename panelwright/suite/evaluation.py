@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from panelwright.functions.scalar import is_true
 from panelwright.operators import ic, screen, similarity
 from panelwright.functions import timeseries as ts
-from panelwright.plans import pipelines
+from panelwright.plans import batch, pipelines
 from panelwright.session import cut_lineage
+from panelwright.sources import sinks
 from panelwright.sources.panel import FLAGS, weekly_panel
 from panelwright.suite.base import (
     Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, r6, rank_corr_sql, rank_sql, rounded, scratch, sql,
@@ -469,6 +470,58 @@ _add("batch_analysis", "whole run: K8, J1, A3, A6, K1, A22", _batch, sql(
     + grade_sql("stats", "factor_name, mean_rank_ic, rank_ic_ir, valid_days") + ")", "stats"))
 
 
+def broken_batch(spark, sf_dir) -> str:
+    """The folder of a batch run twice: stored library factors, an unreadable one, one of bad numbers, one without valid days."""
+    panel, factors = library_factors(spark, sf_dir)
+    factors = cut_lineage(factors)
+    source, out = scratch(spark), scratch(spark)
+    for name in LIBRARY:
+        factors.filter(F.col("factor_name") == name).select("entity", "date", "value").write.parquet(f"{source}/{name}")
+    one = factors.filter("factor_name = 'momentum_4'")
+    one.select(F.concat_ws(",", "entity", "value").alias("value")).write.text(f"{source}/not_a_table")
+    one.select("entity", "date", F.when(F.col("value") > 0.5, F.lit("high")).otherwise(F.col("value").cast("string")).alias("value")).write.parquet(f"{source}/bad_numbers")
+    one.select("entity", "date", F.lit(1.0).alias("value")).write.parquet(f"{source}/constant")
+    sources = {n: (lambda s, n=n: s.read.parquet(f"{source}/{n}")) for n in [*LIBRARY, "not_a_table", "bad_numbers", "constant"]}
+    for _ in range(2):
+        batch.run_batch(panel, sources, out)
+    return out
+
+
+def _batch_errors(spark, sf_dir):
+    """Every factor once, although the batch ran twice; why the failed ones failed, and the days of the others."""
+    out = broken_batch(spark, sf_dir)
+    entries = spark.read.parquet(f"{out}/manifest").groupBy("factor_name").agg(F.count("*").alias("entries"))
+    reason = F.regexp_extract("error", r"\[([A-Z_]+)", 1)
+    return batch.manifest(spark, out).join(entries, "factor_name").select(
+        "factor_name", F.coalesce(F.nullif(reason, F.lit("")), "error").alias("reason"), "valid_days", "entries", (F.col("elapsed_sec") > 0).alias("timed"))
+
+
+_FAILED = "('not_a_table', 'FAILED_READ_FILE'), ('bad_numbers', 'CAST_INVALID_INPUT'), ('constant', 'no valid days')"
+_add("batch_errors", "K4, A39, K8, S5", _batch_errors, sql(
+    "SELECT factor_name, CAST(NULL AS VARCHAR) AS reason, valid_days, CAST(1 AS BIGINT) AS entries, true AS timed FROM stats "
+    f"UNION ALL SELECT *, CAST(0 AS BIGINT), CAST(1 AS BIGINT), true FROM (VALUES {_FAILED}) t", "stats"))
+
+
+def _metadata(spark, sf_dir):
+    out = sinks.run_metadata(batch.batch_summary(spark, broken_batch(spark, sf_dir)), {"panel": "weekly", "horizon": "1"})
+    return rounded(out.select(F.col("inputs")["panel"].alias("panel"), "factor_count", "success_count", "error_count", "best_rank_ic_ir", "status"))
+
+
+_add("run_metadata", "K4", _metadata, sql(
+    f"SELECT 'weekly' AS panel, count(*) + 3 AS factor_count, count(*) AS success_count, CAST(3 AS BIGINT) AS error_count, "
+    f"{R('max(rank_ic_ir)')} AS best_rank_ic_ir, 'partial' AS status FROM stats", "stats"))
+
+
+def _counts(spark, sf_dir):
+    counts = screen.run_counts(batch.batch_summary(spark, broken_batch(spark, sf_dir)))
+    return rounded(counts.withColumn("mean_elapsed_sec", F.col("mean_elapsed_sec") > 0).withColumnRenamed("mean_elapsed_sec", "timed"))
+
+
+_add("run_counts", "A39", _counts, sql(
+    "SELECT count(*) AS success_count, CAST(3 AS BIGINT) AS error_count, true AS timed, arg_max(factor_name, row(rank_ic_ir, factor_name)) AS top_factor, "
+    f"{R('max(rank_ic_ir)')} AS top_rank_ic_ir FROM stats", "stats"))
+
+
 def _user_factor(spark, sf_dir):
     def compute(panel):
         w = ts.entity_window()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -69,27 +68,52 @@ _add("standardise", "M3", _scaled, sql("SELECT entity, date, " + ", ".join(
 
 
 def _pca(spark, sf_dir):
-    """Explained variance of each component; the sum is at most 1 and it falls."""
+    """Power sums of the component variances: the traces of the powers of the correlation matrix."""
     train = cut_lineage(_features(spark, sf_dir))
-    stages = composite.standardiser(NAMES) + [PCA(k=3, inputCol="_scaled", outputCol="pcs")]
-    model = Pipeline(stages=stages).fit(train)
-    shares = composite.explained_variance(model)
-    projected = model.transform(train).withColumn("_a", vector_to_array("pcs"))
-    # each component's variance is its share of the total, one unit per feature
-    moments = projected.agg(*[F.var_samp(F.col("_a")[i]).alias(f"v{i}") for i in range(3)])
-    rows = ", ".join(f"{i + 1}, {float(share)!r}D, v{i} / {len(NAMES)}" for i, share in enumerate(shares))
-    return rounded(moments.select(F.expr(f"stack(3, {rows}) as (component, explained_variance, projected_share)")))
+    shares = composite.explained_variance(Pipeline(stages=composite.projection(NAMES, len(NAMES))).fit(train))
+    rows = ", ".join(f"{p}, {sum((len(NAMES) * float(s)) ** p for s in shares)!r}D" for p in (1, 2, 3))
+    return rounded(train.limit(1).select(F.expr(f"stack(3, {rows}) as (power, trace)")))
 
 
-_add("pca", "M4", _pca, None)
+_pairs = [(a, b) for a in NAMES for b in NAMES]
+cte("correlations", ("features",), "SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in _pairs) + " FROM features")
+_square = " + ".join(f"{a}__{b} * {b}__{a}" for a, b in _pairs)
+_cube = " + ".join(f"{a}__{b} * {b}__{c} * {c}__{a}" for a, b in _pairs for c in NAMES)
+_add("pca", "M4", _pca, sql(
+    f"SELECT CAST(1 AS INTEGER) AS power, CAST({len(NAMES)} AS DOUBLE) AS trace UNION ALL SELECT 2, {R(_square)} FROM correlations UNION ALL SELECT 3, {R(_cube)} FROM correlations", "correlations"))
 
 
-def _fit(spark, sf_dir):
+def _rebuilt(spark, sf_dir):
+    """Every row's scaled features from all its components."""
+    train = cut_lineage(_features(spark, sf_dir))
+    model = Pipeline(stages=composite.projection(NAMES, len(NAMES))).fit(train)
+    return rounded(composite.reconstructed(model, train.drop("return_next"), NAMES))
+
+
+_add("pca_reconstruction", "M4, M3", _rebuilt, CHECKS["standardise"].sql)
+
+
+def _boosted(spark, sf_dir):
     data = cut_lineage(_features(spark, sf_dir))
     train, test = composite.time_split(data, 0.2)
-    model = composite.fit_composite(train, NAMES, components=3, trees=15, depth=3)
-    scored = composite.composite_scores(model, train).withColumn("split", F.lit("train")).unionByName(
-        composite.composite_scores(model, test).withColumn("split", F.lit("test")))
+    return composite.fit_boosted(train, NAMES, components=3), train, test
+
+
+def _stopping(spark, sf_dir):
+    """Loss on the tail after each tree tried, the one kept and the last."""
+    fitted, train, _ = _boosted(spark, sf_dir)
+    losses = F.posexplode(F.array(*[F.lit(float(x)) for x in fitted.losses]))
+    return train.limit(1).select(losses.alias("iteration", "loss")).select(
+        "iteration", "loss", (F.col("iteration") == fitted.best).alias("kept"), (F.col("iteration") == fitted.stopped).alias("stopped"))
+
+
+_add("early_stopping", "M5", _stopping, None)
+
+
+def _fit(spark, sf_dir):
+    fitted, train, test = _boosted(spark, sf_dir)
+    scored = composite.composite_scores(fitted.model, train).withColumn("split", F.lit("train")).unionByName(
+        composite.composite_scores(fitted.model, test).withColumn("split", F.lit("test")))
     return cut_lineage(scored)
 
 
@@ -113,12 +137,11 @@ _add("composite_strategy", "M7, A25", _strategy, None)
 def _topk(spark, sf_dir):
     _, factors = library_factors(spark, sf_dir)
     # mean ranks tie exactly in theory; compare at a precision above float noise
-    means = factors.withColumn("value", F.round("value", 9))
-    return rounded(composite.daily_topk(means.filter("factor_name <> 'reversal_2'").withColumn("value", F.col("value") * F.length("factor_name")), 2))
+    return rounded(composite.daily_topk(factors.withColumn("value", F.round("value", 9)), 2))
 
 
 _place = "max({c}) FILTER (k = {k})"
 _add("daily_topk", "O6", _topk, sql(
     "SELECT date, " + ", ".join(f"max(factor_name) FILTER (k = {k}) AS rank{k}_factor, {R(f'max(m) FILTER (k = {k})')} AS rank{k}_value" for k in (1, 2))
     + " FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY m DESC, factor_name) AS k FROM ("
-    "SELECT date, factor_name, avg(round(value, 9) * length(factor_name)) AS m FROM merged WHERE factor_name <> 'reversal_2' GROUP BY 1, 2)) WHERE k <= 2 GROUP BY 1", "merged"))
+    "SELECT date, factor_name, avg(round(value, 9)) AS m FROM merged GROUP BY 1, 2)) WHERE k <= 2 GROUP BY 1", "merged"))

@@ -230,17 +230,6 @@ _add("flat_export", "K5, J2", _flat, sql(
     "CAST(coalesce(suspended, false) AS INTEGER) AS is_suspended FROM merged WHERE factor_name = 'momentum_4'", "merged"))
 
 
-def _metadata(spark, sf_dir):
-    summary = ic.factor_summary(daily(spark, sf_dir)).withColumn("error", F.when(F.col("factor_name") == "activity_8", "timeout"))
-    out = sinks.run_metadata(summary, {"panel": "weekly", "horizon": "1"})
-    return rounded(out.select(F.col("inputs")["panel"].alias("panel"), "factor_count", "success_count", "error_count", "best_rank_ic_ir", "status"))
-
-
-_add("run_metadata", "K4", _metadata, sql(
-    f"SELECT 'weekly' AS panel, count(*) AS factor_count, count(*) FILTER (factor_name <> 'activity_8') AS success_count, count(*) FILTER (factor_name = 'activity_8') AS error_count, "
-    f"{R('max(rank_ic_ir)')} AS best_rank_ic_ir, 'partial' AS status FROM summary", "summary"))
-
-
 def _todo(spark, sf_dir):
     path = scratch(spark)
     _, factors = library_factors(spark, sf_dir)

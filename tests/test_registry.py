@@ -1,5 +1,10 @@
 """The registered queries: shape of the registry, plans, and a sample against SQL."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -16,7 +21,21 @@ def test_registry_is_consistent():
     queries = set(all_checks())
     sql = queries & set(sql)
     assert len(queries) >= 115
-    assert set(queries) - set(sql) == {"diversity_flags", "pca", "composite_metrics", "composite_strategy"}
+    assert set(queries) - set(sql) == {"pca", "composite_metrics", "composite_strategy"}
+
+
+@pytest.mark.parametrize("pipeline_goes", [True, False])
+def test_registry_without_the_optional_subpackage(tmp_path, pipeline_goes):
+    home = Path(contract.__file__).parent
+    optional = "llm"
+    shutil.copytree(home / "panelwright", tmp_path / "panelwright", ignore=shutil.ignore_patterns(optional, "__pycache__"))
+    names = ["__spark_entry__.py"] if pipeline_goes else ["__spark_entry__.py", "corpus_pipeline.py"]
+    for name in names:
+        if (home / name).exists():
+            shutil.copy(home / name, tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == len(all_checks()) and int(out[1]) > 100
 
 
 def test_entry_returns_rows(spark):
