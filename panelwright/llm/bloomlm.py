@@ -38,8 +38,8 @@ HEAD = 1 << 18
 PAIR_SHARE = 0.25
 END = mix(np.array([0xE0D], np.uint64))[0]
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-#: Words and pairs that a task sums before it sends them on; it changes no count.
-FLUSH = 4_000_000
+#: Hashes with counts, words and pairs together, that a task holds before it sums them; it changes no count.
+FLUSH = 1_500_000
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,9 +97,14 @@ def ngram_counts(texts: DataFrame, ranges: int) -> DataFrame:
                     keys, n = np.unique(keys, return_counts=True)
                     held[kind].append((keys, n.astype(np.int64)))
                     size[kind] += len(keys)
-                    if size[kind] > FLUSH:
-                        yield blocks(kind, held[kind])
-                        held[kind], size[kind] = [], 0
+                if sum(size.values()) > FLUSH:
+                    for kind, parts in held.items():
+                        # what is still large once it is summed goes on, the rest stays
+                        keys, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                        held[kind], size[kind] = [(keys, n)], len(keys)
+                        if len(keys) > FLUSH // 4:
+                            yield blocks(kind, held[kind])
+                            held[kind], size[kind] = [], 0
         for kind, parts in held.items():
             if parts:
                 yield blocks(kind, parts)

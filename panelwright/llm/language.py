@@ -9,6 +9,7 @@ once, so one step of the parse is a few vector operations.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwright.llm.common import LOWER, even_starts, flat, read, remainder, slices
+from panelwright.llm.common import LOWER, even_starts, flat, kept_rows, read, remainder, slices
 
 #: Rows of each language and bytes of their text that the automata are built on at most.
 ROWS, SAMPLE_BYTES = 200, 48 << 10
@@ -43,37 +44,36 @@ def symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def automaton(text: np.ndarray) -> np.ndarray:
-    """(states, SYMBOLS) next states of the suffix automaton, -1 where a stretch does not go on."""
-    step: list[dict[int, int]] = [{}]
+    """(states, SYMBOLS) next states of the suffix automaton, -1 where a stretch does not go on.
+
+    Edges lie in one flat array from the start, so that nothing is larger while it is built.
+    """
+    step = array("i", [-1]) * (max(2, 2 * len(text)) * SYMBOLS)
     link, length = [-1], [0]
     last = 0
     for c in text.tolist():
-        new = len(step)
-        step.append({})
+        new = len(link)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = new
+        while p >= 0 and step[p * SYMBOLS + c] < 0:
+            step[p * SYMBOLS + c] = new
             p = link[p]
         if p >= 0:
-            q = step[p][c]
+            q = step[p * SYMBOLS + c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                twin = len(step)
-                step.append(dict(step[q]))
+                twin = len(link)
+                step[twin * SYMBOLS: (twin + 1) * SYMBOLS] = step[q * SYMBOLS: (q + 1) * SYMBOLS]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = twin
+                while p >= 0 and step[p * SYMBOLS + c] == q:
+                    step[p * SYMBOLS + c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    out = np.full((len(step), SYMBOLS), -1, np.int32)
-    for state, edges in enumerate(step):
-        out[state, list(edges)] = list(edges.values())
-    return out
+    return np.frombuffer(step, np.int32).reshape(-1, SYMBOLS)[: len(link)]
 
 
 @lru_cache(maxsize=2)
@@ -86,10 +86,17 @@ def _parser(samples: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
     for sample in samples:
         data = np.frombuffer(sample, np.uint8)
         go = automaton(symbols(data, np.array([0, len(data)]))[0])
-        first = (np.where(go[0] >= 0, go[0], len(go)) + base) * SYMBOLS
-        table = np.where(go >= 0, (go + base) * SYMBOLS, first | _ENDED)
-        table[0] = first
-        tables.append(np.concatenate([table, (first | _ENDED)[None, :]]).astype(np.int32))
+        if (base + len(go) + 1) * SYMBOLS >= _ENDED:
+            raise ValueError("too many languages for one table of states; give smaller samples")
+        table = np.empty((len(go) + 1, SYMBOLS), np.int32)
+        table[:-1] = go
+        gone = table < 0
+        table += np.int32(base)
+        table *= np.int32(SYMBOLS)
+        first = np.where(go[0] >= 0, (go[0] + base) * SYMBOLS, (len(go) + base) * SYMBOLS).astype(np.int32)
+        np.copyto(table, (first | _ENDED)[None, :], where=gone)
+        table[0], table[-1] = first, first | _ENDED
+        tables.append(table)
         roots.append(base * SYMBOLS)
         base += len(go) + 1
     return np.concatenate(tables).ravel(), np.array(roots, np.int32)
@@ -159,15 +166,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 def keep(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """The rows with a predicted language, all their columns unchanged; no shuffle."""
     answer = _answers(samples)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                lang, _ = answer(part.column(part.schema.get_field_index("_text")))
-                yield part.filter(pa.array(lang != UNKNOWN))
-
-    held = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("text").alias("_text"))
-    return held.mapInArrow(run, held.schema).select("_row.*")
+    return kept_rows(docs, lambda text: answer(text)[0] != UNKNOWN)
 
 
 def _answers(samples: dict[str, bytes]):

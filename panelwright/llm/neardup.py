@@ -2,19 +2,24 @@
 
 Documents with one shingle set form a class, and only classes are compared.  A
 class has ``TREES`` labels, each a stretch of its signature in an order of its own.
-Every tree is sorted by label; rows that agree on the first ``DEPTH`` values form a
-region, and inside it the sort by the values that follow puts the longest common
-prefixes next to each other, so the depth in use grows with the crowding of a region.
-
-Candidates come in two rounds, over the classes that share a region with another.
-First each row meets its predecessor and the head of its region, rows being sorted by
-how crowded a class's regions are: the text that copies derive from heads nearly
-all regions it is in, so a group of thousands is linked with two candidates a row.
-After that, rows of a region meet those of its other components, the ``NEAREST`` by a
-sketch of two bits per hash first; each further turn takes ``GROWTH`` times as many,
-until no two rows of a region that are in different components have not met.  The
-sketch orders candidates and drops none.  All candidates are confirmed on their full
-sets, and components are the closure of confirmed links.
+Rows that agree on the first ``DEPTH`` values of a tree form a region; inside it rows
+are sorted by the values that follow, so neighbours share the longest prefixes and
+the depth in use grows with the crowding of a region.
+
+Candidates of the classes that share a region with another come in rounds.  First
+each row meets its neighbour by label, and the head of its region, the class whose
+regions are most crowded: the text that copies derive from heads nearly all regions
+it is in, so a group of thousands is linked with few candidates a row.  After that,
+rows of a region meet those of its other components, the ``NEAREST`` by parity first;
+each further turn takes ``GROWTH`` times as many, until no two rows of a region that
+are in different components and may be linked have not met.
+
+Each row carries the parity of its shingles in ``PARITY`` bits: a bit is turned once
+for every shingle that falls on it.  Bits in which two rows differ are never more
+than the shingles that only one of them has, and a link of similarity 0.8 has a ninth
+of both sizes of those at most.  Pairs beyond are dropped where they are formed, which
+loses no link and leaves few pairs that are not close.  For sets of more shingles than
+bits the test says less and less; such pairs are confirmed on their sets like others.
 
 For two sets of similarity 0.8 the chance to share no region is
 (1 - 0.8**5)**32, three in a million.
@@ -34,9 +39,10 @@ TREES, DEPTH = 32, 5
 HASHES = TREES * DEPTH
 #: Rows of other components that a row meets in the first turn of the second round, and the factor of every further turn.
 NEAREST, GROWTH = 4, 8
-#: Places of a comparison by sketch that a task holds at a time; it changes no result.
-CELLS = 1 << 18
-SKETCH = [f"s{k}" for k in range(HASHES // 32)]
+#: Places of a comparison by parity that a task holds at a time; it changes no result.
+CELLS = 1 << 17
+PARITY = 512
+WORDS = [f"p{k}" for k in range(PARITY // 64)]
 #: Bits of the filter that names wanted documents.  A full filter only lets more rows through; the join after it is exact.
 FILTER_BITS = 1 << 23
 
@@ -65,8 +71,18 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(rows, PARITY / 64) words, a bit turned for every hash that falls on it."""
+    rows = len(bounds) - 1
+    out = np.zeros(rows * len(WORDS), np.uint64)
+    bit = mix(hashes) % np.uint64(PARITY)
+    at = np.repeat(np.arange(rows), np.diff(bounds)) * len(WORDS) + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+    return out.reshape(rows, len(WORDS))
+
+
 def sign(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, hi, lo, signature) of whole texts; NULL text is empty."""
+    """(doc_id, n, hi, lo, signature, parity) of whole texts; NULL text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,17 +92,18 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
                 sig = signatures(hashes, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)),
-                     pa.array([r.tobytes() for r in sig], pa.binary())], ["doc_id", "n", "hi", "lo", "signature"])
+                     pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in parities(hashes, bounds)], pa.binary())],
+                    ["doc_id", "n", "hi", "lo", "signature", "parity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, signature binary, parity binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
-    """A row (region, label, id, n, comp) and the sketch for each class and tree.
+    """A row (region, label, id, n, comp) and the parity words for each class and tree.
 
     ``region`` names tree and first values, ``label`` sorts by the values that follow.
     """
-    schema = "region long, label long, id long, n long, comp long, " + ", ".join(f"{c} long" for c in SKETCH)
+    schema = "region long, label long, id long, n long, comp long, " + ", ".join(f"{c} long" for c in WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,14 +118,14 @@ def forest(classes: DataFrame) -> DataFrame:
                     for d in range(3):
                         label = (label << np.uint64(21)) | (np.roll(sig, -DEPTH * (d + 1), axis=1)[:, d::DEPTH] >> np.uint64(11))
                 each = lambda x: pa.array(np.repeat(x, TREES))
-                two = (sig & np.uint64(3)).reshape(part.num_rows, len(SKETCH), 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+                parity = np.frombuffer(b"".join(part.column(4).to_pylist()), np.int64).reshape(part.num_rows, len(WORDS))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(region.ravel().view(np.int64)), pa.array(label.ravel().view(np.int64)),
                      *[each(part.column(c).to_numpy(zero_copy_only=False)) for c in (1, 2, 3)],
-                     *[each(x) for x in np.bitwise_or.reduce(two, axis=2).view(np.int64).T]],
-                    ["region", "label", "id", "n", "comp", *SKETCH])
+                     *[each(x) for x in parity.T]],
+                    ["region", "label", "id", "n", "comp", *WORDS])
 
-    return classes.select("signature", "id", "n", "comp").mapInArrow(run, schema)
+    return classes.select("signature", "id", "n", "comp", "parity").mapInArrow(run, schema)
 
 
 def _by_region(rows: DataFrame, *order: str) -> DataFrame:
@@ -132,15 +149,15 @@ def crowded(trees: DataFrame) -> DataFrame:
     return _by_region(trees.select("region", "id")).mapInArrow(run, "id long").distinct()
 
 
-def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity by sketch; the first axis runs over the sketch's words."""
-    differ = (a ^ b).view(np.uint64)
-    differ = (differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)
-    return (1 - np.bitwise_count(differ).sum(axis=0, dtype=np.int64) / HASHES - 0.25) / 0.75
+def _possible(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the rows may be linked by size and parity, and the bits in which they differ."""
+    n = rows[2]
+    apart = np.bitwise_count((rows[4:, i] ^ rows[4:, j]).view(np.uint64)).sum(axis=0, dtype=np.int64)
+    return (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80) & (9 * apart <= n[i] + n[j]), apart
 
 
 def _nearest(rows: np.ndarray, head: np.ndarray, upto: np.ndarray, i: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
-    """(rows, rows before ``upto``) that meet, the ``most`` nearest by sketch, and whether a row has more."""
+    """(rows, rows before ``upto``) that may be linked, the ``most`` nearest by parity, and whether a row has more."""
     found, more = [np.zeros((2, 0), np.int64)], False
     n = rows[2]
     span = upto[i] - head[i]
@@ -156,8 +173,9 @@ def _nearest(rows: np.ndarray, head: np.ndarray, upto: np.ndarray, i: np.ndarray
         valid &= np.minimum(n[j], n[own][:, None]) * 100 >= np.maximum(n[j], n[own][:, None]) * 80
         r, c = np.nonzero(valid)
         c = j[r, c]
-        alike = _likeness(rows[4:, own[r]], rows[4:, c])
-        order = np.lexsort((-alike, r))
+        fits, apart = _possible(rows, own[r], c)
+        r, c, apart = r[fits], c[fits], apart[fits]
+        order = np.lexsort((apart, r))
         r, c = r[order], c[order]
         chosen = np.arange(len(r)) - np.searchsorted(r, r) < most
         more |= not chosen.all()
@@ -166,9 +184,9 @@ def _nearest(rows: np.ndarray, head: np.ndarray, upto: np.ndarray, i: np.ndarray
 
 
 def neighbours(trees: DataFrame, order: tuple[str, ...], most: int = 0) -> DataFrame:
-    """Distinct candidate pairs (head, id) of regions sorted in ``order``, of sets near enough in size to be linked.
+    """Distinct candidate pairs (head, id) of regions sorted in ``order``, of sets that size and parity allow to be linked.
 
-    A row meets its predecessor and the head of its region or, with ``most`` and rows
+    A row meets the row before it and the head of its region or, with ``most`` and rows
     sorted by component, so many rows of the components before its own; a pair
     (-1, -1) says that some row has more.  Sorted rows stream through a task, which
     holds one batch and, with ``most``, the region so far.
@@ -183,7 +201,7 @@ def neighbours(trees: DataFrame, order: tuple[str, ...], most: int = 0) -> DataF
             old = 0
             if held is not None and held[0, -1] == rows[0, 0]:
                 rows, old = np.concatenate([held, rows], axis=1), held.shape[1]
-            region, ids, n, comp = rows[:4]
+            region, ids, _, comp = rows[:4]
             total = len(region)
             starts = np.ones(total, dtype=bool)
             starts[1:] = region[1:] != region[:-1]
@@ -199,12 +217,12 @@ def neighbours(trees: DataFrame, order: tuple[str, ...], most: int = 0) -> DataF
                 held = rows[:, last:]
             else:
                 i, j = np.concatenate([i, i]), np.concatenate([i - 1, head[i]])
-                fits = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * 80
+                fits, _ = _possible(rows, i, j)
                 i, j = i[fits], j[fits]
                 held = rows[:, np.unique([last, total - 1])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["head", "id"])
 
-    sorted_ = _by_region(trees, *order).select("region", "id", "n", "comp", *(SKETCH if most else []))
+    sorted_ = _by_region(trees, *order).select("region", "id", "n", "comp", *WORDS)
     return sorted_.mapInArrow(run, "head long, id long").distinct()
 
 
@@ -300,14 +318,14 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     all kept or all dropped.  Other columns of ``docs`` are ignored; an empty table gives an empty table.
     """
     signed = store(sign(docs, width))
-    classes = signed.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = signed.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("parity").alias("parity"))
     classes = store(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("comp", F.col("id")))
     met = store(classes.join(crowded(forest(classes)), "id", "left_semi"))
     trees = forest(met)
     sizes = trees.groupBy("region").agg(F.count("*").alias("size"))
     crowd = trees.select("region", "id").join(sizes, "region").groupBy("id").agg(F.sum("size").alias("crowd"))
     ranked = trees.join(crowd, "id").withColumn("last", -F.col("crowd"))
-    done = store(neighbours(ranked, ("last", "id")))
+    done = store(neighbours(ranked, ("last", "id")).union(neighbours(trees, ("label", "id"))).distinct())
     comps = components(confirmed(done, docs, classes, width))
     most = NEAREST
     while True:

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import Words, even_starts, mix, read, remainder, slices
+from panelwright.llm.common import Words, even_starts, kept_rows, mix, read, remainder, slices
 
 #: Rows of each class, and bytes of their text, that the model is fitted on at most.
 PER_CLASS, CLASS_BYTES = 3000, 12 << 20
@@ -210,15 +210,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows scored below ``most``, all their columns unchanged; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                text = part.column(part.schema.get_field_index("_text"))
-                yield part.filter(pa.array(shared.value.score(Words(text)) < most))
-
-    held = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("_row", F.col("text").alias("_text"))
-    return held.mapInArrow(run, held.schema).select("_row.*")
+    return kept_rows(docs, lambda text: shared.value.score(Words(text)) < most)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
