@@ -122,7 +122,8 @@ def fit_boosted(
 
     The tail is the last ``stop_share`` of the training time, so the test part takes
     no part in the fit.  The mean squared error on the tail is taken after every tree;
-    the best iteration before ``patience`` ones without gain is kept.  Trees depend on
+    the best iteration before ``patience`` ones without gain is kept.  With a single date
+    there is no tail, and all trees are fitted on all rows.  Trees depend on
     the seed and their place only, so fitting anew up to that place gives the same ones.
     """
     ready = Pipeline(stages=projection(names, components)).fit(train)
@@ -132,9 +133,9 @@ def fit_boosted(
     start, tail = rows.filter(~F.col("_tail")), rows.filter("_tail")
     boost = GBTRegressor(
         featuresCol="pcs", labelCol="return_next", predictionCol="composite_score", stepSize=LEARNING_RATE, maxIter=trees, maxDepth=depth, seed=seed)
+    if start.isEmpty() or tail.isEmpty():
+        return Boosted(PipelineModel([*ready.stages, boost.fit(rows)]), [], trees - 1, trees - 1)
     full = boost.fit(start)
-    if tail.isEmpty():
-        return Boosted(PipelineModel([*ready.stages, full]), [], trees - 1, trees - 1)
     losses = list(full.evaluateEachIteration(tail, "squared"))
     best, stopped = stopping_point(losses, patience)
     kept = full if best == len(losses) - 1 else boost.copy({boost.maxIter: best + 1}).fit(start)

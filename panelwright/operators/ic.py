@@ -54,14 +54,18 @@ def clean_returns(
     """Attach ``ret`` and drop untradable rows.
 
     The return and the next day's flags follow the entity's own rows and are
-    taken before any row is dropped.
+    taken before any row is dropped: from the struct ``ahead`` where the rows carry
+    one, else by a window over each factor's rows.
     """
     w = ts.entity_window(["factor_name", "entity"])
-    ahead = {"ret": ts.forward_return("close", 1, w) if next_day else ts.same_day_return("close", w)}
-    if next_day and exclude_limit_up:
-        ahead["_next_up"] = F.coalesce(ts.next_flag("limit_up_flag", w), F.lit(False))
-    if next_day and exclude_limit_down:
-        ahead["_next_down"] = F.coalesce(ts.next_flag("limit_down_flag", w), F.lit(False))
+    carried = next_day and "ahead" in merged.columns
+    if carried:
+        ahead = {"ret": divide("ahead.close", "close") - 1}
+    else:
+        ahead = {"ret": ts.forward_return("close", 1, w) if next_day else ts.same_day_return("close", w)}
+    for wanted, flag, name in ((exclude_limit_up, "limit_up_flag", "_next_up"), (exclude_limit_down, "limit_down_flag", "_next_down")):
+        if next_day and wanted:
+            ahead[name] = F.coalesce(F.col(f"ahead.{flag}") if carried else ts.next_flag(flag, w), F.lit(False))
     rows = merged.withColumns(ahead)
     keep: Column = F.col("value").isNotNull() & F.col("ret").isNotNull()
     for peek in ("_next_up", "_next_down"):
@@ -75,7 +79,7 @@ def clean_returns(
     ):
         if wanted:
             keep = keep & ~is_true(flag)
-    return rows.filter(keep).drop("_next_up", "_next_down")
+    return rows.filter(keep).drop("_next_up", "_next_down", "ahead")
 
 
 def correlations_by(

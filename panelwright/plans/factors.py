@@ -245,13 +245,38 @@ def to_long(wide: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataF
     )
 
 
-def factor_long(panel: Panel, terms: dict[str, Term], carry: Sequence[str] = (), batch: int = 40) -> DataFrame:
-    """Long factor table of a library, in batches so that plans stay small."""
+#: What of an entity's next row a factor's row may carry.
+AHEAD = ("close", "limit_up_flag", "limit_down_flag")
+
+
+def with_ahead(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add ``_ahead_<name>``: price and flags of the entity's next row on which that factor has a value.
+
+    Taken here, one sort of the wide rows by entity serves all factors; taken on the
+    long table it would sort every factor's rows.
+    """
+    fields = ", ".join(c for c in AHEAD if c in wide.columns)
+    over = "OVER (PARTITION BY entity ORDER BY date)"
+    return wide.select("*", *[
+        F.expr(f"lead(CASE WHEN `{n}` IS NOT NULL THEN struct({fields}) END) IGNORE NULLS {over}").alias(f"_ahead_{n}") for n in names])
+
+
+def factor_long(panel: Panel, terms: dict[str, Term], carry: Sequence[str] = (), batch: int = 40, ahead: bool = False) -> DataFrame:
+    """Long factor table of a library, in batches so that plans stay small.
+
+    With ``ahead`` each row carries ``ahead``, a struct of what :func:`with_ahead`
+    finds, and evaluation needs no further window over entities.
+    """
     names = list(terms)
     out = None
     for i in range(0, len(names), batch):
         part = names[i : i + batch]
         wide = factor_wide(panel, {n: terms[n] for n in part}, carry)
-        long = to_long(wide, part, [*KEY, *carry]).select("factor_name", *KEY, "value", *carry)
+        if ahead:
+            triples = ", ".join(f"'{n}', `{n}`, `_ahead_{n}`" for n in part)
+            long = with_ahead(wide, part).select(*KEY, *carry, F.expr(f"stack({len(part)}, {triples}) as (factor_name, value, ahead)")).filter(F.col("value").isNotNull())
+        else:
+            long = to_long(wide, part, [*KEY, *carry])
+        long = long.select("factor_name", *KEY, "value", *carry, *(["ahead"] if ahead else []))
         out = long if out is None else out.unionByName(long)
     return out

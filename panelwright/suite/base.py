@@ -43,6 +43,15 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
+def magnitude(x) -> Column:
+    """Sign and order of a number: compounded returns of this panel span hundreds of digits."""
+    return r6(F.signum(col(x)) * F.log1p(F.abs(col(x))))
+
+
+def magnitude_sql(expr: str) -> str:
+    return R(f"sign({expr}) * ln(1 + abs({expr}))")
+
+
 def R(expr: str, digits: int = 6) -> str:
     return f"round(({expr}) + {NUDGE!r}, {digits}) + 0.0"
 
@@ -220,7 +229,7 @@ CARRY = ["close", "market_cap", "industry", *FLAGS]
 def library(spark: SparkSession, sf_dir: str, carry: list[str] = ["close", *FLAGS]) -> tuple[Panel, DataFrame]:
     """The weekly panel and its library factors joined with the panel's own columns."""
     panel = weekly_panel(spark, sf_dir)
-    return panel, factor_long(panel, LIBRARY, carry=carry)
+    return panel, factor_long(panel, LIBRARY, carry=carry, ahead=set(FLAGS) <= set(carry))
 
 
 def library_factors(spark: SparkSession, sf_dir: str) -> tuple[Panel, DataFrame]:

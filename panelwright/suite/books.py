@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import ic, portfolio
 from panelwright.plans import pipelines
 from panelwright.sources.panel import monthly_panel
-from panelwright.suite.base import Check, R, cte, library, library_factors, r6, rounded, sql
+from panelwright.suite.base import Check, R, cte, library, library_factors, magnitude, magnitude_sql, rounded, sql
 from panelwright.suite.windows import edges_sql
 
 CHECKS: dict[str, Check] = {}
@@ -49,9 +49,8 @@ _add("bucket_table", "A23, K2", lambda spark, sf_dir: rounded(_bucket_table(spar
 
 
 def _log_growth(df):
-    """Compounded values span many orders of magnitude; compare their logarithm."""
-    return df.select("factor_name", "date", *[
-        r6(F.ln(F.abs(F.col(c) + 1))).alias(c) for c in portfolio.series_columns(df)])
+    """Compounded values span many orders of magnitude; compare sign and logarithm."""
+    return df.select("factor_name", "date", *[magnitude(c).alias(c) for c in portfolio.series_columns(df)])
 
 
 def _product(c: str) -> str:
@@ -59,17 +58,17 @@ def _product(c: str) -> str:
 
 
 _add("cumulative_table", "T14, K2", lambda spark, sf_dir: _log_growth(portfolio.cumulative_table(_bucket_table(spark, sf_dir))), sql(
-    "SELECT factor_name, date, " + ", ".join(R(f"CASE WHEN {_product(c)} <> 0 THEN ln(abs({_product(c)})) END") + f" AS {c}" for c in _COLUMNS) + " FROM bucket_wide", "bucket_wide"))
+    "SELECT factor_name, date, " + ", ".join(magnitude_sql(f"({_product(c)} - 1)") + f" AS {c}" for c in _COLUMNS) + " FROM bucket_wide", "bucket_wide"))
 
 
 def _terminal(spark, sf_dir):
     out = portfolio.terminal_returns(portfolio.cumulative_table(_bucket_table(spark, sf_dir)))
-    return out.select("factor_name", "valid_days", *[r6(F.ln(F.abs(F.col(c) + 1))).alias(c) for c in _COLUMNS])
+    return out.select("factor_name", "valid_days", *[magnitude(c).alias(c) for c in _COLUMNS])
 
 
 _add("terminal_returns", "A35", _terminal, sql(
     "SELECT factor_name, count(*) AS valid_days, " + ", ".join(
-        R(f"ln(abs(arg_max(p_{c}, date)))") + f" AS {c}" for c in _COLUMNS)
+        magnitude_sql(f"(arg_max(p_{c}, date) - 1)") + f" AS {c}" for c in _COLUMNS)
     + " FROM (SELECT factor_name, date, " + ", ".join(f"{_product(c)} AS p_{c}" for c in _COLUMNS) + " FROM bucket_wide) GROUP BY 1", "bucket_wide"))
 
 

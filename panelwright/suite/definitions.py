@@ -268,7 +268,7 @@ def _rivals(spark, sf_dir):
         F.concat(F.lit(" + style_"), F.translate((F.col("p_partkey") % STYLES).cast("string"), "0123456789", "abcdefghij")).alias("_more"))
     plain = candidates(spark, sf_dir).join(named, "factor_name").withColumn("expression", F.concat("expression", "_more")).drop("_more")
     lines = table(spark, sf_dir, "lineitem").withColumn("factor_name", F.concat(F.lit("part_"), F.col("l_partkey").cast("string")))
-    values = lines.groupBy("factor_name", F.floor(F.col("l_quantity") / 8).cast("string").alias("entity"), F.make_date(F.floor(F.year("l_shipdate") / 10).cast("int") * 10, F.lit(1), F.lit(1)).alias("date")).agg(
+    values = lines.groupBy("factor_name", F.floor(F.col("l_quantity") / 8).cast("string").alias("entity"), F.lit("2000-01-01").cast("date").alias("date")).agg(
         (F.sum(F.col("l_tax").cast("decimal(6,2)")).cast("double") / F.count("*")).alias("value"))
     days = lines.groupBy("factor_name", F.trunc("l_shipdate", "year").alias("date")).agg(
         (F.sum(F.col("l_discount").cast("decimal(6,2)")).cast("double") / F.count("*")).alias("rank_ic"))

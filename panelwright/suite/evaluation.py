@@ -12,7 +12,7 @@ from panelwright.session import cut_lineage
 from panelwright.sources import sinks
 from panelwright.sources.panel import FLAGS, weekly_panel
 from panelwright.suite.base import (
-    Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, r6, rank_corr_sql, rank_sql, rounded, scratch, sql,
+    Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, magnitude, magnitude_sql, r6, rank_corr_sql, rank_sql, rounded, scratch, sql,
 )
 
 CHECKS: dict[str, Check] = {}
@@ -212,8 +212,8 @@ def _trade(spark, sf_dir):
     cross = panel.cross_section("factor_name")
     factors = merged.select("factor_name", "entity", "date", "value")
     summary = ic.factor_summary(ic.daily_ic(merged, cross)).join(ic.rank_turnover(factors, cross), "factor_name")
-    # a capped cost keeps the compounded curve in a comparable range
-    return rounded(ic.trade_metrics(factors, panel.df, cross, summary).drop("max_drawdown_long_short"))
+    out = ic.trade_metrics(factors, panel.df, cross, summary)
+    return rounded(out.withColumn("max_drawdown_long_short", magnitude("max_drawdown_long_short")))
 
 
 cte("turnover", ("stepped",), "SELECT factor_name, avg(m) AS t FROM (SELECT factor_name, date, avg(abs(p - p_before)) AS m FROM stepped GROUP BY 1, 2) GROUP BY 1")
@@ -227,7 +227,9 @@ cte("spreads", ("factors", "panel", "stats", "turnover"), f"""
           ON r.entity = f.entity AND r.date = f.date WHERE ret_fwd IS NOT NULL) GROUP BY 1, 2) s
   JOIN stats USING (factor_name) JOIN turnover USING (factor_name) WHERE ls IS NOT NULL""")
 _add("trade_metrics", "A18, X13", _trade, sql(
-    f"SELECT factor_name, {R('avg(ls)')} AS long_short_spread_return, {R('avg(net)')} AS cost_adjusted_long_short_return FROM spreads GROUP BY 1",
+    f"SELECT factor_name, {R('avg(ls)')} AS long_short_spread_return, {R('avg(net)')} AS cost_adjusted_long_short_return, {magnitude_sql('min(eq / peak - 1)')} AS max_drawdown_long_short FROM ("
+    "SELECT *, max(eq) OVER w AS peak FROM (SELECT *, product(1 + coalesce(net, 0)) OVER w AS eq FROM spreads WINDOW w AS (PARTITION BY factor_name ORDER BY date)) "
+    "WINDOW w AS (PARTITION BY factor_name ORDER BY date)) GROUP BY 1",
     "spreads"))
 
 # -- decay -------------------------------------------------------------------

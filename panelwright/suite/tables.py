@@ -10,7 +10,7 @@ from panelwright.plans import recipes
 from panelwright.sources import factor_files as files, sinks
 from panelwright.sources.panel import FLAGS, first_existing, scan_market, table, weekly_panel, SIZE_COLUMNS
 from panelwright.suite.base import (
-    CARRY, Check, FAMILIES, LIBRARY, R, cte, daily, library, library_factors, r6, rounded, scratch, sql,
+    CARRY, Check, FAMILIES, LIBRARY, R, cte, daily, library, library_factors, magnitude, magnitude_sql, r6, rounded, scratch, sql,
 )
 from panelwright.suite.books import BINS, _buckets, _COLUMNS, _bucket_table
 from panelwright.suite.evaluation import _share
@@ -212,11 +212,14 @@ _add("latest_bar", "O10", lambda spark, sf_dir: _bars_rounded(profile.latest_bar
 def _backtest_files(spark, sf_dir):
     path = scratch(spark)
     sinks.write_backtest(_buckets(spark, sf_dir), path, BINS, 10.0)
-    back = spark.read.parquet(f"{path}/daily")
-    return rounded(back.select("factor_name", "date", *_COLUMNS))
+    back, grown = (spark.read.parquet(f"{path}/{part}") for part in ("daily", "cum"))
+    return rounded(back.select("factor_name", "date", *_COLUMNS).join(
+        grown.select("factor_name", "date", *[magnitude(c).alias(f"{c}_cum") for c in _COLUMNS]), ["factor_name", "date"]))
 
 
-_add("write_backtest", "K2", _backtest_files, sql("SELECT factor_name, date, " + ", ".join(f"{R(c)} AS {c}" for c in _COLUMNS) + " FROM bucket_wide", "bucket_wide"))
+_grown = ", ".join(f"{magnitude_sql(f'(product(1 + coalesce({c}, 0)) OVER w - 1)')} AS {c}_cum" for c in _COLUMNS)
+_add("write_backtest", "K2", _backtest_files, sql(
+    "SELECT factor_name, date, " + ", ".join(f"{R(c)} AS {c}" for c in _COLUMNS) + f", {_grown} FROM bucket_wide WINDOW w AS (PARTITION BY factor_name ORDER BY date)", "bucket_wide"))
 
 
 def _flat(spark, sf_dir):

@@ -45,13 +45,13 @@ def test_losses_equal_those_of_stored_predictions(spark, rows, tmp_path):
     stored.select("return_next", *[f"t{i}" for i in range(fitted.best + 1)]).write.parquet(f"file://{path}")
     for i, loss in enumerate(fitted.losses[: fitted.best + 1]):
         total = " + ".join(f"{trees.treeWeights[k]} * t{k}" for k in range(i + 1))
-        again = duckdb.sql(f"SELECT avg((return_next - ({total})) ** 2) FROM '{path}/*.parquet'").fetchone()[0]
+        again = duckdb.sql(f"SELECT avg((return_next - ({total})) ** 2) FROM '{path}/*.parquet'").fetchall()[0][0]
         assert again == pytest.approx(loss, rel=1e-9)
 
 
 def test_no_tail_keeps_all_trees(spark, rows):
     fitted = composite.fit_boosted(rows.filter("date = DATE'2020-01-01'"), ["f0", "f1"], components=2, trees=3, depth=2, stop_share=0.0)
-    assert fitted.stopped - fitted.best <= 2 and fitted.model.stages[-1].getNumTrees >= 1
+    assert fitted.losses == [] and fitted.model.stages[-1].getNumTrees == 3
 
 
 def test_rows_come_back_from_all_components(spark, rows):
