@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, functions as F
 
@@ -45,40 +47,54 @@ def ratio_or(default: float | None, numerator: Column, denominator: Column) -> C
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(default).cast("double"))
 
 
+#: Steps of the continued fraction; with these it is within 1e-9 for 3 to ten million pairs.
+FRACTION_STEPS = 30
+# The series of gamma(z + 1/2) / gamma(z) / sqrt(z) in powers of 1 / z.
+GAMMA_SERIES = (1, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304)
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a): the series sixteen places further on, brought back by the recurrence."""
+    back = reduce(mul, [(a + k) / (a + k + 0.5) for k in range(16)])
+    z = a + 16
+    return back * F.sqrt(z) * reduce(lambda total, c: total / z + c, reversed(GAMMA_SERIES), F.lit(0.0))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, a fixed number of steps from the front."""
+    first = F.lit(1.0) / (F.lit(1.0) - (a + b) * x / (a + 1))
+
+    def half(acc: Column, factor: Column) -> Column:
+        d = F.lit(1.0) / (F.lit(1.0) + factor * acc["d"])
+        c = F.lit(1.0) + factor / acc["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    def step(acc: Column, m: Column) -> Column:
+        even = half(acc, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        return half(even, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+    steps = F.array(*[F.lit(float(m)) for m in range(1, FRACTION_STEPS + 1)])
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step, lambda acc: acc["h"])
+
+
 def correlation_p_value(r, n) -> Column:
     """Two-sided t-test p-value of a correlation ``r`` on ``n`` pairs.
 
-    The tail of Student's t with a whole number of degrees of freedom is a finite
-    trigonometric series.  NULL when r is NULL, |r| is practically 1, or n <= 2.
+    It is the incomplete beta function of 1 - r * r at (n - 2) / 2 and 1/2, of which
+    the side is taken on which the fraction converges fast; the work does not grow with
+    n.  NULL when r is NULL, |r| is practically 1, or n <= 2.
     """
-    r, n = col(r), col(n).cast("int")
-    df = n - 2
-    theta = F.atan(F.abs(r) / F.sqrt(F.lit(1.0) - r * r))
-    sin_t, cos_t = F.sin(theta), F.cos(theta)
-    cos2 = cos_t * cos_t
-
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-    start_odd = F.struct(cos_t.alias("term"), cos_t.alias("total"))
-
-    def indices(first: int, last: Column) -> Column:
-        # sequence(1, 0) counts down, so an empty range needs its own branch
-        return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
-
-    def even_step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * cos2 * (i * 2 - 1) / (i * 2)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    def odd_step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * cos2 * (i * 2 - 2) / (i * 2 - 1)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    even_last = F.floor(df / 2).cast("int") - 1
-    odd_last = F.floor((df - 1) / 2).cast("int")
-    even_sum = F.aggregate(indices(1, even_last), start, even_step, lambda a: a["total"])
-    odd_sum = F.aggregate(indices(2, odd_last), start_odd, odd_step, lambda a: a["total"])
-
-    even_p = F.lit(1.0) - sin_t * even_sum
-    odd_p = F.lit(1.0) - F.lit(2.0 / math.pi) * (theta + F.when(df > 1, sin_t * odd_sum).otherwise(F.lit(0.0)))
-    p = F.when(df % 2 == 0, even_p).otherwise(odd_p)
-    usable = r.isNotNull() & (F.abs(r) < VALID_CORRELATION_BOUND) & (n > 2)
-    return F.when(usable, F.greatest(F.lit(0.0), p))
+    r = col(r)
+    usable = r.isNotNull() & (F.abs(r) < VALID_CORRELATION_BOUND) & (col(n) > 2)
+    r, n = F.when(usable, r), F.when(usable, col(n).cast("double"))
+    a, half = (n - 2) / 2, F.lit(0.5)
+    y = r * r
+    x = F.lit(1.0) - y
+    direct = x < (a + 1) / (a + 2.5)
+    either = lambda p, q: F.when(direct, p).otherwise(q)
+    front = F.exp(a * F.log1p(-y)) * F.abs(r) * _gamma_ratio(a) / math.sqrt(math.pi)
+    # bound once, so that the steps do not work out their arguments anew
+    given = F.array(F.struct(either(a, half).alias("a"), either(half, a).alias("b"), either(x, y).alias("x")))
+    fraction = F.transform(given, lambda g: _beta_fraction(g["a"], g["b"], g["x"]))[0]
+    part = front * fraction / either(a, half)
+    return F.when(usable, F.greatest(F.lit(0.0), either(part, F.lit(1.0) - part)))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,23 @@ def test_constant_group_has_no_correlation_and_no_error(spark):
     assert df.agg(correlation("x", "y")).first()[0] is None
 
 
+def test_p_values_of_few_and_very_many_pairs(spark):
+    """Against Simpson's rule on Student's density, up to ten million pairs."""
+    cases = [(t / (n - 2 + t * t) ** 0.5, n) for n in (5, 8, 41, 700, 5_000, 10**5, 10**6, 10**7) for t in (0.0, 0.3, 1.7, 1.75, 2.5, 6.0, -1.0)]
+    got = [r[0] for r in spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, r double, n long").orderBy("i").select(correlation_p_value("r", "n")).collect()]
+    weights = np.where(np.arange(200_001) % 2, 4.0, 2.0)
+    weights[[0, -1]] = 1.0
+
+    def tail(start, df):
+        angle = np.linspace(np.arctan(start / df**0.5), min(np.pi / 2, np.arctan(60 / df**0.5) if df > 100 else np.pi / 2), 200_001)
+        return (weights * np.exp((df - 1) * np.log(np.maximum(np.cos(angle), 1e-300)))).sum() * (angle[-1] - angle[0])
+
+    for (r, n), p in zip(cases, got, strict=True):
+        df = n - 2
+        t = abs(r) * (df / (1 - r * r)) ** 0.5
+        assert p == pytest.approx(tail(t, df) / tail(0.0, df), abs=1e-9), (r, n)
+
+
 def test_p_values_match_numeric_integration(spark):
     import numpy as np
 
