@@ -496,14 +496,19 @@ def resolve_name(names: DataFrame, baseline: DataFrame) -> DataFrame:
 
     An equal name wins, then the longest baseline name that ends the candidate,
     then the longest one inside it; otherwise the candidate keeps its own name.
-    All substrings of a name are matched by equality, so the work is linear in
-    the number of names and no product of the two tables is formed.
+    Substrings as long as some baseline name are matched by equality, so the pieces
+    of a name grow with its length times the number of those lengths, and no product
+    of the two tables is formed.  An empty or NULL name keeps itself; an empty
+    baseline name matches nothing.
     """
     n = F.length("candidate")
+    # one row: a baseline has no more lengths than its longest name has letters
+    lengths = baseline.filter(F.length("factor_name") > 0).agg(F.collect_set(F.length("factor_name")).alias("_lengths"))
     pieces = (
-        names.select("candidate").distinct()
-        .withColumn("_from", F.explode(F.sequence(F.lit(1), n)))
-        .withColumn("_len", F.explode(F.sequence(F.lit(1), n - F.col("_from") + 1)))
+        names.select("candidate").filter(n > 0).distinct()
+        .crossJoin(F.broadcast(lengths))
+        .withColumn("_len", F.explode(F.filter("_lengths", lambda k: k <= n)))
+        .withColumn("_from", F.explode(F.sequence(F.lit(1), n - F.col("_len") + 1)))
         .withColumn("_piece", F.expr("substring(candidate, _from, _len)"))
         .withColumn(
             "_class",

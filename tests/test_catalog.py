@@ -136,6 +136,15 @@ def test_names_resolve_by_suffix_then_substring(spark):
     assert got == {"set_X_item_1": "X_item_1", "item_1": "item_1", "pre_item_2_post": "item_2", "nothing": "nothing"}
 
 
+def test_odd_names_resolve_to_themselves(spark):
+    names = spark.createDataFrame([("",), (None,), ("ab" * 3000,), ("ab",)], "candidate string")
+    known = spark.createDataFrame([("",), (None,), ("bab",)], "factor_name string")
+    got = {r["candidate"]: r["resolved"] for r in catalog.resolve_name(names, known).collect()}
+    assert got == {"": "", None: None, "ab" * 3000: "bab", "ab": "ab"}
+    nothing = {r["candidate"]: r["resolved"] for r in catalog.resolve_name(names, known.limit(0)).collect()}
+    assert nothing == {"": "", None: None, "ab" * 3000: "ab" * 3000, "ab": "ab"}
+
+
 def test_every_recipe_builds_and_reports_itself(spark):
     rows = recipes.catalog_frame(spark).collect()
     assert len(rows) == 14
