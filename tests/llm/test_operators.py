@@ -340,21 +340,75 @@ def test_pairs_on_one_template_are_all_found(spark):
     assert got == {i: (88, i - i % 2) for i, _ in texts}
 
 
-def test_links_that_look_far_by_sketch_are_found(spark):
-    """Of many pairs of similarity 0.8 those whose sketches look least alike."""
+def _rows(sets):
+    """Rows (region, id, n, comp, parity words) of lists of hashes, all in one region."""
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    words = neardup.parities(np.concatenate(sets), bounds).view(np.int64).T
+    n = np.diff(bounds)
+    return np.concatenate([np.stack([np.zeros(len(n), np.int64), np.arange(len(n)), n, np.arange(len(n))]), words])
+
+
+@pytest.mark.parametrize("size", [9, 90, 900, 9000])
+def test_parity_keeps_every_link_and_drops_most_others(size):
+    """Pairs exactly at 0.8 all stay; of pairs at 0.5 few do, while the sets are no larger than the bits."""
+    rng = np.random.default_rng(size)
+    for shared, stay in ((size * 8 // 9, 1.0), (size * 2 // 3, 0.05 if size in (90,) else 1.0)):
+        sets = []
+        for _ in range(200):
+            h = rng.integers(0, 2**63, 2 * size - shared, dtype=np.uint64)
+            sets += [h[:size], h[size - shared:]]
+        rows = _rows(sets)
+        i = np.arange(0, 400, 2)
+        kept = neardup._possible(rows, i + 1, i)[0].mean()
+        assert kept == 1.0 if shared == size * 8 // 9 else kept <= stay
+
+
+def test_many_texts_of_one_template_make_few_candidates():
+    """Two thousand rows of one region that share two thirds: all pairs are compared, next to none come out."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    rows = _rows([np.concatenate([base, rng.integers(0, 2**63, 60, dtype=np.uint64)]) for _ in range(2000)])
+    pairs, more = neardup._nearest(rows, np.zeros(2000, np.int64), np.arange(2000), np.arange(1, 2000), neardup.NEAREST)
+    assert pairs.shape[1] < 200 and not more
+
+
+def test_links_are_found_by_label_and_by_component(spark):
+    """Pairs of similarity 0.8 that share a region come out of every order of a round."""
     rng = np.random.default_rng(6)
-    hashes = rng.integers(0, 2**63, (30_000, 10), dtype=np.uint64)
-    a, b = (neardup.signatures(np.delete(hashes, 9 - k, axis=1).ravel(), np.arange(30_001) * 9) for k in (0, 1))
-    differ = ((a & 3) != (b & 3)).mean(axis=1)
-    region = (a == b).reshape(-1, neardup.TREES, neardup.DEPTH).all(axis=2).any(axis=1)
-    at = np.argsort(-(differ * region))[:3]
-    looks = (0.75 - differ[at]) / 0.75
-    assert looks[0] < 0.65 and (looks < 0.7).all()  # below the bounds that the rounds once had
+    hashes = rng.integers(0, 2**63, (2_000, 10), dtype=np.uint64)
+    sides = [np.delete(hashes, 9 - k, axis=1) for k in (0, 1)]
+    a, b = (neardup.signatures(x.ravel(), np.arange(2_001) * 9) for x in sides)
+    at = np.flatnonzero((a == b).reshape(-1, neardup.TREES, neardup.DEPTH).all(axis=2).any(axis=1))[:40]
+    bounds = np.arange(2_001) * 9
+    parity = [neardup.parities(x.ravel(), bounds) for x in sides]
     classes = spark.createDataFrame(
-        [(bytes(s[r].tobytes()), int(2 * r + k), 9, int(2 * r + k)) for r in at for k, s in enumerate((a, b))], "signature binary, id long, n long, comp long")
+        [(bytes(s[r].tobytes()), int(2 * r + k), 9, int(2 * r + k), bytes(parity[k][r].tobytes())) for r in at for k, s in enumerate((a, b))],
+        "signature binary, id long, n long, comp long, parity binary")
     want = {(int(2 * r), int(2 * r + 1)) for r in at}
-    for order, most in ((("id",), 0), (("comp", "id"), 4)):
-        assert {(r["head"], r["id"]) for r in neardup.neighbours(neardup.forest(classes), order, most).collect()} == want
+    for order, meet in ((("id",), "head"), (("label", "id"), "before"), (("comp", "id"), "others")):
+        got = {tuple(sorted((r["head"], r["id"]))) for r in neardup.neighbours(neardup.forest(classes), order, meet).collect()}
+        assert got == want
+
+
+def test_recall_on_thousands_of_near_copies(spark):
+    """Near copies of many texts, most above 0.8: the share of true links inside one component is printed and at least 0.9."""
+    rng = random.Random(11)
+    texts, true = [], []
+    for g in range(400):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for k in range(5):
+            own = list(base)
+            for at in rng.sample(range(60), rng.randint(0, 3)):
+                own[at] = f"e{g}x{k}x{at}"
+            texts.append((len(texts), " ".join(own)))
+    sets = [{tuple(t.split()[i:i + 2]) for i in range(59)} for _, t in texts]
+    for g in range(400):
+        for a in range(5 * g, 5 * g + 5):
+            true += [(a, b) for b in range(a + 1, 5 * g + 5) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()}
+    recall = sum(comp[a] == comp[b] for a, b in true) / len(true)
+    print(f"recall {recall:.4f} of {len(true)} links among {len(texts)} texts")
+    assert recall >= 0.9 and all(c // 5 == i // 5 for i, c in comp.items())
 
 
 # -- language ---------------------------------------------------------------------------------
