@@ -34,24 +34,37 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+        self.ids, self.vectors = ids[order], vectors[order].astype(np.int64)
         self.order = np.argsort(-self.vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(self.vectors, self.order, axis=0)
+        self.peak = max(abs(int(self.vectors.max(initial=0))), abs(int(self.vectors.min(initial=0))))
+        self._cast: dict = {}
+
+    def _as(self, kind: type, name: str) -> np.ndarray:
+        if (kind, name) not in self._cast:
+            self._cast[kind, name] = getattr(self, name).astype(kind)
+        return self._cast[kind, name]
 
     def top(self, query_id: int, query: np.ndarray, k: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, depth reached) of the k best, ties by smaller id, rows with the query's own id left out.
 
-        Components are whole numbers below 2**20, so sums in doubles are exact.
+        Inner products are whole numbers: taken in doubles where these are exact, else
+        in 64 bits, and refused where they might not fit.
         """
         n, dims = self.vectors.shape
+        peak = self.peak * max((abs(int(x)) for x in query), default=0) * dims
+        if peak >= 1 << 63:
+            raise OverflowError("integer inner products may exceed 64 bits")
+        kind = np.float64 if peak < 1 << 53 else np.int64
+        vectors, values, query = self._as(kind, "vectors"), self._as(kind, "values"), query.astype(kind)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = self.ids == query_id
         best = np.zeros(0, np.int64)
-        scores = np.zeros(0)
+        scores = np.zeros(0, kind)
         depth = 0
         if not len(up) and not len(down):
             best = np.flatnonzero(~seen)[:k]
-            return self.ids[best], np.zeros(len(best)), 0
+            return self.ids[best], np.zeros(len(best), kind), 0
         while depth < n:
             upto = min(n, depth + step)
             met = np.unique(np.concatenate([self.order[depth:upto, up].ravel(), self.order[n - upto: n - depth, down].ravel()]))
@@ -59,11 +72,11 @@ class SortedLists:
             seen[met] = True
             depth, step = upto, step * 2
             if len(met):
-                best, scores = np.concatenate([best, met]), np.concatenate([scores, self.vectors[met] @ query])
+                best, scores = np.concatenate([best, met]), np.concatenate([scores, vectors[met] @ query])
                 keep = np.lexsort((best, -scores))[:k]
                 best, scores = best[keep], scores[keep]
             if len(best) == k:
-                bound = self.values[depth - 1, up] @ query[up] + self.values[n - depth, down] @ query[down]
+                bound = values[depth - 1, up] @ query[up] + values[n - depth, down] @ query[down]
                 if scores[-1] > bound:
                     break
         return self.ids[best], scores, depth
@@ -75,7 +88,7 @@ def _search(k: int, step: int):
         if len(queries) and len(block):
             lists = SortedLists(block["vec_id"].to_numpy(), np.stack(block["vector"].to_numpy()).reshape(len(block), -1))
             for q, v in zip(queries["vec_id"], queries["vector"], strict=True):
-                ids, scores, _ = lists.top(q, np.asarray(v, dtype=np.float64), k, step)
+                ids, scores, _ = lists.top(q, np.asarray(v, dtype=np.int64), k, step)
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
 
