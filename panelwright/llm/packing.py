@@ -54,6 +54,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        # texts that hold an added token as such go to the unmodified tokenizer, whole
+        self.plain = Tokenizer.from_file(vocabulary)
+        self.added = [t.content.encode() for t in self.plain.get_added_tokens_decoder().values()]
         self.whole = Tokenizer.from_file(vocabulary)
         self.whole.encode_special_tokens = True
         self.fast = None
@@ -73,6 +76,18 @@ class Encoder:
             return self.fast.encode_ordinary(text)
         return self.whole.encode(text, add_special_tokens=False).ids
 
+    def _with_added(self, data: np.ndarray, bounds: np.ndarray) -> list[int]:
+        """Rows whose text holds an added token."""
+        blob, rows = data.tobytes(), set()
+        for token in self.added:
+            at = blob.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(bounds, at, "right")) - 1
+                if at + len(token) <= bounds[row + 1]:
+                    rows.add(row)
+                at = blob.find(token, at + 1)
+        return sorted(rows)
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         new = [self.ids(t) for t in texts]
         lengths = np.array([len(x) for x in new], np.int64)
@@ -121,6 +136,9 @@ class Encoder:
         out = [flat[a:b] for a, b in zip(row_starts, row_ends, strict=True)]
         for r in np.flatnonzero(odd):
             out[r] = np.array([*self.ids(data[bounds[r]: bounds[r + 1]].tobytes().decode()), END], np.uint32)
+        for r in self._with_added(data, bounds):
+            text = data[bounds[r]: bounds[r + 1]].tobytes().decode()
+            out[r] = np.array([*self.plain.encode(text, add_special_tokens=False).ids, END], np.uint32)
         return out
 
 

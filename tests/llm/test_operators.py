@@ -178,7 +178,6 @@ def _true_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [np.array([*e.ids, packing.END], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -218,6 +217,26 @@ def test_encoder_equals_the_library_on_hard_texts():
 # -- top k ---------------------------------------------------------------------------
 
 
+def test_large_components_are_scored_in_whole_numbers():
+    rng = np.random.default_rng(12)
+    vectors = rng.integers(-(1 << 29), 1 << 29, (300, 6)) * 2 + 1
+    lists = topk.SortedLists(np.arange(300), vectors)
+    for q in (0, 7):
+        ids, scores, _ = lists.top(q, vectors[q], 10, step=8)
+        exact = sorted(((-sum(int(a) * int(b) for a, b in zip(vectors[q], v, strict=True)), i) for i, v in enumerate(vectors) if i != q))[:10]
+        assert [(-int(s), int(i)) for s, i in zip(scores, ids, strict=True)] == exact
+    with pytest.raises(OverflowError):
+        lists.top(0, np.full(6, 1 << 40), 10)
+
+
+def test_top_k_of_odd_tables(spark):
+    rows = [(1, [1, 2], "x", 3), (2, [2, 1], "x", 3), (2, [2, 1], "x", 3), (3, None, "x", 3), (None, [1, 1], "x", 3), (4, [1], "x", 3), (5, [], "x", 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>, dims string, rank int")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, frame, 2).collect()}
+    assert {g for g in got if g[0] == 1} == {(1, 1, 2, 4), (1, 2, 2, 4)} and not {g for g in got if g[0] in (4, 5)}
+    assert topk.top_k(frame.limit(0), frame, 2).count() == 0 and topk.top_k(frame, frame.limit(0), 2).count() == 0
+
+
 def test_threshold_search_is_exact_with_ties(spark):
     rng = np.random.default_rng(3)
     vectors = rng.integers(-3, 4, (700, 6))
