@@ -522,3 +522,21 @@ def test_fingerprints_of_odd_rows(odd, empty):
     assert by_id[1]["fingerprint"] == "" and by_id[2]["near_edited"] == 1.0
     assert by_id[5]["fingerprint"] == by_id[6]["fingerprint"] != "" and by_id[4]["fingerprint"] == by_id[-3]["fingerprint"]
     assert by_id[6]["near_next"] == 1.0
+
+
+def test_archive_of_odd_pages(spark, tmp_path):
+    """NULLs, a very long payload, repeated rows, line ends in a URL, clashing extra columns and an empty table."""
+    long_html = "<p>" + "long text é\r\n" * 200_000
+    rows = [(1, None, None), (2, "http://a/\r\nX: y", ""), (3, "http://b", long_html), (3, "http://b", long_html), (None, "http://c", "x"), (9, None, long_html), (10, "u", "x")]
+    pages = spark.createDataFrame([(*r, "p", "s", 5) for r in rows], "page_id long, url string, html string, payload string, sha256 string, owner int")
+    for name, frame in (("some", pages), ("none", pages.limit(0))):
+        path = f"file://{tmp_path}/{name}"
+        warc.write_archive(warc.page_records(frame), path)
+        back = warc.read_archive(spark, path)
+        got = back.select(warc.record_number(warc.header_field("WARC-Record-ID")).alias("id"), "payload_bytes", "record_type", warc.record_number(warc.header_field("WARC-Refers-To")).alias("of")).collect()
+        assert len(got) == frame.count()
+        if name == "some":
+            of = {(r["id"], r["record_type"], r["of"], r["payload_bytes"]) for r in got}
+            size = len(long_html.encode())
+            assert {(3, "response", None, size), (9, "revisit", 3, size), (1, "response", None, 0), (2, "revisit", 1, 0), (10, "response", None, 1)} <= of
+            assert spark.read.parquet(f"{path}/payloads").count() == 3
