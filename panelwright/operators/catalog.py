@@ -506,7 +506,7 @@ def resolve_name(names: DataFrame, baseline: DataFrame) -> DataFrame:
     lengths = baseline.filter(F.length("factor_name") > 0).agg(F.collect_set(F.length("factor_name")).alias("_lengths"))
     pieces = (
         names.select("candidate").filter(n > 0).distinct()
-        .crossJoin(F.broadcast(lengths))
+        .withColumn("_lengths", lengths.scalar())
         .withColumn("_len", F.explode(F.filter("_lengths", lambda k: k <= n)))
         .withColumn("_from", F.explode(F.sequence(F.lit(1), n - F.col("_len") + 1)))
         .withColumn("_piece", F.expr("substring(candidate, _from, _len)"))

@@ -21,7 +21,7 @@ def test_registry_is_consistent():
     queries = set(all_checks())
     sql = queries & set(sql)
     assert len(queries) >= 115
-    assert set(queries) - set(sql) == {"pca", "composite_metrics", "composite_strategy"}
+    assert set(queries) - set(sql) == {"early_stopping", "composite_metrics", "composite_strategy"}
 
 
 @pytest.mark.parametrize("pipeline_goes", [True, False])
