@@ -7,12 +7,13 @@ are sorted by the values that follow, so neighbours share the longest prefixes a
 the depth in use grows with the crowding of a region.
 
 Candidates of the classes that share a region with another come in rounds.  First
-each row meets its neighbour by label, and the head of its region, the class whose
-regions are most crowded: the text that copies derive from heads nearly all regions
-it is in, so a group of thousands is linked with few candidates a row.  After that,
-rows of a region meet those of its other components, the ``NEAREST`` by parity first;
-each further turn takes ``GROWTH`` times as many, until no two rows of a region that
-are in different components and may be linked have not met.
+each row meets the head of its region, the class whose regions are most crowded: the
+text that copies derive from heads nearly all regions it is in, so a group of
+thousands is linked with few candidates a row.  Then each row meets its neighbour by
+label, where they are not in one component yet.  After that, rows of a region meet
+those of its other components, the ``NEAREST`` by parity first; each further turn
+takes ``GROWTH`` times as many, until no two rows of a region that are in different
+components and may be linked have not met.
 
 Each row carries the parity of its shingles in ``PARITY`` bits: a bit is turned once
 for every shingle that falls on it.  Bits in which two rows differ are never more
@@ -183,13 +184,14 @@ def _nearest(rows: np.ndarray, head: np.ndarray, upto: np.ndarray, i: np.ndarray
     return np.concatenate(found, axis=1), more
 
 
-def neighbours(trees: DataFrame, order: tuple[str, ...], most: int = 0) -> DataFrame:
+def neighbours(trees: DataFrame, order: tuple[str, ...], meet: str, most: int = NEAREST) -> DataFrame:
     """Distinct candidate pairs (head, id) of regions sorted in ``order``, of sets that size and parity allow to be linked.
 
-    A row meets the row before it and the head of its region or, with ``most`` and rows
-    sorted by component, so many rows of the components before its own; a pair
-    (-1, -1) says that some row has more.  Sorted rows stream through a task, which
-    holds one batch and, with ``most``, the region so far.
+    A row meets the ``head`` of its region; or the row ``before`` it, if that is of
+    another component; or, rows being sorted by component, ``most`` rows of all
+    ``others`` before its own, and a pair (-1, -1) says that some row has more.  Sorted
+    rows stream through a task, which holds one batch and, for ``others``, the region
+    so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +211,15 @@ def neighbours(trees: DataFrame, order: tuple[str, ...], most: int = 0) -> DataF
             i = np.arange(old, total)
             i = i[i > head[i]]
             last = head[-1]
-            if most:
+            if meet == "others":
                 starts[1:] |= comp[1:] != comp[:-1]
                 (i, j), more = _nearest(rows, head, np.maximum.accumulate(np.where(starts, np.arange(total), 0)), i, most)
                 if more:
                     yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64())] * 2, ["head", "id"])
                 held = rows[:, last:]
             else:
-                i, j = np.concatenate([i, i]), np.concatenate([i - 1, head[i]])
-                fits, _ = _possible(rows, i, j)
+                j = head[i] if meet == "head" else i - 1
+                fits = _possible(rows, i, j)[0] & ((meet == "head") | (comp[i] != comp[j]))
                 i, j = i[fits], j[fits]
                 held = rows[:, np.unique([last, total - 1])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(ids[i])], ["head", "id"])
@@ -324,18 +326,21 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     trees = forest(met)
     sizes = trees.groupBy("region").agg(F.count("*").alias("size"))
     crowd = trees.select("region", "id").join(sizes, "region").groupBy("id").agg(F.sum("size").alias("crowd"))
-    ranked = trees.join(crowd, "id").withColumn("last", -F.col("crowd"))
-    done = store(neighbours(ranked, ("last", "id")).union(neighbours(trees, ("label", "id"))).distinct())
+    # the place in the order goes with the class, in the column that names components later
+    ranked = forest(met.drop("comp").join(crowd, "id").withColumn("comp", -F.col("crowd")))
+    done = store(neighbours(ranked, ("comp", "id"), "head"))
     comps = components(confirmed(done, docs, classes, width))
-    most = NEAREST
+    # then only pairs that would join components
+    meet, most = "before", NEAREST
     while True:
-        found = store(neighbours(forest(_closure(comps, met)), ("comp", "id"), most).join(_either_way(done), ["head", "id"], "left_anti"))
+        order = ("label", "id") if meet == "before" else ("comp", "id")
+        found = store(neighbours(forest(_closure(comps, met)), order, meet, most).join(_either_way(done), ["head", "id"], "left_anti"))
         new = found.filter("head >= 0")
         if not new.isEmpty():
             comps = components(comps.toDF("a", "b").union(confirmed(new, docs, classes, width)))
-        if found.filter("head < 0").isEmpty():
+        if meet == "others" and found.filter("head < 0").isEmpty():
             break
-        done, most = done.union(new), most * GROWTH
+        done, meet, most = done.union(new), "others", NEAREST if meet == "before" else most * GROWTH
     named = _closure(comps, classes.select("id", "doc_id", "hi", "lo"))
     first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     groups = named.join(first, "comp").select("hi", "lo", "component_id", F.lit(True).alias("grouped"))
