@@ -315,16 +315,13 @@ def diversity_flags(
     known = known.join(near_reference.withColumn("_ref_near", F.lit(True)), "factor_name", "left")
     known = cut_lineage(
         known.select(
-            "factor_name", "compact_expression", "structure_signature", "_order", "_pass",
-            F.when(F.col("_skip"), F.lit("skipped"))
-            .when(F.col("_ref_text"), F.lit("same_expression"))
-            .when(F.col("_ref_struct"), F.lit("same_structure"))
-            .when(F.col("_ref_near"), F.lit("similar"))
-            .alias("_given"),
+            "factor_name", "compact_expression", "structure_signature", "_order", "_pass", "_skip", "_ref_text", "_ref_struct",
+            F.coalesce("_ref_near", F.lit(False)).alias("_ref_near"),
         )
     )
     # only passing candidates that the reference leaves open can stand in another's way
-    contenders = known.filter(F.col("_given").isNull() & F.col("_pass")).select(
+    open_ = ~(F.col("_skip") | F.col("_ref_text") | F.col("_ref_struct") | F.col("_ref_near"))
+    contenders = known.filter(open_ & F.col("_pass")).select(
         F.col("factor_name").alias("name"), F.col("_order").alias("order"), "compact_expression", "structure_signature")
     orders = contenders.select("name", "order")
     conflicts = cut_lineage(
@@ -353,13 +350,11 @@ def diversity_flags(
     )
     state = cut_lineage(judged.select(
         "factor_name", "_order", "_pass",
-        F.coalesce(
-            "_given",
-            F.when(F.col("_text") < F.col("_order"), F.lit("same_expression")),
-            F.when(F.col("_struct") < F.col("_order"), F.lit("same_structure")),
-            F.when(F.col("_near"), F.lit("similar")),
-            F.lit("accepted"),
-        ).alias("_state")))
+        F.when(F.col("_skip"), F.lit("skipped"))
+        .when(F.col("_ref_text") | (F.col("_text") < F.col("_order")), F.lit("same_expression"))
+        .when(F.col("_ref_struct") | (F.col("_struct") < F.col("_order")), F.lit("same_structure"))
+        .when(F.col("_ref_near") | F.col("_near"), F.lit("similar"))
+        .otherwise(F.lit("accepted")).alias("_state")))
 
     # novelty against the reference, which comes before all, and what was accepted before
     turn = lambda side, order: F.struct(F.lit(side).alias("side"), order.alias("order"))
