@@ -135,10 +135,16 @@ def fit_boosted(
         featuresCol="pcs", labelCol="return_next", predictionCol="composite_score", stepSize=LEARNING_RATE, maxIter=trees, maxDepth=depth, seed=seed)
     if start.isEmpty() or tail.isEmpty():
         return Boosted(PipelineModel([*ready.stages, boost.fit(rows)]), [], trees - 1, trees - 1)
-    full = boost.fit(start)
-    losses = list(full.evaluateEachIteration(tail, "squared"))
-    best, stopped = stopping_point(losses, patience)
-    kept = full if best == len(losses) - 1 else boost.copy({boost.maxIter: best + 1}).fit(start)
+    count = min(trees, patience + 1)
+    while True:
+        tried = boost.copy({boost.maxIter: count}).fit(start)
+        losses = list(tried.evaluateEachIteration(tail, "squared"))
+        best, stopped = stopping_point(losses, patience)
+        if count == trees or stopped - best >= patience:
+            break
+        # not decided yet: twice as many, of which the first are the same
+        count = min(trees, 2 * count)
+    kept = tried if best == len(losses) - 1 else boost.copy({boost.maxIter: best + 1}).fit(start)
     return Boosted(PipelineModel([*ready.stages, kept]), losses[: stopped + 1], best, stopped)
 
 
