@@ -65,7 +65,7 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     """The longest fitting rule as (pattern, verdict), or NULL.  Rules are an expression, at most 1000 of them."""
     if len(rules) > 1000:
         raise ValueError("more than 1000 rules; give them as labels instead")
-    found = F.lit(None)
+    found = F.lit(None).cast("struct<pattern:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (len(r.pattern), len(r.host), r.verdict == "block")):
         fits = ((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path)
         found = F.when(fits, F.struct(F.lit(r.pattern).alias("pattern"), F.lit(r.verdict).alias("verdict"))).otherwise(found)
