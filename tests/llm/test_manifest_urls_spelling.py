@@ -132,7 +132,8 @@ def test_templates_generalise_merge_and_reject(spark):
     got = urls.judge(frame, rules=(), labels="label").collect()
     kinds = {(re.sub(r"\d+", "0", r["path"]), r["template"], r["verdict"]) for r in got if r["path"]}
     assert ("/item/0.html", "/item/<0.a>", "block") in kinds and ("/help/0", "/help/<0>", "allow") in kinds
-    assert {(t, v) for p, t, v in kinds if p in ("/news/0", "/blog/0")} <= {("/{blog|news}/<0>", "allow"), ("/{blog|news}/7", "allow")}
+    # the page asked for forty times has a branch of its own, which its labels do not tell from the others
+    assert {(t, v) for p, t, v in kinds if p in ("/news/0", "/blog/0")} == {("/{blog|news}/{7|<0>}", "allow")}
     assert len(got) == len(rows) and [r["template"] for r in got if r["host"] == ""] == ["/"]
 
 
