@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
@@ -9,7 +10,7 @@ from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +24,10 @@ LEARNING_RATE = 0.05
 MAX_TREES = 200
 TREE_DEPTH = 5
 PATIENCE = 50
+# Values each component is snapped to before the trees are grown, as many as the bins of Spark's trees.
+LEVELS = 32
+# Most cells of one partition while trees are grown.
+CELLS = 50_000
 
 
 def feature_matrix(factors: DataFrame, returns: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -108,6 +113,34 @@ def stopping_point(losses: Sequence[float], patience: int) -> tuple[int, int]:
     return best, len(losses) - 1
 
 
+def levels(rows: DataFrame, features: str, size: int) -> list[list[float]]:
+    """For each place of a vector the values its rows are snapped to: quantiles, least and greatest among them."""
+    parts = rows.select(*[vector_to_array(features)[j].alias(f"_{j}") for j in range(size)])
+    found = parts.approxQuantile(parts.columns, [k / (LEVELS - 1) for k in range(LEVELS)], 0.001)
+    return [sorted(set(values)) for values in found]
+
+
+def cells(rows: DataFrame, at: list[list[float]], features: str, label: str) -> DataFrame:
+    """(features, label, weight): rows whose components snap to the same levels as one, with mean label and count.
+
+    A tree cuts half-way between two levels and a row snaps to the level on its side of
+    every such cut, so rows of a cell share all leaves.  The spread of labels inside
+    cells is the same on both sides of a gain and the residual of a mean is the mean of
+    residuals: with squared loss the trees on cells are those on all rows, cut there.
+    """
+    part = vector_to_array(features)
+    snapped = []
+    for j, values in enumerate(at):
+        level = F.lit(values[0])
+        for low, high in zip(values, values[1:]):
+            # the cut as the trees place it; what equals it goes left
+            level = F.when(part[j] > (low + high) / 2.0, F.lit(high)).otherwise(level)
+        snapped.append(level.alias(f"_{j}"))
+    names = [f"_{j}" for j in range(len(at))]
+    grouped = rows.select(*snapped, label).groupBy(*names).agg(F.avg(label).alias(label), F.count("*").cast("double").alias("weight"))
+    return grouped.select(array_to_vector(F.array(*names)).alias(features), label, "weight")
+
+
 def fit_boosted(
     train: DataFrame,
     names: Sequence[str],
@@ -125,26 +158,35 @@ def fit_boosted(
     the best iteration before ``patience`` ones without gain is kept.  With a single date
     there is no tail, and all trees are fitted on all rows.  Trees depend on
     the seed and their place only, so fitting anew up to that place gives the same ones.
+    All rows are counted into :func:`cells` once; every level of every tree reads those,
+    of which three components have 32,768 at most.
     """
     ready = Pipeline(stages=projection(names, components)).fit(train)
     at = split_date(train, stop_share)
-    # read once per level of every tree
+    # read for the levels, the cells and the losses
     rows = cut_lineage(ready.transform(train).select((F.col("date") >= at).alias("_tail"), "pcs", "return_next"))
     start, tail = rows.filter(~F.col("_tail")), rows.filter("_tail")
+    stopping = not (start.isEmpty() or tail.isEmpty())
+    learnt = start if stopping else rows
+    counted = cut_lineage(cells(learnt, levels(learnt, "pcs", min(components, len(names))), "pcs", "return_next"))
+    n = counted.count()
+    grown = counted.repartition(n // CELLS + 1)
+    # Spark looks for cuts in maxBins ** 2 rows: with all cells it finds every one
     boost = GBTRegressor(
-        featuresCol="pcs", labelCol="return_next", predictionCol="composite_score", stepSize=LEARNING_RATE, maxIter=trees, maxDepth=depth, seed=seed)
-    if start.isEmpty() or tail.isEmpty():
-        return Boosted(PipelineModel([*ready.stages, boost.fit(rows)]), [], trees - 1, trees - 1)
+        featuresCol="pcs", labelCol="return_next", weightCol="weight", predictionCol="composite_score", stepSize=LEARNING_RATE, maxIter=trees, maxDepth=depth,
+        maxBins=max(LEVELS, math.isqrt(n) + 1), seed=seed)
+    if not stopping:
+        return Boosted(PipelineModel([*ready.stages, boost.fit(grown)]), [], trees - 1, trees - 1)
     count = min(trees, patience + 1)
     while True:
-        tried = boost.copy({boost.maxIter: count}).fit(start)
-        losses = list(tried.evaluateEachIteration(tail, "squared"))
+        tried = boost.copy({boost.maxIter: count}).fit(grown)
+        losses = list(tried.evaluateEachIteration(tail.withColumn("weight", F.lit(1.0)), "squared"))
         best, stopped = stopping_point(losses, patience)
         if count == trees or stopped - best >= patience:
             break
         # not decided yet: twice as many, of which the first are the same
         count = min(trees, 2 * count)
-    kept = tried if best == len(losses) - 1 else boost.copy({boost.maxIter: best + 1}).fit(start)
+    kept = tried if best == len(losses) - 1 else boost.copy({boost.maxIter: best + 1}).fit(grown)
     return Boosted(PipelineModel([*ready.stages, kept]), losses[: stopped + 1], best, stopped)
 
 

@@ -49,6 +49,44 @@ def test_losses_equal_those_of_stored_predictions(spark, rows, tmp_path):
         assert again == pytest.approx(loss, rel=1e-9)
 
 
+def test_trees_on_cells_are_those_on_all_rows(spark):
+    """Every level of every tree reads cells; on rows that lie on their levels the trees are the library's own."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    value = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("double")
+    raw = spark.range(6000).select(value(1, 6).alias("a"), value(2, 5).alias("b"), value(3, 101).alias("_n"))
+    raw = raw.withColumn("return_next", F.col("a") * F.col("b") + F.col("_n") / 10)
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="pcs").transform(raw).cache()
+    at = composite.levels(rows, "pcs", 2)
+    assert at == [[float(x) for x in range(6)], [float(x) for x in range(5)]]
+    few = composite.cells(rows, at, "pcs", "return_next")
+    assert few.count() == 30 and few.agg(F.sum("weight")).first()[0] == 6000
+    settings = dict(featuresCol="pcs", labelCol="return_next", predictionCol="p", maxIter=8, maxDepth=3, seed=1)
+    plain, quick = GBTRegressor(**settings).fit(rows), GBTRegressor(weightCol="weight", **settings).fit(few)
+    both = quick.setPredictionCol("q").transform(plain.transform(few))
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+
+
+def test_cuts_of_the_model_are_those_of_the_cells(spark, rows):
+    fitted = composite.fit_boosted(rows, ["f0", "f1", "f2"], components=3, trees=30, depth=3, patience=6)
+    ready = rows
+    for stage in fitted.model.stages[:-1]:
+        ready = stage.transform(ready)
+    ready = ready.filter(F.col("date") < composite.split_date(rows, 0.2)).select("pcs", "return_next")
+    at = composite.levels(ready, "pcs", 3)
+    mids = [{(x + y) / 2.0 for x, y in zip(v, v[1:])} for v in at]
+    few = composite.cells(ready, at, "pcs", "return_next").withColumn("id", F.monotonically_increasing_id()).cache()
+    for tree in fitted.model.stages[-1].trees:
+        node = [tree._call_java("rootNode")]
+        while node:
+            now = node.pop()
+            if now.subtreeDepth():
+                assert now.split().threshold() in mids[now.split().featureIndex()]
+                node += [now.leftChild(), now.rightChild()]
+    assert few.agg(F.sum("weight")).first()[0] == ready.count()
+
+
 def test_no_tail_keeps_all_trees(spark, rows):
     fitted = composite.fit_boosted(rows.filter("date = DATE'2020-01-01'"), ["f0", "f1"], components=2, trees=3, depth=2, stop_share=0.0)
     assert fitted.losses == [] and fitted.model.stages[-1].getNumTrees == 3
