@@ -7,8 +7,10 @@ per word.  Slices are cut by bytes, so memory does not depend on the batch size.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,31 @@ def even_starts(rows: DataFrame, by: str, most: int) -> DataFrame:
     return found.withColumn("text", F.when(length <= F.col("_level"), F.col("text")).otherwise(start)).drop("_share", "_level")
 
 
+_HELD: dict[Hashable, object] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, remembered for the next tasks of this worker in place of what was held before.
+
+    One worker serves the operators of a pipeline in turn, and the tables of all of
+    them together would not fit beside its executor.
+    """
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Give back the memory of what is held; costs nothing where nothing is."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # the C library keeps freed blocks otherwise; not every one has this call
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit words."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

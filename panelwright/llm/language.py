@@ -11,13 +11,12 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwright.llm.common import LOWER, even_starts, flat, kept_rows, read, remainder, slices
+from panelwright.llm.common import LOWER, even_starts, flat, kept_rows, read, remainder, remembered, slices
 
 #: Rows of each language and bytes of their text that the automata are built on at most.
 ROWS, SAMPLE_BYTES = 200, 48 << 10
@@ -76,7 +75,6 @@ def automaton(text: np.ndarray) -> np.ndarray:
     return np.frombuffer(step, np.int32).reshape(-1, SYMBOLS)[: len(link)]
 
 
-@lru_cache(maxsize=2)
 def _parser(samples: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
     """One table for all languages: the next state's place, with the ``_ENDED`` bit where a new phrase begins; and the roots.
 
@@ -104,7 +102,7 @@ def _parser(samples: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
 
 def phrases(samples: tuple[bytes, ...], text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """(rows, languages) number of phrases; the parse starts anew every ``CHUNK`` symbols."""
-    table, roots = _parser(samples)
+    table, roots = remembered(("language", samples), lambda: _parser(samples))
     lengths = np.diff(bounds)
     per_row = -(-lengths // CHUNK)
     row = np.repeat(np.arange(len(lengths)), per_row)

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import Words, mix, read, shingles, slices, store
+from panelwright.llm.common import Words, let_go, mix, read, shingles, slices, store
 
 TREES, DEPTH = 32, 5
 HASHES = TREES * DEPTH
@@ -86,6 +86,7 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, hi, lo, signature, parity) of whole texts; NULL text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in slices(batch):
                 hashes, bounds = shingles(Words(part.column(1)), width)
@@ -107,6 +108,7 @@ def forest(classes: DataFrame) -> DataFrame:
     schema = "region long, label long, id long, n long, comp long, " + ", ".join(f"{c} long" for c in WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -138,6 +140,7 @@ def crowded(trees: DataFrame) -> DataFrame:
     """Ids of the classes that share a region, from sorted rows that stream through a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         last = np.zeros((2, 0), np.int64)
         for batch in batches:
             rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in range(2)])], axis=1)
@@ -195,6 +198,7 @@ def neighbours(trees: DataFrame, order: tuple[str, ...], meet: str, most: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held = None
         for batch in batches:
             rows = np.stack([c.to_numpy() for c in batch.columns])
@@ -247,6 +251,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     bitmap = _bitmap(wanted.filter("doc_id IS NOT NULL").select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         bits = bitmap.value
         for batch in batches:
             ids = batch.column(0)

@@ -19,14 +19,13 @@ import os
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from panelwright.llm.common import Words, mix, read, slices
+from panelwright.llm.common import Words, mix, read, remembered, slices
 
 TIERS = (2048, 1024, 512, 256)
 END = 1
@@ -142,9 +141,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def _encoder(vocabulary: str, ranks: str | None) -> Encoder:
-    return Encoder(vocabulary, ranks)
+    return remembered(("packing", vocabulary, ranks), lambda: Encoder(vocabulary, ranks))
 
 
 class Packer:

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import Words, even_starts, kept_rows, mix, read, remainder, slices
+from panelwright.llm.common import Words, even_starts, kept_rows, let_go, mix, read, remainder, slices
 
 #: Rows of each class, and bytes of their text, that the model is fitted on at most.
 PER_CLASS, CLASS_BYTES = 3000, 12 << 20
@@ -184,6 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the sample, fitted in one task, which keeps the texts and the counts off the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
         rows = sorted((int(c), int(p), t) for b in batches for c, p, t in zip(b["toxic"], b["place"], b["text"], strict=True))
         yield pd.DataFrame({"model": [pickle.dumps(fit([t for *_, t in rows], [c for c, *_ in rows]))]})
 
@@ -210,7 +211,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows scored below ``most``, all their columns unchanged; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return kept_rows(docs, lambda text: shared.value.score(Words(text)) < most)
+
+    def decide(text: pa.Array) -> np.ndarray:
+        let_go()
+        return shared.value.score(Words(text)) < most
+
+    return kept_rows(docs, decide)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -32,3 +32,21 @@ def test_stages_keep_columns_and_take_effect(spark):
     per_copy = packed.groupBy("doc_id").agg((F.sum("length") / F.max("doc_tokens")).alias("copies"))
     assert per_copy.join(mixed.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id").filter("copies <> n").count() == 0
     assert per_copy.count() == mixed.select("doc_id").distinct().count()
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    """Tables of language, packing and earlier samples stayed in a worker beside those of the stage it worked for."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from panelwright.llm import common, language, packing
+
+    text = pa.array(["the cat sat", "el gato duerme"])
+    for samples in ({"en": b" the cat sat on the mat", "es": b" el gato duerme en la casa"}, {"en": b" a dog", "es": b" un perro"}):
+        language._answers(samples)(text)
+        assert len(common._HELD) == 1
+    encoder = packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), None)
+    assert list(common._HELD.values()) == [encoder]
+    assert packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), None) is encoder
+    common.let_go()
+    assert not common._HELD
