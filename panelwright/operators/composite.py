@@ -42,6 +42,16 @@ def feature_matrix(factors: DataFrame, returns: DataFrame, names: Sequence[str])
     )
 
 
+def feature_rows(wide: DataFrame, names: Sequence[str], periods: int = 1) -> DataFrame:
+    """:func:`feature_matrix` of rows that have all factors side by side and carry ``close``.
+
+    No row has to be taken apart, gathered in a hash table and joined again: one sort
+    by entity adds the return.
+    """
+    ahead = ts.forward_return("close", periods, ts.entity_window())
+    return wide.select("entity", "date", *names, ahead.alias("return_next")).dropna(subset=[*names, "return_next"])
+
+
 def forward_returns(panel: DataFrame, periods: int = 1) -> DataFrame:
     w = ts.entity_window()
     return panel.select("entity", "date", ts.forward_return("close", periods, w).alias("return_next")).filter(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelwright.functions.scalar import col
 from panelwright.operators import ic
 from panelwright.plans import factors as f
-from panelwright.plans.factors import Term, factor_long, fld
+from panelwright.plans.factors import Term, factor_long, factor_wide, fld
 from panelwright.session import ensure_checkpoint_dir
 from panelwright.sources.panel import FLAGS, Panel, weekly_panel
 
@@ -237,6 +237,11 @@ def library_factors(spark: SparkSession, sf_dir: str) -> tuple[Panel, DataFrame]
     return panel, merged.select("factor_name", "entity", "date", "value")
 
 
+def library_wide(spark: SparkSession, sf_dir: str, carry: list[str] = []) -> DataFrame:
+    """The library's factors side by side, one row per entity and date."""
+    return factor_wide(weekly_panel(spark, sf_dir), LIBRARY, carry)
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel, merged = library(spark, sf_dir)
     return ic.daily_ic(merged, panel.cross_section("factor_name"))

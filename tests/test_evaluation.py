@@ -217,3 +217,20 @@ def test_segments_match_quantile_cut(spark, n, k):
     got = {r["segment"]: r["n_days"] for r in screen.segment_table(df, k).collect()}
     want = pd.Series(pd.qcut(np.arange(n), q=min(max(2, k), n), labels=False, duplicates="drop") + 1).value_counts().to_dict()
     assert got == want
+
+
+def test_feature_rows_are_those_of_the_pivot_without_gathering_rows(spark):
+    from panelwright.operators import composite
+    from panelwright.plans.factors import to_long
+    from panelwright.suite.base import LIBRARY, library_wide
+    from panelwright.suite.learning import _features
+    from panelwright.suite.tables import _drop_all_null
+
+    sf, names = "/root/testdata/sf0.001", list(LIBRARY)
+    wide = library_wide(spark, sf, carry=["close"]).cache()
+    want = composite.feature_matrix(to_long(wide, names, ["entity", "date"]), composite.forward_returns(wide), names)
+    got = _features(spark, sf)
+    assert got.columns == want.columns and got.count() > 0
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    for df in (got, _drop_all_null(spark, sf)):
+        assert "pivotfirst" not in df._jdf.queryExecution().optimizedPlan().toString()
