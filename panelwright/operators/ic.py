@@ -322,11 +322,19 @@ def factor_autocorr(factors: DataFrame) -> DataFrame:
 def rank_turnover(factors: DataFrame, cross: CrossSection) -> DataFrame:
     """Mean over dates of the mean absolute change in percentile rank."""
     ranked = cross.rank(factors, "value", "_pct").select(*FACTOR_DAY, "entity", "_pct")
-    moved = _previous_date_value(ranked, "_pct", "_before")
-    daily = moved.groupBy(*FACTOR_DAY).agg(F.avg(F.abs(F.col("_pct") - F.col("_before"))).alias("_move"))
+    w = ts.entity_window(["factor_name", "entity"])
+    lagged = ranked.withColumns({"_last": F.lag("_pct").over(w), "_last_date": F.lag("date").over(w)})
+    # By the date of an entity's last row: a factor's dates are then known without reading the rows again.
+    moves = lagged.groupBy(*FACTOR_DAY, "_last_date").agg(F.sum(F.abs(F.col("_pct") - F.col("_last"))).alias("_sum"), F.count(F.col("_pct") - F.col("_last")).alias("_n"))
+    # rows of pairs of dates, bounded by the calendar
+    day = F.unix_date("date")
+    before = Window.partitionBy("factor_name").orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+    on_time = F.col("_last_date") == F.max("date").over(before)
+    daily = moves.select("factor_name", F.when(on_time, F.try_divide("_sum", "_n")).alias("_move"))
     return daily.groupBy(*FACTOR).agg(F.avg("_move").alias("turnover_estimate"))
 
 
+
 def pooled_ic(rows: DataFrame, cross: CrossSection, keys: Sequence[str], x: str = "value", y: str = "ret") -> DataFrame:
     """Correlation and rank correlation over whole groups rather than dates."""
     return correlations_by(rows, cross.with_keys(*keys), x, y)

@@ -234,3 +234,19 @@ def test_feature_rows_are_those_of_the_pivot_without_gathering_rows(spark):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     for df in (got, _drop_all_null(spark, sf)):
         assert "pivotfirst" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rank_turnover_reads_its_rows_once(spark):
+    from panelwright.operators import ic
+    from panelwright.operators.crosssection import CrossSection
+
+    rows = [("f", e, f"2024-01-0{d}", float(v)) for e, d, v in [("a", 1, 1), ("b", 1, 2), ("a", 3, 5), ("b", 3, 4), ("c", 3, 6), ("a", 4, 1), ("c", 4, 2)]]
+    # entity b skips the date before its last row, and g has one date only
+    rows += [("f", "b", "2024-01-06", 9.0), ("g", "a", "2024-01-01", 1.0)]
+    df = spark.createDataFrame(rows, "factor_name string, entity string, date string, value double").withColumn("date", F.col("date").cast("date"))
+    out = ic.rank_turnover(df, CrossSection(["factor_name", "date"]))
+    got = {r["factor_name"]: r["turnover_estimate"] for r in out.collect()}
+    moves = [(abs(2 / 3 - 1 / 2) + abs(1 / 3 - 1)) / 2, (abs(1 / 2 - 2 / 3) + abs(1 - 1)) / 2]
+    assert got["g"] is None and got["f"] == pytest.approx(sum(moves) / 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
