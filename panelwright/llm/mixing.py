@@ -5,7 +5,8 @@ Only DataFrame functions run here.  A source's documents are spread over
 worked out on the table of (source, bucket) sizes, which also splits a source that
 holds a third of all rows.  The cut takes whole buckets and decides the one it
 crosses by the nearer side, so the words taken differ from the target by half a
-bucket at most.
+bucket at most.  What is decided is one row per source, its whole repeats and its
+last bucket taken once more, so documents meet the plan without being shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from panelwright.session import cut_lineage
 
 #: Three hexadecimal digits of a hash.  It sets how finely a source is cut; no row is dropped by it.
 BUCKETS = 4096
+#: Sources whose plan is sent to the documents; with more, documents are shuffled by source.
+SOURCES_SENT = 100_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -53,8 +56,9 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3.0) -> DataFrame:
-    """(source, bucket) with ``source_size``, ``target`` and ``repeats`` from rows of (source, size, bucket).
+    """(source, source_size, target, whole, upto) from rows of (source, size, bucket).
 
+    A row is repeated ``whole`` times, and once more up to bucket ``upto``.
     ``weights`` holds (source, weight); without it sources by code point, NULL
     last, weigh 1, 2, 3 and so on again.
     """
@@ -69,11 +73,12 @@ def plan_mix(sized: DataFrame, weights: DataFrame | None = None, max_epochs: flo
     ratio = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
     filled = filled.withColumn("whole", F.coalesce(F.floor(ratio), F.lit(0))).withColumn("cut", F.col("target") - F.col("whole") * F.col("source_size"))
     before = F.coalesce(F.sum("cell").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = cells.withColumn("before", before)
     f = filled.withColumnRenamed("source", "_s")
-    joined = spans.join(f, F.col("source").eqNullSafe(F.col("_s")))
-    taken = (F.col("before") + F.col("cell") / 2 < F.col("cut")).cast("long")
-    return joined.select("source", "bucket", "source_size", "target", (F.col("whole") + taken).alias("repeats"))
+    joined = cells.withColumn("before", before).join(f, F.col("source").eqNullSafe(F.col("_s")))
+    # the middles of buckets ascend, so the buckets taken are the first ones
+    taken = F.col("before") + F.col("cell") / 2 < F.col("cut")
+    return joined.groupBy("source").agg(
+        *[F.first(c).alias(c) for c in ("source_size", "target", "whole")], F.coalesce(F.max(F.when(taken, F.col("bucket"))), F.lit(-1)).alias("upto"))
 
 
 def with_repeats(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3.0, seed: str = "mix", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -86,9 +91,11 @@ def with_repeats(docs: DataFrame, weights: DataFrame | None = None, max_epochs:
     sized = docs.select("doc_id", "source", word_count().alias("size"), bucket("doc_id", seed).alias("bucket"), *extra)
     if not extra:
         sized = cut_lineage(sized)
-    plan = plan_mix(sized, weights, max_epochs).withColumnsRenamed({"source": "_s", "bucket": "_b"})
-    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))
-    return sized.join(plan, same).drop("_s", "_b", "bucket")
+    plan = cut_lineage(plan_mix(sized, weights, max_epochs).withColumnRenamed("source", "_s"))
+    sent = F.broadcast(plan) if plan.count() <= SOURCES_SENT else plan
+    joined = sized.join(sent, F.col("source").eqNullSafe(F.col("_s")))
+    repeats = F.col("whole") + (F.col("bucket") <= F.col("upto")).cast("long")
+    return joined.select("doc_id", "source", "size", *extra, "source_size", "target", repeats.alias("repeats"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3.0, seed: str = "mix") -> DataFrame:

@@ -7,7 +7,7 @@ are sorted by the values that follow, so neighbours share the longest prefixes a
 the depth in use grows with the crowding of a region.
 
 Candidates of the classes that share a region with another come in rounds.  First
-each row meets the head of its region, the class whose regions are most crowded: the
+each row meets one head of its regions, the class whose regions are most crowded: the
 text that copies derive from heads nearly all regions it is in, so a group of
 thousands is linked with few candidates a row.  Then each row meets its neighbour by
 label, where they are not in one component yet.  After that, rows of a region meet
@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.llm.common import Words, let_go, mix, read, shingles, slices, store
+from panelwright.llm.common import SLICE_BYTES, Words, let_go, mix, read, shingles, slices, store
 
 TREES, DEPTH = 32, 5
 HASHES = TREES * DEPTH
@@ -63,12 +63,16 @@ def _set_keys(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(rows, HASHES) smallest hash values; rows with an empty set hold zeros."""
-    out = np.zeros((len(bounds) - 1, HASHES), np.uint32)
+    """(rows, HASHES) with 16 bits of the smallest hash values; rows with an empty set hold zeros.
+
+    The leading bits of a smallest value are nearly always zero, these are not: two
+    different shingles agree once in 65,536, which only adds candidates.
+    """
+    out = np.zeros((len(bounds) - 1, HASHES), np.uint16)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         for m in range(HASHES):
-            out[full, m] = np.minimum.reduceat(hashes * _FACTORS[m], bounds[full]) >> np.uint64(32)
+            out[full, m] = (np.minimum.reduceat(hashes * _FACTORS[m], bounds[full]) >> np.uint64(16)).astype(np.uint16)
     return out
 
 
@@ -100,10 +104,23 @@ def sign(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hi long, lo long, signature binary, parity binary")
 
 
+def _regions(sig: np.ndarray) -> np.ndarray:
+    """(rows, TREES) names of tree and first values."""
+    region = np.repeat(_TREE_SEEDS[None, :], len(sig), axis=0)
+    for d in range(DEPTH):
+        region = mix(region * np.uint64(0xD6E8FEB86659FD93) + sig[:, d::DEPTH])
+    return region
+
+
+def _signature(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), HASHES).astype(np.uint64)
+
+
 def forest(classes: DataFrame) -> DataFrame:
     """A row (region, label, id, n, comp) and the parity words for each class and tree.
 
     ``region`` names tree and first values, ``label`` sorts by the values that follow.
+    Where classes carry ``trees``, a bit for each tree, only those trees are planted.
     """
     schema = "region long, label long, id long, n long, comp long, " + ", ".join(f"{c} long" for c in WORDS)
 
@@ -112,23 +129,22 @@ def forest(classes: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                sig = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint32).reshape(part.num_rows, HASHES).astype(np.uint64)
-                region = np.repeat(_TREE_SEEDS[None, :], part.num_rows, axis=0)
+                sig = _signature(part.column(0))
+                region = _regions(sig)
                 label = np.zeros((part.num_rows, TREES), np.uint64)
-                with np.errstate(over="ignore"):
-                    for d in range(DEPTH):
-                        region = mix(region * np.uint64(0xD6E8FEB86659FD93) + sig[:, d::DEPTH])
-                    for d in range(3):
-                        label = (label << np.uint64(21)) | (np.roll(sig, -DEPTH * (d + 1), axis=1)[:, d::DEPTH] >> np.uint64(11))
-                each = lambda x: pa.array(np.repeat(x, TREES))
+                for d in range(4):
+                    label = (label << np.uint64(16)) | np.roll(sig, -DEPTH * (d + 1), axis=1)[:, d::DEPTH]
+                trees = part.column(5).to_numpy(zero_copy_only=False).astype(np.uint64) if part.num_columns > 5 else np.full(part.num_rows, (1 << TREES) - 1, np.uint64)
+                row, tree = np.nonzero((trees[:, None] >> np.arange(TREES, dtype=np.uint64)) & np.uint64(1))
                 parity = np.frombuffer(b"".join(part.column(4).to_pylist()), np.int64).reshape(part.num_rows, len(WORDS))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(region.ravel().view(np.int64)), pa.array(label.ravel().view(np.int64)),
-                     *[each(part.column(c).to_numpy(zero_copy_only=False)) for c in (1, 2, 3)],
-                     *[each(x) for x in parity.T]],
+                    [pa.array(region[row, tree].view(np.int64)), pa.array(label[row, tree].view(np.int64)),
+                     *[pa.array(part.column(c).to_numpy(zero_copy_only=False)[row]) for c in (1, 2, 3)],
+                     *[pa.array(x[row]) for x in parity.T]],
                     ["region", "label", "id", "n", "comp", *WORDS])
 
-    return classes.select("signature", "id", "n", "comp", "parity").mapInArrow(run, schema)
+    wanted = ["signature", "id", "n", "comp", "parity", *(["trees"] if "trees" in classes.columns else [])]
+    return classes.select(*wanted).mapInArrow(run, schema)
 
 
 def _by_region(rows: DataFrame, *order: str) -> DataFrame:
@@ -136,21 +152,67 @@ def _by_region(rows: DataFrame, *order: str) -> DataFrame:
     return rows.repartition(parts, "region").sortWithinPartitions("region", *order)
 
 
-def crowded(trees: DataFrame) -> DataFrame:
-    """Ids of the classes that share a region, from sorted rows that stream through a task."""
+def _short(hi: np.ndarray) -> np.ndarray:
+    """40 bits of the name of a set."""
+    return hi.view(np.uint64) >> np.uint64(24)
+
+
+def crowded(signed: DataFrame) -> DataFrame:
+    """(short, trees): by 40 bits of their names, the sets that share a region with another, and the trees of these regions, a bit each.
+
+    Copies of a set are let through once a task.  Only 40 bits of region and name are
+    shuffled: sets wrongly taken for neighbours are turned away by later checks.  Two
+    neighbours whose names agree in 40 bits, one pair in 10**12, would pass for copies.
+    """
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        seen = np.zeros(0, np.uint64)
+        for batch in batches:
+            short, first = np.unique(_short(batch.column(0).to_numpy()), return_index=True)
+            new = ~np.isin(short, seen)
+            seen = np.concatenate([seen, short[new]])
+            for at in range(0, int(new.sum()), 2048):
+                part = batch.column(1).take(pa.array(first[new][at:at + 2048]))
+                region = _regions(_signature(part)) >> np.uint64(24)
+                name = (short[new][at:at + 2048, None] << np.uint64(5)) | np.arange(TREES, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(region.ravel().view(np.int64)), pa.array(name.ravel().view(np.int64))], ["region", "name"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         last = np.zeros((2, 0), np.int64)
         for batch in batches:
+            # rows of one region and set are one
             rows = np.concatenate([last, np.stack([batch.column(c).to_numpy() for c in range(2)])], axis=1)
+            new = np.ones(rows.shape[1], dtype=bool)
+            new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+            rows = rows[:, new]
             same = np.zeros(rows.shape[1] + 1, dtype=bool)
             same[1:-1] = rows[0, 1:] == rows[0, :-1]
             found = np.unique(rows[1, same[1:] | same[:-1]])
             last = rows[:, -1:]
-            yield pa.RecordBatch.from_arrays([pa.array(found)], ["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(found >> 5), pa.array(np.int64(1) << (found & 31))], ["short", "tree"])
+
+    planted = signed.filter("n > 0").select("hi", "signature").mapInArrow(plant, "region long, name long")
+    return _by_region(planted, "name").mapInArrow(run, "short long, tree long").groupBy("short").agg(F.bit_or("tree").alias("trees"))
 
-    return _by_region(trees.select("region", "id")).mapInArrow(run, "id long").distinct()
+
+def _met(signed: DataFrame) -> DataFrame:
+    """The classes, one row for each set, that share a region with another; ``trees`` says in which trees."""
+    near = store(crowded(signed))
+    bitmap = _bitmap(near.select("short"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            hit = _in_bitmap(bits, _short(batch.column(2).to_numpy()))
+            yield batch.filter(pa.array(hit & (batch.column(1).to_numpy() > 0)))
+
+    maybe = signed.mapInArrow(run, signed.schema)
+    classes = maybe.groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "signature", "parity")])
+    short = F.shiftrightunsigned("hi", 24)
+    met = classes.join(near.withColumnRenamed("short", "_short"), short == F.col("_short")).drop("_short")
+    return store(met.withColumn("id", F.monotonically_increasing_id()).withColumn("comp", F.col("id")))
 
 
 def _possible(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +308,16 @@ def _bitmap(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(all_)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the wanted classes (id, doc_id, hi, lo), recomputed from the texts of their first documents."""
+def _in_bitmap(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = mix(ids) % np.uint64(FILTER_BITS)
+    return ((bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, size, packed) of the wanted classes (id, doc_id, hi, lo): the compressed text of their first documents and its bytes.
+
+    Texts are a third of their sets in bytes, and the sets are recomputed where two of them meet.
+    """
     bitmap = _bitmap(wanted.filter("doc_id IS NOT NULL").select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,19 +325,32 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         bits = bitmap.value
         for batch in batches:
             ids = batch.column(0)
-            at = mix(ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
-            hit = (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1
-            chosen = batch.filter(pa.array(hit.astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)))
+            hit = _in_bitmap(bits, ids.fill_null(0).to_numpy().astype(np.int64).view(np.uint64))
+            chosen = batch.filter(pa.array(hit | ids.is_null().to_numpy(zero_copy_only=False)))
             for part in slices(chosen):
                 hashes, bounds = shingles(Words(part.column(1)), width)
                 hi, lo = _set_keys(hashes, bounds)
+                texts = [t or b"" for t in part.column(1).cast(pa.large_binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))],
-                    ["hi", "lo", "shingles"])
+                    [pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array([len(t) for t in texts], pa.int64()),
+                     pa.array([pa.compress(t, "zstd", asbytes=True) if t else b"" for t in texts], pa.binary())],
+                    ["hi", "lo", "size", "packed"])
 
-    made = docs.select("doc_id", "text").mapInArrow(run, "hi long, lo long, shingles array<long>")
+    made = docs.select("doc_id", "text").mapInArrow(run, "hi long, lo long, size long, packed binary")
     # a class is one (hi, lo), so dropping repeats by it needs no further shuffle
-    return made.join(wanted.select("hi", "lo", "id"), ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select("id", "shingles")
+    return made.join(wanted.select("hi", "lo", "id"), ["hi", "lo"]).dropDuplicates(["hi", "lo"]).select("id", "size", "packed")
+
+
+def _shared(a: pa.Array, b: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of the sets of two text columns, row by row."""
+    both = [shingles(Words(x), width) for x in (a, b)]
+    row = np.concatenate([np.repeat(np.arange(len(a)), np.diff(bounds)) for _, bounds in both])
+    hashes = np.concatenate([h for h, _ in both])
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    twice = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
+    shared = np.bincount(row[1:][twice], minlength=len(a))
+    return shared, np.diff(both[0][1]) + np.diff(both[1][1]) - shared
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -276,12 +359,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int)
     The head, which may be in very many pairs, is joined while rows are slim.
     """
     wanted = pairs.select(F.explode(F.array("head", "id")).alias("id")).distinct().join(classes.select("id", "doc_id", "hi", "lo"), "id")
-    sets = store(_sets(docs, wanted, width))
-    one = pairs.join(sets.withColumnsRenamed({"id": "head", "shingles": "sa"}), "head")
-    both = one.join(sets.withColumnRenamed("shingles", "sb"), "id")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    linked = both.withColumn("shared", shared).filter("100 * shared >= 80 * (size(sa) + size(sb) - shared)")
-    return linked.select(F.col("head").alias("a"), F.col("id").alias("b"))
+    texts = store(_texts(docs, wanted, width))
+    one = pairs.join(texts.withColumnsRenamed({"id": "head", "size": "na", "packed": "ta"}), "head")
+    both = one.join(texts.withColumnsRenamed({"size": "nb", "packed": "tb"}), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in batches:
+            sizes = np.cumsum(batch.column(2).to_numpy() + batch.column(4).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                # as many pairs as hold about a slice of bytes, one at least
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                part = batch.slice(at, upto - at)
+                text = [pa.array([pa.decompress(t, n, "zstd", asbytes=True) if n else b"" for n, t in zip(part.column(c).to_pylist(), part.column(c + 1).to_pylist(), strict=True)], pa.large_binary()).view(pa.large_string())
+                        for c in (2, 4)]
+                shared, union = _shared(*text, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(100 * shared >= 80 * union))
+                at = upto
+
+    return both.select("head", "id", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -325,16 +422,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     all kept or all dropped.  Other columns of ``docs`` are ignored; an empty table gives an empty table.
     """
     signed = store(sign(docs, width))
-    classes = signed.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("parity").alias("parity"))
-    classes = store(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("comp", F.col("id")))
-    met = store(classes.join(crowded(forest(classes)), "id", "left_semi"))
+    met = _met(signed)
     trees = forest(met)
     sizes = trees.groupBy("region").agg(F.count("*").alias("size"))
     crowd = trees.select("region", "id").join(sizes, "region").groupBy("id").agg(F.sum("size").alias("crowd"))
     # the place in the order goes with the class, in the column that names components later
     ranked = forest(met.drop("comp").join(crowd, "id").withColumn("comp", -F.col("crowd")))
-    done = store(neighbours(ranked, ("comp", "id"), "head"))
-    comps = components(confirmed(done, docs, classes, width))
+    heads = neighbours(ranked, ("comp", "id"), "head")
+    # the head of the most crowded region alone: texts travel with pairs, and the rounds below meet what it leaves open
+    first = F.max_by("head", F.struct("crowd", "head")).alias("head")
+    done = store(heads.join(crowd.withColumnRenamed("id", "head"), "head").groupBy("id").agg(first).select("head", "id"))
+    comps = components(confirmed(done, docs, met, width))
     # then only pairs that would join components
     meet, most = "before", NEAREST
     while True:
@@ -342,13 +440,17 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
         found = store(neighbours(forest(_closure(comps, met)), order, meet, most).join(_either_way(done), ["head", "id"], "left_anti"))
         new = found.filter("head >= 0")
         if not new.isEmpty():
-            comps = components(comps.toDF("a", "b").union(confirmed(new, docs, classes, width)))
+            comps = components(comps.toDF("a", "b").union(confirmed(new, docs, met, width)))
         if meet == "others" and found.filter("head < 0").isEmpty():
             break
         done, meet, most = done.union(new), "others", NEAREST if meet == "before" else most * GROWTH
-    named = _closure(comps, classes.select("id", "doc_id", "hi", "lo"))
+    named = _closure(comps, met.select("id", "doc_id", "hi", "lo", "comp"))
     first = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    groups = named.join(first, "comp").select("hi", "lo", "component_id", F.lit(True).alias("grouped"))
+    joined = named.join(first, "comp").select("hi", "lo", "component_id", F.lit(True).alias("met"))
+    # the other sets have no neighbours but their copies
+    copies = signed.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("_first"))
+    groups = copies.join(joined, ["hi", "lo"], "left").select(
+        "hi", "lo", F.when(F.col("met"), F.col("component_id")).otherwise(F.col("_first")).alias("component_id"), F.lit(True).alias("grouped"))
     out = signed.select("doc_id", "n", "hi", "lo").join(groups, ["hi", "lo"], "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

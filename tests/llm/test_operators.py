@@ -65,6 +65,17 @@ def test_query_equals_its_sql(spark, con, name):
     assert differences(suite.QUERIES[name](spark, SF).toPandas(), con.execute(suite.SQL[name]).df()) == ""
 
 
+def test_mixed_documents_are_not_shuffled(spark):
+    """Documents meet the plan of their source where they are; a bucket is taken once more up to the last one."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7), ["a", "b", "c", None][i % 4]) for i in range(400)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    rows = mixing.with_repeats(docs).withColumn("bucket", mixing.bucket("doc_id", "mix")).collect()
+    for source in ("a", "b", "c", None):
+        own = sorted((r["bucket"], r["repeats"]) for r in rows if r["source"] == source)
+        assert [n for _, n in own] == sorted((n for _, n in own), reverse=True)
+
+
 def test_shingles_are_sets_of_words():
     texts = ["a b a b a", "A  b", "x", "", None, "a b a b a"]
     for width in (1, 2, 5):
@@ -409,6 +420,37 @@ def test_links_are_found_by_label_and_by_component(spark):
         assert got == want
 
 
+def test_trees_without_company_are_not_planted(spark):
+    """A set that meets others in some trees only is shuffled for these; sets met by nobody, and copies alone, never."""
+    words = [[f"t{g}w{i}" for i in range(60)] for g in range(20)]
+    texts = [" ".join(w) for w in words] + [" ".join(w[:-6] + ["x"] * 6) for w in words[:5]] + [" ".join(words[9])] * 7
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    signed = neardup.store(neardup.sign(docs, 2))
+    met = neardup._met(signed)
+    rows = met.collect()
+    assert {r["doc_id"] for r in rows} == {*range(5), *range(20, 25)}
+    sig = {r["doc_id"]: np.frombuffer(r["signature"], np.uint16).reshape(neardup.TREES, neardup.DEPTH) for r in rows}
+    for r in rows:
+        other = (r["doc_id"] + 20) % 40
+        assert r["trees"] == sum(1 << int(t) for t in np.flatnonzero((sig[r["doc_id"]] == sig[other]).all(axis=1)))
+    assert neardup.forest(met).count() == sum(r["trees"].bit_count() for r in rows) < neardup.TREES * len(rows)
+
+
+def test_sets_are_compared_from_packed_texts(spark):
+    """Links and no others, from texts with an odd blank, a blank row's neighbour and a long text."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), "\t".join(base[:-20]), " ".join(base[:300]), "Ünï " * 30 + "ende", "ünï " * 30 + "ende"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    classes = neardup.sign(docs, 2).withColumn("id", F.col("doc_id") + 100)
+    pairs = spark.createDataFrame([(100, 101), (100, 102), (103, 104)], "head long, id long")
+    want = set()
+    for a, b in ((0, 1), (0, 2), (3, 4)):
+        x, y = ({tuple(w[i:i + 2]) for i in range(len(w) - 1)} for w in (re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in texts[k])) for k in (a, b)))
+        if 100 * len(x & y) >= 80 * len(x | y):
+            want.add((a + 100, b + 100))
+    assert {tuple(r) for r in neardup.confirmed(pairs, docs, classes, 2).collect()} == want and (100, 101) in want and (100, 102) not in want
+
+
 def test_recall_on_thousands_of_near_copies(spark):
     """Near copies of many texts, most above 0.8: the share of true links inside one component is printed and at least 0.9."""
     rng = random.Random(11)
