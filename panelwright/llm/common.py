@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelwright.session import ensure_checkpoint_dir
+from panelwright.session import store  # noqa: F401  the operators take it from here
 
 SLICE_BYTES = 1 << 20
 
@@ -40,16 +39,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and continue from its files.
-
-    Unlike a checkpointed plan, readers of the files still read only the columns they need.
-    """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; NULL ids hash as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(by))

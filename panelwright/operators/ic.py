@@ -14,6 +14,7 @@ from panelwright.functions import timeseries as ts
 from panelwright.functions.scalar import divide, is_true
 from panelwright.functions.stats import centred_correlation, correlation, correlation_p_value, ratio_or, share
 from panelwright.operators.crosssection import CrossSection
+from panelwright.session import cut_lineage
 
 # Smallest cross-sections that count, by kind of evaluation.
 MIN_NAMES = 50
@@ -337,7 +338,7 @@ def rank_turnover(factors: DataFrame, cross: CrossSection) -> DataFrame:
 
 def pooled_ic(rows: DataFrame, cross: CrossSection, keys: Sequence[str], x: str = "value", y: str = "ret") -> DataFrame:
     """Correlation and rank correlation over whole groups rather than dates."""
-    return correlations_by(rows, cross.with_keys(*keys), x, y)
+    return correlations_by(rows.select(*keys, x, y), cross.with_keys(*keys), x, y)
 
 
 # --------------------------------------------------------------------------
@@ -350,11 +351,14 @@ def ic_decay(
     horizons: Sequence[int] = (1, 2, 3, 5, 10, 20),
     min_names: int = MIN_NAMES_DECAY,
     apply_flags: bool = True,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Mean correlations by holding horizon.
 
     ``cross`` must be keyed by (factor_name, horizon, date).  All horizons come
-    from one pass over the entity's rows.
+    from one pass over the entity's rows, or from the array ``later`` where the rows
+    carry one for these horizons.  ``names`` lists the factors that may occur; the
+    rows are then read a second time only for those without a day at any horizon.
     """
     rows = merged
     if apply_flags:
@@ -362,8 +366,9 @@ def ic_decay(
             if flag in rows.columns:
                 rows = rows.filter(~is_true(flag))
     w = ts.entity_window(["factor_name", "entity"])
-    for h in horizons:
-        rows = rows.withColumn(f"_r{h}", ts.forward_return("close", h, w))
+    carried = apply_flags and "later" in rows.columns
+    rows = rows.withColumns({
+        f"_r{h}": divide(F.col("later")[i]["close"], "close") - 1 if carried else ts.forward_return("close", h, w) for i, h in enumerate(horizons)})
     pairs = ", ".join(f"{h}, _r{h}" for h in horizons)
     long = rows.select(
         "factor_name", "date", "value", F.expr(f"stack({len(horizons)}, {pairs}) as (horizon, ret)")
@@ -380,8 +385,16 @@ def ic_decay(
             share(F.col(c) > 0).alias(f"{c}_win_rate"),
         ]
     found = daily.groupBy("factor_name", "horizon").agg(*columns, F.count("*").alias("n_valid_days"))
+    if names is None:
+        present = merged.select("factor_name").distinct()
+    else:
+        found = cut_lineage(found)
+        present = found.select("factor_name").distinct()
+        absent = set(names) - {r["factor_name"] for r in present.collect()}
+        if absent:
+            present = present.union(merged.filter(F.col("factor_name").isin(list(absent))).select("factor_name").distinct())
     wanted = (
-        merged.select("factor_name").distinct()
+        present
         .withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     )
     return wanted.join(found, ["factor_name", "horizon"], "left").withColumn(

@@ -35,6 +35,8 @@ class Term:
     own_nodes: int = 1
     own_windows: frozenset = frozenset()
     is_call: bool = False
+    #: NULL exactly where its input is.
+    keeps_nulls: bool = False
 
     @property
     def nodes(self) -> int:
@@ -110,9 +112,9 @@ def _window_call(name: str, inputs: Sequence, n: int, build, smallest: int = 1)
     return Term(text, "time", inputs, build, own_nodes=2, own_windows=frozenset([n]), is_call=True).check()
 
 
-def _cross_call(name: str, x, build, args: str = "", extra_nodes: int = 0) -> Term:
+def _cross_call(name: str, x, build, args: str = "", extra_nodes: int = 0, keeps_nulls: bool = False) -> Term:
     x = _term(x)
-    return Term(f"{name}({x.text}{args})", "cross", (x,), build, own_nodes=1 + extra_nodes, is_call=True).check()
+    return Term(f"{name}({x.text}{args})", "cross", (x,), build, own_nodes=1 + extra_nodes, is_call=True, keeps_nulls=keeps_nulls).check()
 
 
 def fld(name: str) -> Term:
@@ -134,14 +136,14 @@ def ts_corr(x, y, n): return _window_call("ts_corr", [x, y], n, lambda w, a, b:
 ret = ts_return
 
 
-def rank(x): return _cross_call("rank", x, lambda cs, df, a, out: cs.rank(df, a, out))
+def rank(x): return _cross_call("rank", x, lambda cs, df, a, out: cs.rank(df, a, out), keeps_nulls=True)
 def zscore(x): return _cross_call("zscore", x, lambda cs, df, a, out: cs.zscore(df, a, out))
 
 
 def winsorize(x, lower: float = 0.01, upper: float = 0.99):
     return _cross_call(
         "winsorize", x, lambda cs, df, a, out: cs.winsorize(df, a, out, lower, upper),
-        args=f", lower={lower}, upper={upper}", extra_nodes=2,
+        args=f", lower={lower}, upper={upper}", extra_nodes=2, keeps_nulls=True,
     )
 
 
@@ -217,24 +219,45 @@ class _Stage:
             self.prepare_time(t)
 
 
-def add_terms(grid: DataFrame, cross: CrossSection, terms: dict[str, Term]) -> DataFrame:
-    """Add one column per named term to a densified panel."""
+def known_by(term: Term) -> Term | None:
+    """The purely temporal term that is NULL exactly where this one is, if there is one."""
+    if not term.crosses:
+        return term
+    return known_by(term.inputs[0]) if term.kind == "cross" and term.keeps_nulls else None
+
+
+def add_terms(grid: DataFrame, cross: CrossSection, terms: dict[str, Term], follow: Sequence["Follow"] = ()) -> DataFrame:
+    """Add one column per named term to a densified panel.
+
+    What ``follow`` takes from an entity's later rows is added along with the steps
+    along time, for the terms that are known to be NULL or not by then.
+    """
     stage = _Stage(grid, cross)
     for term in terms.values():
         stage.prepare_time(term)
+    early = {}
+    for name, term in terms.items() if follow else ():
+        known = known_by(term)
+        if known is not None and known.kind != "number":
+            early[name] = F.col("present") & F.col(stage.materialise(known)).isNotNull()
+    stage.df = follow_up(stage.df, early, follow)
     columns = {name: stage.materialise(term) for name, term in terms.items()}
     return stage.df.select(
-        *grid.columns, *[F.col(source).cast("double").alias(name) for name, source in columns.items()]
+        *grid.columns, *[f"{f.prefix}{n}" for f in follow for n in early], *[F.col(source).cast("double").alias(name) for name, source in columns.items()]
     )
 
 
-def factor_wide(panel: Panel, terms: dict[str, Term], carry: Iterable[str] = ()) -> DataFrame:
-    """Real panel rows with one column per factor plus the carried fields."""
+def factor_wide(panel: Panel, terms: dict[str, Term], carry: Iterable[str] = (), follow: Sequence["Follow"] = ()) -> DataFrame:
+    """Real panel rows with one column per factor plus the carried fields, and what ``follow`` takes for each factor."""
     needed = sorted({f for t in terms.values() for f in t.fields} | set(carry))
     needed = [c for c in needed if c in panel.df.columns]
     grid = densify(panel.select(*KEY, *needed))
-    wide = add_terms(grid, panel.cross_section(), terms).filter("present")
-    return wide.select(*KEY, *[c for c in carry if c in needed], *terms)
+    wide = add_terms(grid, panel.cross_section(), terms, follow).filter("present")
+    found = [c for f in follow for c in (f"{f.prefix}{n}" for n in terms) if c in wide.columns]
+    wide = wide.select(*KEY, *[c for c in carry if c in needed], *terms, *found)
+    # the others are only known after the cross-sections, which costs one more sort by entity
+    late = {n: F.col(f"`{n}`").isNotNull() for n in terms if follow and f"{follow[0].prefix}{n}" not in found}
+    return follow_up(wide, late, follow)
 
 
 def to_long(wide: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -249,34 +272,67 @@ def to_long(wide: DataFrame, names: Sequence[str], keep: Sequence[str]) -> DataF
 AHEAD = ("close", "limit_up_flag", "limit_down_flag")
 
 
-def with_ahead(wide: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add ``_ahead_<name>``: price and flags of the entity's next row on which that factor has a value.
+@dataclass(frozen=True)
+class Follow:
+    """What a factor's row carries of the entity's later rows that have a value of the factor.
 
-    Taken here, one sort of the wide rows by entity serves all factors; taken on the
-    long table it would sort every factor's rows.
+    ``row`` says what of a row, and is NULL where the row does not count; ``steps`` which
+    of the rows that count, one or several.  Taken on the wide rows, one sort by entity
+    serves all factors; on the long table it would sort every factor's rows.
     """
-    fields = ", ".join(c for c in AHEAD if c in wide.columns)
-    over = "OVER (PARTITION BY entity ORDER BY date)"
-    return wide.select("*", *[
-        F.expr(f"lead(CASE WHEN `{n}` IS NOT NULL THEN struct({fields}) END) IGNORE NULLS {over}").alias(f"_ahead_{n}") for n in names])
 
+    prefix: str
+    row: Callable[[DataFrame, Column], Column]
+    steps: int | tuple[int, ...]
+
+    def lead(self, column: str) -> Column:
+        over = "OVER (PARTITION BY entity ORDER BY date)"
+        one = lambda n: F.expr(f"lead(`{column}`, {n}) IGNORE NULLS {over}")
+        return one(self.steps) if isinstance(self.steps, int) else F.array(*[one(n) for n in self.steps])
+
+
+def follow_up(df: DataFrame, there: dict[str, Column], follow: Sequence[Follow]) -> DataFrame:
+    """Add ``<prefix><name>`` for the factors of ``there``, which says on which rows a factor has a value."""
+    if not there:
+        return df
+    rows = {f"_row{f.prefix}{n}": f.row(df, c) for f in follow for n, c in there.items()}
+    return df.withColumns(rows).withColumns({f"{f.prefix}{n}": f.lead(f"_row{f.prefix}{n}") for f in follow for n in there}).drop(*rows)
 
-def factor_long(panel: Panel, terms: dict[str, Term], carry: Sequence[str] = (), batch: int = 40, ahead: bool = False) -> DataFrame:
+
+#: Price and flags of the next row.
+NEXT_ROW = Follow("_ahead_", lambda df, there: F.when(there, F.struct(*[c for c in AHEAD if c in df.columns])), 1)
+
+
+def later_rows(horizons: Sequence[int]) -> Follow:
+    """Prices so many tradable rows later, in the order of ``horizons``; they mean something on tradable rows only."""
+
+    def row(df: DataFrame, there: Column) -> Column:
+        for flag in ("ST", "suspended", "limit_up_flag", "limit_down_flag"):
+            if flag in df.columns:
+                there = there & ~scalar.is_true(flag)
+        return F.when(there, F.struct("close"))
+
+    return Follow("_later_", row, tuple(horizons))
+
+
+def factor_long(
+    panel: Panel, terms: dict[str, Term], carry: Sequence[str] = (), batch: int = 40, ahead: bool = False, horizons: Sequence[int] = ()
+) -> DataFrame:
     """Long factor table of a library, in batches so that plans stay small.
 
-    With ``ahead`` each row carries ``ahead``, a struct of what :func:`with_ahead`
-    finds, and evaluation needs no further window over entities.
+    With ``ahead`` each row carries a struct of price and flags of the factor's next
+    row, with ``horizons`` the array ``later`` of :func:`later_rows`, and evaluation
+    needs no further window over entities.
     """
     names = list(terms)
+    follow = [*([NEXT_ROW] if ahead else []), *([later_rows(horizons)] if horizons else [])]
+    extra = [f.prefix.strip("_") for f in follow]
     out = None
     for i in range(0, len(names), batch):
         part = names[i : i + batch]
-        wide = factor_wide(panel, {n: terms[n] for n in part}, carry)
-        if ahead:
-            triples = ", ".join(f"'{n}', `{n}`, `_ahead_{n}`" for n in part)
-            long = with_ahead(wide, part).select(*KEY, *carry, F.expr(f"stack({len(part)}, {triples}) as (factor_name, value, ahead)")).filter(F.col("value").isNotNull())
-        else:
-            long = to_long(wide, part, [*KEY, *carry])
-        long = long.select("factor_name", *KEY, "value", *carry, *(["ahead"] if ahead else []))
+        wide = factor_wide(panel, {n: terms[n] for n in part}, carry, follow)
+        cells = ", ".join(", ".join([f"'{n}'", f"`{n}`", *[f"`{f.prefix}{n}`" for f in follow]]) for n in part)
+        stacked = wide.select(*KEY, *carry, F.expr(f"stack({len(part)}, {cells}) as ({', '.join(['factor_name', 'value', *extra])})"))
+        long = stacked.filter(F.col("value").isNotNull()).select("factor_name", *KEY, "value", *carry, *extra)
         out = long if out is None else out.unionByName(long)
     return out

@@ -100,12 +100,14 @@ def _supplier_bars(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
         "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
         F.trunc(F.to_date("l_shipdate"), period).alias("date"),
         divide("l_extendedprice", "l_quantity").alias("px"),
-    )
+        F.col("l_suppkey").cast("string").alias("entity"),
+    ).repartition("entity")
+    # dealt out by entity once: bars, gaps and windows along time need no further shuffle
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     all_r = F.min(F.col("l_returnflag") == "R")
     all_a = F.min(F.col("l_returnflag") == "A")
     money = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
-    bars = lines.groupBy("l_suppkey", "date").agg(
+    bars = lines.groupBy("entity", "date").agg(
         F.min_by("px", order).alias("open"),
         F.max("px").alias("high"),
         F.min("px").alias("low"),
@@ -127,13 +129,13 @@ def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
         supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
         .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", "s_acctbal", F.col("r_name").alias("industry"))
+        .select(F.col("s_suppkey").cast("string").alias("entity"), "s_acctbal", F.col("r_name").alias("industry"))
     )
     df = (
         _supplier_bars(spark, sf_dir, period)
-        .join(home, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(home, "entity")
         .select(
-            F.col("l_suppkey").cast("string").alias("entity"), "date",
+            "entity", "date",
             "open", "high", "low", "close", "volume", "amount", "vwap",
             (F.col("s_acctbal") * F.col("close")).alias("market_cap"),
             "industry", *FLAGS,

@@ -12,8 +12,8 @@ from panelwright.functions.scalar import col
 from panelwright.operators import ic
 from panelwright.plans import factors as f
 from panelwright.plans.factors import Term, factor_long, factor_wide, fld
-from panelwright.session import ensure_checkpoint_dir
-from panelwright.sources.panel import FLAGS, Panel, weekly_panel
+from panelwright.session import ensure_checkpoint_dir, store
+from panelwright.sources.panel import FLAGS, KEY, Panel, weekly_panel
 
 
 @dataclass(frozen=True)
@@ -226,10 +226,10 @@ cte("stats", ("daily",), """
 CARRY = ["close", "market_cap", "industry", *FLAGS]
 
 
-def library(spark: SparkSession, sf_dir: str, carry: list[str] = ["close", *FLAGS]) -> tuple[Panel, DataFrame]:
+def library(spark: SparkSession, sf_dir: str, carry: list[str] = ["close", *FLAGS], horizons: tuple[int, ...] = ()) -> tuple[Panel, DataFrame]:
     """The weekly panel and its library factors joined with the panel's own columns."""
     panel = weekly_panel(spark, sf_dir)
-    return panel, factor_long(panel, LIBRARY, carry=carry, ahead=set(FLAGS) <= set(carry))
+    return panel, factor_long(panel, LIBRARY, carry=carry, ahead=not horizons and set(FLAGS) <= set(carry), horizons=horizons)
 
 
 def library_factors(spark: SparkSession, sf_dir: str) -> tuple[Panel, DataFrame]:
@@ -237,6 +237,17 @@ def library_factors(spark: SparkSession, sf_dir: str) -> tuple[Panel, DataFrame]
     return panel, merged.select("factor_name", "entity", "date", "value")
 
 
+def stored_panel(spark: SparkSession, sf_dir: str, fields: list[str]) -> Panel:
+    """The weekly panel as if read from files, for queries that need it more than once."""
+    panel = weekly_panel(spark, sf_dir)
+    return Panel(store(panel.df.select(*KEY, *fields)), panel.names_bound)
+
+
+def stored_library(spark: SparkSession, sf_dir: str) -> tuple[Panel, DataFrame]:
+    panel = stored_panel(spark, sf_dir, ["close", "volume", "amount", *FLAGS])
+    return panel, factor_long(panel, LIBRARY).select("factor_name", "entity", "date", "value")
+
+
 def library_wide(spark: SparkSession, sf_dir: str, carry: list[str] = []) -> DataFrame:
     """The library's factors side by side, one row per entity and date."""
     return factor_wide(weekly_panel(spark, sf_dir), LIBRARY, carry)

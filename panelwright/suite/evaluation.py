@@ -8,11 +8,11 @@ from panelwright.functions.scalar import is_true
 from panelwright.operators import ic, screen, similarity
 from panelwright.functions import timeseries as ts
 from panelwright.plans import batch, pipelines
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, store
 from panelwright.sources import sinks
 from panelwright.sources.panel import FLAGS, weekly_panel
 from panelwright.suite.base import (
-    Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, magnitude, magnitude_sql, r6, rank_corr_sql, rank_sql, rounded, scratch, sql,
+    Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, magnitude, magnitude_sql, r6, rank_corr_sql, rank_sql, rounded, scratch, sql, stored_library,
 )
 
 CHECKS: dict[str, Check] = {}
@@ -238,8 +238,8 @@ HORIZONS = (1, 2, 4, 8)
 
 
 def _decay_table(spark, sf_dir):
-    panel, merged = library(spark, sf_dir)
-    return ic.ic_decay(merged, panel.cross_section("factor_name", "horizon"), HORIZONS)
+    panel, merged = library(spark, sf_dir, horizons=HORIZONS)
+    return ic.ic_decay(merged, panel.cross_section("factor_name", "horizon"), HORIZONS, names=list(LIBRARY))
 
 
 _flag_ok = "NOT coalesce(ST, false) AND NOT coalesce(suspended, false) AND NOT coalesce(limit_up_flag, false) AND NOT coalesce(limit_down_flag, false)"
@@ -368,7 +368,7 @@ def _pairs_sql(source: str, keys: str, value: str, least: int) -> str:
 
 def _value_similarity(spark, sf_dir):
     _, factors = library_factors(spark, sf_dir)
-    factors = cut_lineage(factors)
+    factors = store(factors)
     # no bound is known for the rows of one factor, so the split form ranks them
     return rounded(similarity.value_similarity(factors))
 
@@ -424,7 +424,7 @@ _add("top_factors", "O3", lambda spark, sf_dir: rounded(screen.top_factors(_summ
 
 def _newcomer(spark, sf_dir):
     # the newcomer re-enters with the strength of its mirrored series
-    s = _summary(spark, sf_dir)
+    s = cut_lineage(_summary(spark, sf_dir))
     old = s.filter(F.col("factor_name") == "momentum_4")
     new = old.withColumn("mean_rank_ic", -F.col("mean_rank_ic")).withColumn("rank_ic_ir", -F.col("rank_ic_ir"))
     return s, new
@@ -460,8 +460,8 @@ _add("compare_factors", "O5", _compare, sql(
 
 def _batch(spark, sf_dir):
     """Two runs into one folder: the second evaluates only what the first left out."""
-    panel, factors = library_factors(spark, sf_dir)
-    out = scratch(spark)
+    panel, factors = stored_library(spark, sf_dir)
+    factors, out = store(factors), scratch(spark)
     pipelines.batch_analysis(panel, factors.filter(F.col("factor_name").isin("momentum_4", "reversal_2")), out)
     done = pipelines.batch_analysis(panel, factors, out)
     return rounded(done.select("factor_name", "mean_rank_ic", "rank_ic_ir", "valid_days", "quality_score", "grade"))
@@ -474,16 +474,15 @@ _add("batch_analysis", "whole run: K8, J1, A3, A6, K1, A22", _batch, sql(
 
 def broken_batch(spark, sf_dir) -> str:
     """The folder of a batch run twice: stored library factors, an unreadable one, one of bad numbers, one without valid days."""
-    panel, factors = library_factors(spark, sf_dir)
-    factors = cut_lineage(factors)
+    panel, factors = stored_library(spark, sf_dir)
     source, out = scratch(spark), scratch(spark)
-    for name in LIBRARY:
-        factors.filter(F.col("factor_name") == name).select("entity", "date", "value").write.parquet(f"{source}/{name}")
-    one = factors.filter("factor_name = 'momentum_4'")
+    factors.write.partitionBy("factor_name").parquet(f"{source}/library")
+    paths = {n: f"{source}/library/factor_name={n}" for n in LIBRARY} | {n: f"{source}/{n}" for n in ("not_a_table", "bad_numbers", "constant")}
+    one = spark.read.parquet(paths["momentum_4"])
     one.select(F.concat_ws(",", "entity", "value").alias("value")).write.text(f"{source}/not_a_table")
     one.select("entity", "date", F.when(F.col("value") > 0.5, F.lit("high")).otherwise(F.col("value").cast("string")).alias("value")).write.parquet(f"{source}/bad_numbers")
     one.select("entity", "date", F.lit(1.0).alias("value")).write.parquet(f"{source}/constant")
-    sources = {n: (lambda s, n=n: s.read.parquet(f"{source}/{n}")) for n in [*LIBRARY, "not_a_table", "bad_numbers", "constant"]}
+    sources = {n: (lambda s, p=p: s.read.parquet(p)) for n, p in paths.items()}
     for _ in range(2):
         batch.run_batch(panel, sources, out)
     return out
