@@ -1,8 +1,9 @@
 """Batches over many factor sources: a failure stays with its factor, a manifest says what is done.
 
-All factors that can be read are evaluated in one job.  Where that job fails, its
-factors are halved until the failing ones stand alone, so one bad factor among n
-costs about 2 log2(n) smaller jobs and the others keep their results.  Daily tables
+Every factor is read once by itself, which costs no shuffle; those that cannot be read
+to their end stand aside and all others are evaluated in one job.  Where that job
+still fails, its factors are halved until the failing ones stand alone, and the
+others keep their results.  Daily tables
 replace whole folders per factor and are only believed once the manifest names them,
 so a run that broke down can simply be run again.
 """
@@ -85,6 +86,18 @@ class Batch:
                 self.note(name, _told(e), time.monotonic() - start)
         return found
 
+    def readable(self, factors: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        """The factors whose rows can be read to the end; the others are noted."""
+        found = {}
+        for name, df in factors.items():
+            start = time.monotonic()
+            try:
+                df.write.format("noop").mode("overwrite").save()
+                found[name] = df
+            except (PySparkException, Py4JError) as e:
+                self.note(name, _told(e), time.monotonic() - start)
+        return found
+
     def evaluate(self, spark: SparkSession, factors: Mapping[str, DataFrame]) -> None:
         """One job for all; on failure one for each half."""
         names = list(factors)
@@ -140,7 +153,7 @@ def run_batch(
         listed = listed.filter("error IS NULL")
     done = {r["factor_name"] for r in listed.select("factor_name").collect()}
     batch = Batch(panel, out, min_names, next_day)
-    batch.evaluate(spark, batch.load(spark, {n: s for n, s in sources.items() if n not in done}))
+    batch.evaluate(spark, batch.readable(batch.load(spark, {n: s for n, s in sources.items() if n not in done})))
     if batch.rows:
         table = spark.createDataFrame(batch.rows, MANIFEST.partition(", run_id")[0])
         table = table.withColumn("run_id", F.lit(run_id or uuid.uuid4().hex)).withColumn("finished_at", F.current_timestamp())
