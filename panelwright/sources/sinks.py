@@ -7,6 +7,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from panelwright.functions.scalar import finite, is_true
 from panelwright.operators.portfolio import bucket_table, cumulative_table
+from panelwright.session import cut_lineage
 
 
 def write_ic(daily: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -22,7 +23,7 @@ def write_daily(daily: DataFrame, path: str) -> None:
 
 def write_backtest(bucket_returns: DataFrame, path: str, bins: int, cost_bps: float = 0.0, fmt: str = "parquet") -> None:
     """Periodic and compounded bucket tables under ``daily`` and ``cum``."""
-    table = bucket_table(bucket_returns, bins, cost_bps)
+    table = cut_lineage(bucket_table(bucket_returns, bins, cost_bps))  # one row per factor and date, written twice
     for name, df in (("daily", table), ("cum", cumulative_table(table))):
         df.write.mode("overwrite").partitionBy("factor_name").option("header", True).format(fmt).save(f"{path}/{name}")
 
