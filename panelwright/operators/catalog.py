@@ -7,6 +7,7 @@ columns, ``complexity_score``, ``error`` and ``diversity_rejected``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -541,3 +542,20 @@ def lookahead_audit(full: DataFrame, truncated: DataFrame, last_date: Column, to
         .groupBy("factor_name")
         .agg(F.count("*").alias("checked"), F.count_if(~same).alias("mismatches"))
     )
+
+
+def lookahead_audit_wide(full: DataFrame, truncated: DataFrame, names: Sequence[str], last_date: Column, tolerance: float = 1e-9) -> DataFrame:
+    """The same for a library side by side: one row per (entity, date) with a column per factor is joined, not one per value.
+
+    Rows on which a factor is missing on both sides are not counted for it.
+    """
+    before = full.filter(F.col("date") <= last_date).select("entity", "date", *[F.col(f"`{n}`").alias(f"_full_{n}") for n in names])
+    met = before.join(truncated.select("entity", "date", *[F.col(f"`{n}`").alias(f"_cut_{n}") for n in names]), ["entity", "date"], "full")
+    counts = []
+    for n in names:
+        a, b = F.col(f"`_full_{n}`"), F.col(f"`_cut_{n}`")
+        there = a.isNotNull() | b.isNotNull()
+        same = F.coalesce(F.abs(a - b) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(a)), F.lit(False))
+        counts += [F.count_if(there).alias(f"_n_{n}"), F.count_if(there & ~same).alias(f"_off_{n}")]
+    cells = ", ".join(f"'{n}', `_n_{n}`, `_off_{n}`" for n in names)
+    return met.agg(*counts).select(F.expr(f"stack({len(names)}, {cells}) as (factor_name, checked, mismatches)"))

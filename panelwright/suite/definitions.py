@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelwright.functions import text
 from panelwright.operators import catalog, screen
 from panelwright.plans import factors as f, recipes
-from panelwright.plans.factors import factor_long, fld
+from panelwright.plans.factors import factor_long, factor_wide, fld
 from panelwright.session import cut_lineage
 from panelwright.sources.panel import Panel, table, weekly_panel
-from panelwright.suite.base import Check, LIBRARY, R, centred_sql, cte, daily, library_factors, r6, rank_corr_sql, rounded, sql
+from panelwright.suite.base import Check, LIBRARY, R, centred_sql, cte, daily, library_factors, r6, rank_corr_sql, rounded, sql, stored_panel
 from panelwright.suite.evaluation import grade_sql
 
 CHECKS: dict[str, Check] = {}
@@ -407,19 +407,16 @@ _add("crossover", "C12", _crossover, sql(
 
 def _audit(spark, sf_dir):
     """All recipes on the whole panel against the panel cut at mid-calendar, and a planted peek."""
-    panel = weekly_panel(spark, sf_dir)
+    panel = stored_panel(spark, sf_dir, ["close", "volume", "amount", "vwap", "market_cap", "industry"])
     short = {"5": 2, "10": 4, "20": 8, "60": 13, "1": 1}
     terms = {r.recipe_id: r.term(*[short[str(w)] for w in r.windows]) for r in recipes.RECIPES}
     cut = F.lit("1998-06-29").cast("date")
-    before = Panel(panel.df.filter(F.col("date") <= cut), panel.names_bound, panel.days.filter(F.col("date") <= cut))
+    before = Panel(panel.df.filter(F.col("date") <= cut), panel.names_bound)
 
-    def planted(p):
-        w = f.ts.entity_window()
-        return p.df.select(F.lit("planted_lead").alias("factor_name"), "entity", "date", F.lead("close").over(w).alias("value"))
+    def with_planted(p):
+        return factor_wide(p, terms, ["close"]).withColumn("planted_lead", F.lead("close").over(f.ts.entity_window())).drop("close")
 
-    full = factor_long(panel, terms).unionByName(planted(panel))
-    shortened = factor_long(before, terms).unionByName(planted(before))
-    return catalog.lookahead_audit(full, shortened, cut).select(
+    return catalog.lookahead_audit_wide(with_planted(panel), with_planted(before), [*terms, "planted_lead"], cut).select(
         "factor_name", (F.col("checked") > 0).alias("checked"), (F.col("mismatches") > 0).alias("looks_ahead"))
 
 
