@@ -237,6 +237,8 @@ def rank_correlations(
         near = pair_bounds(known, row_keys, against, spread).filter((F.col("n") >= min_overlap) & (F.col("most") >= at_least - EDGE))
         wanted = cut_lineage(near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct())
         needed = needed_rankings(wanted, classes)
+    if spread and classes.groupBy("class").count().filter("count > 1").isEmpty():
+        return _named(_pairs_alone(known, row_keys, wanted), min_overlap, at_least)
     cross = CrossSection(["item", "other"], spread=spread)
     ranked = cross.centred_rank(_meetings(known, classes, row_keys, needed), "v", "rank")
     first, second = F.least("own", "other"), F.greatest("own", "other")
@@ -267,15 +269,41 @@ def rank_correlations(
     left = classes.select(F.col("class").alias("left_class"), F.col("place").alias("left_place"), F.col("item").alias("_l"))
     right = classes.select(F.col("class").alias("right_class"), F.col("place").alias("right_place"), F.col("item").alias("_r"))
     named = total.join(left, ["left_class", "left_place"]).join(right, ["right_class", "right_place"])
+    if wanted is not None:
+        pair = (F.least("_l", "_r") == F.col("left")) & (F.greatest("_l", "_r") == F.col("right"))
+        named = named.join(wanted, pair, "left_semi")
+    return _named(named, min_overlap, at_least)
+
+
+def _named(sums: DataFrame, min_overlap: int, at_least: float) -> DataFrame:
+    """(left, right, n, corr) from pair sums."""
     corr = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    found = named.filter(F.col("n") >= min_overlap).select(
+    found = sums.filter(F.col("n") >= min_overlap).select(
         F.least("_l", "_r").alias("left"), F.greatest("_l", "_r").alias("right"), "n", corr.alias("corr")
     )
-    if wanted is not None:
-        found = found.join(wanted, ["left", "right"], "left_semi")
     return found.filter(F.abs("corr") >= at_least) if at_least > 0 else found
 
 
+def _pairs_alone(known: DataFrame, row_keys: Sequence[str], wanted: DataFrame | None) -> DataFrame:
+    """Pair sums where no two series have the same keys, so that a ranking serves one pair only.
+
+    Both values of a pair go along in one slim row, ranked first by one and then by
+    the other; keys are needed to bring them together and no longer.
+    """
+    numbers = cut_lineage(ordinal(known.select("item").distinct(), "_no", F.col("item")))
+    own = known.join(numbers, "item").select(*row_keys, F.col("_no").cast("int").alias("_no"), "v")
+    met = own.withColumnsRenamed({"_no": "_ln", "v": "_x"}).join(own.withColumnsRenamed({"_no": "_rn", "v": "_y"}), list(row_keys)).filter("_ln < _rn").select("_ln", "_rn", "_x", "_y")
+    name = lambda side, out: numbers.select(F.col("_no").cast("int").alias(f"_{side}n"), F.col("item").alias(out))
+    if wanted is not None:
+        pairs = wanted.join(name("l", "left"), "left").join(name("r", "right"), "right").select("_ln", "_rn")
+        met = met.join(pairs, ["_ln", "_rn"], "left_semi")
+    cross = CrossSection(["_ln", "_rn"], spread=True)
+    ranked = cross.centred_rank(cross.centred_rank(met, "_x", "_rx"), "_y", "_ry")
+    x, y = F.col("_rx"), F.col("_ry")
+    sums = ranked.groupBy("_ln", "_rn").agg(F.count("*").alias("n"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"))
+    return sums.join(name("l", "_l"), "_ln").join(name("r", "_r"), "_rn")
+
+
 def needed_rankings(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(item, other): the classes each item has to be ranked against for the pairs."""
     ends = pairs.unionByName(pairs.select(F.col("right").alias("left"), F.col("left").alias("right")))
