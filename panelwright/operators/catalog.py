@@ -268,6 +268,27 @@ def top_factor_table(candidates: DataFrame, gates: Gates = Gates(), n: int = 50)
     return candidates.filter(passes(gates)).orderBy(*rank_key()).limit(n)
 
 
+def _seen(candidates: DataFrame, accepted_ref: DataFrame) -> DataFrame:
+    """Add ``_skip``, and ``_ref_text`` and ``_ref_struct``: whether an accepted reference has the text or structure."""
+    out = candidates.withColumn("_skip", has_error() | F.coalesce("diversity_rejected", F.lit(False)))
+    for key, flag in (("compact_expression", "_ref_text"), ("structure_signature", "_ref_struct")):
+        seen = accepted_ref.filter(F.col(key) != "").select(key).distinct().withColumn(flag, F.lit(True))
+        out = out.join(seen, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return out
+
+
+def likeness_ends(candidates: DataFrame, reference: DataFrame, gates: Gates = Gates()) -> tuple[DataFrame, DataFrame]:
+    """Names of the pairs that :func:`diversity_flags` reads: (asked, against).
+
+    Asked are the candidates that are neither passed through nor repeat a reference's
+    text or structure; all others are flagged without a likeness.  They are held
+    against the accepted references and the passing ones among themselves.
+    """
+    accepted_ref = reference.filter(passes(gates))
+    asked = cut_lineage(_seen(candidates, accepted_ref).filter(~(F.col("_skip") | F.col("_ref_text") | F.col("_ref_struct"))).select("factor_name", passes(gates).alias("_pass")))
+    return asked.select("factor_name"), accepted_ref.select("factor_name").union(asked.filter("_pass").select("factor_name"))
+
+
 def diversity_flags(
     candidates: DataFrame,
     reference: DataFrame,
@@ -286,16 +307,15 @@ def diversity_flags(
     before, for every candidate that is not a repeated text or structure.
 
     ``candidates`` and ``reference`` are described tables (:func:`describe`);
-    the pair tables hold ``left, right, similarity``.  A candidate flagged as
+    the pair tables hold ``left, right, similarity``, of which only the pairs of
+    :func:`likeness_ends` matter.  A candidate flagged as
     too close in structure also covers novelty below the minimum: likeness above
     0.75 needs the structure weight.
     """
     # read several times below; one row per candidate or close pair
     candidates, reference = cut_lineage(candidates), cut_lineage(reference)
     value_pairs, ic_pairs = cut_lineage(value_pairs), cut_lineage(ic_pairs)
-    ordered = candidates.withColumn("_order", _rank_struct()).withColumn("_pass", passes(gates)).withColumn(
-        "_skip", has_error() | F.coalesce("diversity_rejected", F.lit(False))
-    )
+    ordered = candidates.withColumn("_order", _rank_struct()).withColumn("_pass", passes(gates))
     accepted_ref = reference.filter(passes(gates))
 
     def both_ways(pairs: DataFrame) -> DataFrame:
@@ -308,12 +328,7 @@ def diversity_flags(
     ref_names = accepted_ref.select(F.col("factor_name").alias("right"))
     near_reference = near.join(ref_names, "right", "left_semi").select(F.col("left").alias("factor_name")).distinct()
 
-    def marked(df: DataFrame, key: str, flag: str) -> DataFrame:
-        seen = accepted_ref.filter(F.col(key) != "").select(key).distinct().withColumn(flag, F.lit(True))
-        return df.join(seen, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-
-    known = marked(marked(ordered, "compact_expression", "_ref_text"), "structure_signature", "_ref_struct")
-    known = known.join(near_reference.withColumn("_ref_near", F.lit(True)), "factor_name", "left")
+    known = _seen(ordered, accepted_ref).join(near_reference.withColumn("_ref_near", F.lit(True)), "factor_name", "left")
     known = cut_lineage(
         known.select(
             "factor_name", "compact_expression", "structure_signature", "_order", "_pass", "_skip", "_ref_text", "_ref_struct",

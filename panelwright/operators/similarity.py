@@ -148,8 +148,13 @@ def _blocks(names: DataFrame, out: str) -> DataFrame:
     return placed.select("item", F.floor(F.col("_at") / BLOCK).cast("int").alias(out), (F.col("_at") % BLOCK).cast("int").alias("place"))
 
 
-def pair_bounds(known: DataFrame, row_keys: Sequence[str], against: DataFrame | None, spread: bool) -> DataFrame:
-    """(left, right, n, most): shared keys and an upper bound of |rank correlation| of items and those of ``against``.
+def _among(items: DataFrame, names: DataFrame | None) -> DataFrame:
+    """The items that the first column of ``names`` holds; all, if it is None."""
+    return items if names is None else items.join(names.select(F.col(names.columns[0]).alias("item")).distinct(), "item", "left_semi")
+
+
+def pair_bounds(known: DataFrame, row_keys: Sequence[str], against: DataFrame | None, spread: bool, asked: DataFrame | None = None) -> DataFrame:
+    """(left, right, n, most): shared keys and an upper bound of |rank correlation| of items (those ``asked``) and those of ``against``.
 
     ``known`` holds item, keys and v.  Every item is ranked once, among its own keys.
     Inside an overlap of n of its N keys a rank is smaller by 0 to N - n, so the
@@ -159,13 +164,12 @@ def pair_bounds(known: DataFrame, row_keys: Sequence[str], against: DataFrame |
     The bound holds for every pair; with equal key sets and no ties it is exact.
     """
     items = known.select("item").distinct()
-    facing = items if against is None else items.join(against.select(F.col(against.columns[0]).alias("item")).distinct(), "item", "left_semi")
     cross = CrossSection(["item"], spread=spread)
     sizes = known.groupBy("item").agg(F.count("*").alias("_size"))
     longest = known.groupBy("item", "v").agg(F.count("*").alias("_same")).groupBy("item").agg(F.max("_same").alias("_ties"))
     facts = cut_lineage(sizes.join(longest, "item"))
     ranked = cut_lineage(cross.centred_rank(known, "v", "rank").select("item", *row_keys, "rank"))
-    own, other = _blocks(items, "left_block"), _blocks(facing, "right_block")
+    own, other = _blocks(_among(items, asked), "left_block"), _blocks(_among(items, against), "right_block")
     per_key = lambda blocks, block: ranked.join(blocks, "item").groupBy(block, *row_keys).agg(F.collect_list(F.struct("place", "rank")).alias("_cells"))
     left = per_key(own, "left_block").withColumnRenamed("_cells", "_left")
     right = per_key(other, "right_block").withColumnRenamed("_cells", "_right")
@@ -217,6 +221,7 @@ def rank_correlations(
     min_overlap: int = 2,
     at_least: float = 0.0,
     against: DataFrame | None = None,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """(left, right, n, corr) for pairs of series with enough common keys.
 
@@ -225,16 +230,19 @@ def rank_correlations(
     ranked.  Each pair appears once, with ``left < right``.  Series with constant
     ranks give a NULL correlation.
 
-    ``against``, a column of names, keeps pairs with one of them.  ``at_least`` keeps
+    ``against``, a column of names, keeps pairs with one of them; with ``asked``, another
+    one, the other end is one of those, and no further series is ranked.  ``at_least`` keeps
     pairs with |corr| of that much; pairs whose bound (:func:`pair_bounds`) lies
     below are never ranked, so the rows ranked grow with the pairs that may be close.
     """
     known = series.filter(F.col(value).isNotNull()).select(F.col(item).alias("item"), *row_keys, F.col(value).alias("v"))
+    if asked is not None and against is not None:
+        known = cut_lineage(_among(known, asked.select(asked.columns[0]).union(against.select(against.columns[0]))))
     # one row per series, used several times below
     classes = cut_lineage(support_classes(known, "item", row_keys))
     wanted = needed = None
-    if at_least > 0 or against is not None:
-        near = pair_bounds(known, row_keys, against, spread).filter((F.col("n") >= min_overlap) & (F.col("most") >= at_least - EDGE))
+    if at_least > 0 or against is not None or asked is not None:
+        near = pair_bounds(known, row_keys, against, spread, asked).filter((F.col("n") >= min_overlap) & (F.col("most") >= at_least - EDGE))
         wanted = cut_lineage(near.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct())
         needed = needed_rankings(wanted, classes)
     if spread and classes.groupBy("class").count().filter("count > 1").isEmpty():
@@ -311,16 +319,19 @@ def needed_rankings(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def value_similarity(
-    factors: DataFrame, min_overlap: int = 10_000, at_least: float = 0.0, against: DataFrame | None = None, spread: bool = True
+    factors: DataFrame, min_overlap: int = 10_000, at_least: float = 0.0, against: DataFrame | None = None, spread: bool = True,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """|Spearman| of factor values on shared (entity, date) keys; the rest as above."""
-    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", spread, min_overlap, at_least, against)
+    pairs = rank_correlations(factors, "factor_name", ["entity", "date"], "value", spread, min_overlap, at_least, against, asked)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 
 
-def ic_similarity(daily: DataFrame, min_days: int = 30, at_least: float = 0.0, against: DataFrame | None = None) -> DataFrame:
+def ic_similarity(
+    daily: DataFrame, min_days: int = 30, at_least: float = 0.0, against: DataFrame | None = None, asked: DataFrame | None = None
+) -> DataFrame:
     """|Spearman| of daily rank-correlation series on shared dates; the rest as above."""
-    pairs = rank_correlations(daily, "factor_name", ["date"], "rank_ic", False, min_days, at_least, against)
+    pairs = rank_correlations(daily, "factor_name", ["date"], "rank_ic", False, min_days, at_least, against, asked)
     return pairs.select("left", "right", "n", F.abs("corr").alias("similarity"))
 
 

@@ -280,10 +280,11 @@ def _diversity(spark, sf_dir):
     from panelwright.operators import similarity
 
     d, values, days = _rivals(spark, sf_dir)
-    accepted = d.filter(catalog.passes(CLOSE)).select("factor_name")
-    value_pairs = similarity.value_similarity(values, min_overlap=6, against=accepted, spread=False)
-    day_pairs = similarity.ic_similarity(days, min_days=6, against=accepted)
-    flagged = catalog.diversity_flags(d.filter("generation <> 0"), d.filter("generation = 0"), value_pairs, day_pairs, CLOSE)
+    new, reference = d.filter("generation <> 0"), d.filter("generation = 0")
+    asked, against = catalog.likeness_ends(new, reference, CLOSE)
+    value_pairs = similarity.value_similarity(values, min_overlap=6, against=against, spread=False, asked=asked)
+    day_pairs = similarity.ic_similarity(days, min_days=6, against=against, asked=asked)
+    flagged = catalog.diversity_flags(new, reference, value_pairs, day_pairs, CLOSE)
     return flagged.select("factor_name", "diversity_rejected", r6("max_similarity").alias("max_similarity"),
                           r6("ic_series_max_similarity").alias("ic_series_max_similarity"), "most_similar_to", r6("novelty_score").alias("novelty_score"))
 

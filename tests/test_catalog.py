@@ -168,3 +168,30 @@ def test_sweep_variants_are_distinct():
     texts = [t.text for t in found.values()]
     assert len(texts) == len(set(texts)) == 5 + 4 + 1 + 1 + 3
     assert found["m__operator_ts_return_to_delta"].text == "rank(delta(close, 20))"
+
+
+def test_no_likeness_of_candidates_that_a_reference_settles(spark, monkeypatch):
+    """Pairs were formed of all candidates and references with every passing one, which fills the disk on larger tables."""
+    from panelwright.suite import definitions
+
+    class Seen(Exception):
+        pass
+
+    def stop(candidates, reference, value_pairs, ic_pairs, gates):
+        raise Seen(candidates, reference, value_pairs, ic_pairs, gates)
+
+    monkeypatch.setattr(catalog, "diversity_flags", stop)
+    with pytest.raises(Seen) as found:
+        definitions._diversity(spark, "/root/testdata/sf0.001")
+    candidates, reference, *pairs, gates = found.value.args
+    kept = [r.asDict() for r in reference.filter(catalog.passes(gates)).select("factor_name", "compact_expression", "structure_signature").collect()]
+    texts, structures = {r["compact_expression"] for r in kept}, {r["structure_signature"] for r in kept}
+    rows = candidates.withColumn("_pass", catalog.passes(gates)).withColumn("_skip", catalog.has_error() | F.col("diversity_rejected")).collect()
+    asked = {r["factor_name"] for r in rows if not r["_skip"] and r["compact_expression"] not in texts and r["structure_signature"] not in structures}
+    held = {r["factor_name"] for r in kept} | {r["factor_name"] for r in rows if r["_pass"] and r["factor_name"] in asked}
+    assert kept and asked and len(asked) < len(rows)
+    for table_ in pairs:
+        met = [(r["left"], r["right"]) for r in table_.select("left", "right").collect()]
+        assert met and all((a in asked and b in held) or (b in asked and a in held) for a, b in met)
+        # each pair of names once
+        assert len(met) == len({frozenset(p) for p in met})
