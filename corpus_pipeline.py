@@ -18,8 +18,14 @@ ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids``; documents without an id stay."""
-    return docs.join(ids.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents whose id is not among ``ids``; documents without an id stay.
+
+    Most documents stay, so only those that a bitmap of the ids does not clear are joined,
+    and the texts of the others are not shuffled.
+    """
+    gone = ids.filter("doc_id IS NOT NULL").distinct()
+    maybe = neardup.maybe_among(gone)(F.col("doc_id"))
+    return docs.filter(~maybe).union(docs.filter(maybe).join(gone, "doc_id", "left_anti").select(docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

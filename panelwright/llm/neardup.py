@@ -28,11 +28,12 @@ For two sets of similarity 0.8 the chance to share no region is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.llm.common import SLICE_BYTES, Words, let_go, mix, read, shingles, slices, store
 
@@ -313,6 +314,18 @@ def _in_bitmap(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ((bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
 
 
+def maybe_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of ids (long) by a bitmap of the column ``ids``: false is certain, true is not; false for NULL."""
+    bitmap = _bitmap(ids)
+
+    @F.pandas_udf("boolean")
+    def hit(column: pd.Series) -> pd.Series:
+        let_go()
+        return pd.Series(_in_bitmap(bitmap.value, column.to_numpy().view(np.uint64)))
+
+    return lambda column: column.isNotNull() & hit(F.coalesce(column, F.lit(0)))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, size, packed) of the wanted classes (id, doc_id, hi, lo): the compressed text of their first documents and its bytes.
 

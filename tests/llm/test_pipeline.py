@@ -1,9 +1,10 @@
 """The pipeline: each stage on what its predecessor kept."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelwright.llm import mixing, neardup
+from panelwright.llm import common, mixing, neardup
 from panelwright.llm.common import read, store
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,31 @@ def test_a_worker_holds_the_tables_of_one_operator():
     assert packing._encoder(public_tokenizers.path("byte_bpe_50k.json"), None) is encoder
     common.let_go()
     assert not common._HELD
+
+
+def test_texts_of_documents_that_stay_are_not_shuffled(spark, monkeypatch):
+    """All texts were shuffled to drop a few documents, once their ids were too many to be broadcast."""
+    ids = [5, 7, 7, 1999, None, 2**60 + 1, -3]
+    # an id that falls on the same bit as 5
+    slots = common.mix(np.arange(1 << 25, dtype=np.uint64)) % np.uint64(neardup.FILTER_BITS)
+    twin = next(int(k) for k in np.flatnonzero(slots == slots[5]) if k > 2000)
+    rows = [(k, f"text {k}") for k in range(2000)] + [(None, "no id"), (7, "again"), (5, None), (twin, "stays"), (2**60 + 1, "goes"), (2**60, "stays"), (-3, "goes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = spark.createDataFrame([(k,) for k in ids], "doc_id long")
+    joined = []
+    join = type(docs).join
+
+    def seen(self, other, *args):
+        if "text" in self.columns:
+            joined.append(self.count())
+        return join(self, other, *args)
+
+    monkeypatch.setattr(type(docs), "join", seen)
+    got = corpus_pipeline._without(docs, gone)
+    want = [r for r in rows if r[0] is None or r[0] not in ids]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert got.columns == ["doc_id", "text"]
+    assert sorted((tuple(r) for r in got.collect()), key=order) == sorted(want, key=order)
+    assert sum(joined) < 20
+    none = corpus_pipeline._without(docs, gone.limit(0))
+    assert none.count() == len(rows)
