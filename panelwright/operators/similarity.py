@@ -5,6 +5,9 @@ Spearman's correlation of two series is Pearson's correlation of ranks taken
 series are first put into classes of equal support.  A series is then ranked once
 per class it meets instead of once per partner, and the pair sums of two classes
 are a matrix product over their common keys, accumulated inside each task.
+
+Few long series are sorted once each: places in all overlaps are running counts
+along that one order (:func:`_pairs_sorted`).
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.operators.crosssection import CrossSection
 from panelwright.operators.order import ordinal
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, store
 
 # Most series in one class block; larger classes are cut, which changes no result.
 BLOCK = 256
@@ -25,6 +28,12 @@ BLOCK = 256
 HELD_SUMS = 4_000_000
 # Keys put side by side as dense rows at a time.
 DENSE_KEYS = 2048
+# Most series that are sorted once each: a bit of a whole number tells whether a key is in a key set.
+SORTED_ITEMS = 60
+# Rows of one series in a value range, on average; ranges are halved until they are as small.
+RANGE_ROWS = 500_000
+# Numbers put side by side when pair sums are taken.
+DENSE_CELLS = 2_000_000
 # Room for rounding when a bound is held against a threshold.
 EDGE = 1e-9
 
@@ -225,9 +234,9 @@ def rank_correlations(
 ) -> DataFrame:
     """(left, right, n, corr) for pairs of series with enough common keys.
 
-    ``series`` is read several times and should be a stored table.
     ``spread`` says that a series may hold much of the table, and so how it is
-    ranked.  Each pair appears once, with ``left < right``.  Series with constant
+    ranked.  ``series`` is read once if it is so and all pairs are wanted; else it is
+    read several times and should be a stored table.  Each pair appears once, with ``left < right``.  Series with constant
     ranks give a NULL correlation.
 
     ``against``, a column of names, keeps pairs with one of them; with ``asked``, another
@@ -238,6 +247,12 @@ def rank_correlations(
     known = series.filter(F.col(value).isNotNull()).select(F.col(item).alias("item"), *row_keys, F.col(value).alias("v"))
     if asked is not None and against is not None:
         known = cut_lineage(_among(known, asked.select(asked.columns[0]).union(against.select(against.columns[0]))))
+    if spread and at_least <= 0 and against is None and asked is None:
+        packed = packed_rows(known, row_keys)
+        known, row_keys = packed.select("row", F.inline("cells")), ["row"]
+        supports = _few_supports(known)
+        if supports is not None:
+            return _named(_pairs_sorted(packed, supports), min_overlap, at_least)
     # one row per series, used several times below
     classes = cut_lineage(support_classes(known, "item", row_keys))
     wanted = needed = None
@@ -292,6 +307,111 @@ def _named(sums: DataFrame, min_overlap: int, at_least: float) -> DataFrame:
     return found.filter(F.abs("corr") >= at_least) if at_least > 0 else found
 
 
+def packed_rows(known: DataFrame, row_keys: Sequence[str]) -> DataFrame:
+    """(row, cells): the values at each key side by side, stored; a number stands for the key from here on."""
+    cells = known.groupBy(*row_keys).agg(F.collect_list(F.struct("item", "v")).alias("cells"))
+    return store(cells.select(F.monotonically_increasing_id().alias("row"), "cells"))
+
+
+def _few_supports(known: DataFrame) -> list[tuple[str, int, int]] | None:
+    """(item, number of its key set, size) of all items, or None if they are more than ``SORTED_ITEMS``."""
+    prints = known.groupBy("item").agg(
+        F.bit_xor(F.xxhash64("row")).alias("_a"), F.bit_xor(F.xxhash64(F.lit("second"), "row")).alias("_b"), F.count("*").alias("_c"))
+    found = prints.limit(SORTED_ITEMS + 1).collect()
+    if len(found) > SORTED_ITEMS:
+        return None
+    sets: dict[tuple, int] = {}
+    return [(r["item"], sets.setdefault((r["_a"], r["_b"], r["_c"]), len(sets)), r["_c"]) for r in sorted(found, key=lambda r: r["item"])]
+
+
+def _pairs_sorted(packed: DataFrame, supports: list[tuple[str, int, int]]) -> DataFrame:
+    """Pair sums of few series, each sorted once whatever the number of key sets.
+
+    The rank of a value inside an overlap is the number of keys of the other key set
+    up to it in the series' own order, so running counts give the ranks of all
+    overlaps along one sort.  Series are cut in value ranges; counts per range, a few
+    numbers each, give the places where ranges begin.  Rows travel twice: to their
+    range and, as ranks, back to their key.
+    """
+    if not supports:
+        return packed.sparkSession.createDataFrame([], "n long, sxy double, sxx double, syy double, _l string, _r string")
+    sets = range(1 + max(s for _, s, _ in supports))
+    of_item = lambda values: F.create_map(*[F.lit(x) for (name, *_), v in zip(supports, values, strict=True) for x in (name, v)])
+    bits = of_item([1 << s for _, s, _ in supports])
+    mask = F.aggregate("cells", F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(bits[c["item"]].cast("long")))
+    rows = packed.select("row", mask.alias("mask"), F.inline("cells")).select(
+        "row", "mask", of_item(range(len(supports)))[F.col("item")].alias("no"), (F.col("v") + F.lit(0.0)).alias("v"))
+    halvings = max(0, (max(c for *_, c in supports) - 1) // RANGE_ROWS).bit_length()
+    if halvings:
+        marks = [k / 2**halvings for k in range(1, 2**halvings)]
+        splits = rows.groupBy("no").agg(F.percentile_approx("v", marks, max(10_000, 32 * 2**halvings)).alias("splits"))
+        # at most as many rows as there are series here
+        rows = rows.join(F.broadcast(cut_lineage(splits)), "no")
+        steps = F.array(*[F.lit(2**h) for h in reversed(range(halvings))])
+        beyond = lambda at, step: F.when(F.element_at("splits", at + step) < F.col("v"), at + step).otherwise(at)
+        rows = rows.withColumn("range", F.aggregate(steps, F.lit(0), beyond)).drop("splits")
+    else:
+        rows = rows.withColumn("range", F.lit(0))
+    shared = lambda s: F.col("mask").bitwiseAND(F.lit(1 << s)) != 0
+    counts = cut_lineage(rows.groupBy("no", "range").agg(*[F.count_if(shared(s)).alias(f"_c{s}") for s in sets]))
+    before = Window.partitionBy("no").orderBy("range")
+    # counts before the range, doubled, less those of the whole series: what centres twice the rank
+    whole = Window.partitionBy("no")
+    offsets = counts.select("no", "range", *[(2 * (F.sum(f"_c{s}").over(before) - F.col(f"_c{s}")) - F.sum(f"_c{s}").over(whole)).alias(f"_o{s}") for s in sets])
+    order = Window.partitionBy("no", "range").orderBy("v")
+    upto, same = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, 0)
+    counted = rows.select(
+        "row", "mask", "no", "range", *[(2 * F.count_if(shared(s)).over(upto) - F.count_if(shared(s)).over(same)).alias(f"_t{s}") for s in sets])
+    # a row per series and range
+    placed = counted.join(F.broadcast(offsets), ["no", "range"]).select(
+        "row", "no", *[F.when(shared(s), F.col(f"_t{s}") + F.col(f"_o{s}")).otherwise(F.lit(0)).alias(f"_t{s}") for s in sets])
+    set_of = np.array([s for _, s, _ in supports])
+    sums = placed.repartition("row").sortWithinPartitions("row").mapInPandas(
+        lambda batches: _row_sums(batches, set_of), "_ln int, _rn int, n long, sxy double, sxx double, syy double")
+    total = sums.groupBy("_ln", "_rn").agg(*[F.sum(c).alias(c) for c in ("n", "sxy", "sxx", "syy")])
+    names = lambda side: F.element_at(F.lit([name for name, *_ in supports]), F.col(f"_{side}n") + 1).alias(f"_{side}")
+    return total.select("n", "sxy", "sxx", "syy", names("l"), names("r"))
+
+
+def _row_sums(batches: Iterator[pd.DataFrame], set_of: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Add up products of centred ranks of all pairs; rows come in order of their key."""
+    items, sets = len(set_of), int(set_of.max()) + 1
+    count, sxy, sxx = (np.zeros((items, items)) for _ in range(3))
+
+    def add(part: pd.DataFrame) -> None:
+        key = part["row"].to_numpy()
+        new = np.r_[True, key[1:] != key[:-1]]
+        at, no = np.cumsum(new) - 1, part["no"].to_numpy()
+        ranks, there = np.zeros((at[-1] + 1, items, sets)), np.zeros((at[-1] + 1, items))
+        there[at, no] = 1.0
+        for s in range(sets):
+            ranks[at, no, s] = part[f"_t{s}"].to_numpy() / 2.0
+        # of every series its ranks among the keys of each other one
+        met = ranks[:, :, set_of]
+        count[:] += there.T @ there
+        sxy[:] += np.einsum("kxy,kyx->xy", met, met)
+        sxx[:] += np.einsum("kxy,kxy->xy", met, met)
+
+    rest, most = None, max(1, DENSE_CELLS // items**2)
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        # the last key may go on in the next batch
+        key = batch["row"].to_numpy()
+        whole = np.searchsorted(key, key[-1]) if len(key) else 0
+        starts = np.flatnonzero(np.r_[True, key[1:whole] != key[: whole - 1]])[::most] if whole else []
+        for a, b in zip(starts, [*starts[1:], whole]):
+            add(batch.iloc[a:b])
+        rest = batch.iloc[whole:]
+    if rest is not None and len(rest):
+        add(rest)
+    left, right = np.triu_indices(items, 1)
+    met = count[left, right] > 0
+    left, right = left[met], right[met]
+    yield pd.DataFrame({
+        "_ln": left.astype("int32"), "_rn": right.astype("int32"), "n": count[left, right].astype("int64"),
+        "sxy": sxy[left, right], "sxx": sxx[left, right], "syy": sxx[right, left]})
+
+
 def _pairs_alone(known: DataFrame, row_keys: Sequence[str], wanted: DataFrame | None) -> DataFrame:
     """Pair sums where no two series have the same keys, so that a ranking serves one pair only.
 

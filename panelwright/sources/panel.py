@@ -98,11 +98,13 @@ def _supplier_bars(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
         "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
-        F.trunc(F.to_date("l_shipdate"), period).alias("date"),
-        divide("l_extendedprice", "l_quantity").alias("px"),
         F.col("l_suppkey").cast("string").alias("entity"),
-    ).repartition("entity")
-    # dealt out by entity once: bars, gaps and windows along time need no further shuffle
+    ).repartition("entity").withColumns({
+        "date": F.trunc(F.to_date("l_shipdate"), period),
+        "px": divide("l_extendedprice", "l_quantity"),
+    })
+    # dealt out by entity once: bars, gaps and windows along time need no further shuffle; what follows from a line's
+    # own columns is worked out behind it
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     all_r = F.min(F.col("l_returnflag") == "R")
     all_a = F.min(F.col("l_returnflag") == "A")

@@ -368,8 +368,7 @@ def _pairs_sql(source: str, keys: str, value: str, least: int) -> str:
 
 def _value_similarity(spark, sf_dir):
     _, factors = library_factors(spark, sf_dir)
-    factors = store(factors)
-    # no bound is known for the rows of one factor, so the split form ranks them
+    # no bound is known for the rows of one factor, so the split form ranks them; it reads the factors once
     return rounded(similarity.value_similarity(factors))
 
 

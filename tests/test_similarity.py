@@ -1,6 +1,7 @@
 """Close pairs found by bounds equal all pairs ranked exactly, and rank few rows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,40 @@ def test_fifty_supports_rank_few_rows(spark):
 
     (equal, one), (different, fifty) = ranked_rows(0.0), ranked_rows(0.05)
     assert (one, fifty) == (1, 50) and different <= 3 * equal
+
+
+@pytest.mark.parametrize(("range_rows", "most_items"), [(1_000_000, 60), (7, 60), (7, 3)])
+def test_every_pair_by_one_sort_of_each_series(spark, monkeypatch, range_rows, most_items):
+    """Equal and different key sets, ties, both zeros, many value ranges; more series than are sorted go the other way."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, missing in enumerate((0.0, 0.0, 0.3, 0.6, 1.0)):
+        v = rng.normal(size=200).round(i % 3) * (1 if i else -1)
+        keep = rng.random(200) >= missing
+        rows += [(f"f{i}", f"e{k % 40}", int(k // 40), float(v[k])) for k in np.flatnonzero(keep)]
+    frame = spark.createDataFrame(rows, "factor_name string, entity string, day int, value double")
+    factors = frame.select("factor_name", "entity", F.date_add(F.lit("2000-01-01").cast("date"), F.col("day")).alias("date"), "value")
+    monkeypatch.setattr(similarity, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(similarity, "SORTED_ITEMS", most_items)
+    if most_items == 60:
+        monkeypatch.setattr(similarity, "_meetings", lambda *a: pytest.fail("ranked once per class"))
+        monkeypatch.setattr(similarity, "_pairs_alone", lambda *a: pytest.fail("ranked once per pair"))
+    got = {(r["left"], r["right"]): (r["n"], r["similarity"]) for r in similarity.value_similarity(factors, 2).collect()}
+    p = frame.toPandas().pivot(index=["entity", "day"], columns="factor_name", values="value")
+    names = sorted(p.columns)
+    want = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    assert set(got) == set(want) and len(want) == 6
+    for a, b in want:
+        both = p[[a, b]].dropna().rank()
+        assert got[a, b][0] == len(both) and got[a, b][1] == pytest.approx(abs(both[a].corr(both[b])), abs=1e-12)
+    assert similarity.value_similarity(factors.limit(0), 2).count() == 0
+
+
+def test_keys_that_span_batches_are_added_once():
+    """Sums do not depend on where batches are cut."""
+    rng = np.random.default_rng(6)
+    keys = np.sort(np.r_[np.arange(50), np.arange(0, 50, 2)])
+    no = np.array([0 if i == 0 or keys[i] != keys[i - 1] else 1 for i in range(len(keys))])
+    rows = pd.DataFrame({"row": keys, "no": no, "_t0": rng.integers(-9, 9, len(keys))})
+    whole, cut = (pd.concat(similarity._row_sums(iter([rows.iloc[i: i + n] for i in range(0, len(rows), n)]), np.array([0, 0]))) for n in (len(rows), 1))
+    assert whole.equals(cut) and whole["n"].tolist() == [25]
