@@ -44,7 +44,17 @@ def overlap_check(factors: DataFrame, panel: DataFrame) -> DataFrame:
     )
 
 
-def clean_returns(
+def clean_returns(merged: DataFrame, next_day: bool = True, **exclusions: bool) -> DataFrame:
+    """Attach ``ret`` and drop untradable rows.
+
+    The return and the next day's flags follow the entity's own rows and are
+    taken before any row is dropped: from the struct ``ahead`` where the rows carry
+    one, else by a window over each factor's rows.
+    """
+    return marked_returns(merged, next_day, **exclusions).filter("_tradable").drop("_tradable")
+
+
+def marked_returns(
     merged: DataFrame,
     next_day: bool = True,
     exclude_st: bool = True,
@@ -52,12 +62,7 @@ def clean_returns(
     exclude_limit_down: bool = True,
     exclude_suspended: bool = True,
 ) -> DataFrame:
-    """Attach ``ret`` and drop untradable rows.
-
-    The return and the next day's flags follow the entity's own rows and are
-    taken before any row is dropped: from the struct ``ahead`` where the rows carry
-    one, else by a window over each factor's rows.
-    """
+    """All rows with ``ret``, and ``_tradable`` where :func:`clean_returns` keeps them."""
     w = ts.entity_window(["factor_name", "entity"])
     carried = next_day and "ahead" in merged.columns
     if carried:
@@ -80,7 +85,7 @@ def clean_returns(
     ):
         if wanted:
             keep = keep & ~is_true(flag)
-    return rows.filter(keep).drop("_next_up", "_next_down", "ahead")
+    return rows.withColumn("_tradable", keep).drop("_next_up", "_next_down", "ahead")
 
 
 def correlations_by(
@@ -322,18 +327,30 @@ def factor_autocorr(factors: DataFrame) -> DataFrame:
 
 def rank_turnover(factors: DataFrame, cross: CrossSection) -> DataFrame:
     """Mean over dates of the mean absolute change in percentile rank."""
-    ranked = cross.rank(factors, "value", "_pct").select(*FACTOR_DAY, "entity", "_pct")
+    placed = cross.positions(factors, "value", "_rk_").select(*FACTOR_DAY, "entity", "_rk_lo", "_rk_hi", "_rk_n")
+    daily = _moves_by_day(placed)
+    return daily.groupBy(*FACTOR).agg(F.avg("_move").alias("turnover_estimate"))
+
+
+def _moves_by_day(placed: DataFrame, **day: Column) -> DataFrame:
+    """Per (factor, date) the mean absolute change in percentile rank since the factor's previous date, and the aggregates ``day``.
+
+    An entity's preceding row counts only when it lies on that date.  Rows go to their
+    entity with their places (:meth:`CrossSection.positions`), whole numbers that pack better than shares.
+    """
     w = ts.entity_window(["factor_name", "entity"])
-    lagged = ranked.withColumns({"_last": F.lag("_pct").over(w), "_last_date": F.lag("date").over(w)})
+    twice = placed.withColumn("_twice", F.col("_rk_lo") + F.col("_rk_hi") + 1).drop("_rk_lo", "_rk_hi").repartition("factor_name", "entity")
+    placed = twice.withColumn("_pct", F.col("_twice") / F.lit(2.0) / F.col("_rk_n"))
+    lagged = placed.withColumns({"_last": F.lag("_pct").over(w), "_last_date": F.lag("date").over(w)})
     # By the date of an entity's last row: a factor's dates are then known without reading the rows again.
-    moves = lagged.groupBy(*FACTOR_DAY, "_last_date").agg(F.sum(F.abs(F.col("_pct") - F.col("_last"))).alias("_sum"), F.count(F.col("_pct") - F.col("_last")).alias("_n"))
+    change = F.col("_pct") - F.col("_last")
+    moves = lagged.groupBy(*FACTOR_DAY, "_last_date").agg(F.sum(F.abs(change)).alias("_sum"), F.count(change).alias("_moved"), *[c.alias(n) for n, c in day.items()])
     # rows of pairs of dates, bounded by the calendar
-    day = F.unix_date("date")
-    before = Window.partitionBy("factor_name").orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("factor_name").orderBy(F.unix_date("date")).rangeBetween(Window.unboundedPreceding, -1)
     on_time = F.col("_last_date") == F.max("date").over(before)
-    daily = moves.select("factor_name", F.when(on_time, F.try_divide("_sum", "_n")).alias("_move"))
-    return daily.groupBy(*FACTOR).agg(F.avg("_move").alias("turnover_estimate"))
-
+    paired = moves.withColumn("_move", F.when(on_time, F.try_divide("_sum", "_moved")))
+    # one of a date's rows is on time at most
+    return paired.groupBy(*FACTOR_DAY).agg(F.max("_move").alias("_move"), *[F.max(n).alias(n) for n in day])
 
 
 def pooled_ic(rows: DataFrame, cross: CrossSection, keys: Sequence[str], x: str = "value", y: str = "ret") -> DataFrame:
@@ -427,6 +444,44 @@ def trade_metrics(
         .filter(F.col("_ls").isNotNull())
         .join(summary.select("factor_name", "mean_rank_ic", "turnover_estimate"), "factor_name")
     )
+    return _spread_metrics(daily, cost_bps)
+
+
+def trade_metrics_carried(merged: DataFrame, cross: CrossSection, cost_bps: float = 10.0, min_names: int = MIN_NAMES) -> DataFrame:
+    """:func:`trade_metrics` with the summary of the same rows, in one pass over them.
+
+    ``merged`` carries ``ahead`` (see :func:`clean_returns`) and ``ret_fwd``, the change to the entity's next panel row.
+    Correlations, spreads and ranks come from the same cross-sections.  From there rows go to their
+    entity for the turnover, with whole numbers for the rank, and the figures of a day go along on one of its rows.
+    """
+    known = F.col("ret_fwd").isNotNull()
+    rows = marked_returns(merged).select(
+        *FACTOR_DAY, "entity", "value", "ret_fwd", F.when(known, F.col("value")).alias("_fv"),
+        F.when(F.col("_tradable"), F.col("value")).alias("_cv"), F.when(F.col("_tradable"), F.col("ret")).alias("_cr"))
+    ranked = cross.centred_rank(cross.centred_rank(rows, "_cv", "_rx"), "_cr", "_ry")
+    placed = cross.positions(cross.extreme_masks(ranked, "_fv"), "value", "_rk_")
+    x, y = F.col("_rx"), F.col("_ry")
+    days = cross.attach(
+        placed, _one=F.min("entity"), _names=F.count("_cv"),
+        _cov=F.covar_pop("_cv", "_cr"), _sx=F.stddev_pop("_cv"), _sy=F.stddev_pop("_cr"),
+        _xy=F.sum(x * y), _xx=F.sum(x * x), _yy=F.sum(y * y),
+        _long=F.avg(F.when(F.col("is_long"), F.col("ret_fwd"))), _short=F.avg(F.when(F.col("is_short"), F.col("ret_fwd"))),
+    )
+    own_ic, rank_ic = divide("_cov", F.col("_sx") * F.col("_sy")), divide("_xy", F.sqrt(F.col("_xx") * F.col("_yy")))
+    counts = (F.col("_names") >= max(min_names, MIN_PAIRS)) & own_ic.isNotNull()
+    one = F.col("entity") == F.col("_one")
+    slim = days.select(
+        *FACTOR_DAY, "entity", "_rk_lo", "_rk_hi", "_rk_n",
+        F.when(one & counts, rank_ic).alias("_ric"), F.when(one, F.col("_long") - F.col("_short")).alias("_ls"))
+    daily = _moves_by_day(slim, _ric=F.max("_ric"), _ls=F.max("_ls"))
+    whole = Window.partitionBy("factor_name")
+    rated = daily.withColumns({"mean_rank_ic": F.avg("_ric").over(whole), "turnover_estimate": F.avg("_move").over(whole)})
+    # without a day that counts there is no summary
+    return _spread_metrics(rated.filter(F.col("_ls").isNotNull() & F.col("mean_rank_ic").isNotNull()), cost_bps)
+
+
+def _spread_metrics(daily: DataFrame, cost_bps: float) -> DataFrame:
+    """Means and drawdown of the daily spreads ``_ls``, turned by ``mean_rank_ic`` and less the cost of ``turnover_estimate``."""
     cost = F.lit(cost_bps / 10000.0 * 2.0) * F.coalesce("turnover_estimate", F.lit(0.0))
     by_day = Window.partitionBy("factor_name").orderBy("date")
     curve = (

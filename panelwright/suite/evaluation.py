@@ -8,9 +8,10 @@ from panelwright.functions.scalar import is_true
 from panelwright.operators import ic, screen, similarity
 from panelwright.functions import timeseries as ts
 from panelwright.plans import batch, pipelines
+from panelwright.plans.factors import factor_long
 from panelwright.session import cut_lineage, store
 from panelwright.sources import sinks
-from panelwright.sources.panel import FLAGS, weekly_panel
+from panelwright.sources.panel import FLAGS, Panel, weekly_panel
 from panelwright.suite.base import (
     Check, LIBRARY, R, centred_sql, corr_sql, cte, daily, library, library_factors, magnitude, magnitude_sql, r6, rank_corr_sql, rank_sql, rounded, scratch, sql, stored_library,
 )
@@ -208,11 +209,11 @@ _add("rank_turnover", "A17", _turnover, sql(
 
 
 def _trade(spark, sf_dir):
-    panel, merged = library(spark, sf_dir)
-    cross = panel.cross_section("factor_name")
-    factors = merged.select("factor_name", "entity", "date", "value")
-    summary = ic.factor_summary(ic.daily_ic(merged, cross)).join(ic.rank_turnover(factors, cross), "factor_name")
-    out = ic.trade_metrics(factors, panel.df, cross, summary)
+    panel = weekly_panel(spark, sf_dir)
+    # the next panel row counts here, whether or not the factor has a value there
+    moved = Panel(panel.df.withColumn("ret_fwd", ts.forward_return("close", 1, ts.entity_window())), panel.names_bound, panel.days)
+    merged = factor_long(moved, LIBRARY, carry=["close", *FLAGS, "ret_fwd"], ahead=True)
+    out = ic.trade_metrics_carried(merged, panel.cross_section("factor_name"))
     return rounded(out.withColumn("max_drawdown_long_short", magnitude("max_drawdown_long_short")))
 
 

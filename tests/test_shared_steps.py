@@ -107,3 +107,26 @@ def test_wide_audit_equals_the_long_one(spark):
     long = catalog.lookahead_audit(*(factors.to_long(df, ["x", "y", "z"], ["entity", "date"]) for df in (wide, short)), last)
     got = catalog.lookahead_audit_wide(wide, short, ["x", "y", "z"], last)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, long.collect()))
+
+
+def test_trade_metrics_read_the_lines_once_for_prices(spark):
+    plan = evaluation._trade(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("== Initial Plan ==")[-1].splitlines() if "FileScan" in line and "l_extendedprice" in line]
+    assert len(scans) == 1
+
+
+@pytest.mark.parametrize("least", [30, 1000])
+def test_trade_metrics_in_one_pass_equal_those_from_a_summary(spark, least):
+    """With gaps, ties and days of few names; where no day has enough names there is no factor."""
+    panel, cross = base.weekly_panel(spark, SF.replace("0.001", "0.01")), CrossSection(["factor_name", "date"])
+    panel = factors.Panel(panel.df.filter("pmod(xxhash64(entity, date), 5) <> 0").withColumn("close", F.round("close", -2)).cache())
+    merged = factors.factor_long(panel, base.LIBRARY, ["close", *base.FLAGS], ahead=True)
+    values = merged.select("factor_name", "entity", "date", "value")
+    summary = ic.factor_summary(ic.daily_ic(merged, cross, least)).join(ic.rank_turnover(values, cross), "factor_name")
+    want = {r["factor_name"]: r for r in ic.trade_metrics(values, panel.df, cross, summary).collect()}
+    moved = factors.Panel(panel.df.withColumn("ret_fwd", ic.ts.forward_return("close", 1, ic.ts.entity_window())))
+    carried = factors.factor_long(moved, base.LIBRARY, ["close", *base.FLAGS, "ret_fwd"], ahead=True)
+    got = {r["factor_name"]: r for r in ic.trade_metrics_carried(carried, cross, min_names=least).collect()}
+    assert set(got) == set(want) and len(want) == (4 if least == 30 else 0)
+    for name, row in want.items():
+        assert list(got[name])[1:] == pytest.approx(list(row)[1:], rel=1e-9)
