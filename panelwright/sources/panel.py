@@ -127,12 +127,13 @@ def _supplier_bars(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
 def _supplier_panel(spark: SparkSession, sf_dir: str, period: str) -> Panel:
     supplier = table(spark, sf_dir, "supplier")
     names = supplier.count()
-    home = (
-        supplier.select("s_suppkey", "s_nationkey", "s_acctbal")
-        .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("s_suppkey").cast("string").alias("entity"), "s_acctbal", F.col("r_name").alias("industry"))
-    )
+    # nations are a fixed list; as a map they leave the size of the supplier table known, so that bars,
+    # which are dealt out by entity already, are not the side to be broadcast
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    industries = nations.filter(F.col("n_nationkey").isNotNull()).agg(
+        F.map_from_entries(F.collect_list(F.struct("n_nationkey", "r_name"))).alias("industries")).scalar()
+    home = supplier.filter(F.map_contains_key(industries, F.col("s_nationkey"))).select(
+        F.col("s_suppkey").cast("string").alias("entity"), "s_acctbal", F.try_element_at(industries, F.col("s_nationkey")).alias("industry"))
     df = (
         _supplier_bars(spark, sf_dir, period)
         .join(home, "entity")
